@@ -17,3 +17,37 @@ def with_label(df: DataFrame, code: str, labels: Mapping[str, str], name: str) -
     dim = df.sparkSession.createDataFrame(list(labels.items()), f"{code} string, _label string")
     return df.join(F.broadcast(dim), code, "left").withColumn(
         name, F.coalesce(F.col("_label"), humanise(code))).drop("_label")
+
+
+def against_reference(study: DataFrame, ref: DataFrame, base: Column, key: str) -> DataFrame:
+    """Each study beside its own matched group, else beside all names. Both hold one row per study."""
+    return study.join(ref, key, "left").select(
+        *study.columns, F.coalesce("ref", base).alias("reference"), F.col("ref").isNotNull().alias("own_group"),
+        F.try_divide(F.col("pct_dump"), F.coalesce("ref", base)).alias("lift"))
+
+
+def lockups(bars: DataFrame, days: int, around: int) -> DataFrame:
+    """Sessions within `around` days of each name's lock-up end (first session + `days`)."""
+    ipo = bars.groupBy("symbol").agg(F.min("session").alias("ipo_date"), F.min_by("open", "session").alias("ipo_price"))
+    rows = bars.join(ipo, "symbol").withColumn("lockup_date", F.date_add("ipo_date", days))
+    rows = rows.withColumn("days_to", F.datediff("lockup_date", "session").cast("bigint"))
+    return rows.filter(F.abs("days_to") <= around).withColumn(
+        "vs_ipo", F.try_divide(F.col("close"), F.col("ipo_price")) - 1)
+
+
+def union_lists(lists: Mapping[str, DataFrame]) -> DataFrame:
+    """Named lists one under another, with their origin; columns a list lacks are missing."""
+    out = None
+    for name, df in lists.items():
+        df = df.withColumn("list", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def group_by_day(events: DataFrame, day: str, by: list[str], order: list[str], shards: int = 16) -> DataFrame:
+    """Events of each day numbered in order, as rows.
+
+    The day's list stays rows, so a day with very many events is never one value.
+    """
+    w = W.partitionBy(day, *by).orderBy(*order)
+    return events.withColumn("pos", F.row_number().over(w).cast("bigint"))

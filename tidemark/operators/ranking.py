@@ -105,9 +105,8 @@ def with_rank_desc(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_
     """1 + number of strictly larger values in the group, per column."""
     by, key = _keys(by), _keys(key)
     if group_rows <= ONE_TASK_ROWS:
-        return df.select("*", *[
-            F.rank().over(W.partitionBy(*by).orderBy(F.col(c).desc_nulls_last())).cast("bigint").alias(c + suffix)
-            for c in cols])
+        rank = lambda c: F.rank().over(W.partitionBy(*by).orderBy(F.col(c).desc_nulls_last())).cast("bigint")
+        return df.select("*", *[F.when(F.col(c).isNotNull(), rank(c)).alias(c + suffix) for c in cols])
     long = _value_places(df, by, key, cols).withColumn("_r", F.col("_all") - F.col("_upto") + 1)
     wide = long.groupBy(*by, *key).pivot("_part", list(cols)).agg(F.first("_r"))
     wide = wide.select(*by, *key, *[F.col(c).alias(c + suffix) for c in cols])
@@ -180,3 +179,18 @@ def top_attribution(shares: str, n: int = 6) -> Column:
 def live_order(oc: str = "oc", pos: str = "symbol") -> list[Column]:
     """Deepest fall first; a missing move sorts as +9."""
     return [F.coalesce(finite(oc), F.lit(9.0)).asc(), F.col(pos).asc()]
+
+
+def exact_median(df: DataFrame, by, value: str, name: str, group_rows: int = UNBOUNDED) -> DataFrame:
+    """Median per group. The built-in one holds a group's values in one task, so large groups are placed by rank."""
+    by = _keys(by)
+    if group_rows <= ONE_TASK_ROWS:
+        return df.groupBy(*by).agg(F.median(value).alias(name))
+    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+    placed = running_total(counts, by, [F.col("_v")], {"_upto": F.col("_n")}, group_rows)
+    placed = placed.join(counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by)
+    below, upto, n = F.col("_upto") - F.col("_n"), F.col("_upto"), F.col("_all")
+    lower, upper = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)      # 1-based middle places
+    holds = lambda place: (below < place) & (upto >= place)
+    return placed.groupBy(*by).agg(
+        ((F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(name))

@@ -127,13 +127,17 @@ def consensus(rows: DataFrame, group_rows: int, size: float = fixed.BOARD_MIN_US
     """Sum of three models' rank shortfalls over the tradable names, and its tier (our formula).
 
     deficit = (rank - 1) summed over the models; high <= 2, medium <= 7, else low.
+    Names that cannot take `size` stay in the rows with these columns missing.
     """
-    able = rows.filter(
-        (sizing.volume_cap("exp_dvol") >= size) & (sizing.impact_cap("exp_dvol", "vol20") >= size))
-    ranked = with_rank_desc(able, "session", "symbol", ["prob_dump", "one_dump", "one_d3"], "_rk", group_rows)
-    ranked = ranked.withColumnsRenamed({"prob_dump_rk": "rank_dump", "one_dump_rk": "rank_one", "one_d3_rk": "rank_d3"})
+    able = (sizing.volume_cap("exp_dvol") >= size) & (sizing.impact_cap("exp_dvol", "vol20") >= size)
+    models = {"prob_dump": "rank_dump", "one_dump": "rank_one", "one_d3": "rank_d3"}
+    masked = rows.select("*", *[F.when(able, F.col(m)).alias(f"_{m}") for m in models])
+    ranked = with_rank_desc(masked, "session", "symbol", [f"_{m}" for m in models], "_rk", group_rows)
+    ranked = ranked.select(*rows.columns, *[F.col(f"_{m}_rk").alias(n) for m, n in models.items()])
     ranked = ranked.withColumn("deficit", F.col("rank_dump") + F.col("rank_one") + F.col("rank_d3") - 3)
-    ranked = with_row_number(ranked, "session", [F.col("deficit"), F.col("prob_dump").desc(), F.col("symbol")],
-                             "consensus_rank", group_rows)
-    return ranked.withColumn(
-        "tier", F.when(F.col("deficit") <= 2, "high").when(F.col("deficit") <= 7, "medium").otherwise("low"))
+    order = [F.col("deficit").asc_nulls_last(), F.col("prob_dump").desc(), F.col("symbol")]
+    ranked = with_row_number(ranked, "session", order, "_place", group_rows)
+    known = F.col("deficit").isNotNull()
+    return ranked.select(
+        *ranked.columns[:-1], F.when(known, F.col("_place")).alias("consensus_rank"),
+        F.when(F.col("deficit") <= 2, "high").when(F.col("deficit") <= 7, "medium").when(known, "low").alias("tier"))

@@ -90,12 +90,12 @@ def f5(spark, d):
 
 
 @query("f5_search_documents", """
-    SELECT doc_id, source, lower(source) = 'web' AS exact FROM documents
-    WHERE starts_with(lower(source), 'web') OR contains(lower(text), 'web')""")
+    SELECT doc_id, source, lower(source) = 'src1' AS exact FROM documents
+    WHERE starts_with(lower(source), 'src1') OR contains(lower(text), 'src1')""")
 def f5_documents(spark, d):
     docs = table(spark, d, "documents")
-    return docs.filter(predicates.search_match("web", "source", "text")).select(
-        "doc_id", "source", (F.lower("source") == "web").alias("exact"))
+    return docs.filter(predicates.search_match("src1", "source", "text")).select(
+        "doc_id", "source", (F.lower("source") == "src1").alias("exact"))
 
 
 @query("f6_fits_size", f"""
@@ -206,8 +206,8 @@ _WHEN_SQL = """coalesce(CASE WHEN NOT regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}
 
 
 @query("o3_wire_sort", f"""
-    SELECT event_id, row_number() OVER (ORDER BY at DESC NULLS LAST, event_id) AS pos
-    FROM (SELECT event_id, {_WHEN_SQL} AS at FROM ({_MIXED_SQL})) ORDER BY at DESC NULLS LAST, event_id LIMIT 14""")
+    SELECT event_id, row_number() OVER (ORDER BY instant DESC NULLS LAST, event_id) AS pos
+    FROM (SELECT event_id, {_WHEN_SQL} AS instant FROM ({_MIXED_SQL})) ORDER BY instant DESC NULLS LAST, event_id LIMIT 14""")
 def o3(spark, d):
     wire = events(spark, d).select("event_id", _mixed_text().alias("s"))
     at = F.coalesce(S.parse_ts("s"), S.parse_day("s").cast("timestamp"))

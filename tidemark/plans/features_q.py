@@ -124,7 +124,8 @@ CONSENSUS = """
 @query("w17_consensus_rank", f"""
     SELECT session, symbol, rank_dump, rank_one, rank_d3, deficit, tier, consensus_rank FROM ({CONSENSUS})""", "picks")
 def w17(spark, d):
-    return board.consensus(board.picks(spark, d), board.universe_bound(spark, d)).select(
+    ranked = board.consensus(board.picks(spark, d), board.universe_bound(spark, d))
+    return ranked.filter(F.col("consensus_rank").isNotNull()).select(
         "session", "symbol", "rank_dump", "rank_one", "rank_d3", "deficit", "tier", "consensus_rank")
 
 
