@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, sizing
 from ..functions.scalars import finite
-from .ranking import ONE_TASK_ROWS, UNBOUNDED, running_total
+from .ranking import UNBOUNDED, running_total
 
 
 def waterfill(caps: DataFrame, by: Sequence[str], key: Sequence[str], total: str = "total", cap: str = "cap",
@@ -64,3 +64,38 @@ def plan_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("session", "total", "k").agg(
         F.count("*").alias("n_names"), deployed.alias("deployed"), F.max("left_over").alias("left_over"),
         F.when(deployed > 0, F.try_divide(F.sum(F.coalesce(F.col("alloc") * F.col("cost"), F.lit(0.0))), deployed)).alias("mean_cost"))
+
+
+def basket_backtest(board: DataFrame, most: float, cut: str, ks: Sequence[int] = fixed.PLAN_K) -> DataFrame:
+    """First k eligible names a day, each at its capacity up to `most`: net per dollar and winning days."""
+    able = board.filter(F.col("publishable") & finite("capacity").isNotNull())
+    placed = able.withColumn("pos", F.row_number().over(W.partitionBy("session").orderBy("rank"))).filter(F.col("pos") <= max(ks))
+    q = F.least(F.col("capacity"), F.lit(most))
+    rows = placed.filter(F.col("next_oc").isNotNull()).withColumn("q", q).withColumn(
+        "pnl", F.col("q") * (-F.col("next_oc") - sizing.cost_law("q", "c10", "spread")))
+    grid = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("pos") <= F.col("k"))
+    days = grid.groupBy("session", "k").agg(F.sum("pnl").alias("pnl"), F.sum("q").alias("q"))
+    period = F.when(F.col("session") < F.lit(cut).cast("date"), "dev").otherwise("confirm")
+    return days.groupBy(period.alias("period"), "k").agg(
+        F.count("*").alias("n_days"), F.try_divide(F.sum("pnl"), F.sum("q")).alias("net_per_dollar"),
+        F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("day_win"))
+
+
+def size_tiers(graded: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Per position size: names that can take it a day, their base rate, and the #1 among them."""
+    rows = graded.withColumn("size", F.explode(F.array(*[F.lit(float(q)) for q in sizes]))).filter(
+        F.col("capacity") >= F.col("size"))
+    tick = F.when(F.col("close") >= 1, 0.01 / F.col("close")).otherwise(0.0001 / F.col("close"))
+    dumped = F.avg(F.when(F.col("next_oc") <= fixed.DUMP, 1.0).otherwise(0.0))
+    best = F.struct(-F.col("prob_dump"), F.col("symbol"))
+    days = rows.groupBy("size", "session").agg(
+        F.count("*").alias("names"), dumped.alias("base"),
+        F.min_by(F.struct(
+            F.col("next_oc").alias("oc"), sizing.cost_law("size", "c10", "spread").alias("cost"),
+            sizing.impact_cost("size", "vol20", "exp_dvol", tick).alias("tight")), best).alias("one"))
+    oc = F.col("one.oc")
+    return days.groupBy("size").agg(
+        F.count("*").alias("n_days"), F.avg("names").alias("names_per_day"), F.avg("base").alias("base_dump"),
+        F.avg(F.when(oc <= fixed.DUMP, 1.0).otherwise(0.0)).alias("top1_hit"), F.avg(oc).alias("top1_mean_oc"),
+        F.avg("one.cost").alias("cost"), F.avg(-oc - F.col("one.cost")).alias("net"),
+        F.avg(-oc - F.col("one.tight")).alias("net_tight"))

@@ -35,7 +35,7 @@ def spread_cap(dollar_volume: str) -> Column:
     return F.when(F.col(dollar_volume).isNotNull(), cap.otherwise(fixed.SPREAD_TOP_TIER))
 
 
-def session_features(bars: DataFrame) -> DataFrame:
+def session_features(bars: DataFrame, horizon: int | None = None) -> DataFrame:
     """W1-W8, W14-W16 and the outcome labels, in one pass over the bars.
 
     Our choices where only the meaning is fixed: averages need all their
@@ -43,8 +43,10 @@ def session_features(bars: DataFrame) -> DataFrame:
     the sessions there are, up to 252; the short-sale restriction follows the
     public rule (low at or below 90% of the previous close: that session and the
     next); the spread is the Abdi-Ranaldo estimate, each pair ending at this
-    session, kept between one tick and the liquidity-tier cap.
+    session, kept between one tick and the liquidity-tier cap. `horizon` adds
+    `fwd<horizon>`: from the next open to the horizon-th close.
     """
+    longer = [(F.lead("close", horizon).over(_W) / F.lead("open").over(_W) - 1).alias(f"fwd{horizon}")] if horizon else []
     eta = (F.ln("high") + F.ln("low")) / 2
     lagged = bars.select(
         "*",
@@ -60,6 +62,7 @@ def session_features(bars: DataFrame) -> DataFrame:
         eta.alias("_eta"),
         F.lag(F.ln("close")).over(_W).alias("_lc1"),
         F.lag(eta).over(_W).alias("_eta1"),
+        *longer,
     )
     moved = lagged.select(
         "*",
@@ -97,6 +100,7 @@ def session_features(bars: DataFrame) -> DataFrame:
         (F.col("next_high") / F.col("next_open") - 1).alias("next_oh"),
         (F.col("next_low") / F.col("next_open") - 1).alias("next_ol"),
         (F.col("_close5") / F.col("next_open") - 1).alias("swing5"),
+        *([f"fwd{horizon}"] if horizon else []),
     )
     cap = spread_cap("dvol20")
     tick = F.when(F.col("close") >= 1, 0.01 / F.col("close")).otherwise(0.0001 / F.col("close"))
