@@ -171,13 +171,18 @@ def has_event_between(rows: DataFrame, events: DataFrame, by: Sequence[str], lo:
     return asked.join(held, [*by, "_day"], "left_semi").drop("_day").dropDuplicates(ids)
 
 
-def trailing_counts(events: DataFrame, by: Sequence[str], day: str, counted: dict[str, tuple[Column, int]]) -> DataFrame:
+def trailing_counts(events: DataFrame, by: Sequence[str], day: str, counted: dict[str, tuple[Column, int]],
+                    last: dict[str, Column] | None = None) -> DataFrame:
     """Events of a kind in the last n calendar days, per key and day that has events.
 
-    Counted per (key, day) first, so the range window sees one row per day.
+    Counted per (key, day) first, so the range window sees one row per day. `last`
+    names kinds whose latest day so far is wanted.
     """
-    daily = events.groupBy(*by, day).agg(*[F.count_if(c).alias(f"_n_{n}") for n, (c, _) in counted.items()])
-    num = F.unix_date(F.col(day))
-    out = [F.sum(f"_n_{n}").over(W.partitionBy(*by).orderBy(num).rangeBetween(1 - span, 0)).alias(n)
-           for n, (_, span) in counted.items()]
+    last = last or {}
+    daily = events.groupBy(*by, day).agg(
+        *[F.count_if(c).alias(f"_n_{n}") for n, (c, _) in counted.items()],
+        *[F.bool_or(c).alias(f"_h_{n}") for n, c in last.items()])
+    w = W.partitionBy(*by).orderBy(F.unix_date(F.col(day)))
+    out = [F.sum(f"_n_{n}").over(w.rangeBetween(1 - span, 0)).alias(n) for n, (_, span) in counted.items()]
+    out += [F.max(F.when(F.col(f"_h_{n}"), F.col(day))).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(n) for n in last]
     return daily.select(*by, day, *out)

@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions.scalars import humanise
 
 
@@ -44,10 +42,68 @@ def union_lists(lists: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def group_by_day(events: DataFrame, day: str, by: list[str], order: list[str], shards: int = 16) -> DataFrame:
-    """Events of each day numbered in order, as rows.
+def group_by_day(events: DataFrame, day: str, key: str, group_rows: int) -> DataFrame:
+    """Events of each day numbered in feed order.
 
     The day's list stays rows, so a day with very many events is never one value.
     """
-    w = W.partitionBy(day, *by).orderBy(*order)
-    return events.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    from .ranking import with_row_number
+    return with_row_number(events, day, [F.col(key)], "pos", group_rows)
+
+
+def breadth(rows: DataFrame, group_rows: int) -> DataFrame:
+    """Share of names up, median return, and counts of big movers per session."""
+    from .ranking import exact_median
+    known = rows.filter(F.col("r1").isNotNull())
+    out = known.groupBy("session").agg(
+        F.avg(F.when(F.col("r1") > 0, 1.0).otherwise(0.0)).alias("breadth_up"),
+        F.count_if(F.col("r1") >= 0.2).alias("n_up20"), F.count_if(F.col("r1") <= -0.2).alias("n_down20"))
+    return out.join(exact_median(known, "session", "r1", "median_r1", group_rows), "session")
+
+
+def sector_heat(rows: DataFrame, least: int = 5, top: int = 3) -> DataFrame:
+    """Mean odds per session and sector with its best names; small sectors are left out."""
+    from .ranking import top_k
+    heat = rows.groupBy("session", "sector").agg(
+        F.avg("prob_dump").alias("mean_prob"), F.count("*").alias("n"),
+        F.count_if(F.col("urank") <= 100).alias("n_top100")).filter(F.col("n") >= least)
+    best = top_k(rows, ["session", "sector"], [F.col("prob_dump").desc(), F.col("symbol")], top, "_k")
+    names = best.groupBy("session", "sector").agg(F.array_sort(F.collect_list(F.struct("_k", "symbol"))).alias("_t"))
+    return heat.join(names.select("session", "sector", F.transform("_t", lambda x: x["symbol"]).alias("top")), ["session", "sector"])
+
+
+def insider_summary(trades: DataFrame, days: int = 90) -> DataFrame:
+    """Open-market sales and buys and sale notices of the last `days` days of the data, per name."""
+    last = trades.agg(F.max("day").alias("d")).scalar()
+    recent = trades.filter(F.col("day") > F.date_sub(last, days))
+    value = F.col("shares") * F.col("price")
+    return recent.groupBy("symbol").agg(
+        F.count_if(F.col("code") == "S").alias("n_sales"), F.count_if(F.col("code") == "P").alias("n_buys"),
+        F.count_if(F.col("code") == "144").alias("n_144"),
+        F.sum(F.when(F.col("code") == "S", value)).alias("value_sold"), F.sum(F.when(F.col("code") == "P", value)).alias("value_bought"))
+
+
+def chatter_summary(messages: DataFrame) -> DataFrame:
+    """Messages per active day, tags, and the bearish share of the tagged."""
+    bull, bear = F.count_if(F.col("tag") == "bull"), F.count_if(F.col("tag") == "bear")
+    out = messages.groupBy("symbol", F.to_date("ts").alias("_d")).agg(F.count("*").alias("_n"), bull.alias("_u"), bear.alias("_e"))
+    return out.groupBy("symbol").agg(
+        F.avg("_n").alias("msgs_per_day"), F.sum("_u").alias("bull"), F.sum("_e").alias("bear"),
+        F.try_divide(F.sum("_e"), F.sum("_u") + F.sum("_e")).alias("bear_share"))
+
+
+def size_summary(rows: DataFrame) -> DataFrame:
+    """What the publishable names of a session can take together, and the first name's limits."""
+    able = rows.filter(F.col("publishable") & F.col("capacity").isNotNull())
+    return able.groupBy("session").agg(
+        F.sum(F.least(F.col("capacity"), F.coalesce("breakeven", F.lit(float("inf"))))).alias("deployable"), F.count("*").alias("names"),
+        F.min_by("capacity", "rank").alias("top_capacity"), F.min_by("breakeven", "rank").alias("top_breakeven"))
+
+
+def unified_lists(scored: DataFrame, lists: Mapping[str, tuple[Column, Column]], k: int) -> DataFrame:
+    """U4: top k rows of every named list over one scored union: name -> (membership, order key)."""
+    from .ranking import top_k
+    entries = F.array_compact(F.array(*[
+        F.when(member, F.struct(F.lit(n).alias("list"), key.cast("double").alias("key"))) for n, (member, key) in lists.items()]))
+    long = scored.withColumn("_e", F.explode(entries)).select(*scored.columns, "_e.list", "_e.key")
+    return top_k(long, ["session", "list"], [F.col("key").desc_nulls_last(), F.col("symbol"), F.col("side")], k, "pos")
