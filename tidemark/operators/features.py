@@ -79,7 +79,7 @@ def session_features(bars: DataFrame, horizon: int | None = None) -> DataFrame:
     gain, loss = full(F.avg("_gain"), "_gain", 14), full(F.avg("_loss"), "_loss", 14)
     framed = moved.select(
         "symbol", "session", "open", "high", "low", "close", "volume", "short_volume", "short_interest",
-        "prev_close", "r1", "r3", "r5", "r20", "ssr_trigger",
+        "prev_close", "next_open", "r1", "r3", "r5", "r20", "ssr_trigger",
         F.try_divide(F.col("volume"), full(F.avg("volume"), "volume", 20, -1)).alias("rvol1"),
         F.try_divide(100 * gain, gain + loss).alias("rsi14"),
         (F.col("close") / full(F.avg("close"), "close", 20) - 1).alias("dist_ma20"),

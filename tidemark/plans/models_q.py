@@ -1 +1,77 @@
+"""Models (L) on the weekly bars: fitted with pyspark.ml, graded out of sample."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features, models, records
+from ..session import cut
+from ..sources import derived
+from . import board
+from .ctes import r6
+from .records_q import _SCORES, model_scores, panel_bound
+from .registry import query, r
+
+
+def training(spark, d):
+    rows = models.with_session_index(features.session_features(derived.bars(spark, d, "week")))
+    return cut(models.training_rows(rows))
+
+
+def calendar(rows):
+    """First session index after two thirds of the calendar, and the calendar's end (two scalars)."""
+    lo, hi = rows.agg(F.min("session_idx"), F.max("session_idx")).first()
+    return lo + 2 * (hi - lo) // 3, hi + 1
+
+
+@query("l1_walk_forward")
+def l1(spark, d):
+    rows = training(spark, d)
+    n = calendar(rows)[1]
+    out = models.walk_forward(rows.filter(F.col("session_idx") >= 60), models.M0, "y_dump", 3, n)
+    return out.select("session", "symbol", "session_idx", "fold", "trained_before", r("p"), r("next_oc"))
+
+
+@query("l2_outcome_models")
+def l2(spark, d):
+    rows = training(spark, d)
+    out = models.outcome_models(rows, {"m0": models.M0, "m1": models.M1}, calendar(rows)[0])
+    return out.select("session", "symbol", "model", *[r(f"prob_{n}") for n in models.targets()])
+
+
+@query("l3_prob_cap", f"""
+    WITH {_SCORES}, placed AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, session, symbol) AS i,
+      ceil(count(*) OVER (PARTITION BY model) * 0.01) AS top FROM scores),
+    caps AS (SELECT model, avg(CASE WHEN next_oc <= -0.05 THEN 1.0 ELSE 0.0 END) AS cap FROM placed WHERE i <= top GROUP BY model)
+    SELECT session, symbol, model, {r6('least(score, cap)', 'p_capped')}, score > cap AS was_capped FROM scores JOIN caps USING (model)""", "scored")
+def l3(spark, d):
+    scores = model_scores(spark, d)
+    out = models.capped(scores, models.probability_caps(scores, 0.01, panel_bound(spark, d)))
+    return out.select("session", "symbol", "model", r("p_capped"), (F.col("score") > F.col("cap")).alias("was_capped"))
+
+
+@query("l4_permutation_importance")
+def l4(spark, d):
+    rows = training(spark, d)
+    at = calendar(rows)[0]
+    model = models.fit(rows.filter(F.col("session_idx") < at - 5), models.M0, "y_dump")
+    test = rows.filter((F.col("session_idx") >= at) & F.col("y_dump").isNotNull())
+    bound = board.universe_bound(spark, d)
+    out = models.permutation_importance(model, test, models.FAMILY_OF, "y_dump", 7, bound, panel_bound(spark, d))
+    return out.select("family", r("auc"), r("importance"))
+
+
+@query("l5_attribution")
+def l5(spark, d):
+    rows = training(spark, d)
+    at = calendar(rows)[0]
+    model = models.fit(rows.filter(F.col("session_idx") < at - 5), models.M0, "y_dump")
+    out = models.attribution(model, rows.filter(F.col("session_idx") >= at), models.FAMILY_OF, board.universe_bound(spark, d))
+    return out.select("session", "symbol", r("p"), *[r(f) for f in models.FAMILY_OF])
+
+
+@query("l6_expected_oc")
+def l6(spark, d):
+    rows = training(spark, d)
+    out = models.expected_move(rows, models.M0, calendar(rows)[0], 5, board.universe_bound(spark, d))
+    return out.select("session", "symbol", r("exp_oc"), r("liq_edge"))
