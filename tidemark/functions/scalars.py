@@ -106,7 +106,7 @@ def age(ts, now) -> Column:
 
 # ── text ────────────────────────────────────────────────────────────────────
 
-_HTTP = r"^\s*(?i:https?)://(?:[^/?#@]*@)?([^/?#:\s]+)"
+_HTTP = r"^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)"
 
 
 def safe_url(u) -> Column:

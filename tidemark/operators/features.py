@@ -7,6 +7,8 @@ every label starts at the next one. All of them share one exchange on `symbol`.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def spread_cap(dollar_volume: str) -> Column:
     return F.when(F.col(dollar_volume).isNotNull(), cap.otherwise(fixed.SPREAD_TOP_TIER))
 
 
-def session_features(bars: DataFrame, horizon: int | None = None) -> DataFrame:
+def session_features(bars: DataFrame, horizon: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """W1-W8, W14-W16 and the outcome labels, in one pass over the bars.
 
     Our choices where only the meaning is fixed: averages need all their
@@ -44,7 +46,8 @@ def session_features(bars: DataFrame, horizon: int | None = None) -> DataFrame:
     public rule (low at or below 90% of the previous close: that session and the
     next); the spread is the Abdi-Ranaldo estimate, each pair ending at this
     session, kept between one tick and the liquidity-tier cap. `horizon` adds
-    `fwd<horizon>`: from the next open to the horizon-th close.
+    `fwd<horizon>`: from the next open to the horizon-th close; `keep` names further
+    columns of the bars to carry along.
     """
     longer = [(F.lead("close", horizon).over(_W) / F.lead("open").over(_W) - 1).alias(f"fwd{horizon}")] if horizon else []
     eta = (F.ln("high") + F.ln("low")) / 2
@@ -100,7 +103,7 @@ def session_features(bars: DataFrame, horizon: int | None = None) -> DataFrame:
         (F.col("next_high") / F.col("next_open") - 1).alias("next_oh"),
         (F.col("next_low") / F.col("next_open") - 1).alias("next_ol"),
         (F.col("_close5") / F.col("next_open") - 1).alias("swing5"),
-        *([f"fwd{horizon}"] if horizon else []),
+        *([f"fwd{horizon}"] if horizon else []), *keep,
     )
     cap = spread_cap("dvol20")
     tick = F.when(F.col("close") >= 1, 0.01 / F.col("close")).otherwise(0.0001 / F.col("close"))
@@ -134,11 +137,11 @@ def stand_in_scores(panel: DataFrame) -> DataFrame:
 
 
 def series_change(bars: DataFrame) -> DataFrame:
-    """First and last close of each symbol and the change between them."""
+    """First and last close of each symbol and the change between them (two closes at least)."""
     out = bars.filter(F.col("close").isNotNull()).groupBy("symbol").agg(
         F.min_by("close", "session").alias("first_close"), F.max_by("close", "session").alias("last_close"),
         F.count("*").alias("n"))
-    return out.withColumn("change", F.col("last_close") / F.col("first_close") - 1)
+    return out.withColumn("change", F.when(F.col("n") >= 2, F.col("last_close") / F.col("first_close") - 1))
 
 
 def window_extremes(bars: DataFrame) -> DataFrame:

@@ -76,12 +76,12 @@ def merge_records(lists: DataFrame, by: Sequence[str], precedence: Sequence[str]
 
     `lists` holds (keys, list, pos, ...). Lists named in `side` also attach as
     struct columns `as_<list>`, except where the record itself comes from there
-    (a lookalike attaches even then).
+    (a lookalike attaches even then). A record won by `top` reads as a board one.
     """
     prio = F.array_position(F.array(*[F.lit(p) for p in precedence]), F.col("list"))
     w = W.partitionBy(*by).orderBy(prio, "pos")
     first = lists.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
-    first = first.withColumnRenamed("list", "where")
+    first = first.withColumn("where", F.when(F.col("list") == "top", "board").otherwise(F.col("list"))).drop("list")
     for s in side:
         rest = [c for c in lists.columns if c not in (*by, "list")]
         mine = lists.filter(F.col("list") == s).groupBy(*by).agg(F.min_by(F.struct(*rest), "pos").alias(f"_s_{s}"))

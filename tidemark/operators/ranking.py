@@ -113,6 +113,14 @@ def with_rank_desc(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_
     return df.join(wide, [*by, *key], "left")
 
 
+def with_group_mean(df: DataFrame, by, value: Column, name: str, group_rows: int = UNBOUNDED) -> DataFrame:
+    """Mean of a value over the row's group, on every row."""
+    by = _keys(by)
+    if group_rows <= ONE_TASK_ROWS:
+        return df.withColumn(name, F.avg(value).over(W.partitionBy(*by)))
+    return df.join(df.groupBy(*by).agg(F.avg(value).alias(name)), by)
+
+
 def top_k(df: DataFrame, by, order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First k per group. Each task keeps at most k rows of a group before the shuffle."""
     w = W.partitionBy(*_keys(by)).orderBy(*order)

@@ -36,25 +36,29 @@ def in_subsets(rows: DataFrame, subsets: Mapping[str, Column], name: str = "subs
     return rows.withColumn(name, F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in subsets.items()]))))
 
 
-def band_blend(rows: DataFrame, report: DataFrame, cost: float | None = None) -> DataFrame:
+def band_blend(rows: DataFrame, report: DataFrame, cost: float | None = None, sized: bool = True) -> DataFrame:
     """A2: per displayed board band, the report bands its rows' universe ranks fall in, averaged.
 
     A missing pump rate counts as 0; net and cost are averaged only where the
-    report has both. `watchlist` marks a negative net, or where there is none a
-    mean move smaller than the cost (1% when unknown).
+    report has both. `watchlist` marks a negative net, or where there is none (or
+    the board is not `sized`) a mean move smaller than the cost (1% when unknown).
+    A rank whose report band has no hit rate counts in the rank span only.
     """
     from .joins import band_join
     band = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in fixed.BOARD_BANDS])
     shown = rows.withColumn("_b", F.filter(band, lambda b: (F.col("rank") >= b["lo"]) & (F.col("rank") <= b["hi"]))[0])
-    met = band_join(shown.filter(F.col("urank").isNotNull()), report, "urank").filter(F.col("hit").isNotNull())
-    both = F.col("net").isNotNull() & F.col("cost").isNotNull()
+    met = band_join(shown.filter(F.col("urank").isNotNull()), report, "urank")
+    read = F.col("hit").isNotNull()
+    both = read & F.col("net").isNotNull() & F.col("cost").isNotNull()
+    mean = lambda c: F.avg(F.when(read, c))
     out = met.groupBy("session", F.col("_b.lo").alias("band_lo"), F.col("_b.hi").alias("band_hi")).agg(
-        F.count("*").alias("n"), F.avg("hit").alias("hit"), F.avg("mean_oc").alias("mean_oc"), F.avg("squeeze").alias("squeeze"),
-        F.avg(F.coalesce("pump", F.lit(0.0))).alias("pump"),
+        F.count_if(read).alias("n"), mean(F.col("hit")).alias("hit"), mean(F.col("mean_oc")).alias("mean_oc"),
+        mean(F.col("squeeze")).alias("squeeze"), mean(F.coalesce("pump", F.lit(0.0))).alias("pump"),
         F.avg(F.when(both, F.col("net"))).alias("net"), F.avg(F.when(both, F.col("cost"))).alias("cost"),
         F.min("urank").alias("urank_min"), F.max("urank").alias("urank_max"))
     thin = (-F.col("mean_oc") < cost) if cost is not None else F.col("mean_oc") > -0.01
-    return out.withColumn("watchlist", F.when(F.col("net").isNotNull(), F.col("net") < 0).otherwise(thin))
+    by_net = F.col("net").isNotNull() & F.lit(sized)
+    return out.withColumn("watchlist", F.when(by_net, F.col("net") < 0).otherwise(thin))
 
 
 def family_importance(table: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, predicates, sizing
 from ..functions.scalars import ratio
 from ..operators.features import session_features, stand_in_scores
-from ..operators.ranking import with_percent_rank, with_rank_desc, with_row_number
+from ..operators.ranking import with_group_mean, with_percent_rank, with_rank_desc, with_row_number
 from ..sources import derived
 from ..sources.tables import row_bound
 
@@ -29,13 +29,6 @@ def universe_bound(spark: SparkSession, d: str) -> int:
     return row_bound(spark, d, "supplier")
 
 
-def latest_borrow(borrow: DataFrame) -> DataFrame:
-    """Last borrow row of each symbol inside each monthly session."""
-    latest = borrow.groupBy("symbol", F.trunc("day", "month").alias("session")).agg(
-        F.max_by(F.struct("day", "status", "fee_rate", "available"), "day").alias("b"))
-    return latest.select("symbol", "session", F.col("b.day").alias("borrow_asof"), "b.status", "b.fee_rate", "b.available")
-
-
 def supply_by_session(filings: DataFrame) -> DataFrame:
     publish = F.to_timestamp(F.last_day("session")) + F.expr("INTERVAL 12 HOURS")
     return filings.groupBy("symbol", "session").agg(
@@ -46,16 +39,12 @@ def supply_by_session(filings: DataFrame) -> DataFrame:
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
     """Scored rows with names, borrow, supply filings and cost inputs."""
-    s = scored(spark, d)
-    joined = (
-        s.join(derived.names(spark, d), "symbol")
-        .join(latest_borrow(derived.borrow(spark, d)), ["symbol", "session"])
-        .join(supply_by_session(derived.filings(spark, d)), ["symbol", "session"], "left")
-    )
+    facts = derived.session_facts(spark, d)
+    extra = ["borrow_asof", "status", "fee_rate", "available", "fresh_supply", "offered", "has_atm"]
+    joined = stand_in_scores(session_features(facts, keep=extra)).join(derived.names(spark, d), "symbol")
     volume = sizing.expected_volume("dvol20", "dvol5")
     return joined.select(
-        *[c for c in joined.columns if c not in ("fresh_supply", "offered", "has_atm")],
-        *[F.coalesce(c, F.lit(False)).alias(c) for c in ("fresh_supply", "offered", "has_atm")],
+        *joined.columns,
         (F.col("close") / 100).alias("price"),
         (F.col("available") * F.col("close")).alias("cap_borrow"),
         (F.col("short_interest") / F.col("shares_out")).alias("si_pct_float"),
@@ -83,10 +72,9 @@ def with_squeeze_danger(df: DataFrame, group_rows: int) -> DataFrame:
         F.when(n >= 3, F.round(100 * (total / n), 6)).alias("squeeze_danger"))
 
 
-def session_base(rows: DataFrame) -> DataFrame:
-    """Share of names that dumped, per session: one row per session of the calendar."""
-    oc = F.col("close") / F.col("open") - 1
-    return rows.groupBy("session").agg(F.avg(F.when(oc <= fixed.DUMP, 1.0).otherwise(0.0)).alias("base"))
+def with_base(rows: DataFrame, group_rows: int) -> DataFrame:
+    """Share of the session's scored names that dumped, on every row."""
+    return with_group_mean(rows, "session", F.when(F.col("oc") <= fixed.DUMP, 1.0).otherwise(0.0), "base", group_rows)
 
 
 def flag_list() -> Column:
@@ -101,8 +89,7 @@ def picks(spark: SparkSession, d: str) -> DataFrame:
     """Every scored name of every session with its gates, sizes, ranks and next-session outcome."""
     bound = universe_bound(spark, d)
     danger = with_squeeze_danger(wide(spark, d), bound)
-    base = session_base(derived.bars(spark, d))
-    rows = danger.join(F.broadcast(base), "session").select(
+    rows = with_base(danger, bound).select(
         *danger.columns,
         ratio("prob_dump", "base").alias("lift"),
         sizing.capacity("exp_dvol", "vol20", "cap_borrow").alias("capacity"),

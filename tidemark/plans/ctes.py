@@ -210,7 +210,6 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               CASE WHEN status = 'NONE' THEN 'NO BORROW' END, CASE WHEN high = low THEN 'HALTED' END,
               CASE WHEN country = 'Singapore' THEN 'ASIA' END, CASE WHEN dd_52w <= -0.2 THEN 'DRAWDOWN' END],
               lambda x: x IS NOT NULL) AS flags
-          FROM danger d JOIN (SELECT session, avg(CASE WHEN oc <= -0.05 THEN 1.0 ELSE 0.0 END) AS base
-                              FROM panel GROUP BY session) USING (session)))"""),
+          FROM (SELECT *, avg(CASE WHEN oc <= -0.05 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session) AS base FROM danger) d))"""),
     "board": (("picks",), "SELECT *, board_rank AS rank FROM picks WHERE board_rank IS NOT NULL"),
 }

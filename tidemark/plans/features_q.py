@@ -43,7 +43,7 @@ def w8(spark, d):
 
 @query("w9_series_change", f"""
     SELECT symbol, {r6('arg_min(close, session)', 'first_close')}, {r6('arg_max(close, session)', 'last_close')},
-      {r6('arg_max(close, session) / arg_min(close, session) - 1', 'change')}, count(*) AS n
+      {r6('CASE WHEN count(*) >= 2 THEN arg_max(close, session) / arg_min(close, session) - 1 END', 'change')}, count(*) AS n
     FROM bars GROUP BY symbol""", "bars")
 def w9(spark, d):
     return features.series_change(derived.bars(spark, d)).select(

@@ -149,10 +149,10 @@ _ET_DAY = "CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE)"
 
 
 @query("s9_staleness_audit", f"""
-    WITH f AS (SELECT event_id, ts, size, event_type = 'signup' AS late, CASE WHEN event_type = 'error' THEN ts + (size - 50) * INTERVAL 1 MINUTE END AS withheld_at,
+    WITH f AS (SELECT event_id, ts, size, event_type = 'signup' AS late, event_type = 'error' AS withheld, CASE WHEN event_type = 'error' AND size % 10 > 0 THEN ts + (size - 50) * INTERVAL 1 MINUTE END AS withheld_at,
         {_ET_DAY} - CAST(size % 3 AS INT) AS session_date, CASE WHEN size % 2 = 0 THEN 'evening' ELSE 'morning' END AS run,
         {_ET_DAY} - CAST(size % 10 AS INT) AS layer_session, CASE WHEN size % 4 > 0 THEN {_ET_DAY} END AS live_session, size % 25 = 0 AS sample FROM ticks)
-    SELECT event_id, late AS is_late, coalesce(withheld_at > ts, false) AS newer_withheld, NOT sample AND session_date < {_ET_DAY} AS stale_session,
+    SELECT event_id, late AS is_late, withheld AND coalesce(withheld_at > ts, true) AS newer_withheld, NOT sample AND session_date < {_ET_DAY} AS stale_session,
       NOT sample AND run = 'evening' AND session_date = {_ET_DAY} AND strftime(timezone('America/New_York', timezone('UTC', ts)), '%H:%M') >= '08:45' AS morning_missing,
       session_date - layer_session > 4 AS layer_stale, coalesce(live_session <> session_date, false) AS live_other_session, sample AS is_sample FROM f""", "ticks")
 def s9(spark, d):
@@ -160,7 +160,8 @@ def s9(spark, d):
     t, day = derived.ticks(spark, d), S.et_date("ts")
     runs = t.select(
         "event_id", F.col("ts").alias("now"), F.col("ts").alias("generated_at"), (F.col("event_type") == "signup").alias("late"),
-        F.when(F.col("event_type") == "error", F.timestamp_micros(F.unix_micros("ts") + (F.col("size") - 50) * 60_000_000)).alias("withheld_at"),
+        F.when(F.col("event_type") == "error", "checks").alias("withheld_reason"),
+        F.when((F.col("event_type") == "error") & (F.col("size") % 10 > 0), F.timestamp_micros(F.unix_micros("ts") + (F.col("size") - 50) * 60_000_000)).alias("withheld_at"),
         F.date_sub(day, (F.col("size") % 3).cast("int")).alias("session_date"),
         F.when(F.col("size") % 2 == 0, "evening").otherwise("morning").alias("run"),
         F.date_sub(day, (F.col("size") % 10).cast("int")).alias("layer_session"),

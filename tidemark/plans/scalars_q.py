@@ -104,9 +104,9 @@ def p6(spark, d):
 
 
 @query("p7_url_host", r"""
-    SELECT page_id, regexp_matches(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?([^/?#:\s]+)') AS usable,
-      CASE WHEN regexp_matches(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?([^/?#:\s]+)') THEN
-        regexp_replace(lower(regexp_extract(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?([^/?#:\s]+)', 1)), '^www\.', '') END AS host
+    SELECT page_id, regexp_matches(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)') AS usable,
+      CASE WHEN regexp_matches(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)') THEN
+        regexp_replace(lower(regexp_extract(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)', 1)), '^www\.', '') END AS host
     FROM pages""")
 def p7(spark, d):
     return table(spark, d, "pages").select(
@@ -132,16 +132,12 @@ def p9(spark, d):
                        S.danger_cells("squeeze_danger").alias("cells"))
 
 
-_BASE = "SELECT session, avg(CASE WHEN oc <= -0.05 THEN 1.0 ELSE 0.0 END) AS base FROM panel GROUP BY session"
-
-
 @query("p10_lift", f"""
-    SELECT session, symbol, {r6('prob_dump / nullif(base, 0)', 'lift')} FROM scored JOIN ({_BASE}) USING (session)""",
-       ("scored", "panel"))
+    SELECT session, symbol, {r6('prob_dump / nullif(avg(CASE WHEN oc <= -0.05 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session), 0)', 'lift')} FROM scored""",
+       "scored")
 def p10(spark, d):
-    base = board.session_base(derived.bars(spark, d))
-    return board.scored(spark, d).join(F.broadcast(base), "session").select(
-        "session", "symbol", r(S.lift("prob_dump", "base"), "lift"))
+    rows = board.with_base(board.scored(spark, d), board.universe_bound(spark, d))
+    return rows.select("session", "symbol", r(S.lift("prob_dump", "base"), "lift"))
 
 
 @query("p11_skew", f"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.predicates import fresh_supply
 from .tables import events, table
 
 LOT = 1000.0        # shares per traded unit, so that dollar gates are neither empty nor full
@@ -57,6 +58,33 @@ def bars(spark: SparkSession, d: str, grain: str = "month") -> DataFrame:
     return session_bars(trades(spark, d), grain)
 
 
+def session_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly bars with the session's last borrow row and its supply filings, in one scan of the trades.
+
+    Prints are reduced to (symbol, day) and then to (symbol, session); the same
+    rows would otherwise be scanned and shuffled once per input.
+    """
+    t = trades(spark, d)
+    accepted, category = _filing_time(), _filing_category()
+    filed = F.col("returnflag") == "R"
+    publish = F.to_timestamp(F.last_day("day")) + F.expr("INTERVAL 12 HOURS")
+    by_day = t.groupBy("symbol", "day").agg(
+        F.min_by("price", "ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "ord").alias("close"), F.sum("qty").alias("qty"),
+        F.sum(F.when(F.col("linestatus") == "F", F.col("qty")).otherwise(0.0)).alias("short_qty"),
+        F.sum(F.when(filed, F.col("qty")).otherwise(0.0)).alias("interest_qty"), F.avg("tax").alias("tax"),
+        F.bool_or(filed & fresh_supply(category, accepted, "day", publish)).alias("fresh_supply"),
+        F.bool_or(filed & (category == "offering")).alias("offered"), F.bool_or(filed & (category == "atm")).alias("has_atm"))
+    lent = F.struct("day", *_borrow_terms(F.col("tax"), F.col("qty")))
+    facts = by_day.groupBy("symbol", F.trunc("day", "month").alias("session")).agg(
+        F.min_by("open", "day").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "day").alias("close"), (F.sum("qty") * LOT).alias("volume"),
+        (F.sum("short_qty") * LOT).alias("short_volume"), (F.sum("interest_qty") * LOT).alias("short_interest"),
+        F.max_by(lent, "day").alias("b"), F.bool_or("fresh_supply").alias("fresh_supply"),
+        F.bool_or("offered").alias("offered"), F.bool_or("has_atm").alias("has_atm"))
+    return facts.select("*", F.col("b.day").alias("borrow_asof"), "b.status", "b.fee_rate", "b.available").drop("b")
+
+
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     return shape_ticks(events(spark, d))
 
@@ -95,28 +123,34 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _borrow_terms(tax: Column, qty: Column) -> list[Column]:
+    status = _pick(STATUSES, F.col("symbol") % 4)
+    return [
+        status.alias("status"),
+        F.when(status != "UNKNOWN", F.round(tax * 100, 9)).alias("fee_rate"),
+        F.when(status == "NONE", 0.0).when(status != "UNKNOWN", F.greatest(qty - 10, F.lit(0.0)) * LOT).alias("available"),
+    ]
+
+
 def borrow(spark: SparkSession, d: str) -> DataFrame:
     """Borrow list per (symbol, day): status, fee in percent units, shares available."""
-    status = _pick(STATUSES, F.col("symbol") % 4)
-    by_day = trades(spark, d).groupBy("symbol", "day").agg(
-        F.round(F.avg("tax") * 100, 9).alias("fee"), (F.greatest(F.sum("qty") - 10, F.lit(0.0)) * LOT).alias("avail"))
-    return by_day.select(
-        "symbol", "day", status.alias("status"),
-        F.when(status != "UNKNOWN", F.col("fee")).alias("fee_rate"),
-        F.when(status == "NONE", 0.0).when(status != "UNKNOWN", F.col("avail")).alias("available"),
-    )
+    by_day = trades(spark, d).groupBy("symbol", "day").agg(F.avg("tax").alias("tax"), F.sum("qty").alias("qty"))
+    return by_day.select("symbol", "day", *_borrow_terms(F.col("tax"), F.col("qty")))
+
+
+def _filing_category() -> Column:
+    return _pick(CATEGORIES, F.col("line") % 5)
+
+
+def _filing_time() -> Column:
+    """Every second filing carries an instant, the others a day only."""
+    return F.when(F.col("line") % 2 == 0, F.to_timestamp("day") + F.make_dt_interval(F.lit(0), F.col("line") * 3))
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
-    """Filing events; every second one carries a day only, not an instant."""
-    dated = F.col("line") % 2 == 0
-    accepted = F.to_timestamp("day") + F.make_dt_interval(F.lit(0), F.col("line") * 3)
     return trades(spark, d).filter(F.col("returnflag") == "R").select(
-        "symbol", "day", "orderkey", "line", "qty",
-        _pick(CATEGORIES, F.col("line") % 5).alias("category"),
-        F.when(dated, accepted).alias("accepted"),
-        F.trunc("day", "month").alias("session"),
-    )
+        "symbol", "day", "orderkey", "line", "qty", _filing_category().alias("category"),
+        _filing_time().alias("accepted"), F.trunc("day", "month").alias("session"))
 
 
 def insider(spark: SparkSession, d: str) -> DataFrame:

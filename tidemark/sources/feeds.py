@@ -135,14 +135,15 @@ def source_health(sources: DataFrame, run: str, ok: Column) -> DataFrame:
 def staleness(feeds: DataFrame, now: str = "now") -> DataFrame:
     """One row per feed run with the flags a reader must see.
 
-    Columns read: late, withheld_at, generated_at, session_date, run, layer_session,
+    Columns read: late, withheld_reason, withheld_at, generated_at, session_date, run, layer_session,
     live_session, sample. Sample feeds raise no staleness.
     """
     today, real = et_date(now), ~F.coalesce("sample", F.lit(False))
     flag = lambda c: F.coalesce(c, F.lit(False))
     return feeds.select(
         "*", flag(F.col("late")).alias("is_late"),
-        flag(F.col("withheld_at").isNotNull() & (F.col("generated_at").isNull() | (F.col("withheld_at") > F.col("generated_at")))).alias("newer_withheld"),
+        flag((F.col("withheld_reason") != "") & (
+            F.col("generated_at").isNull() | F.col("withheld_at").isNull() | (F.col("withheld_at") > F.col("generated_at")))).alias("newer_withheld"),
         flag(real & (F.col("session_date") < today)).alias("stale_session"),
         flag(real & (F.col("run") == "evening") & (F.col("session_date") == today) & (et_hhmm(now) >= "08:45")).alias("morning_missing"),
         flag(days_between("layer_session", "session_date") > 4).alias("layer_stale"),
