@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.scalars import logistic
 
-_W = W.partitionBy("symbol").orderBy("session")
+def by_symbol():
+    return W.partitionBy("symbol").orderBy("session")
+
+
+def calendar():
+    """Over session-grain rows only: one row per session."""
+    return W.orderBy("session")
 
 
 def trailing(n: int, last: int = 0):
     """The n sessions that end `last` sessions from this one."""
-    return _W.rowsBetween(last - n + 1, last)
+    return by_symbol().rowsBetween(last - n + 1, last)
 
 
 def full(agg: Column, counted: str, n: int, last: int = 0) -> Column:
@@ -49,22 +55,23 @@ def session_features(bars: DataFrame, horizon: int | None = None, keep: Sequence
     `fwd<horizon>`: from the next open to the horizon-th close; `keep` names further
     columns of the bars to carry along.
     """
-    longer = [(F.lead("close", horizon).over(_W) / F.lead("open").over(_W) - 1).alias(f"fwd{horizon}")] if horizon else []
+    w = by_symbol()
+    longer = [(F.lead("close", horizon).over(w) / F.lead("open").over(w) - 1).alias(f"fwd{horizon}")] if horizon else []
     eta = (F.ln("high") + F.ln("low")) / 2
     lagged = bars.select(
         "*",
-        F.lag("close").over(_W).alias("prev_close"),
-        F.lag("close", 3).over(_W).alias("_c3"),
-        F.lag("close", 5).over(_W).alias("_c5"),
-        F.lag("close", 20).over(_W).alias("_c20"),
-        F.lead("open").over(_W).alias("next_open"),
-        F.lead("close").over(_W).alias("next_close"),
-        F.lead("high").over(_W).alias("next_high"),
-        F.lead("low").over(_W).alias("next_low"),
-        F.lead("close", 5).over(_W).alias("_close5"),
+        F.lag("close").over(w).alias("prev_close"),
+        F.lag("close", 3).over(w).alias("_c3"),
+        F.lag("close", 5).over(w).alias("_c5"),
+        F.lag("close", 20).over(w).alias("_c20"),
+        F.lead("open").over(w).alias("next_open"),
+        F.lead("close").over(w).alias("next_close"),
+        F.lead("high").over(w).alias("next_high"),
+        F.lead("low").over(w).alias("next_low"),
+        F.lead("close", 5).over(w).alias("_close5"),
         eta.alias("_eta"),
-        F.lag(F.ln("close")).over(_W).alias("_lc1"),
-        F.lag(eta).over(_W).alias("_eta1"),
+        F.lag(F.ln("close")).over(w).alias("_lc1"),
+        F.lag(eta).over(w).alias("_eta1"),
         *longer,
     )
     moved = lagged.select(
@@ -94,7 +101,7 @@ def session_features(bars: DataFrame, horizon: int | None = None, keep: Sequence
         F.try_divide(full(F.sum("short_volume"), "volume", 5), full(F.sum("volume"), "volume", 5)).alias("short_ratio_5d"),
         F.try_divide(F.col("short_interest"), full(F.avg("volume"), "volume", 20)).alias("days_to_cover"),
         full(F.avg("_s2"), "_s2", 20).alias("_s2mean"),
-        (F.col("ssr_trigger") | F.coalesce(F.lag("ssr_trigger").over(_W), F.lit(False))).alias("ssr"),
+        (F.col("ssr_trigger") | F.coalesce(F.lag("ssr_trigger").over(w), F.lit(False))).alias("ssr"),
         (F.col("close") / F.col("open") - 1).alias("oc"),
         (F.col("high") / F.col("open") - 1).alias("oh"),
         (F.col("low") / F.col("open") - 1).alias("ol"),
@@ -149,7 +156,7 @@ def window_extremes(bars: DataFrame) -> DataFrame:
 
     Positive closes only; symbols with fewer than four are left out.
     """
-    placed = bars.withColumn("i", F.row_number().over(_W).cast("bigint") - 1).filter(F.col("close") > 0)
+    placed = bars.withColumn("i", F.row_number().over(by_symbol()).cast("bigint") - 1).filter(F.col("close") > 0)
     return placed.groupBy("symbol").agg(
         F.max("close").alias("hi"), F.min_by("i", F.struct(-F.col("close"), F.col("session"))).alias("hi_index"),
         F.min("close").alias("lo"), F.min_by("i", F.struct("close", "session")).alias("lo_index"),
@@ -159,13 +166,10 @@ def window_extremes(bars: DataFrame) -> DataFrame:
 
 # ── session-grain series: one row per session of the calendar ───────────────
 
-_CALENDAR = W.orderBy("session")
-
-
 def regime_percentile(rows: DataFrame, look_back: int = 252) -> DataFrame:
     """Session mean odds and their percentile among the previous `look_back` sessions."""
     by_session = rows.groupBy("session").agg(F.avg("prob_dump").alias("mean_odds"))
-    prior = F.collect_list(F.round("mean_odds", 12)).over(_CALENDAR.rowsBetween(-look_back, -1))
+    prior = F.collect_list(F.round("mean_odds", 12)).over(calendar().rowsBetween(-look_back, -1))
     x = F.round("mean_odds", 12)
     at_or_below = F.size(F.filter("_prior", lambda v: v <= x))
     return by_session.withColumn("_prior", prior).select(
@@ -176,14 +180,14 @@ def regime_percentile(rows: DataFrame, look_back: int = 252) -> DataFrame:
 def realised_rate(rows: DataFrame, n: int) -> DataFrame:
     """Share of all names that dumped over the last n sessions."""
     by_session = rows.groupBy("session").agg(F.count_if(F.col("oc") <= -0.05).alias("_d"), F.count("*").alias("_n"))
-    w = _CALENDAR.rowsBetween(1 - n, 0)
+    w = calendar().rowsBetween(1 - n, 0)
     return by_session.select("session", (F.sum("_d").over(w) / F.sum("_n").over(w)).alias(f"dump_rate_{n}d"))
 
 
 def benchmark_tape(bars: DataFrame) -> DataFrame:
     """Mean close of all names per session and its one-session return."""
     level = bars.groupBy("session").agg(F.avg("close").alias("level"))
-    return level.withColumn("bench_r1", F.col("level") / F.lag("level").over(_CALENDAR) - 1)
+    return level.withColumn("bench_r1", F.col("level") / F.lag("level").over(calendar()) - 1)
 
 
 def prior_state(panel: DataFrame, tape: DataFrame) -> DataFrame:
@@ -199,9 +203,9 @@ def family_scores(rows: DataFrame, families: dict[str, list[str]], group_rows: i
     placed = with_percent_rank(rows, "session", "symbol", [c for cs in families.values() for c in cs], "_pr", group_rows)
 
     def mean_known(cols: list[str]) -> Column:
-        known = F.array_compact(F.array(*[F.col(f"{c}_pr") for c in cols]))
-        return F.when(F.size(known) > 0, 100 * F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-                      / F.nullif(F.size(known), F.lit(0)))
+        prs = [F.col(f"{c}_pr") for c in cols]
+        n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in prs), F.lit(0))
+        return F.try_divide(100 * sum((F.coalesce(p, F.lit(0.0)) for p in prs), F.lit(0.0)), n)
 
     return placed.select("session", "symbol", *[mean_known(cs).alias(f) for f, cs in families.items()])
 

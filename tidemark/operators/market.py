@@ -103,7 +103,7 @@ def size_summary(rows: DataFrame) -> DataFrame:
 def unified_lists(scored: DataFrame, lists: Mapping[str, tuple[Column, Column]], k: int) -> DataFrame:
     """U4: top k rows of every named list over one scored union: name -> (membership, order key)."""
     from .ranking import top_k
-    entries = F.array_compact(F.array(*[
+    entries = F.explode(F.array(*[
         F.when(member, F.struct(F.lit(n).alias("list"), key.cast("double").alias("key"))) for n, (member, key) in lists.items()]))
-    long = scored.withColumn("_e", F.explode(entries)).select(*scored.columns, "_e.list", "_e.key")
+    long = scored.withColumn("_e", entries).filter(F.col("_e").isNotNull()).select(*scored.columns, "_e.list", "_e.key")
     return top_k(long, ["session", "list"], [F.col("key").desc_nulls_last(), F.col("symbol"), F.col("side")], k, "pos")

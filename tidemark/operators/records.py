@@ -33,7 +33,8 @@ def outcome_rates(rows: DataFrame, by: Sequence[str] = (), oc: str = "next_oc",
 
 def in_subsets(rows: DataFrame, subsets: Mapping[str, Column], name: str = "subset") -> DataFrame:
     """One copy of each row per named condition it meets."""
-    return rows.withColumn(name, F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in subsets.items()]))))
+    marked = F.explode(F.array(*[F.when(c, n) for n, c in subsets.items()]))
+    return rows.withColumn(name, marked).filter(F.col(name).isNotNull())
 
 
 def band_blend(rows: DataFrame, report: DataFrame, cost: float | None = None, sized: bool = True) -> DataFrame:
@@ -242,8 +243,8 @@ def every_nth(rows: DataFrame, n: int, order: str = "session") -> DataFrame:
 def leg_returns(prices: DataFrame, legs: Mapping[str, tuple[str, str]], split: Column) -> DataFrame:
     """Short return per entry/exit leg, for all days and by where the price stood at the split."""
     one = [F.struct(F.lit(n).alias("leg"), (-(F.try_divide(F.col(b), F.col(a)) - 1)).alias("ret")) for n, (a, b) in legs.items()]
-    long = prices.withColumn("_l", F.explode(F.array(*one))).withColumn(
-        "cond", F.explode(F.array_compact(F.array(F.lit("all"), F.when(split > 0, "up").when(split <= 0, "down")))))
+    long = in_subsets(prices.withColumn("_l", F.explode(F.array(*one))),
+                      {"all": F.lit(True), "up": split > 0, "down": split <= 0}, "cond")
     return long.filter(F.col("_l.ret").isNotNull()).groupBy(F.col("_l.leg").alias("leg"), "cond").agg(
         F.avg("_l.ret").alias("mean"), rate(F.col("_l.ret") > 0).alias("win"), F.count("*").alias("n"))
 

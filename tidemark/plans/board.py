@@ -65,8 +65,8 @@ def with_squeeze_danger(df: DataFrame, group_rows: int) -> DataFrame:
         F.col("short_ratio_5d").alias("short_vol"))
     placed = with_percent_rank(parts, "session", "symbol", DANGER_PARTS, "_pr", group_rows)
     prs = [F.col(f"{p}_pr") for p in DANGER_PARTS]
-    n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in prs[1:]), F.when(prs[0].isNotNull(), 1).otherwise(0))
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in prs[1:]), F.coalesce(prs[0], F.lit(0.0)))
+    n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in prs), F.lit(0))
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in prs), F.lit(0.0))
     return placed.select(
         *df.columns, *[F.col(f"{p}_pr").alias(f"pr_{p}") for p in DANGER_PARTS],
         F.when(n >= 3, F.round(100 * (total / n), 6)).alias("squeeze_danger"))
@@ -78,11 +78,13 @@ def with_base(rows: DataFrame, group_rows: int) -> DataFrame:
 
 
 def flag_list() -> Column:
-    return F.array_compact(F.array(
-        F.when(F.col("offered"), "OFFERING 24H"), F.when(F.col("has_atm"), "ATM"),
+    """Flags of a pick as an array. Joined and split again: unlike a lambda this stays in generated code."""
+    joined = F.concat_ws(
+        "|", F.when(F.col("offered"), "OFFERING 24H"), F.when(F.col("has_atm"), "ATM"),
         F.when(F.col("gap_pct") >= 0.1, "GAP UP"), F.when(F.col("r3") >= 0.3, "RUN 3D"),
         F.when(F.col("status") == "NONE", "NO BORROW"), F.when(F.col("high") == F.col("low"), "HALTED"),
-        F.when(F.col("country") == "Singapore", "ASIA"), F.when(F.col("dd_52w") <= -0.2, "DRAWDOWN")))
+        F.when(F.col("country") == "Singapore", "ASIA"), F.when(F.col("dd_52w") <= -0.2, "DRAWDOWN"))
+    return F.when(joined != "", F.split(joined, "\\|")).otherwise(F.array().cast("array<string>"))
 
 
 def picks(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, sizing
 from ..functions import scalars as S
-from ..operators import features, ranking
+from ..operators import features, ranking, records
 from ..sources import derived
 from ..sources.tables import events, row_bound, table
 from . import board
@@ -38,8 +38,8 @@ def _and(tests, ids):
       lambda x: x IS NOT NULL)) AS filters FROM board""", "board")
 def f1(spark, d):
     tests = predicates.board_filters()
-    held = F.array_compact(F.array(*[F.when(predicates.all_of([tests[i] for i in ids]), n) for n, ids in _SUBSETS.items()]))
-    return board.board(spark, d).select("session", "symbol", "rank", F.explode(held).alias("filters"))
+    held = {n: predicates.all_of([tests[i] for i in ids]) for n, ids in _SUBSETS.items()}
+    return records.in_subsets(board.board(spark, d), held, "filters").select("session", "symbol", "rank", "filters")
 
 
 @query("f2_facet_counts", f"""
@@ -259,8 +259,7 @@ def o7(spark, d):
 
 @query("o8_recent_n", f"""
     SELECT symbol, day, code, k, {r6('price')} FROM (
-      SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC,
-        l_extendedprice DESC, price DESC) AS k FROM insider) WHERE k <= 8""", "insider")
+      SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC, seq DESC) AS k FROM insider) WHERE k <= 8""", "insider")
 def o8(spark, d):
-    return ranking.top_k(derived.insider(spark, d), "symbol", [F.col("ord").desc()], 8, "k").select(
+    return ranking.top_k(derived.insider(spark, d), "symbol", [F.col("day").desc(), F.col("seq").desc()], 8, "k").select(
         "symbol", "day", "code", "k", r("price"))

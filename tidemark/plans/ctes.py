@@ -23,7 +23,9 @@ CATEGORIES = ["other", "offering", "atm", "registration", "reverse_split"]
 STATUSES = ["ETB", "HTB", "NONE", "UNKNOWN"]
 
 PRICE = "100 * (1 - l_discount) * (1 + l_tax) * (0.9 + l_quantity / 250)"
-ORD = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, price"
+SEQ = ("(l_orderkey * 8 + l_linenumber) * 16384 + CAST(l_quantity AS BIGINT) * 256 + "
+       "CAST(round(l_discount * 100) AS BIGINT) * 16 + CAST(round(l_tax * 100) AS BIGINT)")
+ORD = "day, seq"
 
 
 def bars_sql(grain: str) -> str:
@@ -115,7 +117,7 @@ LAW_K = f"(greatest(c10 - {LAW_S}, 0) / 100.0)"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "trades": ((), f"""
-        SELECT *, CAST(l_shipdate AS DATE) AS day, l_suppkey AS symbol, {PRICE} AS price, l_quantity AS qty, l_tax AS tax,
+        SELECT *, CAST(l_shipdate AS DATE) AS day, l_suppkey AS symbol, {PRICE} AS price, {SEQ} AS seq, l_quantity AS qty, l_tax AS tax,
           l_linenumber AS line, l_returnflag AS returnflag, l_linestatus AS linestatus, l_orderkey AS orderkey
         FROM lineitem"""),
     "bars": (("trades",), bars_sql("month")),

@@ -29,7 +29,7 @@ def pick_lists(spark, d):
     rows = ranking.with_row_number(rows, "session", [F.col("prob_swing").desc(), F.col("symbol")], "swing_rank", bound)
     rows = ranking.with_row_number(rows, "session", [F.col("prob_squeeze").desc(), F.col("symbol")], "twin_rank", bound)
     entry = lambda cond, name, pos: F.when(cond, F.struct(F.lit(name).alias("list"), pos.cast("bigint").alias("pos")))
-    lists = F.array_compact(F.array(
+    lists = F.explode(F.array(
         entry(F.col("consensus_rank") == 1, "one", F.lit(1)),
         entry(F.col("board_rank") <= 25, "board", F.col("board_rank")),
         entry(F.col("board_rank") == 1, "top", F.lit(1)),
@@ -37,8 +37,8 @@ def pick_lists(spark, d):
         entry(F.col("publishable") & (F.col("classic_rank") == 1), "classic", F.lit(1)),
         entry(F.col("swing_rank") <= 10, "swing", F.col("swing_rank")),
         entry(F.col("twin_rank") <= 10, "twin", F.col("twin_rank"))))
-    return rows.select("session", "symbol", "prob_dump", F.explode(lists).alias("e")).select(
-        "session", "symbol", "e.list", "e.pos", "prob_dump")
+    long = rows.select("session", "symbol", "prob_dump", lists.alias("e")).filter(F.col("e").isNotNull())
+    return long.select("session", "symbol", "e.list", "e.pos", "prob_dump")
 
 
 LISTS_SQL = f"""

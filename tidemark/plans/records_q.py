@@ -194,16 +194,15 @@ def a11(spark, d):
 
 
 _SETUPS = {
-    "run up 20": ("r20 >= 0.2", F.col("r20") >= 0.2), "gap up": ("gap_pct >= 0.1", F.col("gap_pct") >= 0.1),
-    "stretched": ("rsi14 >= 60", F.col("rsi14") >= 60), "busy": ("rvol1 >= 1.5", F.col("rvol1") >= 1.5),
-    "restricted": ("ssr_trigger", F.col("ssr_trigger")), "offering filed": ("n_offer > 0", F.col("n_offer") > 0),
+    "run up 20": "r20 >= 0.2", "gap up": "gap_pct >= 0.1", "stretched": "rsi14 >= 60", "busy": "rvol1 >= 1.5",
+    "restricted": "ssr_trigger", "offering filed": "n_offer > 0",
 }
 
 
 @query("a12_event_study", f"""
     WITH rows AS (SELECT p.*, f.n_offer FROM panel p LEFT JOIN (SELECT symbol, session, count(*) FILTER (category = 'offering') AS n_offer
         FROM filings GROUP BY 1, 2) f USING (symbol, session) WHERE next_oc IS NOT NULL),
-    held AS (SELECT *, unnest(list_filter(['baseline', {', '.join(f"CASE WHEN {s} THEN '{n}' END" for n, (s, _) in _SETUPS.items())}], lambda x: x IS NOT NULL)) AS study FROM rows),
+    held AS (SELECT *, unnest(list_filter(['baseline', {', '.join(f"CASE WHEN {s} THEN '{n}' END" for n, s in _SETUPS.items())}], lambda x: x IS NOT NULL)) AS study FROM rows),
     a AS (SELECT study, count(*) AS n, count(DISTINCT symbol) AS n_symbols, {DUMP_SQL.format(c='next_oc')} AS pct_dump, median(next_oc) AS median_oc,
       {share('next_oc >= 0.05', 'next_oc')} AS pct_up5, {share('swing5 <= -0.15', 'swing5')} AS pct_swing FROM held GROUP BY study),
     b AS (SELECT pct_dump AS bd, pct_up5 AS bu FROM a WHERE study = 'baseline')
@@ -215,7 +214,7 @@ _SETUPS = {
 def a12(spark, d):
     filed = derived.filings(spark, d).groupBy("symbol", "session").agg(F.count_if(F.col("category") == "offering").alias("n_offer"))
     rows = board.panel(spark, d).join(filed, ["symbol", "session"], "left")
-    out = records.event_study(rows, {n: c for n, (_, c) in _SETUPS.items()}, panel_bound(spark, d))
+    out = records.event_study(rows, {n: F.expr(s) for n, s in _SETUPS.items()}, panel_bound(spark, d))
     return out.select("study", "n", "n_symbols", *[r(c) for c in ("pct_dump", "median_oc", "pct_up5", "pct_swing", "lift_dump", "ci_lo", "ci_hi")], "tilt")
 
 
@@ -237,15 +236,11 @@ def a13(spark, d):
 _TAPE = """tape AS (SELECT session, level / lag(level) OVER (ORDER BY session) - 1 AS bench_r1
       FROM (SELECT session, avg(close) AS level FROM bars GROUP BY session))"""
 _SUBSETS = {
-    "tier:high": ("tier = 'high'", F.col("tier") == "high"), "tier:medium": ("tier = 'medium'", F.col("tier") == "medium"),
-    "tier:low": ("tier = 'low'", F.col("tier") == "low"),
-    "weak tape": ("bench_r1 <= -0.01", F.col("bench_r1") <= -0.01), "other tape": ("bench_r1 > -0.01", F.col("bench_r1") > -0.01),
-    "down night": ("bench_r1 < 0", F.col("bench_r1") < 0), "other night": ("bench_r1 >= 0", F.col("bench_r1") >= 0),
-    "suggested": ("bench_r1 > -0.01 AND one_d3 >= 0.5", (F.col("bench_r1") > -0.01) & (F.col("one_d3") >= 0.5)),
-    "stood aside": ("NOT (bench_r1 > -0.01 AND one_d3 >= 0.5)", ~((F.col("bench_r1") > -0.01) & (F.col("one_d3") >= 0.5))),
-    "era 1": ("session < DATE '1998-07-01'", F.col("session") < F.lit(CUT).cast("date")),
-    "era 2": ("session >= DATE '1998-07-01'", F.col("session") >= F.lit(CUT).cast("date")),
-    "all": ("true", F.lit(True)),
+    "tier:high": "tier = 'high'", "tier:medium": "tier = 'medium'", "tier:low": "tier = 'low'",
+    "weak tape": "bench_r1 <= -0.01", "other tape": "bench_r1 > -0.01",
+    "down night": "bench_r1 < 0", "other night": "bench_r1 >= 0",
+    "suggested": "bench_r1 > -0.01 AND one_d3 >= 0.5", "stood aside": "NOT (bench_r1 > -0.01 AND one_d3 >= 0.5)",
+    "era 1": f"session < DATE '{CUT}'", "era 2": f"session >= DATE '{CUT}'", "all": "true",
 }
 
 
@@ -263,10 +258,10 @@ ONE_SQL = f"one AS (SELECT * FROM ({CONSENSUS}) JOIN tape USING (session) WHERE
     WITH {_TAPE}, {ONE_SQL}
     SELECT subset, count(*) AS n, {r6(DUMP_SQL.format(c='next_oc'), 'dump_rate')}, {r6(share('next_oc <= -0.03', 'next_oc'), 'd3_rate')},
       {r6('avg(next_oc)', 'mean_oc')}, {r6(share('next_oc >= 0.1', 'next_oc'), 'up10')}
-    FROM (SELECT *, unnest(list_filter([{', '.join(f"CASE WHEN {s} THEN '{n}' END" for n, (s, _) in _SUBSETS.items())}], lambda x: x IS NOT NULL)) AS subset FROM one)
+    FROM (SELECT *, unnest(list_filter([{', '.join(f"CASE WHEN {s} THEN '{n}' END" for n, s in _SUBSETS.items())}], lambda x: x IS NOT NULL)) AS subset FROM one)
     GROUP BY subset""", ("picks", "bars"))
 def a14(spark, d):
-    out = records.subset_record(the_one(spark, d), {n: c for n, (_, c) in _SUBSETS.items()})
+    out = records.subset_record(the_one(spark, d), {n: F.expr(s) for n, s in _SUBSETS.items()})
     return out.select("subset", "n", r("dump_rate"), r("d3_rate"), r("mean_oc"), r("up10"))
 
 

@@ -25,8 +25,17 @@ def _pick(values: list[str], index: Column) -> Column:
 
 
 def trades(spark: SparkSession, d: str) -> DataFrame:
-    """One print per line item, with a total order inside a symbol."""
+    """One print per line item.
+
+    `seq` orders the prints of a symbol inside a day: order key, line, then the
+    three numbers the price is made of (equal seq means equal price). It is one
+    64-bit integer so that first and last prints stay in the hash aggregate; a
+    struct as order key would force a sort of every scan partition.
+    """
     price = 100 * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) * (0.9 + F.col("l_quantity") / 250)
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 16384 + (
+        F.col("l_quantity").cast("bigint") * 256 + cents("l_discount") * 16 + cents("l_tax"))
     return table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("symbol"),
         F.to_date("l_shipdate").alias("day"),
@@ -37,17 +46,19 @@ def trades(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_returnflag").alias("returnflag"),
         F.col("l_linestatus").alias("linestatus"),
         F.col("l_orderkey").alias("orderkey"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", price).alias("ord"),
+        seq.alias("seq"),
     )
 
 
 def session_bars(prints: DataFrame, grain: str) -> DataFrame:
     """OHLCV per (symbol, session); a session is a calendar `grain` (month, week)."""
-    return prints.groupBy("symbol", F.trunc("day", grain).alias("session")).agg(
-        F.min_by("price", "ord").alias("open"),
+    placed = prints.withColumn("session", F.trunc("day", grain))
+    order = F.datediff("day", "session") * F.lit(1 << 57) + F.col("seq")      # at most 31 days: 62 bits
+    return placed.withColumn("_order", order).groupBy("symbol", "session").agg(
+        F.min_by("price", "_order").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "ord").alias("close"),
+        F.max_by("price", "_order").alias("close"),
         (F.sum("qty") * LOT).alias("volume"),
         (F.sum(F.when(F.col("linestatus") == "F", F.col("qty")).otherwise(0.0)) * LOT).alias("short_volume"),
         (F.sum(F.when(F.col("returnflag") == "R", F.col("qty")).otherwise(0.0)) * LOT).alias("short_interest"),
@@ -69,20 +80,21 @@ def session_facts(spark: SparkSession, d: str) -> DataFrame:
     filed = F.col("returnflag") == "R"
     publish = F.to_timestamp(F.last_day("day")) + F.expr("INTERVAL 12 HOURS")
     by_day = t.groupBy("symbol", "day").agg(
-        F.min_by("price", "ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "ord").alias("close"), F.sum("qty").alias("qty"),
+        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "seq").alias("close"), F.sum("qty").alias("qty"),
         F.sum(F.when(F.col("linestatus") == "F", F.col("qty")).otherwise(0.0)).alias("short_qty"),
         F.sum(F.when(filed, F.col("qty")).otherwise(0.0)).alias("interest_qty"), F.avg("tax").alias("tax"),
         F.bool_or(filed & fresh_supply(category, accepted, "day", publish)).alias("fresh_supply"),
         F.bool_or(filed & (category == "offering")).alias("offered"), F.bool_or(filed & (category == "atm")).alias("has_atm"))
-    lent = F.struct("day", *_borrow_terms(F.col("tax"), F.col("qty")))
-    facts = by_day.groupBy("symbol", F.trunc("day", "month").alias("session")).agg(
+    lent = by_day.select("*", *_borrow_terms(F.col("tax"), F.col("qty")))
+    facts = lent.groupBy("symbol", F.trunc("day", "month").alias("session")).agg(
         F.min_by("open", "day").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "day").alias("close"), (F.sum("qty") * LOT).alias("volume"),
         (F.sum("short_qty") * LOT).alias("short_volume"), (F.sum("interest_qty") * LOT).alias("short_interest"),
-        F.max_by(lent, "day").alias("b"), F.bool_or("fresh_supply").alias("fresh_supply"),
+        F.max("day").alias("borrow_asof"), F.max_by("fee_rate", "day").alias("fee_rate"),
+        F.max_by("available", "day").alias("available"), F.bool_or("fresh_supply").alias("fresh_supply"),
         F.bool_or("offered").alias("offered"), F.bool_or("has_atm").alias("has_atm"))
-    return facts.select("*", F.col("b.day").alias("borrow_asof"), "b.status", "b.fee_rate", "b.available").drop("b")
+    return facts.withColumn("status", _status())
 
 
 def ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -123,8 +135,12 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _status() -> Column:
+    return _pick(STATUSES, F.col("symbol") % 4)
+
+
 def _borrow_terms(tax: Column, qty: Column) -> list[Column]:
-    status = _pick(STATUSES, F.col("symbol") % 4)
+    status = _status()
     return [
         status.alias("status"),
         F.when(status != "UNKNOWN", F.round(tax * 100, 9)).alias("fee_rate"),
@@ -156,7 +172,7 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
 def insider(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("returnflag") == "A", "P").when(F.col("returnflag") == "N", "S").otherwise("144")
     return trades(spark, d).select("symbol", "day", code.alias("code"), F.col("qty").alias("shares"), "price",
-                                   "orderkey", "line", "ord")
+                                   "orderkey", "line", "seq")
 
 
 def earnings(spark: SparkSession, d: str) -> DataFrame:
