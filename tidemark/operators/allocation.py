@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, sizing
 from ..functions.scalars import finite
-from .ranking import UNBOUNDED, running_total
+from ..session import cut
+from .ranking import ONE_TASK_ROWS, UNBOUNDED, running_total
 
 
 def waterfill(caps: DataFrame, by: Sequence[str], key: Sequence[str], total: str = "total", cap: str = "cap",
@@ -24,6 +25,9 @@ def waterfill(caps: DataFrame, by: Sequence[str], key: Sequence[str], total: str
     by, key = list(by), list(key)
     c = F.greatest(F.coalesce(F.col(cap), F.lit(0.0)), F.lit(0.0))
     rows = caps.withColumn("_c", c)
+    if group_rows <= ONE_TASK_ROWS:
+        return _waterfill_windows(rows, caps.columns, by, key, total)
+    rows = cut(rows)
     filled = running_total(rows.filter(F.col("_c") > 0), by, [F.col("_c"), *[F.col(k) for k in key]],
                            {"_upto": F.col("_c"), "_i": F.lit(1).cast("bigint")}, group_rows)
     sizes = rows.groupBy(*by).agg(F.count_if(F.col("_c") > 0).alias("_n"), F.sum("_c").alias("_room"))
@@ -39,6 +43,22 @@ def waterfill(caps: DataFrame, by: Sequence[str], key: Sequence[str], total: str
                       F.greatest(F.col(total) - F.col("_room"), F.lit(0.0)).alias("left_over"))
 
 
+def _waterfill_windows(rows: DataFrame, columns: Sequence[str], by: list[str], key: list[str], total: str) -> DataFrame:
+    """The closed form over small portfolios: one exchange, no join."""
+    whole = W.partitionBy(*by)
+    ascending = whole.orderBy((F.col("_c") > 0).desc(), "_c", *key)
+    placed = rows.select(
+        "*", F.count_if(F.col("_c") > 0).over(whole).alias("_n"), F.sum("_c").over(whole).alias("_room"),
+        F.row_number().over(ascending).alias("_i"),
+        F.sum("_c").over(ascending.rowsBetween(W.unboundedPreceding, 0)).alias("_upto"))
+    left, before = F.col("_n") - F.col("_i") + 1, F.col("_upto") - F.col("_c")
+    reached = (F.col("_c") > 0) & (before + F.col("_c") * left >= F.col(total))
+    level = F.min_by(F.try_divide(F.col(total) - before, left), F.when(reached, F.col("_i"))).over(whole)
+    placed = placed.withColumn("_level", level)
+    return placed.select(*columns, F.least(F.col("_c"), F.coalesce("_level", F.lit(float("inf")))).alias("alloc"),
+                         F.greatest(F.col(total) - F.col("_room"), F.lit(0.0)).alias("left_over"))
+
+
 def basket_rows(board: DataFrame, totals: Sequence[int] = fixed.PLAN_TOTALS, ks: Sequence[int] = fixed.PLAN_K) -> DataFrame:
     """One row per session, total, k and name: the first k publishable names with a capacity."""
     able = board.filter(F.col("publishable") & finite("capacity").isNotNull())

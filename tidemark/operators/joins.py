@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import UNBOUNDED, top_k, with_group_agg
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               take: Sequence[str], grain: str = "MONTH", prefix: str = "") -> DataFrame:
@@ -79,16 +81,16 @@ def merge_records(lists: DataFrame, by: Sequence[str], precedence: Sequence[str]
     (a lookalike attaches even then). A record won by `top` reads as a board one.
     """
     prio = F.array_position(F.array(*[F.lit(p) for p in precedence]), F.col("list"))
-    w = W.partitionBy(*by).orderBy(prio, "pos")
-    first = lists.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
-    first = first.withColumn("where", F.when(F.col("list") == "top", "board").otherwise(F.col("list"))).drop("list")
-    for s in side:
-        rest = [c for c in lists.columns if c not in (*by, "list")]
-        mine = lists.filter(F.col("list") == s).groupBy(*by).agg(F.min_by(F.struct(*rest), "pos").alias(f"_s_{s}"))
-        first = first.join(mine, list(by), "left")
-        keep = F.lit(True) if s == "twin" else F.col("where") != s
-        first = first.withColumn(f"as_{s}", F.when(keep, F.col(f"_s_{s}"))).drop(f"_s_{s}")
-    return first
+    whole = W.partitionBy(*by)               # a key holds one row per list
+    rest = F.struct(*[c for c in lists.columns if c not in (*by, "list")])
+    beside = {s: F.min_by(rest, F.when(F.col("list") == s, F.col("pos"))).over(whole) for s in side}
+    placed = lists.select("*", F.row_number().over(whole.orderBy(prio, "pos")).alias("_k"),
+                          *[c.alias(f"_s_{s}") for s, c in beside.items()])
+    where = F.when(F.col("list") == "top", "board").otherwise(F.col("list"))
+    keep = lambda s: F.lit(True) if s == "twin" else F.col("list") != s
+    return placed.filter(F.col("_k") == 1).select(
+        *[c for c in lists.columns if c != "list"], where.alias("where"),
+        *[F.when(keep(s), F.col(f"_s_{s}")).alias(f"as_{s}") for s in side])
 
 
 def mark_known(rows: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -> DataFrame:
@@ -97,21 +99,20 @@ def mark_known(rows: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -
     return rows.join(seen, list(on), "left").withColumn(name, F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
-def first_passing(rows: DataFrame, by: str, rank: str, passes: Column) -> DataFrame:
+def first_passing(rows: DataFrame, by: str, rank: str, passes: Column, group_rows: int = UNBOUNDED) -> DataFrame:
     """Per group the best-ranked row that passes, and the rows passed over above it.
 
     Long form with `role`, so a group that passes over many names stays rows.
     """
-    pick = rows.groupBy(by).agg(F.min(F.when(passes, F.col(rank))).alias("_pick"))
-    met = rows.join(pick, by).filter(F.col(rank) <= F.col("_pick"))
+    met = with_group_agg(rows, by, {"_pick": F.min(F.when(passes, F.col(rank)))}, group_rows)
+    met = met.filter(F.col(rank) <= F.col("_pick"))
     return met.withColumn("role", F.when(F.col(rank) == F.col("_pick"), "picked").otherwise("passed over")).drop("_pick")
 
 
-def zscores(rows: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
+def zscores(rows: DataFrame, by: str, cols: Sequence[str], group_rows: int = UNBOUNDED) -> DataFrame:
     """Group z-scores; a column without spread, or a missing value, scores 0 (typical)."""
-    stats = rows.groupBy(by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                                 *[F.stddev_samp(c).alias(f"_d_{c}") for c in cols])
-    joined = rows.join(F.broadcast(stats), by)
+    stats = {f"_m_{c}": F.avg(c) for c in cols} | {f"_d_{c}": F.stddev_samp(c) for c in cols}
+    joined = with_group_agg(rows, by, stats, group_rows)
     z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_d_{c}")), F.lit(0.0)).alias(f"z_{c}") for c in cols]
     return joined.select(*rows.columns, *z)
 
@@ -122,16 +123,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def lookalikes(rows: DataFrame, anchors: DataFrame, by: str, key: str, vector: Column, k: int, at_least: float) -> DataFrame:
+def lookalikes(rows: DataFrame, by: str, key: str, vector: Column, anchor: Column, k: int, at_least: float,
+               group_rows: int = UNBOUNDED) -> DataFrame:
     """The k names of each group most like its anchor, with similarity of at least the bar.
 
-    Similarity is the cosine of the feature vectors (our formula). `anchors` has
-    one row per group: (by, anchor, anchor_vector).
+    Similarity is the cosine of the feature vectors (our formula). The anchor is
+    the row of the group with the smallest `anchor`.
     """
-    from .ranking import top_k
-    sim = F.round(cosine(vector, F.col("anchor_vector")), 9)
-    near = rows.join(F.broadcast(anchors), by).filter(F.col(key) != F.col("anchor"))
-    near = near.withColumn("similarity", sim).filter(F.col("similarity") >= at_least)
+    found = {"_a": F.min_by(F.struct(F.col(key).alias("key"), vector.alias("v")), anchor)}
+    near = with_group_agg(rows, by, found, group_rows).select(
+        "*", F.col("_a.key").alias("anchor"), F.round(cosine(vector, F.col("_a.v")), 9).alias("similarity"))
+    near = near.filter((F.col(key) != F.col("anchor")) & (F.col("similarity") >= at_least)).drop("_a")
     return top_k(near, by, [F.col("similarity").desc(), F.col(key)], k, "twin_rank")
 
 

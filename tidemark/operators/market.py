@@ -53,12 +53,12 @@ def group_by_day(events: DataFrame, day: str, key: str, group_rows: int) -> Data
 
 def breadth(rows: DataFrame, group_rows: int) -> DataFrame:
     """Share of names up, median return, and counts of big movers per session."""
-    from .ranking import exact_median
+    from .ranking import agg_with_median
     known = rows.filter(F.col("r1").isNotNull())
-    out = known.groupBy("session").agg(
+    return agg_with_median(known, "session", [
         F.avg(F.when(F.col("r1") > 0, 1.0).otherwise(0.0)).alias("breadth_up"),
-        F.count_if(F.col("r1") >= 0.2).alias("n_up20"), F.count_if(F.col("r1") <= -0.2).alias("n_down20"))
-    return out.join(exact_median(known, "session", "r1", "median_r1", group_rows), "session")
+        F.count_if(F.col("r1") >= 0.2).alias("n_up20"), F.count_if(F.col("r1") <= -0.2).alias("n_down20")],
+        "r1", "median_r1", group_rows)
 
 
 def sector_heat(rows: DataFrame, least: int = 5, top: int = 3) -> DataFrame:

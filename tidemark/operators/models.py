@@ -15,11 +15,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ranking import UNBOUNDED, exact_median, with_percent_rank, with_row_number
-from .records import auc
+from .ranking import UNBOUNDED, exact_median, with_group_agg, with_percent_rank, with_row_number
+from .records import aucs
 
 M0 = ["r1", "r3", "r5", "r20", "rvol1", "rsi14", "dist_ma20", "dist_ma50", "dd_52w", "vol20", "short_ratio_5d"]
 M1 = [*M0, "next_gap"]
@@ -48,7 +49,6 @@ def training_rows(panel: DataFrame, features: Sequence[str] = tuple(M1)) -> Data
 
 def with_session_index(rows: DataFrame) -> DataFrame:
     """0-based number of the session in the calendar (one row per session is numbered)."""
-    from pyspark.sql import Window as W
     days = rows.select("session").distinct().withColumn(
         "session_idx", F.row_number().over(W.orderBy("session")).cast("bigint") - 1)
     return rows.join(F.broadcast(days), "session")
@@ -96,10 +96,10 @@ def walk_forward(rows: DataFrame, features: Sequence[str], label: str, folds: in
 
 def probability_caps(scores: DataFrame, share: float = 0.01, group_rows: int = UNBOUNDED) -> DataFrame:
     """L3: per model, the realised rate of its most confident calls out of sample."""
-    sizes = scores.groupBy("model").agg(F.ceil(F.count("*") * share).alias("_top"))
     order = [F.col("score").desc(), F.col("session"), F.col("symbol")]
-    placed = with_row_number(scores, "model", order, "_i", group_rows).join(F.broadcast(sizes), "model")
-    return placed.filter(F.col("_i") <= F.col("_top")).groupBy("model").agg(
+    placed = with_row_number(scores, "model", order, "_i", group_rows)
+    placed = with_group_agg(placed, "model", {"_n": F.count("*")}, group_rows)
+    return placed.filter(F.col("_i") <= F.ceil(F.col("_n") * share)).groupBy("model").agg(
         F.avg(F.when(F.col("next_oc") <= fixed.DUMP, 1.0).otherwise(0.0)).alias("cap"), F.count("*").alias("n_calls"))
 
 
@@ -124,9 +124,9 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, families: Mapp
         mixed = score(model, shuffled(rows, cols, seed, group_rows))
         cases = cases.unionByName(mixed.select(F.lit(fam).alias("family"), "p", label))
     cases = cases.withColumn("p", F.round("p", 9))
-    aucs = auc(cases, ["family"], "p", F.col(label) == 1, F.lit(True), "auc", all_rows)
-    base = aucs.filter(F.col("family") == "none").select("auc").scalar()
-    return aucs.filter(F.col("family") != "none").withColumn("importance", base - F.col("auc"))
+    measured = aucs(cases, ["family"], "p", {"auc": (F.col(label) == 1, F.lit(True))}, all_rows)
+    intact = F.max(F.when(F.col("family") == "none", F.col("auc"))).over(W.partitionBy())     # one row per family
+    return measured.withColumn("importance", intact - F.col("auc")).filter(F.col("family") != "none")
 
 
 def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Sequence[str]],

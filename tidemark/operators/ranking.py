@@ -113,12 +113,16 @@ def with_rank_desc(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_
     return df.join(wide, [*by, *key], "left")
 
 
-def with_group_mean(df: DataFrame, by, value: Column, name: str, group_rows: int = UNBOUNDED) -> DataFrame:
-    """Mean of a value over the row's group, on every row."""
+def with_group_agg(df: DataFrame, by, aggs: Mapping[str, Column], group_rows: int = UNBOUNDED) -> DataFrame:
+    """Aggregates of the row's group, on every row.
+
+    Small groups share the exchange of the windows around; large ones are
+    aggregated before the shuffle and joined back.
+    """
     by = _keys(by)
     if group_rows <= ONE_TASK_ROWS:
-        return df.withColumn(name, F.avg(value).over(W.partitionBy(*by)))
-    return df.join(df.groupBy(*by).agg(F.avg(value).alias(name)), by)
+        return df.select("*", *[c.over(W.partitionBy(*by)).alias(n) for n, c in aggs.items()])
+    return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), by)
 
 
 def top_k(df: DataFrame, by, order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -202,3 +206,11 @@ def exact_median(df: DataFrame, by, value: str, name: str, group_rows: int = UNB
     holds = lambda place: (below < place) & (upto >= place)
     return placed.groupBy(*by).agg(
         ((F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(name))
+
+
+def agg_with_median(df: DataFrame, by, aggs: Sequence[Column], value: str, name: str, group_rows: int = UNBOUNDED) -> DataFrame:
+    """Grouped aggregates and one exact median; a single pass where the groups are small."""
+    by = _keys(by)
+    if group_rows <= ONE_TASK_ROWS:
+        return df.groupBy(*by).agg(*aggs, F.median(value).alias(name))
+    return df.groupBy(*by).agg(*aggs).join(exact_median(df, by, value, name, group_rows), by)

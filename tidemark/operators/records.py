@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ranking import UNBOUNDED, exact_median, running_total, with_row_number
+from .ranking import UNBOUNDED, agg_with_median, running_total, with_group_agg, with_row_number
 
 
 def rate(cond: Column) -> Column:
@@ -64,8 +64,8 @@ def band_blend(rows: DataFrame, report: DataFrame, cost: float | None = None, si
 
 def family_importance(table: DataFrame) -> DataFrame:
     """A3: importance summed by family, from the m1 rows if there are any, else m0."""
-    has_m1 = table.agg(F.coalesce(F.max((F.col("model") == "m1").cast("int")), F.lit(0)).alias("x")).scalar()
-    chosen = table.filter(F.col("model") == F.when(has_m1 == 1, "m1").otherwise("m0"))
+    has_m1 = F.bool_or(F.col("model") == "m1").over(W.partitionBy())       # a report of a few rows
+    chosen = table.withColumn("_m1", has_m1).filter(F.col("model") == F.when(F.col("_m1"), "m1").otherwise("m0"))
     return chosen.filter(F.col("importance").isNotNull()).groupBy("family").agg(
         F.sum("importance").alias("importance"), F.first("model").alias("model"))
 
@@ -106,8 +106,7 @@ def cohort_rates(scores: DataFrame, group_rows: int) -> DataFrame:
     """Hit, mean move and squeeze rate of #1, top 10, top decile and all, per model."""
     order = [F.col("score").desc(), F.col("symbol")]
     ranked = with_row_number(scores, ["model", "session"], order, "rank", group_rows)
-    sizes = scores.groupBy("model", "session").agg(F.count("*").alias("_n"))
-    ranked = ranked.join(F.broadcast(sizes), ["model", "session"])
+    ranked = with_group_agg(ranked, ["model", "session"], {"_n": F.count("*")}, group_rows)
     cohorts = in_subsets(ranked, {
         "top1": F.col("rank") == 1, "top10": F.col("rank") <= 10,
         "decile": F.col("rank") <= F.ceil(F.col("_n") / 10), "all": F.lit(True)}, "cohort")
@@ -116,19 +115,32 @@ def cohort_rates(scores: DataFrame, group_rows: int) -> DataFrame:
         rate(F.col("next_oh") >= fixed.SQUEEZE).alias("squeeze"))
 
 
-def auc(rows: DataFrame, by: Sequence[str], score: str, positive: Column, counted: Column, name: str,
-        group_rows: int = UNBOUNDED) -> DataFrame:
-    """Mann-Whitney AUC of the score for `positive` among `counted` rows, ties one half.
+def aucs(rows: DataFrame, by: Sequence[str], score: str, questions: Mapping[str, tuple[Column, Column]],
+         group_rows: int = UNBOUNDED) -> DataFrame:
+    """Mann-Whitney AUC of the score, ties one half: name -> (positive, which rows count).
 
-    Rows are first counted per distinct score, so only distinct scores are ordered.
+    Rows are first counted per distinct score, for all questions at once, so only
+    distinct scores are ordered.
     """
     by = list(by)
-    held = rows.filter(counted & positive.isNotNull())
-    counts = held.groupBy(*by, F.col(score).alias("_s")).agg(
-        F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_q"))
-    placed = running_total(counts, by, [F.col("_s")], {"_below": F.col("_q")}, group_rows)
-    won = F.sum(F.col("_p") * (F.col("_below") - F.col("_q") + 0.5 * F.col("_q")))
-    return placed.groupBy(*by).agg(F.try_divide(won, F.sum("_p") * F.sum("_q").cast("double")).alias(name))
+    tally = lambda q, side: F.count_if(q[1] & (q[0] if side else ~q[0]))
+    counts = rows.groupBy(*by, F.col(score).alias("_s")).agg(
+        *[tally(q, True).alias(f"_p_{n}") for n, q in questions.items()],
+        *[tally(q, False).alias(f"_q_{n}") for n, q in questions.items()])
+    placed = running_total(counts, by, [F.col("_s")], {f"_below_{n}": F.col(f"_q_{n}") for n in questions}, group_rows)
+
+    def ratio(n: str) -> Column:
+        p, q, below = F.col(f"_p_{n}"), F.col(f"_q_{n}"), F.col(f"_below_{n}")
+        return F.try_divide(F.sum(p * (below - q + 0.5 * q)), F.sum(p) * F.sum(q).cast("double")).alias(n)
+
+    return placed.groupBy(*by).agg(*[ratio(n) for n in questions])
+
+
+def same_days(rows: DataFrame, rules: Mapping[str, Column], rank: str, value: str) -> DataFrame:
+    """The value of each rule's first pick per session, on sessions where every rule has one."""
+    days = rows.groupBy("session").agg(
+        *[F.min_by(value, F.when(c, F.col(rank))).alias(n) for n, c in rules.items()])
+    return days.dropna(subset=list(rules))
 
 
 def brier(scores: DataFrame) -> DataFrame:
@@ -141,8 +153,7 @@ def calibration(scores: DataFrame, bins: int = 10, group_rows: int = UNBOUNDED)
     """A10: predicted and actual rate per score decile and model."""
     order = [F.col("score"), F.col("session"), F.col("symbol")]
     placed = with_row_number(scores, "model", order, "_i", group_rows)
-    sizes = scores.groupBy("model").agg(F.count("*").alias("_n"))
-    binned = placed.join(F.broadcast(sizes), "model").withColumn("bin", F.floor((F.col("_i") - 1) * bins / F.col("_n")))
+    binned = with_group_agg(placed, "model", {"_n": F.count("*")}, group_rows).withColumn("bin", F.floor((F.col("_i") - 1) * bins / F.col("_n")))
     return binned.groupBy("model", "bin").agg(
         F.avg("score").alias("pred"), rate(F.col("next_oc") <= fixed.DUMP).alias("actual"), F.count("*").alias("n"))
 
@@ -154,11 +165,10 @@ def rank_band_record(rows: DataFrame, bands: DataFrame, by: Sequence[str], value
         F.broadcast(bands), (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
     net = -F.col("next_oc") - F.col("_cost")
     keys = [*by, "lo", "hi"]
-    out = met.groupBy(*keys).agg(
+    return agg_with_median(met, keys, [
         F.count("*").alias("n"), rate(F.col("next_oc") <= fixed.DUMP).alias("hit"), F.avg("next_oc").alias("mean_oc"),
         rate(F.col("next_oh") >= fixed.SQUEEZE).alias("squeeze"), rate(F.col("next_oc") >= fixed.PUMP).alias("pump"),
-        F.avg("_cost").alias("cost"), F.avg(net).alias("net"), rate(net > 0).alias("win"))
-    return out.join(exact_median(met, keys, "next_oc", "median_oc", group_rows), keys)
+        F.avg("_cost").alias("cost"), F.avg(net).alias("net"), rate(net > 0).alias("win")], "next_oc", "median_oc", group_rows)
 
 
 def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -175,18 +185,19 @@ def event_study(rows: DataFrame, setups: Mapping[str, Column], group_rows: int =
     (our rule).
     """
     held = in_subsets(rows.filter(F.col("next_oc").isNotNull()), {"baseline": F.lit(True), **setups}, "study")
-    agg = held.groupBy("study").agg(
+    agg = agg_with_median(held, "study", [
         F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols"),
         rate(F.col("next_oc") <= fixed.DUMP).alias("pct_dump"), rate(F.col("next_oc") >= fixed.PUMP).alias("pct_up5"),
-        rate(F.col("swing5") <= fixed.SWING).alias("pct_swing"))
-    agg = agg.join(exact_median(held, "study", "next_oc", "median_oc", group_rows), "study")
-    base = agg.filter(F.col("study") == "baseline").select(F.col("pct_dump").alias("_bd"), F.col("pct_up5").alias("_bu"))
-    bd, bu = base.select("_bd").scalar(), base.select("_bu").scalar()
+        rate(F.col("swing5") <= fixed.SWING).alias("pct_swing")], "next_oc", "median_oc", group_rows)
+    # one row per study from here on
+    of_base = lambda c: F.max(F.when(F.col("study") == "baseline", F.col(c))).over(W.partitionBy())
+    agg = agg.select("*", of_base("pct_dump").alias("_bd"), of_base("pct_up5").alias("_bu"))
+    bd, bu = F.col("_bd"), F.col("_bu")
     lo, hi = wilson(F.col("pct_dump"), F.col("n").cast("double"))
     down, up = F.col("pct_dump") > bd, F.col("pct_up5") > bu
     return agg.select(
         "*", lo.alias("ci_lo"), hi.alias("ci_hi"), F.try_divide(F.col("pct_dump"), bd).alias("lift_dump"),
-        F.when(down & up, "both").when(down, "down").when(up, "up").otherwise("none").alias("tilt"))
+        F.when(down & up, "both").when(down, "down").when(up, "up").otherwise("none").alias("tilt")).drop("_bd", "_bu")
 
 
 def scorecard(picks: DataFrame) -> DataFrame:
@@ -274,18 +285,17 @@ def t_statistic(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataF
         F.try_divide(F.avg(value), F.stddev_samp(value) / F.sqrt(n)).alias("t"))
 
 
-def survivorship(rows: DataFrame, liquid: Column, group_rows: int, horizon: int = 20) -> DataFrame:
+def survivorship(rows: DataFrame, liquid: Column, last: Column, group_rows: int, horizon: int = 20) -> DataFrame:
     """The same long trade on today's list and on the list known at the time.
 
-    `today` keeps the names that are liquid in the last session, in all sessions;
+    `today` keeps the names that are liquid in the `last` session, in all sessions;
     `point in time` the names liquid in each session. The trade shorts each
     session's largest five-session riser; net pays its spread.
     """
     fwd = f"fwd{horizon}"
-    last = rows.agg(F.max("session").alias("s")).scalar()
-    survivors = rows.filter((F.col("session") == last) & liquid).select("symbol")
-    biased = rows.join(survivors, "symbol", "left_semi").withColumn("list", F.lit("today"))
-    held = biased.unionByName(rows.filter(liquid).withColumn("list", F.lit("point in time"))).filter(F.col(fwd).isNotNull())
+    survivor = F.bool_or(F.when(F.col("session") == last, liquid)).over(W.partitionBy("symbol"))
+    held = rows.withColumn("_survivor", survivor).filter(F.col(fwd).isNotNull())
+    held = in_subsets(held, {"today": F.col("_survivor"), "point in time": liquid}, "list")
     order = [F.col("r5").desc_nulls_last(), F.col("symbol")]
     firsts = with_row_number(held, ["list", "session"], order, "_k", group_rows)
     return firsts.groupBy("list").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, predicates, sizing
 from ..functions.scalars import ratio
 from ..operators.features import session_features, stand_in_scores
-from ..operators.ranking import with_group_mean, with_percent_rank, with_rank_desc, with_row_number
+from ..operators.ranking import with_group_agg, with_percent_rank, with_rank_desc, with_row_number
 from ..sources import derived
 from ..sources.tables import row_bound
 
@@ -74,7 +74,8 @@ def with_squeeze_danger(df: DataFrame, group_rows: int) -> DataFrame:
 
 def with_base(rows: DataFrame, group_rows: int) -> DataFrame:
     """Share of the session's scored names that dumped, on every row."""
-    return with_group_mean(rows, "session", F.when(F.col("oc") <= fixed.DUMP, 1.0).otherwise(0.0), "base", group_rows)
+    dumped = F.when(F.col("oc") <= fixed.DUMP, 1.0).otherwise(0.0)
+    return with_group_agg(rows, "session", {"base": F.avg(dumped)}, group_rows)
 
 
 def flag_list() -> Column:

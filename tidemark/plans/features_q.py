@@ -67,8 +67,7 @@ def w11(spark, d):
     s = ranking.with_cume_dist(board.scored(spark, d), "session", "symbol", "prob_dump", "cd",
                                board.universe_bound(spark, d))
     s = s.select("session", "symbol", F.floor(100 * F.col("cd")).alias("score"))
-    ties = s.groupBy("session").agg(F.count_if(F.col("score") == 100).alias("top_ties"))
-    return s.join(ties, "session")
+    return ranking.with_group_agg(s, "session", {"top_ties": F.count_if(F.col("score") == 100)}, board.universe_bound(spark, d))
 
 
 _BY_SESSION = """

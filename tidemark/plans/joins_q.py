@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates
 from ..functions import scalars as S
-from ..operators import joins, market, ranking
+from ..operators import joins, market, ranking, records
 from ..sources import derived
 from ..sources.tables import events, row_bound, table
 from . import board
@@ -215,7 +215,7 @@ def j9(spark, d):
     WHERE urank <= pick""", "picks")
 def j11(spark, d):
     passes = F.col("zone_reason").isNull() & F.col("publishable")
-    return joins.first_passing(board.picks(spark, d), "session", "urank", passes).select("session", "symbol", "urank", "role")
+    return joins.first_passing(board.picks(spark, d), "session", "urank", passes, board.universe_bound(spark, d)).select("session", "symbol", "urank", "role")
 
 
 LOOKALIKE_COLS = ["price", "market_cap", "dd_52w", "short_ratio_5d", "vol20"]
@@ -231,10 +231,10 @@ _DOT = lambda a, b: " + ".join(f"{a}.z_{c} * {b}.z_{c}" for c in LOOKALIKE_COLS)
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY similarity DESC, symbol) AS twin_rank FROM sim WHERE similarity >= 0.5)
     WHERE twin_rank <= 10""", "picks")
 def j12(spark, d):
-    z = joins.zscores(board.picks(spark, d), "session", LOOKALIKE_COLS)
+    bound = board.universe_bound(spark, d)
+    z = joins.zscores(board.picks(spark, d), "session", LOOKALIKE_COLS, bound)
     vector = F.array(*[F.col(f"z_{c}") for c in LOOKALIKE_COLS])
-    anchors = z.filter(F.col("urank") == 1).select("session", F.col("symbol").alias("anchor"), vector.alias("anchor_vector"))
-    return joins.lookalikes(z, anchors, "session", "symbol", vector, 10, 0.5).select(
+    return joins.lookalikes(z, "session", "symbol", vector, F.col("urank"), 10, 0.5, bound).select(
         "session", "anchor", "symbol", r("similarity"), "twin_rank")
 
 
@@ -247,8 +247,7 @@ def j12(spark, d):
 def j12_embeddings(spark, d):
     """The same operator on stored vectors: group = label, anchor = smallest id of the label."""
     rows = table(spark, d, "embeddings")
-    anchors = rows.groupBy("label").agg(F.min("vec_id").alias("anchor"), F.min_by("embedding", "vec_id").alias("anchor_vector"))
-    return joins.lookalikes(rows, anchors, "label", "vec_id", F.col("embedding"), 10, 0.0).select(
+    return joins.lookalikes(rows, "label", "vec_id", F.col("embedding"), F.col("vec_id"), 10, 0.0).select(
         "label", "anchor", "vec_id", r("similarity"), "twin_rank")
 
 
@@ -260,11 +259,10 @@ def j12_embeddings(spark, d):
     FROM a JOIN b USING (session)""", "picks")
 def j13(spark, d):
     graded = board.picks(spark, d).filter(F.col("next_oc").isNotNull())
-    first = graded.filter(F.col("urank") == 1).select("session", F.col("next_oc").alias("oc_a"))
     passes = F.col("zone_reason").isNull() & F.col("publishable")
-    second = graded.filter(passes).groupBy("session").agg(F.min_by("next_oc", "urank").alias("oc_b"))
+    both = records.same_days(graded, {"oc_a": F.col("urank") == 1, "oc_b": passes}, "urank", "next_oc")
     dump = lambda c: F.avg(F.when(F.col(c) <= fixed.DUMP, 1.0).otherwise(0.0))
-    return first.join(second, "session").agg(
+    return both.agg(
         F.count("*").alias("n_days"), r(F.avg("oc_a"), "mean_a"), r(F.avg("oc_b"), "mean_b"),
         r(dump("oc_a"), "dump_a"), r(dump("oc_b"), "dump_b"))
 

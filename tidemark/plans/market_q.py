@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features, joins, market
+from ..session import cut
 from ..sources import derived
 from ..sources.tables import row_bound
 from . import board
@@ -93,7 +94,7 @@ def a26(spark, d):
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY prob_swing DESC, symbol) AS k FROM picks) WHERE k <= 25""", ("picks", "board"))
 def u1(spark, d):
     from ..operators.ranking import top_k
-    rows = board.picks(spark, d)
+    rows = cut(board.picks(spark, d).select("session", "symbol", "board_rank", "urank", "prob_dump", "prob_swing", "zone_reason"))
     listed = rows.filter(F.col("board_rank").isNotNull()).select("session", "symbol", F.col("board_rank").alias("rank"), "prob_dump")
     zone = rows.filter(F.col("zone_reason").isNotNull()).select("session", "symbol", F.col("urank").alias("rank"), "prob_dump", "zone_reason")
     swing = top_k(rows.select("session", "symbol", "prob_swing"), "session", [F.col("prob_swing").desc(), F.col("symbol")], 25)

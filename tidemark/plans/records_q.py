@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, sizing
@@ -160,9 +161,8 @@ def _auc_sql(pos: str, kept: str) -> str:
 def a8(spark, d):
     scores, bound = model_scores(spark, d), panel_bound(spark, d)
     dump, pump, big = F.col("next_oc") <= fixed.DUMP, F.col("next_oc") >= fixed.PUMP, F.abs("next_oc") >= fixed.PUMP
-    out = records.auc(scores, ["model"], "score", dump, F.lit(True), "auc", bound)
-    out = out.join(records.auc(scores, ["model"], "score", pump, F.lit(True), "pump_auc", bound), "model")
-    out = out.join(records.auc(scores, ["model"], "score", dump, big, "dump_vs_pump_auc", bound), "model")
+    out = records.aucs(scores, ["model"], "score", {
+        "auc": (dump, F.lit(True)), "pump_auc": (pump, F.lit(True)), "dump_vs_pump_auc": (dump, big)}, bound)
     return out.select("model", r("auc"), r("pump_auc"), r("dump_vs_pump_auc"))
 
 
@@ -380,7 +380,7 @@ def a20(spark, d):
 def a27(spark, d):
     days = board.board(spark, d).filter((F.col("rank") <= 3) & F.col("next_oc").isNotNull()).groupBy("session").agg(
         F.avg("next_oc").alias("basket"))
-    worst = days.agg(F.min("basket").alias("w")).scalar()
+    worst = F.min("basket").over(W.partitionBy())        # one row per session
     return days.select("session", r("basket"), r(worst, "worst_day"))
 
 
@@ -440,5 +440,6 @@ def a32(spark, d):
     SELECT list, count(*) AS n, {r6('avg(fwd20)', 'tier_mean')}, {r6('avg(-fwd20 - spread) FILTER (k = 1)', 'net')} FROM firsts GROUP BY list""", ("bars_w", "panel_w"))
 def a33(spark, d):
     rows = features.session_features(derived.bars(spark, d, "week"), horizon=20).filter(F.col("dvol20").isNotNull())
-    out = records.survivorship(rows, F.col("dvol20") >= 5e6, board.universe_bound(spark, d))
+    last = derived.trades(spark, d).agg(F.trunc(F.max("day"), "week").alias("s")).scalar()
+    out = records.survivorship(rows, F.col("dvol20") >= 5e6, last, board.universe_bound(spark, d))
     return out.select("list", "n", r("tier_mean"), r("net"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -263,12 +264,14 @@ def p22(spark, d):
     SELECT session, {r6('CASE WHEN isfinite(today_base) THEN today_base ELSE model_base END', 'base')},
       NOT isfinite(today_base) AS fell_back FROM today, overall""", "panel")
 def p23(spark, d):
-    rows = board.panel(spark, d)
-    overall = rows.agg(F.avg(F.when(F.col("oc") <= fixed.DUMP, 1.0).otherwise(0.0)).alias("b")).scalar()
-    ups, downs = F.count_if(F.col("oc") >= fixed.PUMP), F.count_if(F.col("oc") <= fixed.DUMP)
-    today = rows.groupBy("session").agg(
-        F.coalesce(F.try_divide(downs, ups), F.lit(float("inf"))).alias("today_base"))
-    return today.select("session", r(S.first_finite("today_base", overall), "base"),
+    oc = S.move_from_open("close", "open")
+    counts = derived.bars(spark, d).groupBy("session").agg(
+        F.count_if(oc >= fixed.PUMP).alias("ups"), F.count_if(oc <= fixed.DUMP).alias("downs"), F.count("*").alias("n"))
+    whole = W.partitionBy()                  # one row per session
+    today = counts.select(
+        "session", F.coalesce(F.try_divide("downs", "ups"), F.lit(float("inf"))).alias("today_base"),
+        (F.sum("downs").over(whole) / F.sum("n").over(whole)).alias("overall"))
+    return today.select("session", r(S.first_finite("today_base", "overall"), "base"),
                         S.finite("today_base").isNull().alias("fell_back"))
 
 
