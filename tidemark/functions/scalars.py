@@ -49,9 +49,10 @@ def parse_day(s) -> Column:
 
 
 def parse_ts(s) -> Column:
-    """Instant of an ISO text; a bare date is not an instant, bad text is missing."""
+    """Instant of an ISO text (seconds may be left out); a bare date is not an instant, bad text is missing."""
     s = _c(s)
-    return F.when(~s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(s))
+    timed = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
+    return F.when(~s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(timed))
 
 
 def eastern(ts) -> Column:
@@ -110,7 +111,7 @@ _HTTP = r"^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)"
 
 
 def safe_url(u) -> Column:
-    """The address if it is http or https, else missing."""
+    """The address if it is absolute http or https, else missing."""
     u = _c(u)
     return F.when(u.rlike(_HTTP), F.trim(u))
 

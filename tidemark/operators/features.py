@@ -30,9 +30,8 @@ def trailing(n: int, last: int = 0):
     return by_symbol().rowsBetween(last - n + 1, last)
 
 
-def full(agg: Column, counted: str, n: int, last: int = 0) -> Column:
-    """An aggregate over n sessions, missing until all n are there."""
-    w = trailing(n, last)
+def full(agg: Column, counted: str, n: int, w) -> Column:
+    """An aggregate over the n sessions of `w`, missing until all n are there."""
     return F.when(F.count(counted).over(w) == n, agg.over(w))
 
 
@@ -86,21 +85,22 @@ def session_features(bars: DataFrame, horizon: int | None = None, keep: Sequence
         (4 * (F.col("_lc1") - F.col("_eta1")) * (F.col("_lc1") - F.col("_eta"))).alias("_s2"),
         (F.col("low") <= 0.9 * F.col("prev_close")).alias("ssr_trigger"),
     )
-    gain, loss = full(F.avg("_gain"), "_gain", 14), full(F.avg("_loss"), "_loss", 14)
+    w5, w14, w20, w50, prior20 = trailing(5), trailing(14), trailing(20), trailing(50), trailing(20, -1)
+    gain, loss = full(F.avg("_gain"), "_gain", 14, w14), full(F.avg("_loss"), "_loss", 14, w14)
     framed = moved.select(
         "symbol", "session", "open", "high", "low", "close", "volume", "short_volume", "short_interest",
         "prev_close", "next_open", "r1", "r3", "r5", "r20", "ssr_trigger",
-        F.try_divide(F.col("volume"), full(F.avg("volume"), "volume", 20, -1)).alias("rvol1"),
+        F.try_divide(F.col("volume"), full(F.avg("volume"), "volume", 20, prior20)).alias("rvol1"),
         F.try_divide(100 * gain, gain + loss).alias("rsi14"),
-        (F.col("close") / full(F.avg("close"), "close", 20) - 1).alias("dist_ma20"),
-        (F.col("close") / full(F.avg("close"), "close", 50) - 1).alias("dist_ma50"),
+        (F.col("close") / full(F.avg("close"), "close", 20, w20) - 1).alias("dist_ma20"),
+        (F.col("close") / full(F.avg("close"), "close", 50, w50) - 1).alias("dist_ma50"),
         (F.col("close") / F.max("high").over(trailing(252)) - 1).alias("dd_52w"),
-        full(F.stddev_samp("r1"), "r1", 20).alias("vol20"),
-        full(F.avg("_dollars"), "_dollars", 20).alias("dvol20"),
-        full(F.avg("_dollars"), "_dollars", 5).alias("dvol5"),
-        F.try_divide(full(F.sum("short_volume"), "volume", 5), full(F.sum("volume"), "volume", 5)).alias("short_ratio_5d"),
-        F.try_divide(F.col("short_interest"), full(F.avg("volume"), "volume", 20)).alias("days_to_cover"),
-        full(F.avg("_s2"), "_s2", 20).alias("_s2mean"),
+        full(F.stddev_samp("r1"), "r1", 20, w20).alias("vol20"),
+        full(F.avg("_dollars"), "_dollars", 20, w20).alias("dvol20"),
+        full(F.avg("_dollars"), "_dollars", 5, w5).alias("dvol5"),
+        F.try_divide(full(F.sum("short_volume"), "volume", 5, w5), full(F.sum("volume"), "volume", 5, w5)).alias("short_ratio_5d"),
+        F.try_divide(F.col("short_interest"), full(F.avg("volume"), "volume", 20, w20)).alias("days_to_cover"),
+        full(F.avg("_s2"), "_s2", 20, w20).alias("_s2mean"),
         (F.col("ssr_trigger") | F.coalesce(F.lag("ssr_trigger").over(w), F.lit(False))).alias("ssr"),
         (F.col("close") / F.col("open") - 1).alias("oc"),
         (F.col("high") / F.col("open") - 1).alias("oh"),

@@ -266,7 +266,7 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     start = F.struct(first.alias("t"), F.exp(first).alias("s"))
 
     def step(a, i):
-        t = a["t"] + F.ln((n - i + 1) / i) + F.ln(p / (1 - p))
+        t = a["t"] + F.ln((n - i + 1) / i) + F.ln(F.try_divide(p, 1 - p))
         return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
 
     steps = F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))

@@ -193,11 +193,11 @@ def o1(spark, d):
 
 
 @query("o2_paginate", f"""
-    SELECT session, symbol, {r6('prob_dump')} FROM scored ORDER BY prob_dump DESC, session, symbol LIMIT 50 OFFSET 100""", "scored")
+    SELECT session, symbol, {r6('prob_dump', places=9)} FROM scored ORDER BY prob_dump DESC, session, symbol LIMIT 50 OFFSET 100""", "scored")
 def o2(spark, d):
     rows = board.scored(spark, d)
     return ranking.paginate(rows, [F.col("prob_dump").desc(), F.col("session"), F.col("symbol")], 2).select(
-        "session", "symbol", r("prob_dump"))
+        "session", "symbol", r("prob_dump", places=9))
 
 
 _WHEN_SQL = """coalesce(CASE WHEN NOT regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}') THEN timezone('UTC', TRY_CAST(s AS TIMESTAMPTZ)) END,

@@ -176,13 +176,13 @@ def w19(spark, d):
 
 
 @query("w20_odds_history", f"""
-    SELECT symbol, count(*) AS n, {r6('arg_min(prob_dump, session)', 'first_odds')}, {r6('arg_max(prob_dump, session)', 'last_odds')},
+    SELECT symbol, count(*) AS n, {r6('arg_min(prob_dump, session)', 'first_odds', 9)}, {r6('arg_max(prob_dump, session)', 'last_odds', 9)},
       string_agg(CAST(session AS VARCHAR), ',' ORDER BY session) AS sessions
     FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS k FROM scored) WHERE k <= 20
     GROUP BY symbol""", "scored")
 def w20(spark, d):
     return features.recent_history(board.scored(spark, d), "prob_dump", 20).select(
-        "symbol", "n", r("first", "first_odds"), r("last", "last_odds"),
+        "symbol", "n", r("first", "first_odds", 9), r("last", "last_odds", 9),
         F.array_join(F.transform("series", lambda x: x["session"].cast("string")), ",").alias("sessions"))
 
 

@@ -29,7 +29,7 @@ def board_documents(spark, d):
 
 
 @query("s1_feed_load", f"""
-    SELECT session AS session_date, 'morning' AS run, CAST(symbol AS VARCHAR) AS symbol, rank, {r6('prob_dump')}, status, {r6('fee_rate')},
+    SELECT session AS session_date, 'morning' AS run, CAST(symbol AS VARCHAR) AS symbol, rank, {r6('prob_dump', places=9)}, status, {r6('fee_rate')},
       {r6('c10', 'cost_10k')}, 0::BIGINT AS n_optional FROM board""", "board")
 def s1(spark, d):
     """Documents are written below the shared folder and read back under the schema; the optional feed is absent."""
@@ -38,7 +38,7 @@ def s1(spark, d):
     today = feeds.load_feed(spark, path, TODAY)
     absent = feeds.load_feed(spark, path + "-unified", "lists MAP<STRING, STRING>").count()
     return today.select("session_date", "run", F.explode("board").alias("p")).select(
-        "session_date", "run", "p.symbol", "p.rank", r("p.prob_dump", "prob_dump"), "p.shortability.status",
+        "session_date", "run", "p.symbol", "p.rank", r("p.prob_dump", "prob_dump", 9), "p.shortability.status",
         r("p.shortability.fee_rate", "fee_rate"), r(F.col("p.size.costs")["10000"], "cost_10k"),
         F.lit(absent).cast("bigint").alias("n_optional"))
 
@@ -48,7 +48,7 @@ _UNIVERSE = {"symbol": "bigint", "name": "string", "prob_dump": "double", "capac
 
 
 @query("s2_columnar_to_rows", f"""
-    SELECT session AS session_date, symbol, name, {r6('prob_dump')}, {r6('capacity', places=2)}, board_rank, {r6('fee_rate')}, NULL::DOUBLE AS missing FROM picks""", "picks")
+    SELECT session AS session_date, symbol, name, {r6('prob_dump', places=9)}, {r6('capacity', places=2)}, board_rank, {r6('fee_rate')}, NULL::DOUBLE AS missing FROM picks""", "picks")
 def s2(spark, d):
     """Universe documents hold at most 500 names each."""
     cols = [c for c in _UNIVERSE if c != "missing"]
@@ -58,7 +58,7 @@ def s2(spark, d):
     text = docs.select(F.to_json(F.struct(F.col("session").alias("session_date"), F.array(*[F.lit(c) for c in cols]).alias("columns"), "rows")).alias("json"))
     parsed = text.select(F.from_json("json", UNIVERSE).alias("u")).select("u.*")
     out = feeds.columnar_to_rows(parsed, _UNIVERSE, keep=["session_date"])
-    return out.select("session_date", "symbol", "name", r("prob_dump"), r("capacity", places=2), "board_rank", r("fee_rate"), "missing")
+    return out.select("session_date", "symbol", "name", r("prob_dump", places=9), r("capacity", places=2), "board_rank", r("fee_rate"), "missing")
 
 
 @query("s3_explode_bars", f"""
@@ -122,7 +122,7 @@ def s6(spark, d):
 
 
 @query("s7_history_append", f"""
-    SELECT symbol, count(*) AS n, {r6('arg_min(prob_dump, session)', 'first_odds')}, {r6('arg_max(prob_dump, session)', 'last_odds')}, 0::BIGINT AS rewritten
+    SELECT symbol, count(*) AS n, {r6('arg_min(prob_dump, session)', 'first_odds', 9)}, {r6('arg_max(prob_dump, session)', 'last_odds', 9)}, 0::BIGINT AS rewritten
     FROM scored GROUP BY symbol""", "scored")
 def s7(spark, d):
     """Two snapshots that overlap: the second adds only the sessions the first did not have."""
@@ -134,7 +134,7 @@ def s7(spark, d):
     held = feeds.load_history(spark, path, "symbol bigint, prob_dump double, session date")
     series = feeds.history_series(held, "prob_dump")
     value = lambda i: F.element_at("series", i)["prob_dump"]
-    return series.select("symbol", F.size("series").cast("bigint").alias("n"), r(value(1), "first_odds"), r(value(-1), "last_odds"),
+    return series.select("symbol", F.size("series").cast("bigint").alias("n"), r(value(1), "first_odds", 9), r(value(-1), "last_odds", 9),
                          F.size(F.filter("series", lambda x: x["prob_dump"] < 0)).cast("bigint").alias("rewritten"))
 
 

@@ -62,7 +62,7 @@ LISTS_SQL = f"""
 
 @query("j1_record_merge", LISTS_SQL + f""",
     first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, symbol ORDER BY prio, pos) AS k FROM lists) WHERE k = 1)
-    SELECT f.session, f.symbol, CASE f.list WHEN 'top' THEN 'board' ELSE f.list END AS "where", CAST(f.pos AS BIGINT) AS pos, {r6('f.prob_dump', 'prob_dump')},
+    SELECT f.session, f.symbol, CASE f.list WHEN 'top' THEN 'board' ELSE f.list END AS "where", CAST(f.pos AS BIGINT) AS pos, {r6('f.prob_dump', 'prob_dump', 9)},
       t.pos AS twin_pos, CASE WHEN f.list <> 'classic' THEN c.pos END AS classic_pos, CASE WHEN f.list <> 'swing' THEN w.pos END AS swing_pos
     FROM first f
       LEFT JOIN (SELECT session, symbol, CAST(pos AS BIGINT) AS pos FROM lists WHERE list = 'twin') t ON t.session = f.session AND t.symbol = f.symbol
@@ -71,7 +71,7 @@ LISTS_SQL = f"""
        "picks")
 def j1(spark, d):
     merged = joins.merge_records(pick_lists(spark, d), ["session", "symbol"], PRECEDENCE, ["twin", "classic", "swing"])
-    return merged.select("session", "symbol", "where", "pos", r("prob_dump"), F.col("as_twin.pos").alias("twin_pos"),
+    return merged.select("session", "symbol", "where", "pos", r("prob_dump", places=9), F.col("as_twin.pos").alias("twin_pos"),
                          F.col("as_classic.pos").alias("classic_pos"), F.col("as_swing.pos").alias("swing_pos"))
 
 

@@ -88,9 +88,9 @@ def a26(spark, d):
 
 
 @query("u1_union_lists", f"""
-    SELECT 'board' AS list, session, symbol, rank, {r6('prob_dump')}, NULL::VARCHAR AS zone_reason, NULL::DOUBLE AS prob_swing FROM board
-    UNION ALL SELECT 'zone', session, symbol, urank, {r6('prob_dump')}, zone_reason, NULL FROM picks WHERE zone_reason IS NOT NULL
-    UNION ALL SELECT 'swing', session, symbol, k, NULL, NULL, {r6('prob_swing')} FROM (
+    SELECT 'board' AS list, session, symbol, rank, {r6('prob_dump', places=9)}, NULL::VARCHAR AS zone_reason, NULL::DOUBLE AS prob_swing FROM board
+    UNION ALL SELECT 'zone', session, symbol, urank, {r6('prob_dump', places=9)}, zone_reason, NULL FROM picks WHERE zone_reason IS NOT NULL
+    UNION ALL SELECT 'swing', session, symbol, k, NULL, NULL, {r6('prob_swing', places=9)} FROM (
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY prob_swing DESC, symbol) AS k FROM picks) WHERE k <= 25""", ("picks", "board"))
 def u1(spark, d):
     from ..operators.ranking import top_k
@@ -99,7 +99,7 @@ def u1(spark, d):
     zone = rows.filter(F.col("zone_reason").isNotNull()).select("session", "symbol", F.col("urank").alias("rank"), "prob_dump", "zone_reason")
     swing = top_k(rows.select("session", "symbol", "prob_swing"), "session", [F.col("prob_swing").desc(), F.col("symbol")], 25)
     out = market.union_lists({"board": listed, "zone": zone, "swing": swing})
-    return out.select("list", "session", "symbol", "rank", r("prob_dump"), "zone_reason", r("prob_swing"))
+    return out.select("list", "session", "symbol", "rank", r("prob_dump", places=9), "zone_reason", r("prob_swing", places=9))
 
 
 @query("u2_unquoted", """

@@ -43,11 +43,11 @@ def l2(spark, d):
     WITH {_SCORES}, placed AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, session, symbol) AS i,
       ceil(count(*) OVER (PARTITION BY model) * 0.01) AS top FROM scores),
     caps AS (SELECT model, avg(CASE WHEN next_oc <= -0.05 THEN 1.0 ELSE 0.0 END) AS cap FROM placed WHERE i <= top GROUP BY model)
-    SELECT session, symbol, model, {r6('least(score, cap)', 'p_capped')}, score > cap AS was_capped FROM scores JOIN caps USING (model)""", "scored")
+    SELECT session, symbol, model, {r6('least(score, cap)', 'p_capped', 9)}, score > cap AS was_capped FROM scores JOIN caps USING (model)""", "scored")
 def l3(spark, d):
     scores = model_scores(spark, d)
     out = models.capped(scores, models.probability_caps(scores, 0.01, panel_bound(spark, d)))
-    return out.select("session", "symbol", "model", r("p_capped"), (F.col("score") > F.col("cap")).alias("was_capped"))
+    return out.select("session", "symbol", "model", r("p_capped", places=9), (F.col("score") > F.col("cap")).alias("was_capped"))
 
 
 @query("l4_permutation_importance")

@@ -346,7 +346,7 @@ def a18(spark, d):
     gaps AS (SELECT symbol, CAST(et AS DATE) AS session, arg_max(price, ts) FILTER (strftime(et, '%H:%M') < '08:00') AS pre,
       arg_min(price, ts) FILTER (hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960) AS official FROM et GROUP BY 1, 2),
     known AS (SELECT symbol, session + 1 AS known_on, close FROM bars_d)
-    SELECT {r6('corr(pre / close - 1, official / close - 1)', 'corr_gap')}, count(*) AS n
+    SELECT {r6('corr(pre / nullif(close, 0) - 1, official / nullif(close, 0) - 1)', 'corr_gap')}, count(*) AS n
     FROM gaps g ASOF JOIN known k ON g.symbol = k.symbol AND g.session >= k.known_on WHERE pre IS NOT NULL AND official IS NOT NULL""", ("ticks", "bars_d"))
 def a19(spark, d):
     m = S.et_minute("ts")
@@ -357,7 +357,7 @@ def a19(spark, d):
     known = derived.daily_bars(spark, d).select("symbol", F.date_add("session", 1).alias("known_on"), "close")
     met = joins.asof_join(gaps.filter(F.col("pre").isNotNull() & F.col("official").isNotNull()), known, ["symbol"], "session",
                           "known_on", ["close"]).filter(F.col("close").isNotNull())
-    return met.agg(r(F.corr(F.col("pre") / F.col("close") - 1, F.col("official") / F.col("close") - 1), "corr_gap"), F.count("*").alias("n"))
+    return met.agg(r(F.corr(S.move_from_open("pre", "close"), S.move_from_open("official", "close")), "corr_gap"), F.count("*").alias("n"))
 
 
 @query("a20_binomial_tail", f"""

@@ -28,7 +28,7 @@ _ET = "timezone('America/New_York', timezone('UTC', ts))"
 
 
 @query("t1_live_tape", f"""
-    SELECT session, symbol, {r6('open')}, {r6('last')}, {r6('high')}, {r6('low')}, n, {r6('last / open - 1', 'oc_now')}, {r6('high / open - 1', 'oh_now')}, {r6('low / open - 1', 'ol_now')}
+    SELECT session, symbol, {r6('open')}, {r6('last')}, {r6('high')}, {r6('low')}, n, {r6('last / nullif(open, 0) - 1', 'oc_now')}, {r6('high / nullif(open, 0) - 1', 'oh_now')}, {r6('low / nullif(open, 0) - 1', 'ol_now')}
     FROM (SELECT CAST(et AS DATE) AS session, symbol, arg_min(price, ts) AS open, arg_max(price, ts) AS last, max(price) AS high, min(price) AS low, count(*) AS n
       FROM (SELECT *, {_ET} AS et FROM ticks) WHERE isodow(et) < 6 AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960 GROUP BY 1, 2)""", "ticks")
 def t1(spark, d):
@@ -97,7 +97,7 @@ def t5(spark, d):
 @query("t6_wire_stream", f"""
     WITH pre AS (SELECT symbol, ts, price, CAST({_ET} AS DATE) AS session FROM ticks WHERE strftime({_ET}, '%H:%M') < '08:00'),
     known AS (SELECT symbol, session + 1 AS session, close FROM bars_d),
-    moves AS (SELECT symbol, ts, price / close - 1 AS gap FROM pre JOIN known USING (symbol, session)),
+    moves AS (SELECT symbol, ts, price / nullif(close, 0) - 1 AS gap FROM pre JOIN known USING (symbol, session)),
     wire AS (SELECT symbol, CAST(day AS TIMESTAMP) AS time, 'filing' AS kind, category AS headline,
         CASE WHEN category IN ('offering', 'toxic_financing') THEN 3 WHEN category IN ('atm', 'unregistered_sale', 'reverse_split') THEN 2 ELSE 1 END AS severity FROM filings
       UNION SELECT symbol, ts, 'headline', 'error', 1 FROM ticks WHERE event_type = 'error'
@@ -112,7 +112,7 @@ def t6(spark, d):
     news = tape.wire_item(tick_stream(spark, d).filter(F.col("event_type") == "error"), "headline", F.col("ts"), F.col("event_type"), F.lit(1))
     known = derived.daily_bars(spark, d).select("symbol", F.date_add("session", 1).alias("session"), "close")
     pre = tick_stream(spark, d).filter(S.et_hhmm("ts") < "08:00").withColumn("session", S.et_date("ts")).join(known, ["symbol", "session"])
-    gap = F.col("price") / F.col("close") - 1
+    gap = S.move_from_open("price", "close")
     moves = tape.wire_item(pre.withColumn("gap", gap).filter(F.abs("gap") >= 0.2), "move", F.col("ts"),
                            F.when(F.col("gap") < 0, "down").otherwise("up"), F.when(F.abs("gap") >= 0.5, 3).otherwise(2))
     wire = drained(tape.wire_stream([filings, news, moves]), "wire")
