@@ -66,7 +66,9 @@ def test_sort_missing_last_both_ways(spark):
     assert up == ["e", "d", "a", "b", "c"] and down == ["a", "e", "d", "b", "c"]
 
 
-def test_page_is_clamped(spark):
+@pytest.mark.parametrize("top", [10_000, 60, 0])
+def test_page_is_clamped(spark, monkeypatch, top):
+    monkeypatch.setattr(R, "TOP_ROWS", top)
     df = spark.range(120)
     page = lambda p: [r.id for r in R.paginate(df, [F.col("id")], p).collect()]
     assert page(0) == list(range(50)) and page(2) == list(range(100, 120)) and page(99) == page(2)

@@ -19,6 +19,7 @@ from ..functions.scalars import finite
 from ..session import cut
 
 ONE_TASK_ROWS = 2_000_000
+TOP_ROWS = 10_000
 UNBOUNDED = ONE_TASK_ROWS + 1
 
 
@@ -160,11 +161,19 @@ def board_order(key: str = "rank", flipped: bool = False) -> list[Column]:
 
 
 def paginate(df: DataFrame, order: Sequence[Column], page: int, per_page: int = 50) -> DataFrame:
-    """One page of the ordered rows; a page past the end is the last page. `order` must be total."""
+    """One page of the ordered rows; a page past the end is the last page. `order` must be total.
+
+    Early pages are a top-k. A deep page is found by position, since a top-k would
+    carry all rows before it through one task.
+    """
     n = df.count()
     pages = max(1, -(-n // per_page))
     page = max(0, min(page, pages - 1))
-    return df.orderBy(*order).offset(page * per_page).limit(per_page)
+    if (page + 1) * per_page <= TOP_ROWS:
+        return df.orderBy(*order).offset(page * per_page).limit(per_page)
+    placed = with_row_number(df.withColumn("_all", F.lit(0)), "_all", order, "_pos", n)
+    shown = placed.filter(F.col("_pos").between(page * per_page + 1, (page + 1) * per_page))
+    return shown.orderBy("_pos").select(*df.columns)
 
 
 def newest_first(ts: Column, pos: str) -> list[Column]:

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import days_between, et_date, et_hhmm
 from ..schemas import FEEDS
+from ..session import cut
 
 
 def load_feed(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
@@ -104,11 +105,16 @@ def integrity(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
 
 
 def append_history(snapshot: DataFrame, path: str, keys: Sequence[str] = ("session", "symbol")) -> int:
-    """Append the keys the history does not have yet; a stored session is never rewritten."""
+    """Append the keys the history does not have yet; a stored session is never rewritten.
+
+    Only the partitions of the snapshot's own sessions are looked at.
+    """
     spark = snapshot.sparkSession
-    held = load_history(spark, path, snapshot.schema)
+    sessions = F.broadcast(snapshot.select("session").distinct())      # the calendar bounds it
+    held = load_history(spark, path, snapshot.schema).join(sessions, "session", "left_semi")
     fresh = snapshot.join(held.select(*keys), list(keys), "left_anti")
-    fresh.repartition("session").write.mode("append").partitionBy("session").parquet(path)
+    fresh = cut(fresh)
+    fresh.repartition("session", *[k for k in keys if k != "session"]).write.mode("append").partitionBy("session").parquet(path)
     return fresh.count()
 
 
