@@ -42,3 +42,21 @@ def test_attribution_shares(spark, sf):
     out = entry.queries()["l5_attribution"](spark, sf)
     total = sum((F.col(f) for f in models.FAMILY_OF), F.lit(0.0))
     assert out.filter((F.abs(total - 1) > 1e-4) & (F.abs(total) > 1e-9)).count() == 0
+
+
+def test_importance_is_the_auc_lost(spark, sf):
+    out = entry.queries()["l4_permutation_importance"](spark, sf).collect()
+    assert {r.family for r in out} == set(models.FAMILY_OF)
+    intact = {round(r.auc + r.importance, 5) for r in out}
+    assert len(intact) == 1 and all(0 <= r.auc <= 1 for r in out)
+
+
+def test_expected_move_is_known_for_every_scored_row(spark, sf):
+    out = entry.queries()["l6_expected_oc"](spark, sf)
+    assert out.count() > 0 and out.filter("exp_oc IS NULL OR liq_edge IS NULL").count() == 0
+    assert out.agg(F.max(F.abs("liq_edge"))).first()[0] < 2
+
+
+def test_wrong_digests_are_found(spark, sf):
+    out = entry.queries()["s6_feed_integrity"](spark, sf).collect()
+    assert out and all(r.ok == (r.name[5:7] != "03") for r in out)
