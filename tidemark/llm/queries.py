@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import licenses, mixing, sharding
+from . import decontamination, langid, licenses, lines, mixing, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def held_out(n: int, remainder: int):
+    """Whether the document is kept back from learning; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n == remainder
+
+
+@query("op1_toxicity")
+def op1(spark, d):
+    """Toxicity of each document; the labels of four fifths of them are learned from."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
+    model = toxicity.trained(docs.filter(~held_out(5, 0)), labels)
+    return toxicity.scored(docs.withColumn("held_out", held_out(5, 0)), model, ["doc_id", "held_out"])
+
+
 @query("op2_sharding")
 def op2(spark, d):
     """All documents in eight shards of nearly equal row counts, in random order."""
@@ -39,12 +52,34 @@ def op2(spark, d):
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_language_id")
+def op4(spark, d):
+    """Predicted language of each document, learned from two thirds of them."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    out = held_out(3, 1)
+    scored = langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), docs.filter(~out))
+    return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_decontamination")
+def op5(spark, d):
+    """Benchmark items found in documents, with the best window of each."""
+    return decontamination.matches(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
+
+
 @query("op7_mixing", mixing.SQL)
 def op7(spark, d):
     """Words the mix takes of each document."""
     return mixing.plan(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_line_dedup", lines.SQL)
+def op8(spark, d):
+    """Lines held by three documents or more stay only in the last of them."""
+    kept = lines.dedup(table(spark, d, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_license_scan", licenses.sql())
 def op10(spark, d):
     """Licences of each document, by rules over its known licence sentences."""
