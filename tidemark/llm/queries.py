@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontamination, langid, licenses, lines, mixing, sharding, toxicity
+from . import decontamination, jaccard, langid, licenses, lines, mixing, neighbours, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op2(spark, d):
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op3_jaccard_join", jaccard.SQL)
+def op3(spark, d):
+    """Shingle set size and near-duplicate component of each document."""
+    return jaccard.join(table(spark, d, "documents"))
+
+
 @query("op4_language_id")
 def op4(spark, d):
     """Predicted language of each document, learned from two thirds of them."""
@@ -67,6 +73,12 @@ def op5(spark, d):
     return decontamination.matches(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
 
 
+@query("op6_neighbours")
+def op6(spark, d):
+    """The five nearest vectors found for every fiftieth vector."""
+    return neighbours.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op7_mixing", mixing.SQL)
 def op7(spark, d):
     """Words the mix takes of each document."""
