@@ -123,17 +123,30 @@ def _linked(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": b["x"], "v": b["y"]}).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (u, v) among `pairs` (x, y: ids), by whole sets; only documents in a pair are read as sets."""
-    pairs = written(pairs, "pairs")
+def _read_sets(pairs: DataFrame, docs: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """(id, body) of the documents in `pairs`, besides those read already."""
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    once = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    if have is not None:
+        ids = written(ids.join(have.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "ids")
+        if ids.isEmpty():
+            return have
+    # the ids grow with the corpus: texts and ids meet by a shuffle at every size
+    once = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
     bodies = written(map_arrow(once, _bodies, "id long, body binary").dropDuplicates(["id"]), "sets")
+    return bodies if have is None else have.unionByName(bodies)
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (u, v) among `pairs` (x, y: ids), by whole sets."""
     full = pairs.join(bodies.select(F.col("id").alias("x"), F.col("body").alias("x_body")), "x").join(
         bodies.select(F.col("id").alias("y"), F.col("body").alias("y_body")), "y")
     return map_arrow(full, _linked, "u long, v long", column="x_body", limit=4 << 20)
 
 
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.id", f"{y}.id").alias("x"), F.greatest(f"{x}.id", f"{y}.id").alias("y")]
+
+
 def _may(x: str, y: str) -> Column:
     """What sizes and places allow: the pair's first common column is at these places."""
     m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -160,17 +173,17 @@ def join(docs: DataFrame) -> DataFrame:
 
     pivot = active.groupBy("g").agg(F.min(F.struct("place", "n", "id")).alias("p")).select("g", F.col("p.id").alias("id"), F.col("p.n").alias("n"), F.col("p.place").alias("place"))
     star = active.alias("x").join(pivot.alias("y"), "g").filter((F.col("x.id") != F.col("y.id")) & _may("x", "y"))
-    links = written(_verified(star.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), docs), "links")
+    star = written(star.select(*_pairs("x", "y")).distinct(), "pairs")
+    bodies = _read_sets(star, docs)
+    links = written(_verified(star, bodies), "links")
 
     found = written(components(links), "components")
     of = active.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = of.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("g")
     of = written(of.join(several, "g"), "open-columns")
     across = of.alias("x").join(of.alias("y"), "g").filter((F.col("x.component") < F.col("y.component")) & _may("x", "y"))
-    across = across.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct().join(
-        star.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct(),
-        (F.least("x", "y") == F.col("u")) & (F.greatest("x", "y") == F.col("v")), "left_anti")
-    more = written(_verified(across, docs), "links")
+    across = written(across.select(*_pairs("x", "y")).distinct().join(star, ["x", "y"], "left_anti"), "pairs")
+    more = written(_verified(across, _read_sets(across, docs, bodies)), "links")
     if not more.isEmpty():
         found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
