@@ -91,24 +91,21 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = C
         "a.doc_id", "a.source", "a.size", "a.source_size", "a.target", F.coalesce("b.taken", F.lit(0)).cast("long").alias("taken"), "a.__key", "a.__order", "a.__dup")
 
 
+def _name() -> Column:
+    """With the text's key, the name of a row's document: of its id and source."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("source", F.lit("\0")))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it."""
-    key = ["doc_id", "source", "__key"]
+    """The rows of `docs`, each as often as the mix takes it; equal rows share what is taken of them evenly."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     chosen = plan(docs, **options).withColumn("__times", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0))
-    # equal rows are one name with several documents behind it: their copies are summed and dealt out again
-    chosen = chosen.groupBy(*key).agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__rows")).filter("__times > 0")
-    named = without(docs, "__key").withColumn("__key", text_key(F.col("text")))
-    columns = without(docs, "__key").columns
-    same = Window.partitionBy(*key).orderBy(F.lit(0))
-    on = F.lit(True)
-    for c in key:
-        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    joined = named.alias("a").join(chosen.alias("b"), on).select("a.*", "b.__times", "b.__rows")
-    single = joined.filter("__rows = 1").withColumn("__n", F.col("__times"))
-    several = joined.filter("__rows > 1").withColumn("__i", F.row_number().over(same)).withColumn(
-        "__n", F.expr("__times div __rows + if(__i <= __times % __rows, 1, 0)")).drop("__i")
-    return single.unionByName(several).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in columns])
+    chosen = chosen.groupBy(_name().alias("__name"), "__key").agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__rows")).filter("__times > 0")
+    named = docs.withColumns({"__name": _name(), "__key": text_key(F.col("text"))})
+    number = F.row_number().over(Window.partitionBy("__name", "__key").orderBy(F.lit(0)))
+    dealt = named.join(chosen.hint("merge"), ["__name", "__key"]).withColumn("__i", number)
+    times = F.expr("int(__times div __rows + if(__i <= __times % __rows, 1, 0))")
+    return dealt.withColumn("__n", times).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
 
 
 #: The rows of `plan` with its defaults, in DuckDB SQL.

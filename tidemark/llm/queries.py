@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontamination, jaccard, langid, licenses, lines, mixing, neighbours, sharding, toxicity
+from . import decontamination, jaccard, langid, licenses, lines, mixing, neighbours, repeats, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,13 @@ def op8(spark, d):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op9_repeats")
+def op9(spark, d):
+    """Bytes of each document covered by 200-byte strings that start anywhere else too."""
+    return repeats.cut(table(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_license_scan", licenses.sql())
 def op10(spark, d):
     """Licences of each document, by rules over its known licence sentences."""
