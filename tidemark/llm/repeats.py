@@ -185,7 +185,9 @@ def _on(left: str, right: str):
 def shared_windows(docs: DataFrame) -> DataFrame:
     """(doc, key, windows): for each document with repeated windows, runs (first, n) of them; one row a document."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc"), text_key(F.col("text")).alias("key"), "text")
+    # written, so that both sides of the join are dealt anew and a rank in very many texts can be split
     several = map_arrow(named, _ranks, "h long", limit=PIECE).groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
+    several = written(several, "shared-ranks")
     rows = written(map_arrow(named, _rows, "h long, ra long, doc long, key long, run long", limit=PIECE).join(several, "h"), "runs")
 
     kinds = written(rows.groupBy("h", "ra").agg(F.count(F.lit(1)).alias("m"), F.first("doc").alias("doc"), F.first("key").alias("key"), F.first("run").alias("run")), "kinds")
