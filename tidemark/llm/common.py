@@ -65,7 +65,7 @@ def batches(source: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text",
-              limit: int = 2 << 20) -> DataFrame:
+              limit: int = 1 << 20) -> DataFrame:
     """`fn` over slices of bounded text size; None adds nothing."""
     def run(source):
         for piece in batches(source, column, limit):

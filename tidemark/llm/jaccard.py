@@ -57,15 +57,15 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _measure(source):
     """Name and size of each row's set, and the task's part of the sketch in pieces."""
-    sketch = np.zeros(SLOTS, dtype=np.int64)
-    for b in batches(source, "text", 2 << 20):
+    sketch = np.zeros(SLOTS, dtype=np.uint32)
+    for b in batches(source, "text", 1 << 20):
         s, _, first = _sets(b["text"])
-        sketch += np.bincount((s & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        np.add.at(sketch, (s & U(SLOTS - 1)).astype(np.int64), 1)
         yield pa.RecordBatch.from_pydict({
             "doc_id": b["doc_id"], "n": pa.array(np.diff(first).astype(np.int64)), "a": signed(_sums(mix(s), first)), "b": signed(_sums(mix(s ^ U(0x5DEECE66D)), first)),
             "chunk": pa.nulls(b.num_rows, pa.int32()), "sketch": pa.nulls(b.num_rows, pa.binary())})
     step = SLOTS // CHUNKS
-    parts = [zlib.compress(sketch[i * step:(i + 1) * step].astype(np.uint32).tobytes(), 1) for i in range(CHUNKS)]
+    parts = [zlib.compress(sketch[i * step:(i + 1) * step].tobytes(), 1) for i in range(CHUNKS)]
     yield pa.RecordBatch.from_pydict({
         **{c: pa.nulls(CHUNKS, pa.int64()) for c in ("doc_id", "n", "a", "b")}, "chunk": pa.array(range(CHUNKS), pa.int32()), "sketch": pa.array(parts, pa.binary())})
 
@@ -140,7 +140,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Links (u, v) among `pairs` (x, y: ids), by whole sets."""
     full = pairs.join(bodies.select(F.col("id").alias("x"), F.col("body").alias("x_body")), "x").join(
         bodies.select(F.col("id").alias("y"), F.col("body").alias("y_body")), "y")
-    return map_arrow(full, _linked, "u long, v long", column="x_body", limit=4 << 20)
+    return map_arrow(full, _linked, "u long, v long", column="x_body")
 
 
 def _pairs(x: str, y: str) -> list[Column]:

@@ -55,7 +55,7 @@ def _merge(held, codes_, counts):
 def _counts(source):
     """N-gram counts of each language over a whole partition; rows out: distinct n-grams, whatever rows came in."""
     held: dict[str, tuple] = {}
-    for b in batches(source, "__letters", 2 << 20):
+    for b in batches(source, "__letters", 1 << 20):
         raw, off = text_bytes(b["__letters"])
         by: dict[str, list] = {}
         for i, lang in enumerate(b["__lang"].to_pylist()):
