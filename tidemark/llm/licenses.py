@@ -60,7 +60,7 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 #: Every known sentence has one of these; a text or sentence without any is not normalised at all.
-CUES = ["licens", "copyright", "software", "public domain", "redistributi"]
+CUES = ["licens", "copyright", "software", "public domain", "redistributi", "warranty"]
 CUE = "(?i)(" + "|".join(c.replace(" ", "[^a-z0-9]+") for c in CUES) + ")"
 #: Ends of sentences: a full stop and the like before white space or the end, or an empty line.
 SENTENCE_END = r"[.!?:;]+(?:[\x20\x09-\x0D]+|$)|\n[\x20\x09-\x0D]*\n"
