@@ -31,11 +31,11 @@ def portfolios():
     return out
 
 
-@pytest.mark.parametrize("bound", [10, 10**9])
-def test_waterfill(spark, portfolios, bound):
+@pytest.mark.parametrize("small", [True, False])
+def test_waterfill(spark, portfolios, small):
     data = [(p, t, i, c) for p, t, caps in portfolios for i, c in enumerate(caps)]
     df = spark.createDataFrame(data, "p int, total double, i int, cap double")
-    got = {(r.p, r.i): r for r in A.waterfill(df, ["p"], ["i"], group_rows=bound).collect()}
+    got = {(r.p, r.i): r for r in A.waterfill(df, ["p"], ["i"], small=small).collect()}
     assert len(got) == len(data)
     for p, t, caps in portfolios:
         want, rem = poured(t, caps)

@@ -72,27 +72,3 @@ def test_no_cartesian_product(spark, sf, name):
 
 def test_top_k_is_limited_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan_of(entry.queries()["o4_topk_per_session"](spark, sf))
-
-
-def test_large_universe_gives_the_same_picks(spark, sf, monkeypatch):
-    """The way taken beyond the one-task limit, on the same rows."""
-    from tidemark.operators import ranking
-    cols = ["session", "symbol", "urank", "board_rank", "squeeze_danger", "lift"]
-    small = sorted(map(repr, board.picks(spark, sf).select(cols).collect()))
-    monkeypatch.setattr(board, "universe_bound", lambda spark, d: ranking.UNBOUNDED)
-    assert sorted(map(repr, board.picks(spark, sf).select(cols).collect())) == small
-
-
-def test_no_lookahead(spark, sf):
-    """Cutting the future off changes no feature of the past."""
-    bars = derived.bars(spark, sf)
-    cols = ["symbol", "session", "r20", "rvol1", "rsi14", "dist_ma50", "dd_52w", "vol20", "spread", "ssr"]
-    end = F.lit("1998-06-01").cast("date")
-    whole = session_features(bars).filter(F.col("session") < end).select(cols)
-    past = session_features(bars.filter(F.col("session") < end)).select(cols)
-    assert sorted(map(repr, whole.collect())) == sorted(map(repr, past.collect()))
-
-
-def test_pit_join_has_no_violation(spark, sf):
-    out = entry.queries()["j8_pit_features"](spark, sf)
-    assert out.agg(F.sum("violations")).first()[0] == 0

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import fixed, sizing
 from ..functions.scalars import finite
 from ..session import cut
-from .ranking import ONE_TASK_ROWS, UNBOUNDED, running_total
+from .ranking import beside, running_total
 
 
 def waterfill(caps: DataFrame, by: Sequence[str], key: Sequence[str], total: str = "total", cap: str = "cap",
-              group_rows: int = UNBOUNDED) -> DataFrame:
+              small: bool = False) -> DataFrame:
     """Split `total` of each portfolio equally, each name within its cap, excess shared on.
 
     Closed form: with the positive caps in ascending order, the water level is
@@ -25,19 +25,20 @@ def waterfill(caps: DataFrame, by: Sequence[str], key: Sequence[str], total: str
     by, key = list(by), list(key)
     c = F.greatest(F.coalesce(F.col(cap), F.lit(0.0)), F.lit(0.0))
     rows = caps.withColumn("_c", c)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         return _waterfill_windows(rows, caps.columns, by, key, total)
     rows = cut(rows)
     filled = running_total(rows.filter(F.col("_c") > 0), by, [F.col("_c"), *[F.col(k) for k in key]],
-                           {"_upto": F.col("_c"), "_i": F.lit(1).cast("bigint")}, group_rows)
+                           {"_upto": F.col("_c"), "_i": F.lit(1).cast("bigint")}, small)
     sizes = rows.groupBy(*by).agg(F.count_if(F.col("_c") > 0).alias("_n"), F.sum("_c").alias("_room"))
-    placed = filled.select(*by, "_c", "_upto", "_i", F.col(total).alias("_t")).join(sizes, by)
+    placed = filled.select(*by, "_c", "_upto", "_i", F.col(total).alias("_t"))
+    placed = beside(placed, sizes, by)
     left = F.col("_n") - F.col("_i") + 1
     before = F.col("_upto") - F.col("_c")
     reached = before + F.col("_c") * left >= F.col("_t")
     level = placed.groupBy(*by).agg(F.min_by(
         F.try_divide(F.col("_t") - before, left), F.when(reached, F.col("_i"))).alias("_level"))
-    out = rows.join(sizes, by).join(level, by, "left")
+    out = beside(beside(rows, sizes, by), level, by, "left")
     alloc = F.least(F.col("_c"), F.coalesce(F.col("_level"), F.lit(float("inf"))))
     return out.select(*caps.columns, alloc.alias("alloc"),
                       F.greatest(F.col(total) - F.col("_room"), F.lit(0.0)).alias("left_over"))
@@ -74,7 +75,7 @@ def basket_rows(board: DataFrame, totals: Sequence[int] = fixed.PLAN_TOTALS, ks:
 
 def plan_basket(board: DataFrame, totals: Sequence[int] = fixed.PLAN_TOTALS, ks: Sequence[int] = fixed.PLAN_K) -> DataFrame:
     """Allocation and own cost of every name of every plan; a plan holds at most max(ks) names."""
-    rows = waterfill(basket_rows(board, totals, ks), ["session", "total", "k"], ["symbol"], group_rows=max(ks))
+    rows = waterfill(basket_rows(board, totals, ks), ["session", "total", "k"], ["symbol"], small=True)
     return rows.withColumn("cost", F.when(F.col("alloc") > 0, sizing.cost_law("alloc", "c10", "spread")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import UNBOUNDED, top_k, with_group_agg
+from .ranking import top_k, with_group_agg
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
@@ -80,7 +80,8 @@ def merge_records(lists: DataFrame, by: Sequence[str], precedence: Sequence[str]
     struct columns `as_<list>`, except where the record itself comes from there
     (a lookalike attaches even then). A record won by `top` reads as a board one.
     """
-    prio = F.array_position(F.array(*[F.lit(p) for p in precedence]), F.col("list"))
+    at = F.array_position(F.array(*[F.lit(p) for p in precedence]), F.col("list"))
+    prio = F.when(at > 0, at).otherwise(len(precedence) + 1)         # a list without a place comes last
     whole = W.partitionBy(*by)               # a key holds one row per list
     rest = F.struct(*[c for c in lists.columns if c not in (*by, "list")])
     beside = {s: F.min_by(rest, F.when(F.col("list") == s, F.col("pos"))).over(whole) for s in side}
@@ -99,20 +100,20 @@ def mark_known(rows: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -
     return rows.join(seen, list(on), "left").withColumn(name, F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
-def first_passing(rows: DataFrame, by: str, rank: str, passes: Column, group_rows: int = UNBOUNDED) -> DataFrame:
+def first_passing(rows: DataFrame, by: str, rank: str, passes: Column, small: bool = False) -> DataFrame:
     """Per group the best-ranked row that passes, and the rows passed over above it.
 
     Long form with `role`, so a group that passes over many names stays rows.
     """
-    met = with_group_agg(rows, by, {"_pick": F.min(F.when(passes, F.col(rank)))}, group_rows)
+    met = with_group_agg(rows, by, {"_pick": F.min(F.when(passes, F.col(rank)))}, small)
     met = met.filter(F.col(rank) <= F.col("_pick"))
     return met.withColumn("role", F.when(F.col(rank) == F.col("_pick"), "picked").otherwise("passed over")).drop("_pick")
 
 
-def zscores(rows: DataFrame, by: str, cols: Sequence[str], group_rows: int = UNBOUNDED) -> DataFrame:
+def zscores(rows: DataFrame, by: str, cols: Sequence[str], small: bool = False) -> DataFrame:
     """Group z-scores; a column without spread, or a missing value, scores 0 (typical)."""
     stats = {f"_m_{c}": F.avg(c) for c in cols} | {f"_d_{c}": F.stddev_samp(c) for c in cols}
-    joined = with_group_agg(rows, by, stats, group_rows)
+    joined = with_group_agg(rows, by, stats, small)
     z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_d_{c}")), F.lit(0.0)).alias(f"z_{c}") for c in cols]
     return joined.select(*rows.columns, *z)
 
@@ -124,14 +125,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def lookalikes(rows: DataFrame, by: str, key: str, vector: Column, anchor: Column, k: int, at_least: float,
-               group_rows: int = UNBOUNDED) -> DataFrame:
+               small: bool = False) -> DataFrame:
     """The k names of each group most like its anchor, with similarity of at least the bar.
 
     Similarity is the cosine of the feature vectors (our formula). The anchor is
     the row of the group with the smallest `anchor`.
     """
     found = {"_a": F.min_by(F.struct(F.col(key).alias("key"), vector.alias("v")), anchor)}
-    near = with_group_agg(rows, by, found, group_rows).select(
+    near = with_group_agg(rows, by, found, small).select(
         "*", F.col("_a.key").alias("anchor"), F.round(cosine(vector, F.col("_a.v")), 9).alias("similarity"))
     near = near.filter((F.col(key) != F.col("anchor")) & (F.col("similarity") >= at_least)).drop("_a")
     return top_k(near, by, [F.col("similarity").desc(), F.col(key)], k, "twin_rank")

@@ -42,23 +42,23 @@ def union_lists(lists: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def group_by_day(events: DataFrame, day: str, key: str, group_rows: int) -> DataFrame:
+def group_by_day(events: DataFrame, day: str, key: str, small: bool = False) -> DataFrame:
     """Events of each day numbered in feed order.
 
     The day's list stays rows, so a day with very many events is never one value.
     """
     from .ranking import with_row_number
-    return with_row_number(events, day, [F.col(key)], "pos", group_rows)
+    return with_row_number(events, day, [F.col(key)], "pos", small)
 
 
-def breadth(rows: DataFrame, group_rows: int) -> DataFrame:
+def breadth(rows: DataFrame, small: bool) -> DataFrame:
     """Share of names up, median return, and counts of big movers per session."""
     from .ranking import agg_with_median
     known = rows.filter(F.col("r1").isNotNull())
     return agg_with_median(known, "session", [
         F.avg(F.when(F.col("r1") > 0, 1.0).otherwise(0.0)).alias("breadth_up"),
         F.count_if(F.col("r1") >= 0.2).alias("n_up20"), F.count_if(F.col("r1") <= -0.2).alias("n_down20")],
-        "r1", "median_r1", group_rows)
+        "r1", "median_r1", small)
 
 
 def sector_heat(rows: DataFrame, least: int = 5, top: int = 3) -> DataFrame:
@@ -100,10 +100,13 @@ def size_summary(rows: DataFrame) -> DataFrame:
         F.min_by("capacity", "rank").alias("top_capacity"), F.min_by("breakeven", "rank").alias("top_breakeven"))
 
 
-def unified_lists(scored: DataFrame, lists: Mapping[str, tuple[Column, Column]], k: int) -> DataFrame:
-    """U4: top k rows of every named list over one scored union: name -> (membership, order key)."""
-    from .ranking import top_k
+def unified_lists(scored: DataFrame, lists: Mapping[str, tuple[Column, Column]], k: int | None = None) -> DataFrame:
+    """U4: every named list over one scored union, or its top k rows: name -> (membership, order key)."""
+    from .ranking import top_k, with_row_number
     entries = F.explode(F.array(*[
         F.when(member, F.struct(F.lit(n).alias("list"), key.cast("double").alias("key"))) for n, (member, key) in lists.items()]))
     long = scored.withColumn("_e", entries).filter(F.col("_e").isNotNull()).select(*scored.columns, "_e.list", "_e.key")
-    return top_k(long, ["session", "list"], [F.col("key").desc_nulls_last(), F.col("symbol"), F.col("side")], k, "pos")
+    order = [F.col("key").desc_nulls_last(), F.col("symbol"), F.col("side")]
+    if k is None:
+        return with_row_number(long, ["session", "list"], order, "pos", small=True)      # two sides of a session's names
+    return top_k(long, ["session", "list"], order, k, "pos")

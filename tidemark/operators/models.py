@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ranking import UNBOUNDED, exact_median, with_group_agg, with_percent_rank, with_row_number
+from .ranking import exact_median, with_group_agg, with_percent_rank, with_row_number
 from .records import aucs
 
 M0 = ["r1", "r3", "r5", "r20", "rvol1", "rsi14", "dist_ma20", "dist_ma50", "dd_52w", "vol20", "short_ratio_5d"]
@@ -39,12 +39,15 @@ def targets() -> dict[str, Column]:
     }
 
 
-def training_rows(panel: DataFrame, features: Sequence[str] = tuple(M1)) -> DataFrame:
-    """Rows with all features and one 0/1 column per target (missing where not known yet)."""
+def training_rows(panel: DataFrame, needed: Sequence[str] = tuple(M0)) -> DataFrame:
+    """Rows with all of `needed`, the inputs of every model, and one 0/1 column per target (missing where not known yet).
+
+    Inputs that only some models take may be missing; those models pass over such rows.
+    """
     rows = panel.withColumn("next_gap", F.col("next_open") / F.col("close") - 1)
     labels = [F.when(c, 1.0).when(~c, 0.0).alias(f"y_{n}") for n, c in targets().items()]
-    return rows.dropna(subset=list(features)).select(
-        "session", "symbol", *features, "next_oc", "next_oh", "swing5", "session_idx", *labels)
+    return rows.dropna(subset=list(needed)).select(
+        "session", "symbol", *M1, "next_oc", "next_oh", "swing5", "session_idx", *labels)
 
 
 def with_session_index(rows: DataFrame) -> DataFrame:
@@ -94,11 +97,11 @@ def walk_forward(rows: DataFrame, features: Sequence[str], label: str, folds: in
     return out
 
 
-def probability_caps(scores: DataFrame, share: float = 0.01, group_rows: int = UNBOUNDED) -> DataFrame:
+def probability_caps(scores: DataFrame, share: float = 0.01, small: bool = False) -> DataFrame:
     """L3: per model, the realised rate of its most confident calls out of sample."""
     order = [F.col("score").desc(), F.col("session"), F.col("symbol")]
-    placed = with_row_number(scores, "model", order, "_i", group_rows)
-    placed = with_group_agg(placed, "model", {"_n": F.count("*")}, group_rows)
+    placed = with_row_number(scores, "model", order, "_i", small)
+    placed = with_group_agg(placed, "model", {"_n": F.count("*")}, small)
     return placed.filter(F.col("_i") <= F.ceil(F.col("_n") * share)).groupBy("model").agg(
         F.avg(F.when(F.col("next_oc") <= fixed.DUMP, 1.0).otherwise(0.0)).alias("cap"), F.count("*").alias("n_calls"))
 
@@ -108,29 +111,29 @@ def capped(scores: DataFrame, caps: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(caps), "model").withColumn("p_capped", F.least("score", "cap"))
 
 
-def shuffled(rows: DataFrame, cols: Sequence[str], seed: int, group_rows: int = UNBOUNDED) -> DataFrame:
+def shuffled(rows: DataFrame, cols: Sequence[str], seed: int, small: bool = False) -> DataFrame:
     """The columns exchanged among the names of each session by a seeded, repeatable order."""
-    there = with_row_number(rows, "session", [F.col("symbol")], "_to", group_rows)
+    there = with_row_number(rows, "session", [F.col("symbol")], "_to", small)
     mixed = with_row_number(rows.select("session", "symbol", *cols), "session",
-                            [F.xxhash64(F.col("symbol"), F.lit(seed)), F.col("symbol")], "_to", group_rows)
+                            [F.xxhash64(F.col("symbol"), F.lit(seed)), F.col("symbol")], "_to", small)
     return there.drop(*cols).join(mixed.drop("symbol"), ["session", "_to"]).drop("_to")
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, families: Mapping[str, Sequence[str]], label: str,
-                           seed: int = 7, group_rows: int = UNBOUNDED, all_rows: int = UNBOUNDED) -> DataFrame:
+                           seed: int = 7, small: bool = False, all_small: bool = False) -> DataFrame:
     """L4: AUC lost when a family's inputs are exchanged among the names of a session."""
     cases = score(model, rows).select(F.lit("none").alias("family"), "p", label)
     for fam, cols in families.items():
-        mixed = score(model, shuffled(rows, cols, seed, group_rows))
+        mixed = score(model, shuffled(rows, cols, seed, small))
         cases = cases.unionByName(mixed.select(F.lit(fam).alias("family"), "p", label))
     cases = cases.withColumn("p", F.round("p", 9))
-    measured = aucs(cases, ["family"], "p", {"auc": (F.col(label) == 1, F.lit(True))}, all_rows)
+    measured = aucs(cases, ["family"], "p", {"auc": (F.col(label) == 1, F.lit(True))}, all_small)
     intact = F.max(F.when(F.col("family") == "none", F.col("auc"))).over(W.partitionBy())     # one row per family
     return measured.withColumn("importance", intact - F.col("auc")).filter(F.col("family") != "none")
 
 
 def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Sequence[str]],
-                group_rows: int = UNBOUNDED) -> DataFrame:
+                small: bool = False) -> DataFrame:
     """Share of a reading that disappears when a family is set to the session's typical values.
 
     One pass: the linear score is recomputed per family from the fitted coefficients.
@@ -138,7 +141,7 @@ def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Se
     cols = [c for cs in families.values() for c in cs]
     typical = rows.select("session").distinct()
     for c in cols:
-        typical = typical.join(exact_median(rows, "session", c, f"_t_{c}", group_rows), "session")
+        typical = typical.join(exact_median(rows, "session", c, f"_t_{c}", small), "session")
     met = rows.join(F.broadcast(typical), "session")
     lr, names = model.stages[-1], model.stages[0].getInputCols()
     coef = dict(zip(names, lr.coefficients.toArray().tolist()))
@@ -154,9 +157,9 @@ def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Se
 
 
 def expected_move(rows: DataFrame, features: Sequence[str], cut_idx: int, embargo: int = 5,
-                  group_rows: int = UNBOUNDED) -> DataFrame:
+                  small: bool = False) -> DataFrame:
     """Expected open-to-close, and expected place among the session's peers (edge = -prediction)."""
-    placed = with_percent_rank(rows.filter(F.col("next_oc").isNotNull()), "session", "symbol", ["next_oc"], "_pr", group_rows)
+    placed = with_percent_rank(rows.filter(F.col("next_oc").isNotNull()), "session", "symbol", ["next_oc"], "_pr", small)
     placed = placed.withColumn("place", F.col("next_oc_pr") - 0.5)
     train, test = placed.filter(F.col("session_idx") < cut_idx - embargo), rows.filter(F.col("session_idx") >= cut_idx)
     vec = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip")

@@ -1,10 +1,11 @@
 """Ranks, percentiles, running totals and ordered boards.
 
-A window over a group runs in one task, so it is used only where the number
-of rows a group can hold is known and small (`group_rows`, a proven bound such
-as a footer count of the symbol table). Beyond `ONE_TASK_ROWS` the same result
-comes from `running_total`: a range-partitioned sort, totals per slice, and the
-totals of the earlier slices added on. Both ways are exact.
+A window over a group runs in one task, so it is used only where the meaning of
+the group bounds it (`small=True`: the names of a session, a board of 100, a
+plan's k names). No row count decides. Everywhere else the result comes from
+`running_total`: a range-partitioned sort, totals per slice, and the totals of
+the earlier slices added on. Both ways give the same rows: a missing group key
+is a group, a missing value has no rank and is not counted.
 """
 
 from __future__ import annotations
@@ -18,20 +19,25 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite
 from ..session import cut
 
-ONE_TASK_ROWS = 2_000_000
-TOP_ROWS = 10_000
-UNBOUNDED = ONE_TASK_ROWS + 1
-
 
 def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def beside(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """`df` with the columns of `other` that it has not, joined on `on`; missing keys match."""
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))
+    return df.alias("_l").join(other.alias("_r"), same, how).select(
+        *[F.col(f"_l.`{c}`") for c in df.columns], *[F.col(f"_r.`{c}`") for c in other.columns if c not in on])
+
+
 def running_total(df: DataFrame, by, order: Sequence[Column], totals: Mapping[str, Column],
-                  group_rows: int = UNBOUNDED, slices: int | None = None) -> DataFrame:
+                  small: bool = False, slices: int | None = None) -> DataFrame:
     """Add inclusive running sums per group; `order` must be a total order in the group."""
     by = _keys(by)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in totals.items()])
 
@@ -45,17 +51,17 @@ def running_total(df: DataFrame, by, order: Sequence[Column], totals: Mapping[st
     base = base.select(*by, "_slice", *[
         F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals])
     held = held.select("*", *[F.sum(f"_x_{n}").over(inside).alias(f"_w_{n}") for n in totals])
-    joined = held.join(base, [*by, "_slice"])
+    joined = beside(held, base, [*by, "_slice"])
     return joined.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals])
 
 
 def with_row_number(df: DataFrame, by, order: Sequence[Column], name: str = "rank",
-                    group_rows: int = UNBOUNDED) -> DataFrame:
+                    small: bool = False) -> DataFrame:
     """1-based position in the group; `order` must end in a unique key."""
     by = _keys(by)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
-    return running_total(df, by, order, {name: F.lit(1).cast("bigint")}, group_rows)
+    return running_total(df, by, order, {name: F.lit(1).cast("bigint")}, small)
 
 
 def _value_places(df: DataFrame, by: list[str], key: list[str], cols: Sequence[str]) -> DataFrame:
@@ -68,17 +74,16 @@ def _value_places(df: DataFrame, by: list[str], key: list[str], cols: Sequence[s
     long = df.select(*by, *key, F.expr(f"stack({len(cols)}, {pairs}) AS (_part, _value)"))
     long = cut(long.filter(F.col("_value").isNotNull()))
     counts = long.groupBy(*by, "_part", "_value").agg(F.count("*").alias("_n"))
-    placed = running_total(counts, [*by, "_part"], [F.col("_value")], {"_upto": F.col("_n")}, UNBOUNDED)
+    placed = running_total(counts, [*by, "_part"], [F.col("_value")], {"_upto": F.col("_n")})
     size = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_all"))
-    placed = placed.join(size, [*by, "_part"])
-    return long.join(placed, [*by, "_part", "_value"])
+    return beside(long, beside(placed, size, [*by, "_part"]), [*by, "_part", "_value"])
 
 
 def with_percent_rank(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_pr",
-                      group_rows: int = UNBOUNDED) -> DataFrame:
+                      small: bool = False) -> DataFrame:
     """(rank - 1) / (n - 1) of each column among its non-missing values in the group."""
     by, key = _keys(by), _keys(key)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         out = []
         for c in cols:
             n = F.count(c).over(W.partitionBy(*by))
@@ -89,41 +94,42 @@ def with_percent_rank(df: DataFrame, by, key, cols: Sequence[str], suffix: str =
         "_pr", F.when(F.col("_all") > 1, (F.col("_upto") - F.col("_n")) / (F.col("_all") - 1)).otherwise(0.0))
     wide = long.groupBy(*by, *key).pivot("_part", list(cols)).agg(F.first("_pr"))
     wide = wide.select(*by, *key, *[F.col(c).alias(c + suffix) for c in cols])
-    return df.join(wide, [*by, *key], "left")
+    return beside(df, wide, [*by, *key], "left")
 
 
-def with_cume_dist(df: DataFrame, by, key, col: str, name: str, group_rows: int = UNBOUNDED) -> DataFrame:
-    """Share of the group's values that are at or below this one."""
+def with_cume_dist(df: DataFrame, by, key, col: str, name: str, small: bool = False) -> DataFrame:
+    """Share of the group's known values that are at or below this one; missing for a missing value."""
     by, key = _keys(by), _keys(key)
-    if group_rows <= ONE_TASK_ROWS:
-        return df.withColumn(name, F.cume_dist().over(W.partitionBy(*by).orderBy(col)))
+    if small:
+        known = F.col(col).isNotNull()
+        return df.withColumn(name, F.when(known, F.cume_dist().over(W.partitionBy(*by, known).orderBy(col))))
     long = _value_places(df, by, key, [col]).select(*by, *key, (F.col("_upto") / F.col("_all")).alias(name))
-    return df.join(long, [*by, *key], "left")
+    return beside(df, long, [*by, *key], "left")
 
 
 def with_rank_desc(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_rank",
-                   group_rows: int = UNBOUNDED) -> DataFrame:
+                   small: bool = False) -> DataFrame:
     """1 + number of strictly larger values in the group, per column."""
     by, key = _keys(by), _keys(key)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         rank = lambda c: F.rank().over(W.partitionBy(*by).orderBy(F.col(c).desc_nulls_last())).cast("bigint")
         return df.select("*", *[F.when(F.col(c).isNotNull(), rank(c)).alias(c + suffix) for c in cols])
     long = _value_places(df, by, key, cols).withColumn("_r", F.col("_all") - F.col("_upto") + 1)
     wide = long.groupBy(*by, *key).pivot("_part", list(cols)).agg(F.first("_r"))
     wide = wide.select(*by, *key, *[F.col(c).alias(c + suffix) for c in cols])
-    return df.join(wide, [*by, *key], "left")
+    return beside(df, wide, [*by, *key], "left")
 
 
-def with_group_agg(df: DataFrame, by, aggs: Mapping[str, Column], group_rows: int = UNBOUNDED) -> DataFrame:
+def with_group_agg(df: DataFrame, by, aggs: Mapping[str, Column], small: bool = False) -> DataFrame:
     """Aggregates of the row's group, on every row.
 
     Small groups share the exchange of the windows around; large ones are
     aggregated before the shuffle and joined back.
     """
     by = _keys(by)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         return df.select("*", *[c.over(W.partitionBy(*by)).alias(n) for n, c in aggs.items()])
-    return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), by)
+    return beside(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), by)
 
 
 def top_k(df: DataFrame, by, order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -163,15 +169,12 @@ def board_order(key: str = "rank", flipped: bool = False) -> list[Column]:
 def paginate(df: DataFrame, order: Sequence[Column], page: int, per_page: int = 50) -> DataFrame:
     """One page of the ordered rows; a page past the end is the last page. `order` must be total.
 
-    Early pages are a top-k. A deep page is found by position, since a top-k would
-    carry all rows before it through one task.
+    Found by position, so no task carries the rows before the page; the count is
+    of the rows already placed.
     """
-    n = df.count()
-    pages = max(1, -(-n // per_page))
+    placed = cut(with_row_number(df.withColumn("_all", F.lit(0)), "_all", order, "_pos"))
+    pages = max(1, -(-placed.count() // per_page))
     page = max(0, min(page, pages - 1))
-    if (page + 1) * per_page <= TOP_ROWS:
-        return df.orderBy(*order).offset(page * per_page).limit(per_page)
-    placed = with_row_number(df.withColumn("_all", F.lit(0)), "_all", order, "_pos", n)
     shown = placed.filter(F.col("_pos").between(page * per_page + 1, (page + 1) * per_page))
     return shown.orderBy("_pos").select(*df.columns)
 
@@ -202,24 +205,25 @@ def live_order(oc: str = "oc", pos: str = "symbol") -> list[Column]:
     return [F.coalesce(finite(oc), F.lit(9.0)).asc(), F.col(pos).asc()]
 
 
-def exact_median(df: DataFrame, by, value: str, name: str, group_rows: int = UNBOUNDED) -> DataFrame:
-    """Median per group. The built-in one holds a group's values in one task, so large groups are placed by rank."""
+def exact_median(df: DataFrame, by, value: str, name: str, small: bool = False) -> DataFrame:
+    """Median per group, missing if all values are. The built-in one holds a group's values in one task; others are placed by rank."""
     by = _keys(by)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         return df.groupBy(*by).agg(F.median(value).alias(name))
     counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
-    placed = running_total(counts, by, [F.col("_v")], {"_upto": F.col("_n")}, group_rows)
-    placed = placed.join(counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by)
+    placed = running_total(counts, by, [F.col("_v")], {"_upto": F.col("_n")}, small)
+    placed = beside(placed, counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by)
     below, upto, n = F.col("_upto") - F.col("_n"), F.col("_upto"), F.col("_all")
     lower, upper = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)      # 1-based middle places
     holds = lambda place: (below < place) & (upto >= place)
-    return placed.groupBy(*by).agg(
+    found = placed.groupBy(*by).agg(
         ((F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(name))
+    return beside(df.select(*by).distinct(), found, by, "left")
 
 
-def agg_with_median(df: DataFrame, by, aggs: Sequence[Column], value: str, name: str, group_rows: int = UNBOUNDED) -> DataFrame:
+def agg_with_median(df: DataFrame, by, aggs: Sequence[Column], value: str, name: str, small: bool = False) -> DataFrame:
     """Grouped aggregates and one exact median; a single pass where the groups are small."""
     by = _keys(by)
-    if group_rows <= ONE_TASK_ROWS:
+    if small:
         return df.groupBy(*by).agg(*aggs, F.median(value).alias(name))
-    return df.groupBy(*by).agg(*aggs).join(exact_median(df, by, value, name, group_rows), by)
+    return beside(df.groupBy(*by).agg(*aggs), exact_median(df, by, value, name), by)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ranking import UNBOUNDED, agg_with_median, running_total, with_group_agg, with_row_number
+from .ranking import agg_with_median, running_total, with_group_agg, with_row_number
 
 
 def rate(cond: Column) -> Column:
@@ -102,11 +102,11 @@ def by_model(rows: DataFrame, models: Mapping[str, str], keep: Sequence[str]) ->
         *keep, "_m.model", "_m.score")
 
 
-def cohort_rates(scores: DataFrame, group_rows: int) -> DataFrame:
+def cohort_rates(scores: DataFrame, small: bool) -> DataFrame:
     """Hit, mean move and squeeze rate of #1, top 10, top decile and all, per model."""
     order = [F.col("score").desc(), F.col("symbol")]
-    ranked = with_row_number(scores, ["model", "session"], order, "rank", group_rows)
-    ranked = with_group_agg(ranked, ["model", "session"], {"_n": F.count("*")}, group_rows)
+    ranked = with_row_number(scores, ["model", "session"], order, "rank", small)
+    ranked = with_group_agg(ranked, ["model", "session"], {"_n": F.count("*")}, small)
     cohorts = in_subsets(ranked, {
         "top1": F.col("rank") == 1, "top10": F.col("rank") <= 10,
         "decile": F.col("rank") <= F.ceil(F.col("_n") / 10), "all": F.lit(True)}, "cohort")
@@ -116,7 +116,7 @@ def cohort_rates(scores: DataFrame, group_rows: int) -> DataFrame:
 
 
 def aucs(rows: DataFrame, by: Sequence[str], score: str, questions: Mapping[str, tuple[Column, Column]],
-         group_rows: int = UNBOUNDED) -> DataFrame:
+         small: bool = False) -> DataFrame:
     """Mann-Whitney AUC of the score, ties one half: name -> (positive, which rows count).
 
     Rows are first counted per distinct score, for all questions at once, so only
@@ -127,7 +127,7 @@ def aucs(rows: DataFrame, by: Sequence[str], score: str, questions: Mapping[str,
     counts = rows.groupBy(*by, F.col(score).alias("_s")).agg(
         *[tally(q, True).alias(f"_p_{n}") for n, q in questions.items()],
         *[tally(q, False).alias(f"_q_{n}") for n, q in questions.items()])
-    placed = running_total(counts, by, [F.col("_s")], {f"_below_{n}": F.col(f"_q_{n}") for n in questions}, group_rows)
+    placed = running_total(counts, by, [F.col("_s")], {f"_below_{n}": F.col(f"_q_{n}") for n in questions}, small)
 
     def ratio(n: str) -> Column:
         p, q, below = F.col(f"_p_{n}"), F.col(f"_q_{n}"), F.col(f"_below_{n}")
@@ -149,17 +149,17 @@ def brier(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model").agg(F.avg(F.pow(F.col("score") - y, F.lit(2.0))).alias("brier"), F.count("*").alias("n"))
 
 
-def calibration(scores: DataFrame, bins: int = 10, group_rows: int = UNBOUNDED) -> DataFrame:
+def calibration(scores: DataFrame, bins: int = 10, small: bool = False) -> DataFrame:
     """A10: predicted and actual rate per score decile and model."""
     order = [F.col("score"), F.col("session"), F.col("symbol")]
-    placed = with_row_number(scores, "model", order, "_i", group_rows)
-    binned = with_group_agg(placed, "model", {"_n": F.count("*")}, group_rows).withColumn("bin", F.floor((F.col("_i") - 1) * bins / F.col("_n")))
+    placed = with_row_number(scores, "model", order, "_i", small)
+    binned = with_group_agg(placed, "model", {"_n": F.count("*")}, small).withColumn("bin", F.floor((F.col("_i") - 1) * bins / F.col("_n")))
     return binned.groupBy("model", "bin").agg(
         F.avg("score").alias("pred"), rate(F.col("next_oc") <= fixed.DUMP).alias("actual"), F.count("*").alias("n"))
 
 
 def rank_band_record(rows: DataFrame, bands: DataFrame, by: Sequence[str], value: str, cost: Column,
-                     group_rows: int = UNBOUNDED) -> DataFrame:
+                     small: bool = False) -> DataFrame:
     """Walk-forward record per band of ranks; a rank counts in every band that holds it."""
     met = rows.withColumn("_cost", cost).join(
         F.broadcast(bands), (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
@@ -168,7 +168,7 @@ def rank_band_record(rows: DataFrame, bands: DataFrame, by: Sequence[str], value
     return agg_with_median(met, keys, [
         F.count("*").alias("n"), rate(F.col("next_oc") <= fixed.DUMP).alias("hit"), F.avg("next_oc").alias("mean_oc"),
         rate(F.col("next_oh") >= fixed.SQUEEZE).alias("squeeze"), rate(F.col("next_oc") >= fixed.PUMP).alias("pump"),
-        F.avg("_cost").alias("cost"), F.avg(net).alias("net"), rate(net > 0).alias("win")], "next_oc", "median_oc", group_rows)
+        F.avg("_cost").alias("cost"), F.avg(net).alias("net"), rate(net > 0).alias("win")], "next_oc", "median_oc", small)
 
 
 def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -178,7 +178,7 @@ def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return centre - half, centre + half
 
 
-def event_study(rows: DataFrame, setups: Mapping[str, Column], group_rows: int = UNBOUNDED) -> DataFrame:
+def event_study(rows: DataFrame, setups: Mapping[str, Column], small: bool = False) -> DataFrame:
     """What followed each setup, against the baseline of all rows.
 
     tilt: down / up / both by whether the down and up rates exceed the baseline's
@@ -188,7 +188,7 @@ def event_study(rows: DataFrame, setups: Mapping[str, Column], group_rows: int =
     agg = agg_with_median(held, "study", [
         F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols"),
         rate(F.col("next_oc") <= fixed.DUMP).alias("pct_dump"), rate(F.col("next_oc") >= fixed.PUMP).alias("pct_up5"),
-        rate(F.col("swing5") <= fixed.SWING).alias("pct_swing")], "next_oc", "median_oc", group_rows)
+        rate(F.col("swing5") <= fixed.SWING).alias("pct_swing")], "next_oc", "median_oc", small)
     # one row per study from here on
     of_base = lambda c: F.max(F.when(F.col("study") == "baseline", F.col(c))).over(W.partitionBy())
     agg = agg.select("*", of_base("pct_dump").alias("_bd"), of_base("pct_up5").alias("_bu"))
@@ -285,7 +285,7 @@ def t_statistic(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataF
         F.try_divide(F.avg(value), F.stddev_samp(value) / F.sqrt(n)).alias("t"))
 
 
-def survivorship(rows: DataFrame, liquid: Column, last: Column, group_rows: int, horizon: int = 20) -> DataFrame:
+def survivorship(rows: DataFrame, liquid: Column, last: Column, small: bool, horizon: int = 20) -> DataFrame:
     """The same long trade on today's list and on the list known at the time.
 
     `today` keeps the names that are liquid in the `last` session, in all sessions;
@@ -297,7 +297,7 @@ def survivorship(rows: DataFrame, liquid: Column, last: Column, group_rows: int,
     held = rows.withColumn("_survivor", survivor).filter(F.col(fwd).isNotNull())
     held = in_subsets(held, {"today": F.col("_survivor"), "point in time": liquid}, "list")
     order = [F.col("r5").desc_nulls_last(), F.col("symbol")]
-    firsts = with_row_number(held, ["list", "session"], order, "_k", group_rows)
+    firsts = with_row_number(held, ["list", "session"], order, "_k", small)
     return firsts.groupBy("list").agg(
         F.count("*").alias("n"), F.avg(fwd).alias("tier_mean"),
         F.avg(F.when(F.col("_k") == 1, -F.col(fwd) - F.col("spread"))).alias("net"))

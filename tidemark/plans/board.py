@@ -10,7 +10,6 @@ from ..functions.scalars import ratio
 from ..operators.features import session_features, stand_in_scores
 from ..operators.ranking import with_group_agg, with_percent_rank, with_rank_desc, with_row_number
 from ..sources import derived
-from ..sources.tables import row_bound
 
 AVG_MOVE = 0.08          # average move of a pick that breakeven sizes are solved against
 DANGER_PARTS = ["model", "fee", "scarcity", "si", "dtc", "float", "short_vol"]
@@ -24,11 +23,6 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return stand_in_scores(panel(spark, d))
 
 
-def universe_bound(spark: SparkSession, d: str) -> int:
-    """A session holds at most one row per listed symbol."""
-    return row_bound(spark, d, "supplier")
-
-
 def supply_by_session(filings: DataFrame) -> DataFrame:
     publish = F.to_timestamp(F.last_day("session")) + F.expr("INTERVAL 12 HOURS")
     return filings.groupBy("symbol", "session").agg(
@@ -54,7 +48,7 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def with_squeeze_danger(df: DataFrame, group_rows: int) -> DataFrame:
+def with_squeeze_danger(df: DataFrame, small: bool) -> DataFrame:
     """0-100 crowding score: mean session percentile of up to seven parts (our formula).
 
     Missing where fewer than three parts are known.
@@ -63,7 +57,7 @@ def with_squeeze_danger(df: DataFrame, group_rows: int) -> DataFrame:
         "*", F.col("prob_squeeze").alias("model"), F.col("fee_rate").alias("fee"), (-F.col("available")).alias("scarcity"),
         F.col("si_pct_float").alias("si"), F.col("days_to_cover").alias("dtc"), (-F.col("shares_out")).alias("float"),
         F.col("short_ratio_5d").alias("short_vol"))
-    placed = with_percent_rank(parts, "session", "symbol", DANGER_PARTS, "_pr", group_rows)
+    placed = with_percent_rank(parts, "session", "symbol", DANGER_PARTS, "_pr", small)
     prs = [F.col(f"{p}_pr") for p in DANGER_PARTS]
     n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in prs), F.lit(0))
     total = sum((F.coalesce(p, F.lit(0.0)) for p in prs), F.lit(0.0))
@@ -72,10 +66,10 @@ def with_squeeze_danger(df: DataFrame, group_rows: int) -> DataFrame:
         F.when(n >= 3, F.round(100 * (total / n), 6)).alias("squeeze_danger"))
 
 
-def with_base(rows: DataFrame, group_rows: int) -> DataFrame:
+def with_base(rows: DataFrame, small: bool) -> DataFrame:
     """Share of the session's scored names that dumped, on every row."""
     dumped = F.when(F.col("oc") <= fixed.DUMP, 1.0).otherwise(0.0)
-    return with_group_agg(rows, "session", {"base": F.avg(dumped)}, group_rows)
+    return with_group_agg(rows, "session", {"base": F.avg(dumped)}, small)
 
 
 def flag_list() -> Column:
@@ -90,9 +84,8 @@ def flag_list() -> Column:
 
 def picks(spark: SparkSession, d: str) -> DataFrame:
     """Every scored name of every session with its gates, sizes, ranks and next-session outcome."""
-    bound = universe_bound(spark, d)
-    danger = with_squeeze_danger(wide(spark, d), bound)
-    rows = with_base(danger, bound).select(
+    danger = with_squeeze_danger(wide(spark, d), small=True)
+    rows = with_base(danger, small=True).select(
         *danger.columns,
         ratio("prob_dump", "base").alias("lift"),
         sizing.capacity("exp_dvol", "vol20", "cap_borrow").alias("capacity"),
@@ -102,9 +95,9 @@ def picks(spark: SparkSession, d: str) -> DataFrame:
         flag_list().alias("flags"),
     )
     best = [F.col("prob_dump").desc(), F.col("symbol")]
-    rows = with_row_number(rows, "session", best, "urank", bound)
+    rows = with_row_number(rows, "session", best, "urank", small=True)
     open_names = F.col("zone_reason").isNull()
-    rows = with_row_number(rows, "session", [open_names.desc(), *best], "_rank0", bound)
+    rows = with_row_number(rows, "session", [open_names.desc(), *best], "_rank0", small=True)
     return rows.select("*", F.when(open_names & (F.col("_rank0") <= 100), F.col("_rank0")).alias("board_rank")).drop("_rank0")
 
 
@@ -113,7 +106,7 @@ def board(spark: SparkSession, d: str) -> DataFrame:
     return picks(spark, d).filter(F.col("board_rank").isNotNull()).withColumn("rank", F.col("board_rank"))
 
 
-def consensus(rows: DataFrame, group_rows: int, size: float = fixed.BOARD_MIN_USD) -> DataFrame:
+def consensus(rows: DataFrame, small: bool, size: float = fixed.BOARD_MIN_USD) -> DataFrame:
     """Sum of three models' rank shortfalls over the tradable names, and its tier (our formula).
 
     deficit = (rank - 1) summed over the models; high <= 2, medium <= 7, else low.
@@ -122,11 +115,11 @@ def consensus(rows: DataFrame, group_rows: int, size: float = fixed.BOARD_MIN_US
     able = (sizing.volume_cap("exp_dvol") >= size) & (sizing.impact_cap("exp_dvol", "vol20") >= size)
     models = {"prob_dump": "rank_dump", "one_dump": "rank_one", "one_d3": "rank_d3"}
     masked = rows.select("*", *[F.when(able, F.col(m)).alias(f"_{m}") for m in models])
-    ranked = with_rank_desc(masked, "session", "symbol", [f"_{m}" for m in models], "_rk", group_rows)
+    ranked = with_rank_desc(masked, "session", "symbol", [f"_{m}" for m in models], "_rk", small)
     ranked = ranked.select(*rows.columns, *[F.col(f"_{m}_rk").alias(n) for m, n in models.items()])
     ranked = ranked.withColumn("deficit", F.col("rank_dump") + F.col("rank_one") + F.col("rank_d3") - 3)
     order = [F.col("deficit").asc_nulls_last(), F.col("prob_dump").desc(), F.col("symbol")]
-    ranked = with_row_number(ranked, "session", order, "_place", group_rows)
+    ranked = with_row_number(ranked, "session", order, "_place", small)
     known = F.col("deficit").isNotNull()
     return ranked.select(
         *ranked.columns[:-1], F.when(known, F.col("_place")).alias("consensus_rank"),

@@ -8,7 +8,7 @@ from ..functions import fixed, predicates, sizing
 from ..functions import scalars as S
 from ..operators import features, ranking, records
 from ..sources import derived
-from ..sources.tables import events, row_bound, table
+from ..sources.tables import events, table
 from . import board
 from .ctes import r6
 from .registry import query, r
@@ -84,8 +84,7 @@ def f5(spark, d):
     q = " 1 "
     ticker = F.col("symbol").cast("string")
     hits = derived.names(spark, d).filter(predicates.search_match(q, ticker, "name")).withColumn("_g", F.lit(1))
-    hits = ranking.with_row_number(hits, "_g", predicates.search_order(q, "symbol", ticker), "pos",
-                                   board.universe_bound(spark, d))
+    hits = ranking.with_row_number(hits, "_g", predicates.search_order(q, "symbol", ticker), "pos")
     return hits.select("symbol", "name", "pos")
 
 
@@ -140,7 +139,7 @@ from .features_q import CONSENSUS  # noqa: E402
     FROM ({CONSENSUS}) JOIN tape USING (session) WHERE consensus_rank = 1""", ("picks", "bars"))
 def f10(spark, d):
     tape = features.benchmark_tape(derived.bars(spark, d))
-    one = board.consensus(board.picks(spark, d), board.universe_bound(spark, d)).filter(F.col("consensus_rank") == 1)
+    one = board.consensus(board.picks(spark, d), small=True).filter(F.col("consensus_rank") == 1)
     return one.join(F.broadcast(tape), "session").select(
         "session", "symbol", "tier", predicates.stand_aside("bench_r1", "one_d3", "tier").alias("reason"))
 
@@ -188,7 +187,7 @@ def o1(spark, d):
     for k in ranking.BOARD_SORTS:
         for flipped in (False, True):     # a board holds at most 100 rows per session
             rows = ranking.with_row_number(rows, "session", ranking.board_order(k, flipped),
-                                           f"{k}_{'flipped' if flipped else 'pos'}", group_rows=100)
+                                           f"{k}_{'flipped' if flipped else 'pos'}", small=True)
     return rows.select("session", "symbol", *[f"{k}_{s}" for k in ranking.BOARD_SORTS for s in ("pos", "flipped")])
 
 
@@ -207,13 +206,13 @@ _WHEN_SQL = """coalesce(CASE WHEN NOT regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}
 
 @query("o3_wire_sort", f"""
     SELECT event_id, row_number() OVER (ORDER BY instant DESC NULLS LAST, event_id) AS pos
-    FROM (SELECT event_id, {_WHEN_SQL} AS instant FROM ({_MIXED_SQL})) ORDER BY instant DESC NULLS LAST, event_id LIMIT 14""")
+    FROM (SELECT event_id, {_WHEN_SQL} AS instant FROM ({_MIXED_SQL})) ORDER BY instant DESC NULLS LAST, event_id""")
 def o3(spark, d):
     wire = events(spark, d).select("event_id", _mixed_text().alias("s"))
     at = F.coalesce(S.parse_ts("s"), S.parse_day("s").cast("timestamp"))
     order = ranking.newest_first(F.col("at"), "event_id")
-    shown = wire.withColumn("at", at).orderBy(*order).limit(14)
-    return ranking.with_row_number(shown.withColumn("_g", F.lit(1)), "_g", order, "pos", group_rows=14).select("event_id", "pos")
+    placed = wire.withColumns({"at": at, "_g": F.lit(1)})
+    return ranking.with_row_number(placed, "_g", order, "pos").select("event_id", "pos")
 
 
 @query("o4_topk_per_session", """
@@ -243,7 +242,7 @@ def o5(spark, d):
         {' UNION ALL '.join(f"SELECT session, symbol, '{p}' AS family, pr_{p} AS share, {i} AS i FROM danger" for i, p in enumerate(board.DANGER_PARTS))})
       WHERE share > 0) WHERE k <= 6 GROUP BY session, symbol""", "danger")
 def o6(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), board.universe_bound(spark, d))
+    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
     shares = F.create_map(*[x for p in board.DANGER_PARTS for x in (F.lit(p), F.coalesce(F.col(f"pr_{p}"), F.lit(0.0)))])
     rows = rows.withColumn("shares", shares).withColumn("best", ranking.top_attribution("shares", 6)).filter(F.size("best") > 0)
     return rows.select("session", "symbol", F.array_join("best.family", "|").alias("families"),
@@ -253,7 +252,7 @@ def o6(spark, d):
 @query("o7_live_sort", """
     SELECT session, symbol, row_number() OVER (PARTITION BY session ORDER BY coalesce(next_oc, 9), symbol) AS pos FROM board""", "board")
 def o7(spark, d):
-    rows = ranking.with_row_number(board.board(spark, d), "session", ranking.live_order("next_oc"), "pos", group_rows=100)
+    rows = ranking.with_row_number(board.board(spark, d), "session", ranking.live_order("next_oc"), "pos", small=True)
     return rows.select("session", "symbol", "pos")
 
 

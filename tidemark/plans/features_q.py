@@ -64,10 +64,9 @@ def w10(spark, d):
       SELECT session, symbol, CAST(floor(100 * cume_dist() OVER (PARTITION BY session ORDER BY prob_dump)) AS BIGINT) AS score
       FROM scored)""", "scored")
 def w11(spark, d):
-    s = ranking.with_cume_dist(board.scored(spark, d), "session", "symbol", "prob_dump", "cd",
-                               board.universe_bound(spark, d))
+    s = ranking.with_cume_dist(board.scored(spark, d), "session", "symbol", "prob_dump", "cd", small=True)
     s = s.select("session", "symbol", F.floor(100 * F.col("cd")).alias("score"))
-    return ranking.with_group_agg(s, "session", {"top_ties": F.count_if(F.col("score") == 100)}, board.universe_bound(spark, d))
+    return ranking.with_group_agg(s, "session", {"top_ties": F.count_if(F.col("score") == 100)}, small=True)
 
 
 _BY_SESSION = """
@@ -123,7 +122,7 @@ CONSENSUS = """
 @query("w17_consensus_rank", f"""
     SELECT session, symbol, rank_dump, rank_one, rank_d3, deficit, tier, consensus_rank FROM ({CONSENSUS})""", "picks")
 def w17(spark, d):
-    ranked = board.consensus(board.picks(spark, d), board.universe_bound(spark, d))
+    ranked = board.consensus(board.picks(spark, d), small=True)
     return ranked.filter(F.col("consensus_rank").isNotNull()).select(
         "session", "symbol", "rank_dump", "rank_one", "rank_d3", "deficit", "tier", "consensus_rank")
 
@@ -164,14 +163,14 @@ def w18(spark, d):
         board.scored(spark, d).withColumn("neg_dd", -F.col("dd_52w"))
         .join(filed, ["symbol", "session"], "left").join(reported, ["symbol", "session"], "left")
     )
-    scores = features.family_scores(rows, _FAMILY_COLS, board.universe_bound(spark, d))
+    scores = features.family_scores(rows, _FAMILY_COLS, small=True)
     return scores.select("session", "symbol", *[r(f) for f in fixed.FAMILIES])
 
 
 @query("w19_squeeze_danger", f"""
     SELECT session, symbol, {', '.join(r6(f'pr_{p}') for p in board.DANGER_PARTS)}, {r6('squeeze_danger')} FROM danger""", "danger")
 def w19(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), board.universe_bound(spark, d))
+    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
     return rows.select("session", "symbol", *[r(f"pr_{p}") for p in board.DANGER_PARTS], r("squeeze_danger"))
 
 

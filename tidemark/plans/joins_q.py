@@ -8,7 +8,7 @@ from ..functions import fixed, predicates
 from ..functions import scalars as S
 from ..operators import joins, market, ranking, records
 from ..sources import derived
-from ..sources.tables import events, row_bound, table
+from ..sources.tables import events, table
 from . import board
 from .ctes import r6
 from .features_q import CONSENSUS
@@ -20,23 +20,22 @@ PRECEDENCE = ["one", "board", "top", "zone", "classic", "swing", "twin"]
 def pick_lists(spark, d):
     """The named lists of a session in one long table: (session, symbol, list, pos, prob_dump).
 
-    Every list is a prefix of an order, so one pass over the ranked names gives all of them.
+    Whole lists: the board, the held-off names, and the orders of swing and squeeze odds.
     """
-    bound = board.universe_bound(spark, d)
-    rows = board.consensus(board.picks(spark, d), bound)
+    rows = board.consensus(board.picks(spark, d), small=True)
     best = [F.col("prob_dump").desc(), F.col("symbol")]
-    rows = ranking.with_row_number(rows, "session", [F.col("publishable").desc(), *best], "classic_rank", bound)
-    rows = ranking.with_row_number(rows, "session", [F.col("prob_swing").desc(), F.col("symbol")], "swing_rank", bound)
-    rows = ranking.with_row_number(rows, "session", [F.col("prob_squeeze").desc(), F.col("symbol")], "twin_rank", bound)
+    rows = ranking.with_row_number(rows, "session", [F.col("publishable").desc(), *best], "classic_rank", small=True)
+    rows = ranking.with_row_number(rows, "session", [F.col("prob_swing").desc(), F.col("symbol")], "swing_rank", small=True)
+    rows = ranking.with_row_number(rows, "session", [F.col("prob_squeeze").desc(), F.col("symbol")], "twin_rank", small=True)
     entry = lambda cond, name, pos: F.when(cond, F.struct(F.lit(name).alias("list"), pos.cast("bigint").alias("pos")))
     lists = F.explode(F.array(
         entry(F.col("consensus_rank") == 1, "one", F.lit(1)),
-        entry(F.col("board_rank") <= 25, "board", F.col("board_rank")),
+        entry(F.col("board_rank").isNotNull(), "board", F.col("board_rank")),
         entry(F.col("board_rank") == 1, "top", F.lit(1)),
-        entry(F.col("zone_reason").isNotNull() & (F.col("urank") <= 40), "zone", F.col("urank")),
+        entry(F.col("zone_reason").isNotNull(), "zone", F.col("urank")),
         entry(F.col("publishable") & (F.col("classic_rank") == 1), "classic", F.lit(1)),
-        entry(F.col("swing_rank") <= 10, "swing", F.col("swing_rank")),
-        entry(F.col("twin_rank") <= 10, "twin", F.col("twin_rank"))))
+        entry(F.col("prob_swing").isNotNull(), "swing", F.col("swing_rank")),
+        entry(F.col("prob_squeeze").isNotNull(), "twin", F.col("twin_rank"))))
     long = rows.select("session", "symbol", "prob_dump", lists.alias("e")).filter(F.col("e").isNotNull())
     return long.select("session", "symbol", "e.list", "e.pos", "prob_dump")
 
@@ -51,12 +50,12 @@ LISTS_SQL = f"""
         ON c.session = p.session AND c.symbol = p.symbol),
     lists AS (
       SELECT session, symbol, 'one' AS list, 1 AS prio, 1 AS pos, prob_dump FROM ranked WHERE consensus_rank = 1
-      UNION ALL SELECT session, symbol, 'board', 2, board_rank, prob_dump FROM ranked WHERE board_rank <= 25
+      UNION ALL SELECT session, symbol, 'board', 2, board_rank, prob_dump FROM ranked WHERE board_rank IS NOT NULL
       UNION ALL SELECT session, symbol, 'top', 3, 1, prob_dump FROM ranked WHERE board_rank = 1
-      UNION ALL SELECT session, symbol, 'zone', 4, urank, prob_dump FROM ranked WHERE zone_reason IS NOT NULL AND urank <= 40
+      UNION ALL SELECT session, symbol, 'zone', 4, urank, prob_dump FROM ranked WHERE zone_reason IS NOT NULL
       UNION ALL SELECT session, symbol, 'classic', 5, 1, prob_dump FROM ranked WHERE publishable AND classic_rank = 1
-      UNION ALL SELECT session, symbol, 'swing', 6, swing_rank, prob_dump FROM ranked WHERE swing_rank <= 10
-      UNION ALL SELECT session, symbol, 'twin', 7, twin_rank, prob_dump FROM ranked WHERE twin_rank <= 10)
+      UNION ALL SELECT session, symbol, 'swing', 6, swing_rank, prob_dump FROM ranked WHERE prob_swing IS NOT NULL
+      UNION ALL SELECT session, symbol, 'twin', 7, twin_rank, prob_dump FROM ranked WHERE prob_squeeze IS NOT NULL)
 """
 
 
@@ -215,7 +214,7 @@ def j9(spark, d):
     WHERE urank <= pick""", "picks")
 def j11(spark, d):
     passes = F.col("zone_reason").isNull() & F.col("publishable")
-    return joins.first_passing(board.picks(spark, d), "session", "urank", passes, board.universe_bound(spark, d)).select("session", "symbol", "urank", "role")
+    return joins.first_passing(board.picks(spark, d), "session", "urank", passes, small=True).select("session", "symbol", "urank", "role")
 
 
 LOOKALIKE_COLS = ["price", "market_cap", "dd_52w", "short_ratio_5d", "vol20"]
@@ -231,10 +230,9 @@ _DOT = lambda a, b: " + ".join(f"{a}.z_{c} * {b}.z_{c}" for c in LOOKALIKE_COLS)
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY similarity DESC, symbol) AS twin_rank FROM sim WHERE similarity >= 0.5)
     WHERE twin_rank <= 10""", "picks")
 def j12(spark, d):
-    bound = board.universe_bound(spark, d)
-    z = joins.zscores(board.picks(spark, d), "session", LOOKALIKE_COLS, bound)
+    z = joins.zscores(board.picks(spark, d), "session", LOOKALIKE_COLS, small=True)
     vector = F.array(*[F.col(f"z_{c}") for c in LOOKALIKE_COLS])
-    return joins.lookalikes(z, "session", "symbol", vector, F.col("urank"), 10, 0.5, bound).select(
+    return joins.lookalikes(z, "session", "symbol", vector, F.col("urank"), 10, 0.5, small=True).select(
         "session", "anchor", "symbol", r("similarity"), "twin_rank")
 
 

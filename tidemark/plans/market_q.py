@@ -8,7 +8,6 @@ from ..functions import scalars as S
 from ..operators import features, joins, market
 from ..session import cut
 from ..sources import derived
-from ..sources.tables import row_bound
 from . import board
 from .ctes import r6
 from .features_q import CONSENSUS
@@ -18,7 +17,7 @@ from .registry import query, r
 @query("a6_group_by_day", """
     SELECT date, report_id, symbol, row_number() OVER (PARTITION BY date ORDER BY report_id) AS pos FROM earnings""", "earnings")
 def a6(spark, d):
-    return market.group_by_day(derived.earnings(spark, d), "date", "report_id", row_bound(spark, d, "orders")).select(
+    return market.group_by_day(derived.earnings(spark, d), "date", "report_id").select(
         "date", "report_id", "symbol", "pos")
 
 
@@ -30,7 +29,7 @@ def a6(spark, d):
     FROM panel JOIN tape USING (session) WHERE r1 IS NOT NULL GROUP BY session""", ("panel", "bars"))
 def a21(spark, d):
     tape = features.benchmark_tape(derived.bars(spark, d)).select("session", "bench_r1")
-    out = market.breadth(board.panel(spark, d), board.universe_bound(spark, d)).join(F.broadcast(tape), "session")
+    out = market.breadth(board.panel(spark, d), small=True).join(F.broadcast(tape), "session")
     return out.select("session", r("breadth_up"), r("median_r1"), "n_up20", "n_down20", r("bench_r1"))
 
 
@@ -91,13 +90,13 @@ def a26(spark, d):
     SELECT 'board' AS list, session, symbol, rank, {r6('prob_dump', places=9)}, NULL::VARCHAR AS zone_reason, NULL::DOUBLE AS prob_swing FROM board
     UNION ALL SELECT 'zone', session, symbol, urank, {r6('prob_dump', places=9)}, zone_reason, NULL FROM picks WHERE zone_reason IS NOT NULL
     UNION ALL SELECT 'swing', session, symbol, k, NULL, NULL, {r6('prob_swing', places=9)} FROM (
-      SELECT *, row_number() OVER (PARTITION BY session ORDER BY prob_swing DESC, symbol) AS k FROM picks) WHERE k <= 25""", ("picks", "board"))
+      SELECT *, row_number() OVER (PARTITION BY session ORDER BY prob_swing DESC, symbol) AS k FROM picks)""", ("picks", "board"))
 def u1(spark, d):
-    from ..operators.ranking import top_k
+    from ..operators.ranking import with_row_number
     rows = cut(board.picks(spark, d).select("session", "symbol", "board_rank", "urank", "prob_dump", "prob_swing", "zone_reason"))
     listed = rows.filter(F.col("board_rank").isNotNull()).select("session", "symbol", F.col("board_rank").alias("rank"), "prob_dump")
     zone = rows.filter(F.col("zone_reason").isNotNull()).select("session", "symbol", F.col("urank").alias("rank"), "prob_dump", "zone_reason")
-    swing = top_k(rows.select("session", "symbol", "prob_swing"), "session", [F.col("prob_swing").desc(), F.col("symbol")], 25)
+    swing = with_row_number(rows.select("session", "symbol", "prob_swing"), "session", [F.col("prob_swing").desc(), F.col("symbol")], small=True)
     out = market.union_lists({"board": listed, "zone": zone, "swing": swing})
     return out.select("list", "session", "symbol", "rank", r("prob_dump", places=9), "zone_reason", r("prob_swing", places=9))
 
@@ -132,9 +131,9 @@ _LISTS = {
       UNION ALL SELECT session, symbol, 'long', round(100 * prob_pump, 7), round(100 * prob_bigdump, 7), NULL, NULL, r5 FROM c),
     listed AS ({' UNION ALL '.join(f"SELECT *, '{n}' AS list, {k} AS key FROM both_sides WHERE {w}" for n, (w, k) in _LISTS.items())})
     SELECT session, list, pos, symbol, side, {r6('key', places=7)} FROM (
-      SELECT *, row_number() OVER (PARTITION BY session, list ORDER BY key DESC NULLS LAST, symbol, side) AS pos FROM listed) WHERE pos <= 10""", "picks")
+      SELECT *, row_number() OVER (PARTITION BY session, list ORDER BY key DESC NULLS LAST, symbol, side) AS pos FROM listed)""", "picks")
 def u4(spark, d):
-    rows = board.consensus(board.picks(spark, d), board.universe_bound(spark, d))
+    rows = board.consensus(board.picks(spark, d), small=True)
     sides = F.explode(F.array(
         F.struct(F.lit("short").alias("side"), F.round(100 * F.col("prob_dump"), 7).alias("score"), F.col("squeeze_danger").alias("risk"),
                  F.col("zone_reason"), F.col("tier")),
@@ -143,4 +142,4 @@ def u4(spark, d):
                  F.lit(None).cast("string").alias("tier"))))
     scored = rows.select("session", "symbol", "r5", sides.alias("s")).select("session", "symbol", "r5", "s.*")
     lists = {n: (F.expr(w), S.risk_adjusted("score", "risk") if n == "top_risk_adjusted" else F.col(k)) for n, (w, k) in _LISTS.items()}
-    return market.unified_lists(scored, lists, 10).select("session", "list", "pos", "symbol", "side", r("key", places=7))
+    return market.unified_lists(scored, lists).select("session", "list", "pos", "symbol", "side", r("key", places=7))

@@ -9,7 +9,7 @@ from ..session import cut
 from ..sources import derived
 from . import board
 from .ctes import r6
-from .records_q import _SCORES, model_scores, panel_bound
+from .records_q import _SCORES, model_scores
 from .registry import query, r
 
 
@@ -28,7 +28,7 @@ def calendar(rows):
 def l1(spark, d):
     rows = training(spark, d)
     n = calendar(rows)[1]
-    out = models.walk_forward(rows.filter(F.col("session_idx") >= 60), models.M0, "y_dump", 3, n)
+    out = models.walk_forward(rows, models.M0, "y_dump", 3, n)
     return out.select("session", "symbol", "session_idx", "fold", "trained_before", r("p"), r("next_oc"))
 
 
@@ -46,7 +46,7 @@ def l2(spark, d):
     SELECT session, symbol, model, {r6('least(score, cap)', 'p_capped', 9)}, score > cap AS was_capped FROM scores JOIN caps USING (model)""", "scored")
 def l3(spark, d):
     scores = model_scores(spark, d)
-    out = models.capped(scores, models.probability_caps(scores, 0.01, panel_bound(spark, d)))
+    out = models.capped(scores, models.probability_caps(scores, 0.01))
     return out.select("session", "symbol", "model", r("p_capped", places=9), (F.col("score") > F.col("cap")).alias("was_capped"))
 
 
@@ -56,8 +56,7 @@ def l4(spark, d):
     at = calendar(rows)[0]
     model = models.fit(rows.filter(F.col("session_idx") < at - 5), models.M0, "y_dump")
     test = rows.filter((F.col("session_idx") >= at) & F.col("y_dump").isNotNull())
-    bound = board.universe_bound(spark, d)
-    out = models.permutation_importance(model, test, models.FAMILY_OF, "y_dump", 7, bound, panel_bound(spark, d))
+    out = models.permutation_importance(model, test, models.FAMILY_OF, "y_dump", 7, small=True)
     return out.select("family", r("auc"), r("importance"))
 
 
@@ -66,12 +65,12 @@ def l5(spark, d):
     rows = training(spark, d)
     at = calendar(rows)[0]
     model = models.fit(rows.filter(F.col("session_idx") < at - 5), models.M0, "y_dump")
-    out = models.attribution(model, rows.filter(F.col("session_idx") >= at), models.FAMILY_OF, board.universe_bound(spark, d))
+    out = models.attribution(model, rows.filter(F.col("session_idx") >= at), models.FAMILY_OF, small=True)
     return out.select("session", "symbol", r("p"), *[r(f) for f in models.FAMILY_OF])
 
 
 @query("l6_expected_oc")
 def l6(spark, d):
     rows = training(spark, d)
-    out = models.expected_move(rows, models.M0, calendar(rows)[0], 5, board.universe_bound(spark, d))
+    out = models.expected_move(rows, models.M0, calendar(rows)[0], 5, small=True)
     return out.select("session", "symbol", r("exp_oc"), r("liq_edge"))

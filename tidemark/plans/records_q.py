@@ -9,7 +9,6 @@ from ..functions import fixed, sizing
 from ..functions import scalars as S
 from ..operators import allocation, features, joins, ranking, records
 from ..sources import derived
-from ..sources.tables import row_bound
 from . import board
 from .ctes import LAW_K, LAW_S, r6
 from .features_q import CONSENSUS
@@ -29,11 +28,6 @@ def graded(spark, d):
     return board.picks(spark, d).filter(F.col("next_oc").isNotNull())
 
 
-def panel_bound(spark, d):
-    """Bars, and so any distinct value of them, are at most as many as the landed trades."""
-    return row_bound(spark, d, "lineitem")
-
-
 @query("a1_base_rates", f"""
     SELECT {r6(share('next_oc <= -0.05', 'next_oc'), 'dump')}, {r6(share('next_oh >= 0.2', 'next_oh'), 'squeeze')},
       {r6(share('swing5 <= -0.15', 'swing5'), 'swing')}, {r6(share('next_oc >= 0.05', 'next_oc'), 'pump')}, count(next_oc) AS n FROM panel""", "panel")
@@ -66,7 +60,7 @@ def a2(spark, d):
     rows = board.picks(spark, d)
     c30 = sizing.cost_law(F.lit(30000.0), "c10", "spread")
     record = records.rank_band_record(rows.filter(F.col("next_oc").isNotNull()), band_frame(spark, REPORT_BANDS + [(1, 10)]), [],
-                                      "urank", c30, panel_bound(spark, d))
+                                      "urank", c30)
     report = joins.disjoint_bands(record.select(
         "lo", "hi", "hit", "mean_oc", "squeeze", F.when(F.col("lo") != 26, F.col("pump")).alias("pump"),
         F.when(F.col("lo") != 11, F.col("net")).alias("net"), "cost"))
@@ -143,7 +137,7 @@ def model_scores(spark, d):
     FROM (SELECT *, unnest(list_filter([CASE WHEN rank = 1 THEN 'top1' END, CASE WHEN rank <= 10 THEN 'top10' END,
       CASE WHEN rank <= ceil(n / 10) THEN 'decile' END, 'all'], lambda x: x IS NOT NULL)) AS cohort FROM ranked) GROUP BY model, cohort""", "scored")
 def a7(spark, d):
-    out = records.cohort_rates(model_scores(spark, d), board.universe_bound(spark, d))
+    out = records.cohort_rates(model_scores(spark, d), small=True)
     return out.select("model", "cohort", "n", r("hit"), r("mean_oc"), r("squeeze"))
 
 
@@ -159,10 +153,10 @@ def _auc_sql(pos: str, kept: str) -> str:
     FROM {_auc_sql('next_oc <= -0.05', 'true')} a JOIN {_auc_sql('next_oc >= 0.05', 'true')} b USING (model)
       JOIN {_auc_sql('next_oc <= -0.05', 'abs(next_oc) >= 0.05')} c USING (model)""", "scored")
 def a8(spark, d):
-    scores, bound = model_scores(spark, d), panel_bound(spark, d)
+    scores = model_scores(spark, d)
     dump, pump, big = F.col("next_oc") <= fixed.DUMP, F.col("next_oc") >= fixed.PUMP, F.abs("next_oc") >= fixed.PUMP
     out = records.aucs(scores, ["model"], "score", {
-        "auc": (dump, F.lit(True)), "pump_auc": (pump, F.lit(True)), "dump_vs_pump_auc": (dump, big)}, bound)
+        "auc": (dump, F.lit(True)), "pump_auc": (pump, F.lit(True)), "dump_vs_pump_auc": (dump, big)})
     return out.select("model", r("auc"), r("pump_auc"), r("dump_vs_pump_auc"))
 
 
@@ -177,7 +171,7 @@ def a9(spark, d):
       SELECT *, CAST(floor((row_number() OVER (PARTITION BY model ORDER BY score, session, symbol) - 1) * 10 / count(*) OVER (PARTITION BY model)) AS BIGINT) AS bin
       FROM scores) GROUP BY model, bin""", "scored")
 def a10(spark, d):
-    out = records.calibration(model_scores(spark, d), 10, panel_bound(spark, d))
+    out = records.calibration(model_scores(spark, d), 10)
     return out.select("model", "bin", r("pred"), r("actual"), "n")
 
 
@@ -188,7 +182,7 @@ def a10(spark, d):
     FROM (SELECT *, {C30} AS c30 FROM picks WHERE next_oc IS NOT NULL) JOIN {bands_sql(SUMMARY_BANDS)} ON urank BETWEEN lo AND hi GROUP BY ALL""", "picks")
 def a11(spark, d):
     c30 = sizing.cost_law(F.lit(30000.0), "c10", "spread")
-    out = records.rank_band_record(graded(spark, d), band_frame(spark, SUMMARY_BANDS), ["model_used"], "urank", c30, panel_bound(spark, d))
+    out = records.rank_band_record(graded(spark, d), band_frame(spark, SUMMARY_BANDS), ["model_used"], "urank", c30)
     return out.select("model_used", "lo", "hi", "n", *[r(c) for c in (
         "hit", "mean_oc", "median_oc", "squeeze", "pump", "cost", "net", "win")])
 
@@ -214,7 +208,7 @@ _SETUPS = {
 def a12(spark, d):
     filed = derived.filings(spark, d).groupBy("symbol", "session").agg(F.count_if(F.col("category") == "offering").alias("n_offer"))
     rows = board.panel(spark, d).join(filed, ["symbol", "session"], "left")
-    out = records.event_study(rows, {n: F.expr(s) for n, s in _SETUPS.items()}, panel_bound(spark, d))
+    out = records.event_study(rows, {n: F.expr(s) for n, s in _SETUPS.items()})
     return out.select("study", "n", "n_symbols", *[r(c) for c in ("pct_dump", "median_oc", "pct_up5", "pct_swing", "lift_dump", "ci_lo", "ci_hi")], "tilt")
 
 
@@ -246,7 +240,7 @@ _SUBSETS = {
 
 def the_one(spark, d):
     """The consensus #1 of each session with the benchmark's move; one row per session."""
-    ranked = board.consensus(board.picks(spark, d), board.universe_bound(spark, d))
+    ranked = board.consensus(board.picks(spark, d), small=True)
     tape = features.benchmark_tape(derived.bars(spark, d)).select("session", "bench_r1")
     return ranked.filter((F.col("consensus_rank") == 1) & F.col("next_oc").isNotNull()).join(F.broadcast(tape), "session")
 
@@ -441,5 +435,5 @@ def a32(spark, d):
 def a33(spark, d):
     rows = features.session_features(derived.bars(spark, d, "week"), horizon=20).filter(F.col("dvol20").isNotNull())
     last = derived.trades(spark, d).agg(F.trunc(F.max("day"), "week").alias("s")).scalar()
-    out = records.survivorship(rows, F.col("dvol20") >= 5e6, last, board.universe_bound(spark, d))
+    out = records.survivorship(rows, F.col("dvol20") >= 5e6, last, small=True)
     return out.select("list", "n", r("tier_mean"), r("net"))

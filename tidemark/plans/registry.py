@@ -29,7 +29,7 @@ def with_ctes(sql: str, needs: tuple[str, ...]) -> str:
     body = sql.strip()
     if not ordered:
         return body
-    head = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in ordered)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1].strip()})" for n in ordered)
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

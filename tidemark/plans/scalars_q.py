@@ -128,7 +128,7 @@ def p8(spark, d):
       WHEN squeeze_danger >= 45 THEN 'elevated' ELSE 'low' END AS level,
       CAST(floor(least(greatest(squeeze_danger, 0), 100) / 10 + 0.5) AS BIGINT) AS cells FROM danger""", "danger")
 def p9(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), board.universe_bound(spark, d))
+    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
     return rows.select("session", "symbol", S.danger_word("squeeze_danger").alias("level"),
                        S.danger_cells("squeeze_danger").alias("cells"))
 
@@ -137,7 +137,7 @@ def p9(spark, d):
     SELECT session, symbol, {r6('prob_dump / nullif(avg(CASE WHEN oc <= -0.05 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session), 0)', 'lift')} FROM scored""",
        "scored")
 def p10(spark, d):
-    rows = board.with_base(board.scored(spark, d), board.universe_bound(spark, d))
+    rows = board.with_base(board.scored(spark, d), small=True)
     return rows.select("session", "symbol", r(S.lift("prob_dump", "base"), "lift"))
 
 
@@ -278,5 +278,5 @@ def p23(spark, d):
 @query("p24_risk_adjusted", f"""
     SELECT session, symbol, {r6('100 * prob_dump * (1 - squeeze_danger / 100)', 'adjusted')} FROM danger""", "danger")
 def p24(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), board.universe_bound(spark, d))
+    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
     return rows.select("session", "symbol", r(S.risk_adjusted(100 * F.col("prob_dump"), "squeeze_danger"), "adjusted"))

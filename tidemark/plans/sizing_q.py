@@ -87,7 +87,7 @@ _GRID = f"""
     WITH {_GRID} SELECT session, total, k, symbol, {r6('cap', places=4)}, {r6('alloc', places=4)}, {r6('left_over', places=4)} FROM plan""", "board")
 def x6(spark, d):
     rows = allocation.waterfill(allocation.basket_rows(board.board(spark, d)), ["session", "total", "k"], ["symbol"],
-                                group_rows=max(fixed.PLAN_K))
+                                small=True)
     return rows.select("session", "total", "k", "symbol", r("cap", places=4), r("alloc", places=4), r("left_over", places=4))
 
 

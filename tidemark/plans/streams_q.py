@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import scalars as S
 from ..schemas import INDEX
 from ..session import fresh_path
@@ -68,11 +69,12 @@ def t3(spark, d):
 
 
 @query("t4_late_exclusion", f"""
-    SELECT event_id, CASE WHEN isodow(et) >= 6 THEN 'no session' WHEN hour(et) * 60 + minute(et) >= 570 THEN 'late' WHEN event_type = 'signup' THEN 'unverified' ELSE 'counted' END AS status
+    SELECT event_id, CASE WHEN isodow(et) >= 6 OR strftime(et, '%Y-%m-%d') IN ({', '.join(repr(h) for h in fixed.HOLIDAYS)}) THEN 'no session' WHEN hour(et) * 60 + minute(et) >= 570 THEN 'late' WHEN event_type = 'signup' THEN 'unverified' ELSE 'counted' END AS status
     FROM (SELECT *, {_ET} AS et FROM ticks)""", "ticks")
 def t4(spark, d):
-    """Ticks stand for published runs; sessions are the weekdays of the data's calendar."""
-    days = derived.ticks(spark, d).select(S.et_date("ts").alias("session")).distinct().filter(~F.dayofweek("session").isin(1, 7))
+    """Ticks stand for published runs; sessions are the weekdays of the data's calendar that are no holidays."""
+    days = derived.ticks(spark, d).select(S.et_date("ts").alias("session")).distinct().filter(
+        ~F.dayofweek("session").isin(1, 7) & ~F.date_format("session", "yyyy-MM-dd").isin(fixed.HOLIDAYS))
     sessions = days.select("session", F.to_utc_timestamp(
         F.to_timestamp("session") + F.expr("INTERVAL 570 MINUTES"), "America/New_York").alias("open_ts"))
     runs = tick_stream(spark, d).select("event_id", S.et_date("ts").alias("session"), F.col("ts").alias("published_at"),

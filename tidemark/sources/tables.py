@@ -10,11 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_bound(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of a landed table, answered from the parquet footers."""
-    return table(spark, sf_dir, name).count()
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` with `ts` as an instant (the files hold zone-less UTC)."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
