@@ -69,11 +69,12 @@ def test_upcoming_events(spark):
     events = spark.createDataFrame([(i, day(i)) for i in range(-40, 80, 3)], "id int, d date")
     got = set(rows(J.upcoming_events(events, sessions, "d", 3).select("id", "session", "sessions_ahead")))
     marks = [day(n) for n in range(0, 70, 7)]
+    later = [*marks, day(64), day(65), day(68)]         # a Thursday, a Friday, a Monday
     want = set()
     for i in range(-40, 80, 3):
-        closing = next((k for k, s in enumerate(marks) if day(i) <= s), None)
+        closing = next((k for k, s in enumerate(later) if day(i) <= s), None)
         if closing is not None:
-            want |= {(i, marks[k], closing - k) for k in range(max(0, closing - 3), closing) if marks[k] < day(i)}
+            want |= {(i, marks[k], closing - k) for k in range(max(0, closing - 3), min(closing, len(marks))) if marks[k] < day(i)}
     assert got == want
 
 
@@ -144,3 +145,25 @@ def test_history_is_never_rewritten(spark, tmp_path):
     assert feeds.append_history(snap(0, 0.9).unionByName(snap(1, 0.2)), path) == 2
     held = feeds.load_history(spark, path, "symbol long, p double, session date")
     assert sorted(r.p for r in held.collect()) == [0.1, 0.1, 0.2, 0.2]
+
+
+def test_event_after_the_last_session(spark):
+    """Friday 2025-12-19 is the last session: the next five are 22, 23, 24, 26 and 29 December (25th: holiday)."""
+    sessions = spark.sql("SELECT explode(array(DATE'2025-12-18', DATE'2025-12-19')) AS session")
+    events = spark.sql("SELECT * FROM VALUES (1, DATE'2025-12-19'), (2, DATE'2025-12-24'), (3, DATE'2025-12-29'), (4, DATE'2025-12-30') AS t(id, date)")
+    got = {(r.id, str(r.session), r.sessions_ahead) for r in J.upcoming_events(events, sessions, "date", 5).collect()}
+    assert got == {(1, "2025-12-18", 1), (2, "2025-12-18", 4), (2, "2025-12-19", 3), (3, "2025-12-19", 5)}
+
+
+def test_unknown_list_comes_last(spark):
+    rows = spark.createDataFrame([("A", "mystery", 1), ("A", "board", 9)], "symbol string, list string, pos long")
+    assert J.merge_records(rows, ["symbol"], ["one", "board"], []).first()["where"] == "board"
+
+
+def test_asof_of_a_hot_key(spark):
+    """Nine rows in ten share one key and instant; all of them get the same match."""
+    left = spark.range(1000).selectExpr("id", "if(id % 10 = 0, 'b', 'a') AS k", "timestamp'2024-03-05 10:00:00' + make_interval(0,0,0,0,0,0,if(id % 10 = 0, id, 0)) AS t")
+    right = spark.sql("SELECT 'a' AS k, timestamp'2024-01-31 09:00:00' AS at, 7 AS v UNION ALL SELECT 'b', timestamp'2024-03-05 10:05:00', 8")
+    got = J.asof_join(left, right, ["k"], "t", "at", ["v"]).collect()
+    assert len(got) == 1000 and all(r.v == 7 for r in got if r.k == "a")
+    assert all(r.v == (8 if r.id >= 300 else None) for r in got if r.k == "b")

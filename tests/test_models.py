@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidemark.operators import models
 from tidemark.plans import models_q
+from tidemark.sources import derived
 
 
 def test_walk_forward_never_sees_the_block(spark, sf):
@@ -60,3 +61,14 @@ def test_expected_move_is_known_for_every_scored_row(spark, sf):
 def test_wrong_digests_are_found(spark, sf):
     out = entry.queries()["s6_feed_integrity"](spark, sf).collect()
     assert out and all(r.ok == (r.name[5:7] != "03") for r in out)
+
+
+def test_the_newest_session_is_scored(spark, sf):
+    """Inputs of the pre-market models are missing there; the models without them score it."""
+    from tidemark.operators import features, models as M
+    panel = M.with_session_index(features.session_features(derived.bars(spark, sf, "week")))
+    rows = M.training_rows(panel)
+    last = panel.dropna(subset=M.M0).agg({"session_idx": "max"}).first()[0]
+    assert rows.agg({"session_idx": "max"}).first()[0] == last
+    newest = rows.filter(rows.session_idx == last)
+    assert newest.filter("next_gap IS NULL").count() == newest.count() > 0

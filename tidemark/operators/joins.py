@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import top_k, with_group_agg
+from ..functions import fixed
+from .ranking import beside, top_k, with_group_agg
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
@@ -23,16 +24,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     Works inside (key, time bucket) groups; what a bucket lacks is carried from
     the last earlier bucket of the key. A key with most of the rows is spread
     over its buckets, and the carry sees one row per bucket of the calendar.
+    Only distinct instants of a key are placed; the left rows meet the result by
+    equality, in a join that can be split, however many share an instant.
     `right` holds one row per (key, right_on).
     """
     by = list(by)
-    lrow = F.struct(*[F.col(c) for c in left.columns])
     rrow = F.struct(*[F.col(c) for c in take])
-    ltype, rtype = left.select(lrow.alias("x")).schema["x"].dataType, right.select(rrow.alias("x")).schema["x"].dataType
-    l = left.select(*by, F.col(left_on).cast("timestamp").alias("_t"), F.lit(1).alias("_side"),
-                    lrow.alias("_l"), F.lit(None).cast(rtype).alias("_r"))
-    r = right.select(*by, F.col(right_on).cast("timestamp").alias("_t"), F.lit(0).alias("_side"),
-                     F.lit(None).cast(ltype).alias("_l"), rrow.alias("_r"))
+    rtype = right.select(rrow.alias("x")).schema["x"].dataType
+    asked = left.withColumn("_t", F.col(left_on).cast("timestamp"))
+    l = asked.select(*by, "_t").distinct().select(*by, "_t", F.lit(1).alias("_side"), F.lit(None).cast(rtype).alias("_r"))
+    r = right.select(*by, F.col(right_on).cast("timestamp").alias("_t"), F.lit(0).alias("_side"), rrow.alias("_r"))
     rows = l.unionByName(r).withColumn("_bucket", F.date_trunc(grain, "_t"))
 
     inside = W.partitionBy(*by, "_bucket").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
@@ -41,8 +42,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = per_bucket.select(*by, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
     met = rows.withColumn("_in", F.last("_r", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
-    out = met.join(carried, [*by, "_bucket"], "left").withColumn("_hit", F.coalesce("_in", "_carried"))
-    return out.select("_l.*", *[F.col(f"_hit.{c}").alias(prefix + c) for c in take])
+    out = met.join(carried, [*by, "_bucket"], "left").select(*by, "_t", F.coalesce("_in", "_carried").alias("_hit"))
+    return beside(asked, out, [*by, "_t"], "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(prefix + c) for c in take])
 
 
 def latest_before(rows: DataFrame, by: Sequence[str], ts: str, keep: Column, take: Sequence[str]) -> DataFrame:
@@ -146,18 +147,30 @@ def calendar_days(sessions: DataFrame) -> DataFrame:
     return spans.select("idx", F.explode(F.sequence("_from", F.date_sub("session", 1))).alias("day"))
 
 
+def next_sessions(sessions: DataFrame, n: int) -> DataFrame:
+    """The n weekdays after the last session that are no holidays."""
+    last = sessions.agg(F.max("session").alias("_m"))
+    days = last.select(F.explode(F.sequence(F.date_add("_m", 1), F.date_add("_m", 2 * n + 14))).alias("session"))
+    trading = ~F.dayofweek("session").isin(1, 7) & ~F.date_format("session", "yyyy-MM-dd").isin(fixed.HOLIDAYS)
+    return days.filter(trading).orderBy("session").limit(n)
+
+
 def upcoming_events(events: DataFrame, sessions: DataFrame, date: str, n: int) -> DataFrame:
     """Pair each event with the sessions s for which it falls in (s, s + n sessions].
 
     An event is given the index of the session that closes its interval; it then
     belongs to the n sessions before that index. Each event gives at most n rows.
+    Beyond the last session the calendar goes on by weekdays without holidays.
     """
+    known = sessions
+    sessions = known.select("session").unionByName(next_sessions(known, n))
     days = calendar_days(sessions)
     numbered = sessions.select("session", F.row_number().over(W.orderBy("session")).cast("bigint").alias("idx"))
     # (s_i, s_i+1] has closing index i+1; a date equal to a session closes at that session
     closing = events.join(F.broadcast(days.select(F.date_add("day", 1).alias("_d"), F.col("idx").alias("_close"))),
                           F.col(date) == F.col("_d"))
     spread = closing.withColumn("idx", F.explode(F.sequence(F.col("_close") - n, F.col("_close") - 1)))
+    numbered = numbered.join(F.broadcast(known.select("session")), "session", "left_semi")
     return spread.join(F.broadcast(numbered), "idx").withColumn(
         "sessions_ahead", F.col("_close") - F.col("idx")).drop("idx", "_close", "_d")
 
@@ -165,13 +178,11 @@ def upcoming_events(events: DataFrame, sessions: DataFrame, date: str, n: int) -
 def has_event_between(rows: DataFrame, events: DataFrame, by: Sequence[str], lo: str, hi: str, day: str) -> DataFrame:
     """Keep rows with an event of their key in (lo, hi] (days).
 
-    Events are first reduced to one row per key and day; each row then looks up
-    the days of its own interval, so nothing pairs a key's rows with all its events.
+    Events are first reduced to one row per key and day; a row then needs only the
+    last event day up to the end of its interval. Equal rows all stay.
     """
     held = events.select(*by, F.col(day).alias("_day")).distinct()
-    asked = rows.withColumn("_day", F.explode(F.sequence(F.date_add(F.col(lo), 1), F.col(hi))))
-    ids = [c for c in rows.columns]
-    return asked.join(held, [*by, "_day"], "left_semi").drop("_day").dropDuplicates(ids)
+    return asof_join(rows, held, by, hi, "_day", ["_day"]).filter(F.col("_day") > F.col(lo)).drop("_day")
 
 
 def trailing_counts(events: DataFrame, by: Sequence[str], day: str, counted: dict[str, tuple[Column, int]],

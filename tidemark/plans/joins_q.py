@@ -265,15 +265,16 @@ def j13(spark, d):
         r(dump("oc_a"), "dump_a"), r(dump("oc_b"), "dump_b"))
 
 
-@query("j14_calendar_earnings", """
-    WITH s AS (SELECT session, row_number() OVER (ORDER BY session) AS i FROM (SELECT DISTINCT session FROM bars)),
-    ends AS (SELECT a.session, a.i, b.session AS until FROM s a JOIN s b ON b.i = a.i + 5)
+@query("j14_calendar_earnings", f"""
+    WITH held AS (SELECT DISTINCT session FROM bars),
+    later AS (SELECT CAST(d AS DATE) AS session FROM (SELECT unnest(generate_series((SELECT max(session) FROM held) + INTERVAL 1 DAY,
+        (SELECT max(session) FROM held) + INTERVAL 30 DAY, INTERVAL 1 DAY)) AS d)
+      WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN ({', '.join(repr(h) for h in fixed.HOLIDAYS)}) ORDER BY d LIMIT 5),
+    s AS (SELECT session, row_number() OVER (ORDER BY session) AS i FROM (SELECT session FROM held UNION ALL SELECT session FROM later)),
+    ends AS (SELECT a.session, b.session AS until FROM s a JOIN s b ON b.i = a.i + 5)
     SELECT e.report_id, e.symbol, e.date, x.session,
       (SELECT count(*) FROM s WHERE s.session > x.session AND s.session < e.date) + 1 AS sessions_ahead
-    FROM earnings e JOIN ends x ON e.date > x.session AND e.date <= x.until
-    UNION ALL
-    SELECT e.report_id, e.symbol, e.date, x.session, (SELECT count(*) FROM s WHERE s.session > x.session AND s.session < e.date) + 1
-    FROM earnings e JOIN s x ON x.i + 5 > (SELECT max(i) FROM s) AND e.date > x.session AND e.date <= (SELECT max(session) FROM s)""",
+    FROM earnings e JOIN ends x ON e.date > x.session AND e.date <= x.until""",
        ("bars", "earnings"))
 def j14(spark, d):
     sessions = derived.bars(spark, d).select("session").distinct()
