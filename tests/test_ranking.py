@@ -82,3 +82,12 @@ def test_top_reasons_and_shares(spark):
     got = df.select(R.top_reasons("reasons", 3).alias("r"), R.top_attribution("shares", 2).alias("a")).first()
     assert [x.text for x in got.r] == ["b", "d", "a"]
     assert [x.family for x in got.a] == ["s", "p"]
+
+
+def test_lookup_searches_filters_and_sorts(spark):
+    df = spark.createDataFrame([("AB", "Abacus", 2.0, None), ("A", "Alpha", None, 1.0), ("XA", "Ab works", 5.0, 2.0), ("C", "Cee", 3.0, 3.0)],
+                               "symbol string, name string, price double, capacity double")
+    shown = lambda **o: [r.symbol for r in R.lookup_page(df, **o).collect()]
+    assert shown(key="price") == ["XA", "C", "AB", "A"] and shown(key="price", flipped=True) == ["AB", "C", "XA", "A"]
+    assert shown(query=" a ", key="price") == ["A", "AB", "XA"] and shown(query="ab") == ["AB", "XA"]
+    assert shown(filters=[F.col("capacity") > 1], key="symbol", page=1, per_page=1) == ["XA"]

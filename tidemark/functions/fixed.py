@@ -95,3 +95,10 @@ MAX_IMPACT = 0.005
 BOARD_MIN_USD = 30000.0
 ONE_MIN_USD = 100000.0
 MIN_DOLLAR_VOLUME = 300e3
+
+# Sort keys of the lookup table, with the column shown and whether it sorts ascending at first.
+LOOKUP_SORTS = {
+    "symbol": ("symbol", True), "price": ("price", False), "market_cap": ("market_cap", False), "prob": ("prob_dump", False),
+    "prob_squeeze": ("prob_squeeze", False), "prob_swing": ("prob_swing", False), "skew": ("skew", False),
+    "fee_rate": ("fee_rate", True), "squeeze_danger": ("squeeze_danger", True), "capacity": ("capacity", False),
+}

@@ -139,10 +139,13 @@ def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Se
     One pass: the linear score is recomputed per family from the fitted coefficients.
     """
     cols = [c for cs in families.values() for c in cs]
-    typical = rows.select("session").distinct()
-    for c in cols:
-        typical = typical.join(exact_median(rows, "session", c, f"_t_{c}", small), "session")
-    met = rows.join(F.broadcast(typical), "session")
+    if small:
+        typical = rows.groupBy("session").agg(*[F.median(c).alias(f"_t_{c}") for c in cols])
+    else:
+        typical = rows.select("session").distinct()
+        for c in cols:
+            typical = typical.join(exact_median(rows, "session", c, f"_t_{c}"), "session")
+    met = rows.join(F.broadcast(typical), "session")          # one row per session of the calendar
     lr, names = model.stages[-1], model.stages[0].getInputCols()
     coef = dict(zip(names, lr.coefficients.toArray().tolist()))
     logit = lambda replaced: sum(

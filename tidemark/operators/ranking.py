@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fixed, predicates
 from ..functions.scalars import finite
 from ..session import cut
 
@@ -179,6 +180,24 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int, per_page: int =
     return shown.orderBy("_pos").select(*df.columns)
 
 
+def lookup_order(key: str, flipped: bool = False) -> list[Column]:
+    """One of the lookup table's orders: missing last both ways, ties by symbol."""
+    col, ascending = fixed.LOOKUP_SORTS[key]
+    return order_missing_last(col, ascending != flipped, "symbol")
+
+
+def lookup_page(rows: DataFrame, filters: Sequence[Column] = (), query: str = "", key: str = "prob", flipped: bool = False,
+                page: int = 0, per_page: int = 50) -> DataFrame:
+    """The lookup table: filters, then search, then order, then page. While searching, an exact symbol comes
+    first and the others by symbol; the chosen order rests."""
+    for test in filters:
+        rows = rows.filter(test)
+    if query.strip():
+        rows = rows.filter(predicates.search_match(query))
+        return paginate(rows, predicates.search_order(query, "symbol"), page, per_page)
+    return paginate(rows, lookup_order(key, flipped), page, per_page)
+
+
 def newest_first(ts: Column, pos: str) -> list[Column]:
     """Instants newest first, undated last, then feed order."""
     return [ts.desc_nulls_last(), F.col(pos).asc()]

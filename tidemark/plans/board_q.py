@@ -199,6 +199,46 @@ def o2(spark, d):
         "session", "symbol", r("prob_dump", places=9))
 
 
+_NEWEST = "SELECT *, prob_dump / nullif(prob_dump + prob_pump, 0) AS skew FROM picks WHERE session = (SELECT max(session) FROM picks)"
+
+
+def newest(spark, d):
+    """The lookup table's rows: all names of the last session."""
+    rows = lookup(spark, d)
+    last = rows.select("session").distinct().agg(F.max("session").alias("_last"))
+    return rows.join(F.broadcast(last), F.col("session") == F.col("_last"), "left_semi").withColumn(
+        "skew", S.down_skew("prob_dump", "prob_pump"))
+
+
+def _lookup_sql(key: str, flipped: bool) -> str:
+    col, up = fixed.LOOKUP_SORTS[key]
+    return (f"row_number() OVER (ORDER BY {col if col == 'symbol' else f'round({col}, 9)'} {'ASC' if up != flipped else 'DESC'} NULLS LAST, symbol) "
+            f"AS {key}_{'flipped' if flipped else 'pos'}")
+
+
+@query("o2_lookup_sort", f"""
+    SELECT symbol, {', '.join(_lookup_sql(k, f) for k in fixed.LOOKUP_SORTS for f in (False, True))} FROM ({_NEWEST})""", "picks")
+def o2_sort(spark, d):
+    """Positions of the last session's names under each of the ten orders, both ways."""
+    shown = newest(spark, d)
+    rows = shown.select("session", "symbol", *[F.round(c, 9).alias(c) for c, _ in fixed.LOOKUP_SORTS.values() if c != "symbol"])
+    for k in fixed.LOOKUP_SORTS:
+        for flipped in (False, True):
+            rows = ranking.with_row_number(rows, "session", ranking.lookup_order(k, flipped),
+                                           f"{k}_{'flipped' if flipped else 'pos'}", small=True)
+    return rows.select("symbol", *[f"{k}_{s}" for k in fixed.LOOKUP_SORTS for s in ("pos", "flipped")])
+
+
+@query("o2_lookup_page", f"""
+    SELECT symbol, {r6('capacity', places=4)}, {r6('prob_dump', places=9)} FROM ({_NEWEST})
+    WHERE {LOOKUP_TESTS['nossr']} ORDER BY round(capacity, 9) DESC NULLS LAST, symbol LIMIT 20 OFFSET 20""", "picks")
+def o2_page(spark, d):
+    """Second page of twenty names without a Rule 201 mark, largest capacity first."""
+    rows = newest(spark, d).withColumn("capacity", F.round("capacity", 9))
+    return ranking.lookup_page(rows, [predicates.lookup_filters()["nossr"]], key="capacity", page=1, per_page=20).select(
+        "symbol", r("capacity", places=4), r("prob_dump", places=9))
+
+
 _WHEN_SQL = """coalesce(CASE WHEN NOT regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}') THEN timezone('UTC', TRY_CAST(s AS TIMESTAMPTZ)) END,
       CASE WHEN regexp_matches(s, '^\\d{4}-\\d{2}-\\d{2}') THEN CAST(
         CAST(make_date(CAST(s[1:4] AS INT), 1, 1) + (CAST(s[6:7] AS INT) - 1) * INTERVAL 1 MONTH AS DATE) + (CAST(s[9:10] AS INT) - 1) AS TIMESTAMP) END)"""
