@@ -27,7 +27,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 COPIES = 2
 #: Documents a slice of the order holds on average; slices are what a task sorts.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
