@@ -22,6 +22,17 @@ def test_odds_are_probabilities(spark, sf):
     assert {r.model for r in out.select("model").distinct().collect()} == {"m0", "m1"}
 
 
+def test_odds_are_no_worse_than_the_base_rate(spark, sf):
+    """Log-loss out of sample against the constant odds of the training sessions, two hundredths of leave."""
+    rows = models_q.training(spark, sf)
+    at = models_q.calendar(rows)[0]
+    base = rows.filter(F.col("session_idx") < at - 5).agg(F.avg("y_dump")).first()[0]
+    loss = lambda p: F.avg(-F.when(F.col("y_dump") == 1, F.log(p)).otherwise(F.log(1 - p)))
+    scored = models.outcome_models(rows, {"m0": models.M0}, at, names=("dump",)).filter("y_dump IS NOT NULL")
+    fitted, constant = scored.agg(loss(F.col("prob_dump")), loss(F.lit(base))).first()
+    assert fitted < constant + 0.02
+
+
 def test_cap_holds(spark, sf):
     from tidemark.plans.records_q import model_scores
     scores = model_scores(spark, sf)

@@ -7,7 +7,7 @@ missing feature is not scored, never filled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -69,6 +69,18 @@ def score(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
     return out.drop("x", "prob", "raw", "pred")
 
 
+def weights(model: PipelineModel) -> tuple[dict[str, float], float]:
+    """Coefficient per input, and the intercept, of a fitted logistic model."""
+    lr, names = model.stages[-1], model.stages[0].getInputCols()
+    return dict(zip(names, lr.coefficients.toArray().tolist())), float(lr.intercept)
+
+
+def logistic(coef: Mapping[str, float], intercept: float, column: Callable[[str], Column] = F.col) -> Column:
+    """Odds from stated coefficients; a missing input gives missing odds."""
+    z = sum((F.lit(float(w)) * column(c) for c, w in coef.items()), F.lit(float(intercept)))
+    return 1 / (1 + F.exp(-z))
+
+
 def outcome_models(rows: DataFrame, sets: Mapping[str, Sequence[str]], cut_idx: int, embargo: int = 5,
                    names: Sequence[str] = ("dump", "squeeze", "pump", "bigdump", "swing")) -> DataFrame:
     """L2: odds of every target from every feature set, trained before the cut and scored from it."""
@@ -115,16 +127,16 @@ def shuffled(rows: DataFrame, cols: Sequence[str], seed: int, small: bool = Fals
     """The columns exchanged among the names of each session by a seeded, repeatable order."""
     there = with_row_number(rows, "session", [F.col("symbol")], "_to", small)
     mixed = with_row_number(rows.select("session", "symbol", *cols), "session",
-                            [F.xxhash64(F.col("symbol"), F.lit(seed)), F.col("symbol")], "_to", small)
+                            [F.md5(F.concat_ws(":", "symbol", F.lit(seed))), F.col("symbol")], "_to", small)
     return there.drop(*cols).join(mixed.drop("symbol"), ["session", "_to"]).drop("_to")
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, families: Mapping[str, Sequence[str]], label: str,
+def permutation_importance(scorer: Callable[[DataFrame], DataFrame], rows: DataFrame, families: Mapping[str, Sequence[str]], label: str,
                            seed: int = 7, small: bool = False, all_small: bool = False) -> DataFrame:
-    """L4: AUC lost when a family's inputs are exchanged among the names of a session."""
-    cases = score(model, rows).select(F.lit("none").alias("family"), "p", label)
+    """L4: AUC lost when a family's inputs are exchanged among the names of a session. `scorer` adds the odds `p`."""
+    cases = scorer(rows).select(F.lit("none").alias("family"), "p", label)
     for fam, cols in families.items():
-        mixed = score(model, shuffled(rows, cols, seed, small))
+        mixed = scorer(shuffled(rows, cols, seed, small))
         cases = cases.unionByName(mixed.select(F.lit(fam).alias("family"), "p", label))
     cases = cases.withColumn("p", F.round("p", 9))
     measured = aucs(cases, ["family"], "p", {"auc": (F.col(label) == 1, F.lit(True))}, all_small)
@@ -132,11 +144,11 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, families: Mapp
     return measured.withColumn("importance", intact - F.col("auc")).filter(F.col("family") != "none")
 
 
-def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Sequence[str]],
+def attribution(coef: Mapping[str, float], intercept: float, rows: DataFrame, families: Mapping[str, Sequence[str]],
                 small: bool = False) -> DataFrame:
     """Share of a reading that disappears when a family is set to the session's typical values.
 
-    One pass: the linear score is recomputed per family from the fitted coefficients.
+    One pass: the linear score is recomputed per family from the coefficients.
     """
     cols = [c for cs in families.values() for c in cs]
     if small:
@@ -146,13 +158,9 @@ def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Se
         for c in cols:
             typical = typical.join(exact_median(rows, "session", c, f"_t_{c}"), "session")
     met = rows.join(F.broadcast(typical), "session")          # one row per session of the calendar
-    lr, names = model.stages[-1], model.stages[0].getInputCols()
-    coef = dict(zip(names, lr.coefficients.toArray().tolist()))
-    logit = lambda replaced: sum(
-        (float(coef[c]) * F.col(f"_t_{c}" if c in replaced else c) for c in names), F.lit(float(lr.intercept)))
-    prob = lambda z: 1 / (1 + F.exp(-z))
-    met = met.withColumn("p", prob(logit(())))
-    drops = {f: F.greatest(F.col("p") - prob(logit(tuple(cs))), F.lit(0.0)) for f, cs in families.items()}
+    odds = lambda replaced: logistic(coef, intercept, lambda c: F.col(f"_t_{c}" if c in replaced else c))
+    met = met.withColumn("p", odds(()))
+    drops = {f: F.greatest(F.col("p") - odds(cs), F.lit(0.0)) for f, cs in families.items()}
     met = met.withColumns({f"_d_{f}": c for f, c in drops.items()})
     total = sum((F.col(f"_d_{f}") for f in families), F.lit(0.0))
     return met.select("session", "symbol", "p", *[
@@ -160,7 +168,7 @@ def attribution(model: PipelineModel, rows: DataFrame, families: Mapping[str, Se
 
 
 def expected_move(rows: DataFrame, features: Sequence[str], cut_idx: int, embargo: int = 5,
-                  small: bool = False) -> DataFrame:
+                  penalty: float = 0.001, small: bool = False) -> DataFrame:
     """Expected open-to-close, and expected place among the session's peers (edge = -prediction)."""
     placed = with_percent_rank(rows.filter(F.col("next_oc").isNotNull()), "session", "symbol", ["next_oc"], "_pr", small)
     placed = placed.withColumn("place", F.col("next_oc_pr") - 0.5)
@@ -168,6 +176,6 @@ def expected_move(rows: DataFrame, features: Sequence[str], cut_idx: int, embarg
     vec = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip")
     out = vec.transform(test)
     for label, name in (("next_oc", "exp_oc"), ("place", "_place")):
-        reg = LinearRegression(featuresCol="x", labelCol=label, predictionCol=name, maxIter=20, regParam=0.001)
+        reg = LinearRegression(featuresCol="x", labelCol=label, predictionCol=name, maxIter=20, regParam=penalty)
         out = reg.fit(vec.transform(train)).transform(out)
     return out.withColumn("liq_edge", -F.col("_place")).drop("x", "_place")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scalars as S
 from ..schemas import INDEX
-from ..session import fresh_path
+from ..session import cut, fresh_path
 from ..sources import derived
 from ..streaming import tape
+from . import board
 from .ctes import r6
 from .feeds_q import manifests
 from .registry import query, r
@@ -26,23 +27,42 @@ def drained(stream, name, mode="append"):
 
 
 _ET = "timezone('America/New_York', timezone('UTC', ts))"
+_TAPE = f"""SELECT CAST(et AS DATE) AS session, symbol, first(price ORDER BY ts, event_id) AS open, last(price ORDER BY ts, event_id) AS last,
+        max(price) AS high, min(price) AS low, count(*) AS n
+      FROM (SELECT *, {_ET} AS et FROM ticks) WHERE isodow(et) < 6 AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960 GROUP BY 1, 2"""
 
 
 @query("t1_live_tape", f"""
     SELECT session, symbol, {r6('open')}, {r6('last')}, {r6('high')}, {r6('low')}, n, {r6('last / nullif(open, 0) - 1', 'oc_now')}, {r6('high / nullif(open, 0) - 1', 'oh_now')}, {r6('low / nullif(open, 0) - 1', 'ol_now')}
-    FROM (SELECT CAST(et AS DATE) AS session, symbol, arg_min(price, ts) AS open, arg_max(price, ts) AS last, max(price) AS high, min(price) AS low, count(*) AS n
-      FROM (SELECT *, {_ET} AS et FROM ticks) WHERE isodow(et) < 6 AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960 GROUP BY 1, 2)""", "ticks")
+    FROM ({_TAPE})""", "ticks")
 def t1(spark, d):
     updates = drained(tape.live_tape(tick_stream(spark, d)), "live", "update")
     return tape.latest(updates, ["session", "symbol"]).select(
         "session", "symbol", *[r(c) for c in ("open", "last", "high", "low")], "n", *[r(c) for c in ("oc_now", "oh_now", "ol_now")])
 
 
+@query("t1_live_board", f"""
+    WITH newest AS (SELECT symbol, rank FROM board WHERE session = (SELECT max(session) FROM board)),
+    quoted AS (SELECT session, rank, last / nullif(open, 0) - 1 AS oc FROM ({_TAPE}) JOIN newest USING (symbol))
+    SELECT session, count(*) FILTER (rank <= 25 AND oc <= -0.05) AS top_down5, count(*) FILTER (rank <= 25) AS top_n, {r6('avg(oc) FILTER (rank <= 25)', 'top_mean_oc')},
+      count(*) FILTER (rank > 25 AND oc <= -0.05) AS ext_down5, count(*) FILTER (rank > 25) AS ext_n, {r6('avg(oc) FILTER (rank > 25)', 'ext_mean_oc')},
+      (SELECT count(*) FROM newest) - count(*) AS unquoted FROM quoted GROUP BY session""", ("ticks", "board"))
+def t1_board(spark, d):
+    """The last published board held against every day of the tape."""
+    published = cut(board.board(spark, d).select("session", "symbol", "rank"))
+    last = published.agg(F.max("session")).first()[0]
+    path = tape.live_board(tick_stream(spark, d), published.filter(F.col("session") == last).drop("session"))
+    updates = tape.landed(spark, path, "session date, top_down5 bigint, top_n bigint, top_mean_oc double, ext_down5 bigint, ext_n bigint, "
+                                       "ext_mean_oc double, unquoted bigint, batch bigint")
+    return tape.latest(updates, ["session"]).select(
+        "session", "top_down5", "top_n", r("top_mean_oc"), "ext_down5", "ext_n", r("ext_mean_oc"), "unquoted")
+
+
 def _bars_sql(minutes: int) -> str:
     return f"""
     SELECT CAST(epoch(start) AS BIGINT) AS start_s, symbol, {r6('open')}, {r6('high')}, {r6('low')}, {r6('close')}, volume FROM (
-      SELECT time_bucket(INTERVAL {minutes} MINUTE, ts) AS start, symbol, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
-        arg_max(price, ts) AS close, CAST(sum(size) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2)"""
+      SELECT time_bucket(INTERVAL {minutes} MINUTE, ts) AS start, symbol, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
+        last(price ORDER BY ts, event_id) AS close, CAST(sum(size) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2)"""
 
 
 def _bars(spark, d, width):

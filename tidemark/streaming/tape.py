@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import et_date, market_phase, move_from_open
+from ..operators.records import live_summary
 from ..session import fresh_path
 
 LATE = "30 minutes"
@@ -61,10 +62,10 @@ def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def live_tape(ticks: DataFrame) -> DataFrame:
-    """Open, last, high, low and moves since the open per session and symbol."""
+    """Open, last, high, low and moves since the open per session and symbol; the event id orders prints of one instant."""
     day = F.window("ts", **SESSION_WINDOW)
     agg = ticks.withWatermark("ts", LATE).filter(market_phase("ts") == "open").groupBy(day.alias("w"), "symbol").agg(
-        F.min_by("price", "ts").alias("open"), F.max_by("price", "ts").alias("last"),
+        F.min_by("price", F.struct("ts", "event_id")).alias("open"), F.max_by("price", F.struct("ts", "event_id")).alias("last"),
         F.max("price").alias("high"), F.min("price").alias("low"), F.count("*").alias("n"))
     return agg.select(
         et_date(F.col("w.start") + F.expr("INTERVAL 12 HOURS")).alias("session"), "symbol", "open", "last", "high", "low", "n",
@@ -72,11 +73,38 @@ def live_tape(ticks: DataFrame) -> DataFrame:
         move_from_open("low", "open").alias("ol_now"))
 
 
+def live_board(ticks: DataFrame, board: DataFrame, name: str = "live-board") -> str:
+    """The live tape against a published board (symbol, rank; at most 100 names), summed up after every micro-batch.
+
+    Lands one row per session a batch touched: names down 5% and mean move of the top 25 and of
+    ranks 26-100, and how many board names have no quote yet. An update carries the whole state of
+    its session and name, so only the quotes of the newest session are held from batch to batch
+    (earlier windows are closed by the watermark); they are versioned by batch, so a batch that is
+    run again starts from the same version. Returns the folder.
+    """
+    spark = ticks.sparkSession
+    names = board.count()
+    quotes = live_tape(ticks).join(F.broadcast(board), "symbol").select("session", "symbol", "rank", "oc_now")
+    path, held = fresh_path(spark, name), fresh_path(spark, f"{name}-held")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        old = spark.read.schema(batch.schema).parquet(f"{held}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], batch.schema)
+        known = old.join(batch, ["session", "symbol"], "left_anti").unionByName(batch).persist()
+        summary = live_summary(known, "oc_now").withColumn("unquoted", F.lit(names) - F.col("top_n") - F.col("ext_n"))
+        summary.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest = known.agg(F.max("session").alias("session"))
+        known.join(F.broadcast(newest), "session", "left_semi").write.mode("overwrite").parquet(f"{held}/v={batch_id}")
+        known.unpersist()
+
+    drain(quotes, name, "update", each=merge)
+    return path
+
+
 def intraday_bars(ticks: DataFrame, width: str = "15 minutes") -> DataFrame:
     """OHLCV per symbol and tumbling window (hourly for the outer ranks)."""
     agg = ticks.withWatermark("ts", LATE).groupBy(F.window("ts", width).alias("w"), "symbol").agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume"))
+        F.min_by("price", F.struct("ts", "event_id")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", F.struct("ts", "event_id")).alias("close"), F.sum("size").alias("volume"))
     return agg.select(F.col("w.start").alias("start"), "symbol", "open", "high", "low", "close", "volume")
 
 
