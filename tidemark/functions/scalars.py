@@ -88,7 +88,7 @@ def market_phase(ts) -> Column:
 
 
 def days_between(a, b) -> Column:
-    """Whole calendar days from a to b."""
+    """P5: how many dates `b` lies after `a`; negative if before."""
     return F.datediff(_c(b), _c(a))
 
 
