@@ -286,6 +286,20 @@ def test_neighbours_recall(spark):
     assert np.mean([len(set(b) & set(got[got.query_id == 200 * i].vec_id)) / 5 for i, b in enumerate(best)]) >= 0.9
 
 
+def test_neighbours_of_repeated_ids_and_rows(spark):
+    """Many equal rows, a query id with many near vectors of its own, a candidate id with many near ones."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    near = lambda e: [float(x) for x in base + e * rng.normal(size=8)]
+    rows = [(7, [float(x) for x in base])] * 25 + [(i, [float(x) for x in base]) for i in (8, 9)]
+    rows += [(50, near(1e-4)) for _ in range(12)] + [(3, near(1e-3)) for _ in range(40)] + [(i, near(0.3)) for i in range(20, 40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(v, F.col("vec_id") == 50).toPandas().sort_values("rank")
+    cosine = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    score = {i: max(cosine(x, y) for j, x in rows if j == i for k, y in rows if k == 50) for i in {i for i, _ in rows} - {50}}
+    assert got.vec_id.tolist() == sorted(score, key=lambda i: (-round(score[i], 12), i))[:5]
+
+
 # ── learned scores ──────────────────────────────────────────────────────────
 
 

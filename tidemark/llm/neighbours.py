@@ -98,7 +98,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _top(k: int, width: int):
-    """The k nearest in one part of a cell, for each of its queries."""
+    """The k nearest ids in one part of a cell, for each of its queries; what parts find can be merged exactly."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
@@ -110,23 +110,35 @@ def _top(k: int, width: int):
         ids, v = ids[order], v[order]
         new = np.ones(len(v), dtype=bool)
         new[1:] = (v[1:] != v[:-1]).any(1)
-        first = np.append(np.flatnonzero(new), len(v))
-        v = v[first[:-1]]
+        other = new.copy()
+        other[1:] |= ids[1:] != ids[:-1]
+        ids, v, new = ids[other], v[other], new[other]
+        # of equal vectors the k + 1 smallest ids are enough: k of them are not the query's and win over any further one
+        start = np.flatnonzero(new)
+        some = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids)))) <= k
+        v, ids, first = v[start], ids[some], np.append(np.flatnonzero(new[some]), some.sum())
         norm = np.sqrt(np.einsum("ij,ij->i", v, v))
         q_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["vector"].combine_chunks(), width)
         q_norm = np.sqrt(np.einsum("ij,ij->i", q, q))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a in range(0, len(q), 512):
             near = (q[a:a + 512] / q_norm[a:a + 512, None]) @ (v / norm[:, None]).T
-            kth = np.partition(near, -min(k + 1, near.shape[1]), axis=1)[:, -min(k + 1, near.shape[1])]
+            most = near.shape[1]
+            kth = np.partition(near, -min(k + 1, most), axis=1)[:, -min(k + 1, most)]
             for i in range(len(near)):
-                at = np.flatnonzero(near[i] >= kth[i] - 1e-9)            # k + 1 vectors, as the query's own may be one
+                m, least = k + 1, kth[i]
+                while True:                                              # until k ids other than the query's are found
+                    at = np.flatnonzero(near[i] >= least - 1e-9)
+                    got = np.concatenate([ids[first[j]:first[j + 1]] for j in at])
+                    if m >= most or len(np.unique(got[got != q_ids[a + i]])) >= k:
+                        break
+                    m = min(4 * m, most)
+                    least = np.partition(near[i], -m)[-m]
                 score = np.einsum("ij,ij->i", v[at], np.broadcast_to(q[a + i], v[at].shape)) / (norm[at] * q_norm[a + i])
-                mine = [ids[first[j]:first[j + 1]] for j in at]
-                mine = [np.unique(m[m != q_ids[a + i]][:4 * k] if len(m) > 4 * k else m[m != q_ids[a + i]])[:k] for m in mine]
-                got = np.concatenate(mine)
-                s = np.repeat(score, [len(m) for m in mine])
-                best = np.lexsort((got, -s))[:k]
+                s = np.repeat(score, first[at + 1] - first[at])
+                got, s = got[got != q_ids[a + i]], s[got != q_ids[a + i]]
+                best = np.lexsort((got, -s))
+                best = best[np.sort(np.unique(got[best], return_index=True)[1])[:k]]     # an id's best score only
                 out.append((np.full(len(best), q_ids[a + i]), got[best], s[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
