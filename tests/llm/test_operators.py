@@ -300,6 +300,34 @@ def test_neighbours_of_repeated_ids_and_rows(spark):
     assert got.vec_id.tolist() == sorted(score, key=lambda i: (-round(score[i], 12), i))[:5]
 
 
+def test_neighbours_of_one_key_in_parts(spark, monkeypatch):
+    """Vectors that share one key on every curve: no part holds many more rows than it should, and nothing is lost."""
+    rng = np.random.default_rng(6)
+    x = np.ones(8) + 1e-6 * rng.normal(size=(600, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 40)
+    monkeypatch.setattr(neighbours, "BLOCK", (5, 7))
+    top = neighbours._top
+
+    def watched(k, width):
+        fn = top(k, width)
+
+        def run(vectors, queries):
+            assert max(vectors.num_rows, queries.num_rows) <= 80
+            return fn(vectors, queries)
+
+        return run
+
+    monkeypatch.setattr(neighbours, "_top", watched)
+    got = neighbours.nearest(v, F.col("vec_id") % 50 == 0, curves=2).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 600, 50):
+        gap = ((u - u[q]) ** 2).sum(1)
+        gap[q] = 9
+        want = got[got.query_id == q].vec_id.to_numpy()
+        assert len(set(want)) == 5 and np.abs(gap[want] - np.sort(gap)[:5]).max() < 1e-14
+
+
 # ── learned scores ──────────────────────────────────────────────────────────
 
 

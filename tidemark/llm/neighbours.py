@@ -10,8 +10,9 @@ For vectors without any structure (independent directions) the five nearest are
 than the rest, so a curve must be searched widely: with 8% of the ranks to either side on 12 curves
 recall against brute force is about 0.98 from 500 to 50,000 vectors. Clustered vectors need less;
 `curves` and `reach` are parameters. Work is queries x vectors x 2 reach x curves at most, in
-blocks: cells with many vectors or queries are dealt out in parts, so no task holds more than
-about `PART_ROWS` of either, and equal vectors are compared once per task.
+blocks: the rows of each cell are counted, and a cell is dealt out in parts by its own counts, so
+no task holds more than about `PART_ROWS` vectors or queries, however many share one key. Of equal
+vectors only the k + 1 smallest ids become candidates, which loses none of the k nearest.
 
 Rows: vectors that are null, empty or zero or hold a null or non-finite component take no part,
 neither as queries nor as candidates; shorter vectors count as padded with zeros; rows of the
@@ -21,17 +22,23 @@ several vectors the nearest counts; equal scores go to the smaller id.
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 CURVES = 12
 DIMS = 4
 BITS = 6
 CELLS = 50
 REACH = 4
 PART_ROWS = 10_000
+#: Queries and vectors of one block of scores (20 MB).
+BLOCK = (512, 5_000)
 #: Vectors to either side that the reach covers at least; ranges of small tables hold few.
 LEAST_ROWS = 1_000
 
@@ -121,14 +128,14 @@ def _top(k: int, width: int):
         q_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["vector"].combine_chunks(), width)
         q_norm = np.sqrt(np.einsum("ij,ij->i", q, q))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(q), 512):
-            near = (q[a:a + 512] / q_norm[a:a + 512, None]) @ (v / norm[:, None]).T
+        for a, c in product(range(0, len(q), BLOCK[0]), range(0, len(v), BLOCK[1])):
+            near = (q[a:a + BLOCK[0]] / q_norm[a:a + BLOCK[0], None]) @ (v[c:c + BLOCK[1]] / norm[c:c + BLOCK[1], None]).T
             most = near.shape[1]
             kth = np.partition(near, -min(k + 1, most), axis=1)[:, -min(k + 1, most)]
             for i in range(len(near)):
                 m, least = k + 1, kth[i]
                 while True:                                              # until k ids other than the query's are found
-                    at = np.flatnonzero(near[i] >= least - 1e-9)
+                    at = c + np.flatnonzero(near[i] >= least - 1e-9)
                     got = np.concatenate([ids[first[j]:first[j + 1]] for j in at])
                     if m >= most or len(np.unique(got[got != q_ids[a + i]])) >= k:
                         break
@@ -171,45 +178,71 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, reac
             keys = index.keys(v / np.abs(v).max(1, keepdims=True) / np.linalg.norm(v / np.abs(v).max(1, keepdims=True), axis=1, keepdims=True))
             yield pa.RecordBatch.from_pydict({"vec_id": b["vec_id"], "vector": b["vector"], "keys": pa.array(list(keys), pa.list_(pa.int64()))})
 
-    placed = rows.mapInArrow(places, "vec_id long, vector array<double>, keys array<long>")
+    placed = written(rows.distinct().mapInArrow(places, "vec_id long, vector array<double>, keys array<long>"), "places")
+    equal = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    candidates = written(placed.withColumn("i", equal).filter(F.col("i") <= k + 1).drop("i"), "candidates")
     cuts = [F.percentile_approx(F.col("keys")[c], [i / cells for i in range(1, cells)], 10_000) for c in range(curves)]
-    bounds = [sorted(x) for x in placed.agg(*cuts).first()]
+    bounds = [sorted(x) for x in candidates.agg(*cuts).first()]
     # a key that fills several cells has the number of the last; it reaches back to the first
     edges = [np.array(b, dtype=np.int64) for b in bounds]
-    c_parts = max(1, -(-n // (cells * PART_ROWS)))
-    q_parts = max(1, -(-queries * (2 * reach + 1) // (cells * PART_ROWS)))
 
-    def cells_of(own: bool):
-        """Rows (vector, curve, cell, part numbers): vectors in their own cell, queries in all cells they reach."""
+    def cells_of(keys: np.ndarray, own: bool):
+        """(row, curve, cell) arrays: vectors in their own cell, queries in all cells they reach."""
+        at, curve, cell = [], [], []
+        for c in range(curves):
+            last = np.searchsorted(edges[c], keys[:, c], side="right")
+            if own:
+                at.append(np.arange(len(keys)))
+                cell.append(last)
+            else:
+                first = np.searchsorted(edges[c], keys[:, c], side="left")
+                for to in np.unique(np.append(np.searchsorted(edges[c], edges[c], side="right"), 0)):     # cells that hold rows
+                    back = int(np.searchsorted(edges[c], edges[c][to - 1], side="left")) if to else 0
+                    hit = np.flatnonzero((to >= first - reach) & (back <= last + reach))
+                    at.append(hit)
+                    cell.append(np.full(len(hit), to))
+            curve.extend([np.full(len(x), c) for x in at[len(curve):]])
+        return np.concatenate(at), np.concatenate(curve), np.concatenate(cell)
+
+    def counted(own: bool):
+        """(number of the cell, rows) of each cell in a partition; curve c has the numbers from c * cells."""
+        def run(source):
+            total = np.zeros(curves * cells, dtype=np.int64)
+            for b in source:
+                _, curve, cell = cells_of(np.stack(b["keys"].to_numpy(zero_copy_only=False)), own)
+                total += np.bincount(curve * cells + cell, minlength=curves * cells)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.flatnonzero(total)), "n": pa.array(total[total > 0])})
+
+        return run
+
+    def parts(source, own: bool) -> np.ndarray:
+        """Number of parts of each cell, by its own rows."""
+        out = np.zeros(curves * cells, dtype=np.int64)
+        for r in source.select("keys").mapInArrow(counted(own), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():   # curves x cells rows
+            out[r["cell"]] = r["n"]
+        return np.maximum(1, -(-out // PART_ROWS))
+
+    asking = placed.filter(is_query)
+    c_parts, q_parts = parts(candidates, True), parts(asking, False)
+
+    def dealt(own: bool):
+        """Rows (vector, curve, cell, parts of the cell)."""
         def run(source):
             for b in source:
-                ids, keys = b["vec_id"].to_numpy(), np.stack(b["keys"].to_numpy(zero_copy_only=False))
-                at, curve, cell = [], [], []
-                for c in range(curves):
-                    last = np.searchsorted(edges[c], keys[:, c], side="right")
-                    if own:
-                        at.append(np.arange(len(ids)))
-                        cell.append(last)
-                    else:
-                        first = np.searchsorted(edges[c], keys[:, c], side="left")
-                        for to in np.unique(np.append(np.searchsorted(edges[c], edges[c], side="right"), 0)):     # cells that hold rows
-                            back = int(np.searchsorted(edges[c], edges[c][to - 1], side="left")) if to else 0
-                            hit = np.flatnonzero((to >= first - reach) & (back <= last + reach))
-                            at.append(hit)
-                            cell.append(np.full(len(hit), to))
-                    curve.extend([np.full(len(x), c) for x in at[len(curve):]])
-                at, curve, cell = np.concatenate(at), np.concatenate(curve), np.concatenate(cell)
+                at, curve, cell = cells_of(np.stack(b["keys"].to_numpy(zero_copy_only=False)), own)
+                number = curve * cells + cell
                 yield pa.RecordBatch.from_pydict({
-                    "vec_id": pa.array(ids[at]), "vector": b["vector"].take(pa.array(at)), "curve": pa.array(curve, pa.int32()), "cell": pa.array(cell, pa.int32())})
+                    "vec_id": b["vec_id"].take(pa.array(at)), "vector": b["vector"].take(pa.array(at)), "curve": pa.array(curve, pa.int32()), "cell": pa.array(cell, pa.int32()),
+                    "c_parts": pa.array(c_parts[number], pa.int32()), "q_parts": pa.array(q_parts[number], pa.int32())})
 
         return run
 
-    schema = "vec_id long, vector array<double>, curve int, cell int"
-    part = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "vector"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    schema = "vec_id long, vector array<double>, curve int, cell int, c_parts int, q_parts int"
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "vector"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     by = ["curve", "cell", "cp", "qp"]
-    left = placed.mapInArrow(cells_of(True), schema).withColumn("cp", part(1, c_parts)).withColumn("qp", every(q_parts))
-    right = placed.filter(is_query).mapInArrow(cells_of(False), schema).withColumn("qp", part(2, q_parts)).withColumn("cp", every(c_parts))
+    left = candidates.mapInArrow(dealt(True), schema).withColumn("cp", part(1, "c_parts")).withColumn("qp", every("q_parts"))
+    right = asking.mapInArrow(dealt(False), schema).withColumn("qp", part(2, "q_parts")).withColumn("cp", every("c_parts"))
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_top(k, width), "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
