@@ -286,6 +286,22 @@ def test_neighbours_recall(spark):
     assert np.mean([len(set(b) & set(got[got.query_id == 200 * i].vec_id)) / 5 for i, b in enumerate(best)]) >= 0.9
 
 
+def test_neighbours_recall_at_one_reach(spark):
+    """More than 12,500 vectors, and the same reach for few and for many."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(13_000, 32)).astype("float32")
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(v, F.col("vec_id") % 500 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::500] @ u.T
+    s[np.arange(26), np.arange(0, 13_000, 500)] = -2
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(set(b) & set(got[got.query_id == 500 * i].vec_id)) / 5 for i, b in enumerate(best)]) >= 0.9
+    few = v.filter("vec_id < 1000")
+    rows = lambda **o: sorted(map(tuple, neighbours.nearest(few, F.col("vec_id") % 10 == 0, curves=1, **o).collect()))
+    assert rows() == rows(reach=neighbours.REACH) != rows(reach=neighbours.CELLS)
+
+
 def test_neighbours_of_repeated_ids_and_rows(spark):
     """Many equal rows, a query id with many near vectors of its own, a candidate id with many near ones."""
     rng = np.random.default_rng(5)
