@@ -176,6 +176,16 @@ def test_jaccard_without_ids_or_rows(spark, docs):
     assert jaccard.join(empty(spark)).count() == 0
 
 
+def test_jaccard_of_one_id_with_several_texts(spark):
+    """Near copies of each of them reach the id, whichever text comes first."""
+    rng = random.Random(9)
+    a, b, c = (prose(60, rng) for _ in range(3))
+    rows = [(5, a), (5, b), (5, c), (8, a + " tail"), (9, b + " tail"), (10, c + " tail"), (11, prose(60, rng))]
+    for order in (rows, rows[::-1]):
+        got = jaccard.join(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (8, 5), (9, 5), (10, 5), (11, 11)} and len(got) == 7
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "u long, v long")
     got = dict(components(links).collect())

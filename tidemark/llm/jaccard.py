@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-Rows of the matrix are documents with equal sets taken as one; columns are five-word shingles.
+Rows of the matrix are documents with equal sets taken as one, known by their sets; columns are five-word shingles.
 Two sets of sizes m and n are 0.8 similar only if they share 4 (m + n) / 9 shingles or more, so
 with shingles in one global order, frequent ones last, a similar pair meets in the first fifth
 of both rows: only those columns are multiplied. Entries are discarded by what sizes and places
@@ -109,9 +109,11 @@ def _prefixes(levels):
 
 
 def _bodies(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Key (n, a, b) and shingles of each row's set."""
     s, _, first = _sets(b["text"])
     blobs = [s[first[i]:first[i + 1]].tobytes() for i in range(b.num_rows)]
-    return pa.RecordBatch.from_pydict({"id": b["doc_id"], "body": pa.array(blobs, pa.binary())})
+    return pa.RecordBatch.from_pydict({
+        "n": pa.array(np.diff(first).astype(np.int64)), "a": signed(_sums(mix(s), first)), "b": signed(_sums(mix(s ^ U(0x5DEECE66D)), first)), "body": pa.array(blobs, pa.binary())})
 
 
 def _linked(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -120,31 +122,34 @@ def _linked(b: pa.RecordBatch) -> pa.RecordBatch:
         x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
         both = len(np.intersect1d(x, y, assume_unique=True))
         keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-    return pa.RecordBatch.from_pydict({"u": b["x"], "v": b["y"]}).filter(pa.array(keep, pa.bool_()))
+    return pa.RecordBatch.from_pydict({"u": b["x_id"], "v": b["y_id"]}).filter(pa.array(keep, pa.bool_()))
 
 
-def _read_sets(pairs: DataFrame, docs: DataFrame, have: DataFrame | None = None) -> DataFrame:
-    """(id, body) of the documents in `pairs`, besides those read already."""
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
+def _read_sets(pairs: DataFrame, docs: DataFrame, rows: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """(id, tag, body) of the sets in `pairs`, besides those read already; an id may have several."""
+    keys = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
     if have is not None:
-        ids = written(ids.join(have.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "ids")
-        if ids.isEmpty():
-            return have
+        keys = keys.join(have.select("id", "tag"), ["id", "tag"], "left_anti")
+    keys = written(rows.join(keys.hint("merge"), ["id", "tag"], "left_semi"), "keys")
+    if have is not None and keys.isEmpty():
+        return have
     # the ids grow with the corpus: texts and ids meet by a shuffle at every size
-    once = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    bodies = written(map_arrow(once, _bodies, "id long, body binary").dropDuplicates(["id"]), "sets")
+    once = docs.select("doc_id", "text").join(keys.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    read = map_arrow(once, _bodies, "n long, a long, b long, body binary").dropDuplicates(["n", "a", "b"])
+    bodies = written(read.join(keys.hint("merge"), ["n", "a", "b"]).select("id", "tag", "body"), "sets")
     return bodies if have is None else have.unionByName(bodies)
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (u, v) among `pairs` (x, y: ids), by whole sets."""
-    full = pairs.join(bodies.select(F.col("id").alias("x"), F.col("body").alias("x_body")), "x").join(
-        bodies.select(F.col("id").alias("y"), F.col("body").alias("y_body")), "y")
-    return map_arrow(full, _linked, "u long, v long", column="x_body")
+    """Links (u, v: ids) among `pairs` (x, y: sets), by whole sets."""
+    side = lambda x: bodies.select(F.struct("id", "tag").alias(x), F.col("body").alias(f"{x}_body"))
+    full = pairs.join(side("x"), "x").join(side("y"), "y")
+    return map_arrow(full.select(F.col("x.id").alias("x_id"), F.col("y.id").alias("y_id"), "x_body", "y_body"), _linked, "u long, v long", column="x_body")
 
 
 def _pairs(x: str, y: str) -> list[Column]:
-    return [F.least(f"{x}.id", f"{y}.id").alias("x"), F.greatest(f"{x}.id", f"{y}.id").alias("y")]
+    u, v = (F.struct(f"{side}.id", f"{side}.tag") for side in (x, y))
+    return [F.least(u, v).alias("x"), F.greatest(u, v).alias("y")]
 
 
 def _may(x: str, y: str) -> Column:
@@ -161,20 +166,22 @@ def join(docs: DataFrame) -> DataFrame:
     measured = written(docs.mapInArrow(_measure, "doc_id long, n long, a long, b long, chunk int, sketch binary"), "sizes")
     levels = spark.sparkContext.broadcast(_levels(measured))                 # SLOTS bytes
     sizes = measured.filter(F.col("chunk").isNull()).select("doc_id", "n", "a", "b")
-    # equal sets are one row of the matrix, named after their smallest id
+    # equal sets are one row of the matrix, named after their smallest id and, if that names several sets, by `a` too (else 0, which packs)
     named = sizes.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     rows = written(named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("id")), "rows")
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id", F.lit(True).alias("twice"))
+    rows = written(rows.join(twice, "id", "left").select("n", "a", "b", "id", F.when(F.col("twice"), F.col("a")).otherwise(F.lit(0).cast("long")).alias("tag")), "rows")
 
     cells = map_arrow(docs.filter(F.col("doc_id").isNotNull()), _prefixes(levels), "g long, a long, n int, place int")
     shared = cells.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
     active = cells.join(shared, "g").distinct()
-    active = active.join(rows.select("n", "a", "id"), ["n", "a"]).select("g", "id", "n", "place")
+    active = active.join(rows.select("n", "a", "id", "tag"), ["n", "a"]).select("g", "id", "tag", "n", "place")
     active = written(active, "columns")
 
-    pivot = active.groupBy("g").agg(F.min(F.struct("place", "n", "id")).alias("p")).select("g", F.col("p.id").alias("id"), F.col("p.n").alias("n"), F.col("p.place").alias("place"))
-    star = active.alias("x").join(pivot.alias("y"), "g").filter((F.col("x.id") != F.col("y.id")) & _may("x", "y"))
+    pivot = active.groupBy("g").agg(F.min(F.struct("place", "n", "id", "tag")).alias("p")).select("g", F.col("p.id").alias("id"), F.col("p.tag").alias("tag"), F.col("p.n").alias("n"), F.col("p.place").alias("place"))
+    star = active.alias("x").join(pivot.alias("y"), "g").filter(((F.col("x.id") != F.col("y.id")) | (F.col("x.tag") != F.col("y.tag"))) & _may("x", "y"))
     star = written(star.select(*_pairs("x", "y")).distinct(), "pairs")
-    bodies = _read_sets(star, docs)
+    bodies = _read_sets(star, docs, rows)
     links = written(_verified(star, bodies), "links")
 
     found = written(components(links), "components")
@@ -183,7 +190,7 @@ def join(docs: DataFrame) -> DataFrame:
     of = written(of.join(several, "g"), "open-columns")
     across = of.alias("x").join(of.alias("y"), "g").filter((F.col("x.component") < F.col("y.component")) & _may("x", "y"))
     across = written(across.select(*_pairs("x", "y")).distinct().join(star, ["x", "y"], "left_anti"), "pairs")
-    more = written(_verified(across, _read_sets(across, docs, bodies)), "links")
+    more = written(_verified(across, _read_sets(across, docs, rows, bodies)), "links")
     if not more.isEmpty():
         found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
