@@ -6,11 +6,11 @@ columns of `documents`; the last adds `shard` and `slot`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard, mixing, sharding, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import table, text_key, written
 from tidemark.llm.queries import held_out
 
 
@@ -23,16 +23,29 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every component of 0.8 similar documents, one row of it.
 
+    A document is an id and a text: rows that only share an id are no copies of each other. Of equal
+    ids and texts the first row by the other columns stays, of several texts of the smallest id the first by key.
     Documents without an id or without words are no copies of any other and stay.
     """
-    found = jaccard.join(docs)
-    gone = found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    twice = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    several = kept.join(twice, "doc_id", "left_semi")
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(several.dropDuplicates(["doc_id"]).select(docs.columns))
+    key = text_key(F.col("text"))
+    named = docs.withColumn("__name", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", key)))
+    found = jaccard.join(named.select(F.col("__name").alias("doc_id"), "text")).filter("n_shingles > 0 and doc_id is not null")
+    found = written(found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "__name"), "copies")
+    # only components and names with several rows are looked at further
+    several = found.groupBy("component_id").agg(F.sum("n").alias("rows")).filter("rows > 1").select("component_id")
+    several = written(found.join(several.hint("merge"), "component_id", "left_semi"), "several")
+    if several.isEmpty():
+        return docs
+    ids = named.filter("__name is not null").select("__name", "doc_id").distinct()
+    ids = written(several.join(ids.hint("merge"), "__name"), "several-ids")
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__name")).alias("f")).select(F.col("f.__name").alias("__name"))
+    gone = ids.select("__name").join(first.hint("merge"), "__name", "left_anti").distinct()
+    kept = named.join(gone.hint("merge"), "__name", "left_anti")
+    twice = several.filter("n > 1").select("__name")
+    again = kept.join(twice.hint("merge"), "__name", "left_semi")
+    order = F.row_number().over(Window.partitionBy("__name").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    again = again.withColumn("__i", order).filter("__i = 1")
+    return kept.join(twice.hint("merge"), "__name", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -462,3 +462,13 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert Counter(ids(kept)) == Counter({i: n for i, n in plan.items() if n})
     last = stages[4](spark, kept, folder)
     assert ids(last) == ids(kept) and last.columns[-2:] == ["shard", "slot"]
+
+
+def test_near_duplicates_keep_texts_that_share_an_id(spark):
+    """Colliding ids: each text without a near copy stays, of equal rows the first by the other columns."""
+    rng = random.Random(10)
+    a, b, c = (prose(60, rng) for _ in range(3))
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, "", "en", "s", 1), (9, b + " tail", "en", "s", 1), (6, c, "en", "t", 2), (6, c, "en", "r", 2), (None, a, "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, DOC).coalesce(1), "").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [r for r in rows if r[0] != 9 and r[3] != "t"]))
