@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling over sampled positions.
+"""Removal of repeated byte strings by minimiser anchors and fingerprints; prefix doubling was replaced by them.
 
 A byte goes if a string of `LENGTH` bytes that covers it also starts anywhere else. In a suffix
 array such strings share a rank for that length. Ranks for growing lengths are what prefix
