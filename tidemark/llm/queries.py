@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontamination, jaccard, langid, licenses, lines, mixing, neighbours, repeats, sharding, toxicity
+from . import decontamination, jaccard, langid, licenses, lines, mixing, neighbours, repeats, sharding, toxicity, variants
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,10 @@ def op10(spark, d):
     return licenses.scan(table(spark, d, "documents")).select(
         "doc_id", "n_sentences", F.size("sentence_ids").cast("long").alias("n_license_sentences"),
         F.array_join("licenses", ",").alias("licenses"))
+
+
+@query("op13_spelling_variants", variants.sql())
+def op13(spark, d):
+    """Words of the corpus, each with the far more frequent word one edit away that it is a spelling of."""
+    found = variants.runs(table(spark, d, "documents").select("doc_id", "text"), variants.LEAST)
+    return variants.grouped(variants.vocabulary(variants.typed(found), variants.TIMES))
