@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontamination, jaccard, langid, licenses, lines, mixing, neighbours, repeats, sharding, toxicity, variants
+from . import decontamination, hard_negatives, jaccard, langid, licenses, lines, mixing, neighbours, repeats, sharding, toxicity, variants
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,14 @@ def op10(spark, d):
         F.array_join("licenses", ",").alias("licenses"))
 
 
+@query("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark, d):
+    """For every fiftieth vector and each of its positives, the best rows of another label below the positive's score."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted), F.col("id") % 50 == 0)
+
+
 @query("op13_spelling_variants", variants.sql())
 def op13(spark, d):
     """Words of the corpus, each with the far more frequent word one edit away that it is a spelling of."""
