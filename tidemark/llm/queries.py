@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontamination, hard_negatives, jaccard, langid, licenses, lines, mixing, neighbours, repeats, sharding, toxicity, variants
+from . import decontamination, hard_negatives, jaccard, langid, licenses, lines, mixing, neighbours, quality, repeats, sharding, toxicity, variants
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,14 @@ def op11(spark, d):
     return hard_negatives.mine(rows.withColumn("label", shifted), F.col("id") % 50 == 0)
 
 
+@query("op12_quality")
+def op12(spark, d):
+    """Quality of each document; the labels of three quarters of them are learned from."""
+    docs, out = table(spark, d, "documents").select("doc_id", "text"), held_out(4, 2)
+    model = quality.trained(docs.filter(~out), table(spark, d, "labels"))
+    return quality.scored(docs.withColumn("held_out", out), model, ["doc_id", "held_out"])
+
+
 @query("op13_spelling_variants", variants.sql())
 def op13(spark, d):
     """Words of the corpus, each with the far more frequent word one edit away that it is a spelling of."""
