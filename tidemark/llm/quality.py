@@ -1,7 +1,7 @@
 """Text quality by a linear-chain conditional random field (CRF) over lines.
 
 Every line of a text is good or bad. Its evidence is what kinds of characters follow each other in it,
-in the line before and in the line after; neighbouring labels lean on each other through a 2 x 2
+how often it repeats a word at once, and the same of the line before and the line after; neighbouring labels lean on each other through a 2 x 2
 table. Forward and backward messages give each line's marginal probability of being good; a text's score is
 their mean weighted by length (bytes, and one for the line's end).
 
@@ -34,12 +34,12 @@ FIT_LINES = 60_000
 PIECE = 64
 BYTES = 1 << 16
 GOOD = 0.7
-STEPS, RATE, RIDGE = 150, 0.05, 1e-3
+STEPS, RATE, RIDGE = 250, 0.05, 2e-4
 
 #: Kinds of characters; the last is the line feed.
 KINDS = ("a-z", "A-Z", "0-9", "blank", ".!?", "other marks of prose", "other signs", "beyond ASCII", "line feed")
 K = len(KINDS)
-N_FEATURES = K * K + 2
+N_FEATURES = K * K + 5
 
 
 def _kinds() -> np.ndarray:
@@ -51,27 +51,72 @@ def _kinds() -> np.ndarray:
 
 
 KIND = _kinds()
+BLANK = (KIND == 3) | (KIND == 8)
+#: Multipliers of the bytes of a word in its hash (odd numbers to the power of the place, modulo 2^64).
+POWERS = np.cumprod(np.full(BYTES + 2, 6364136223846793005, dtype=np.uint64), dtype=np.uint64)
+
+
+def _pieces(data: np.ndarray):
+    """(first, last) of pieces of about BYTES: each begins where the one before ended, at a blank or line feed if there is one."""
+    at = 0
+    while at < len(data) - 1:
+        end = min(at + BYTES, len(data) - 1)
+        blank = np.flatnonzero(BLANK[data[at + 1:end + 1]])
+        if len(blank):
+            end = at + 1 + int(blank[-1])
+        yield at, end
+        at = end
+
+
+def _repeats(piece: np.ndarray, line: np.ndarray, lines: int, before: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words and words equal to the one before in their line, for each line; `before` is the hash of the word before the piece.
+
+    `piece` begins at a boundary and ends with one; line[i] is the line of byte i + 1.
+    """
+    blank = BLANK[piece]
+    blank[0] = blank[-1] = True
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    if not len(begin):
+        return np.zeros(lines), np.zeros(lines), before if not line[-1] else 0
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    place = np.arange(len(piece)) - np.repeat(np.append(0, begin), np.diff(np.concatenate([[0], begin, [len(piece)]])))
+    mixed = np.where(blank, 0, (piece.astype(np.uint64) + np.uint64(1)) * POWERS[place])
+    total = np.concatenate([[0], np.cumsum(mixed, dtype=np.uint64)])
+    code = total[end] - total[begin]
+    row = line[begin - 1]
+    same = np.zeros(len(code), dtype=bool)
+    same[1:] = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
+    same[0] = row[0] == 0 and int(code[0]) == before
+    return np.bincount(row, minlength=lines).astype(float), np.bincount(row, weights=same, minlength=lines), int(code[-1]) if row[-1] == line[-1] else 0
 
 
 def line_features(data: np.ndarray):
     """(features, bytes) of the lines of `data`, piece by piece; data begins and ends with a line feed.
 
     Features of a line: for each two kinds the root of the share of its neighbouring characters of these kinds (line
-    feeds at both ends included), and its length, on a log scale and whether it is empty.
+    feeds at both ends included); its length on a log scale; whether it is empty; the share of its words that repeat the word before,
+    and the root of that; bytes a word on a log scale. A word of more than `BYTES` counts as several.
     """
-    carry = np.zeros(K * K)
-    for at in range(0, len(data) - 1, BYTES):
-        piece = data[at:at + BYTES + 1]
+    carry, before = np.zeros(K * K + 2), 0
+    for at, end in _pieces(data):
+        piece = data[at:end + 1]
         kind = KIND[piece]
         ends = piece[1:] == 10
         line = np.cumsum(ends) - ends
         done = int(ends.sum())
-        pairs = np.bincount(line * (K * K) + kind[:-1] * K + kind[1:], minlength=(done + 1) * K * K).reshape(-1, K * K).astype(float)
-        pairs[0] += carry
-        carry, pairs = pairs[done], pairs[:done]
+        pairs = np.bincount(line * (K * K) + kind[:-1] * K + kind[1:], minlength=(done + 1) * K * K).reshape(-1, K * K)
+        words, same, before = _repeats(piece, line, done + 1, before)
+        if ends[-1]:
+            before = 0
+        counts = np.column_stack([pairs, words, same])
+        counts[0] += carry
+        carry, counts = counts[done], counts[:done]
         if done:
-            total = pairs.sum(axis=1)
-            yield np.column_stack([np.sqrt(pairs / total[:, None]), np.log(total) / 8, total == 1]).astype(np.float32), total - 1
+            total = counts[:, :-2].sum(axis=1)
+            words = np.maximum(counts[:, -2], 1)
+            again = counts[:, -1] / words
+            yield np.column_stack([np.sqrt(counts[:, :-2] / total[:, None]), np.log(total) / 8, total == 1, again, np.sqrt(again),
+                                   np.log(total / words) / 4]).astype(np.float32), total - 1
 
 
 def _joined(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +198,12 @@ class Model:
         return Chains(counts).marginals(self.odds(np.concatenate(parts), counts), self.table), np.concatenate(sizes), counts
 
 
-def fit(x: np.ndarray, counts: np.ndarray, good: np.ndarray) -> Model:
-    """A model of lines `x` (n x features) of documents with `counts` lines and labels `good`, by gradient steps (Adam) on the
-    mean conditional log-likelihood of a line's label, documents weighing the same."""
+def fit(x: np.ndarray, sizes: np.ndarray, counts: np.ndarray, good: np.ndarray) -> Model:
+    """A model of lines `x` (n x features) of `sizes` in documents with `counts` lines and labels `good`.
+
+    Gradient steps (Adam) push the marginals of lines and of neighbouring pairs to the label; a line weighs by its share
+    of the document, as in the score, and documents weigh the same.
+    """
     model = Model()
     if not len(good) or good.min() == good.max():
         return model
@@ -166,7 +214,7 @@ def fit(x: np.ndarray, counts: np.ndarray, good: np.ndarray) -> Model:
     before[first], after[last] = 0, 0
     whole = np.concatenate([with_one, before, after], axis=1)
     y = np.repeat(good, counts).astype(float)
-    weight = np.repeat(1 / counts, counts) / len(counts)
+    weight = sizes / np.repeat(np.add.reduceat(sizes, np.cumsum(counts) - counts), counts) / len(counts)
     pieces = np.array([min(PIECE, int(c) - at) for c in counts for at in range(0, int(c), PIECE)])
     chains = Chains(pieces)
     inside = np.ones(n, dtype=bool)
@@ -205,15 +253,16 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lines: int
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, counts = _joined(b)
-        x = np.concatenate([f for f, _ in line_features(data)])
+        x = np.concatenate([np.column_stack([f, n + 1]) for f, n in line_features(data)]).astype(np.float32)
         cut = np.split(x, np.cumsum(counts)[:-1])
         return pa.RecordBatch.from_pydict({"upto": b["upto"], "quality": b["quality"], "x": pa.array([c.tobytes() for c in cut], pa.binary())})
 
     got = sorted(map_arrow(sample.select("upto", "quality", "text"), run, "upto long, quality int, x binary").collect())
     if not got:
         return Model()
-    x = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
-    return fit(np.concatenate(x), np.array([len(f) for f in x]), np.array([r["quality"] for r in got]))
+    x = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES + 1) for r in got]
+    lines_of = np.concatenate(x)
+    return fit(lines_of[:, :-1], lines_of[:, -1].astype(float), np.array([len(f) for f in x]), np.array([r["quality"] for r in got]))
 
 
 def _kept(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str], str]:
