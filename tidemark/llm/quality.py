@@ -81,7 +81,7 @@ def _repeats(piece: np.ndarray, line: np.ndarray, lines: int, before: int) -> tu
     end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     place = np.arange(len(piece)) - np.repeat(np.append(0, begin), np.diff(np.concatenate([[0], begin, [len(piece)]])))
     mixed = np.where(blank, 0, (piece.astype(np.uint64) + np.uint64(1)) * POWERS[place])
-    total = np.concatenate([[0], np.cumsum(mixed, dtype=np.uint64)])
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed, dtype=np.uint64)])
     code = total[end] - total[begin]
     row = line[begin - 1]
     same = np.zeros(len(code), dtype=bool)
