@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..schemas import INDEX
 from ..session import cut, fresh_path
 from ..sources import derived
-from ..streaming import tape
+from ..streaming import spreads, tape
 from . import board
 from .ctes import r6
 from .feeds_q import manifests
@@ -106,16 +106,30 @@ def t4(spark, d):
     return read("main").unionByName(read("side")).select("event_id", "status")
 
 
+def quote_stream(spark, d):
+    return tick_stream(spark, d).select("symbol", "ts", (F.col("price") * (1 - F.col("size") / 10000)).alias("bid"),
+                                        (F.col("price") * (1 + F.col("size") / 10000)).alias("ask"))
+
+
 @query("t5_spread_stream", f"""
     SELECT CAST(ts AS DATE) AS day, symbol, {r6('quantile_disc((ask - bid) / nullif((ask + bid) / 2, 0), 0.5)', 'spread')}, count(*) AS n FROM quotes GROUP BY 1, 2""", "quotes")
 def t5(spark, d):
-    t = tick_stream(spark, d)
-    quotes = t.select("symbol", "ts", (F.col("price") * (1 - F.col("size") / 10000)).alias("bid"),
-                      (F.col("price") * (1 + F.col("size") / 10000)).alias("ask"))
-    updates = drained(tape.spread_stream(quotes), "spreads", "update")
+    updates = drained(tape.spread_stream(quote_stream(spark, d)), "spreads", "update")
     return tape.latest(updates, ["day", "symbol"]).select("day", "symbol", r("spread"), "n")
 
 
+@query("t5_recent_spread", f"""
+    WITH days AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM quotes)),
+    q AS (SELECT day, i, symbol, (ask - bid) / nullif((ask + bid) / 2, 0) AS rel FROM quotes JOIN days ON CAST(ts AS DATE) = day)
+    SELECT t.day, t.symbol, {r6('quantile_disc(q.rel, 0.5)', 'spread')}, count(*) AS n, count(DISTINCT q.day) AS sessions
+    FROM (SELECT DISTINCT day, i, symbol FROM q WHERE rel IS NOT NULL) t JOIN q ON q.symbol = t.symbol AND q.i BETWEEN t.i - 19 AND t.i
+    WHERE q.rel IS NOT NULL GROUP BY t.day, t.symbol""", "quotes")
+def t5_recent(spark, d):
+    """Median quoted spread of each name over the 20 sessions up to each day, from sketches kept by day."""
+    updates = tape.landed(spark, spreads.recent_spread_stream(quote_stream(spark, d)), spreads.RECENT + ", batch bigint")
+    return tape.latest(updates, ["day", "symbol"]).select("day", "symbol", r("spread"), "n", "sessions")
+
+
 @query("t6_wire_stream", f"""
     WITH pre AS (SELECT symbol, ts, price, CAST({_ET} AS DATE) AS session FROM ticks WHERE strftime({_ET}, '%H:%M') < '08:00'),
     known AS (SELECT symbol, session + 1 AS session, close FROM bars_d),
