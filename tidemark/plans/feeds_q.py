@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schemas import TODAY, UNIVERSE
 from ..session import cut, fresh_path
-from ..sources import derived, feeds
+from ..sources import derived, feeds, refresh
 from ..sources.tables import events, table
 from . import board
 from .ctes import r6
@@ -101,6 +101,44 @@ def s4(spark, d):
     return feeds.manifest_diff(*manifests(spark, d))
 
 
+_BLOCK = "CAST((day - DATE '1992-01-01') // 30 AS BIGINT)"
+
+
+@query("s4_incremental_refresh", f"""
+    WITH blocked AS (SELECT *, {_BLOCK} AS block, CAST(date_trunc('month', day) AS DATE) AS session FROM trades),
+    published AS (SELECT *, CASE WHEN block % 12 = 5 THEN price * 1.1::DOUBLE ELSE price END AS now FROM blocked WHERE block >= 3),
+    moved AS (SELECT DISTINCT session FROM blocked WHERE block < 3 OR block % 12 = 5 OR block >= 60)
+    SELECT symbol, session, {r6('first(now ORDER BY day, seq)', 'open')}, {r6('max(now)', 'high')}, {r6('min(now)', 'low')}, {r6('last(now ORDER BY day, seq)', 'close')},
+      {r6('sum(qty) * 1000', 'volume', 2)}, CAST(CASE WHEN session IN (FROM moved) THEN 2 ELSE 1 END AS INTEGER) AS built FROM published GROUP BY symbol, session""", "trades")
+def s4_refresh(spark, d):
+    """Monthly bars from published files of 30 days each, refreshed after a second index added, changed and removed some of them."""
+    home = fresh_path(spark, "derived")
+    prints = derived.trades(spark, d).withColumn("block", F.floor(F.datediff("day", F.lit("1992-01-01").cast("date")) / 30))
+    prints = prints.withColumn("name", F.format_string("prints-%04d", "block")).select("name", "block", "symbol", "day", "price", "qty", "linestatus", "returnflag", "seq")
+    changed = F.col("block") % 12 == 5
+
+    def land(rows, version):
+        rows.drop("block").withColumn("version", F.lit(version)).repartition("name").write.mode("append").partitionBy("name", "version").parquet(f"{home}/landed")
+
+    def index(rows, version):
+        files = rows.select("name", version.cast("bigint").alias("seq")).distinct()
+        return files.withColumn("sha256", F.sha2(F.concat_ws(":", "name", "seq"), 256))
+
+    def read(files):
+        paths = [f"{home}/landed/name={n}/version={v}" for n, v in files]
+        rows = spark.read.option("basePath", f"{home}/landed").parquet(*paths)
+        return rows.withColumn("session", F.trunc("day", "month"))
+
+    derive = lambda rows: derived.session_bars(rows, "month")
+    land(prints.filter("block < 60"), 1)
+    refresh.refresh(index(prints.filter("block < 60"), F.lit(1)), home, read, derive)
+    land(prints.filter(changed & (F.col("block") >= 3) | (F.col("block") >= 60)).withColumn("price", F.when(changed, F.col("price") * 1.1).otherwise(F.col("price"))), 2)
+    later = prints.filter("block >= 3")
+    refresh.refresh(index(later, F.when(changed | (F.col("block") >= 60), 2).otherwise(1)), home, read, derive)
+    bars = refresh.current(spark, home, "symbol bigint, open double, high double, low double, close double, volume double, built int, session date")
+    return bars.select("symbol", "session", *[r(c) for c in ("open", "high", "low", "close")], r("volume", places=2), "built")
+
+
 @query("s5_manifest_monotonic", """
     SELECT event_id, held, coalesce(seq >= held, true) AS accepted FROM (
       SELECT *, max(seq) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held
