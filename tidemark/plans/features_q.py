@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import features, ranking
-from ..sources import derived
+from ..sources import derived, store
 from . import board
 from .ctes import r6
 from .registry import query, r
@@ -32,6 +32,18 @@ _feature("w7_dollar_volume20", ["dvol20"])
 _feature("w14_forward_labels", ["next_oc", "next_oh", "swing5"])
 
 
+CLUSTERED = ["r1", "r3", "r5", "r20", "rvol1", "rsi14", "dist_ma20", "dist_ma50", "dd_52w", "vol20", "dvol20", "short_ratio_5d", "days_to_cover",
+             "next_oc", "next_oh", "swing5", "spread"]
+
+
+@query("w_clustered_store", f"SELECT symbol, session, {', '.join(r6(c) for c in CLUSTERED)}, spread_source FROM panel", "panel")
+def w_clustered(spark, d):
+    """All symbol features from bars stored by symbol: after the bars are written, no exchange."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = spark.table(store.write_bars(derived.bars(spark, d), buckets))
+    return features.session_features(stored).select("symbol", "session", *[r(c) for c in CLUSTERED], "spread_source")
+
+
 @query("w8_short_metrics", f"""
     SELECT p.symbol, session, {r6('short_ratio_5d')}, {r6('short_interest / shares_out', 'si_pct_float')}, {r6('days_to_cover')}
     FROM panel p JOIN names n ON n.symbol = p.symbol""", ("panel", "names"))
