@@ -1,6 +1,6 @@
 """Scoring at scale with pyspark.ml. All formulas here are our choices.
 
-The training table is written once (`cut`) and every fit reads the written
+The training table is written once by blocks of sessions (`stored`) and every fit reads its blocks of the written
 copy. Fits are distributed; the driver holds only coefficients. A row with a
 missing feature is not scored, never filled.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import fresh_path
 from .ranking import exact_median, with_group_agg, with_percent_rank, with_row_number
 from .records import aucs
 
@@ -57,6 +58,31 @@ def with_session_index(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(days), "session")
 
 
+BLOCK = 20
+
+
+def stored(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The training rows written by blocks of `block` sessions, so that a span of sessions reads its own blocks only."""
+    spark = rows.sparkSession
+    path = fresh_path(spark, "training")
+    placed = rows.withColumn("block", F.floor(F.col("session_idx") / block).cast("int"))
+    placed.hint("rebalance", "block").write.partitionBy("block").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def span(rows: DataFrame, start: int | None, end: int | None, block: int = BLOCK) -> DataFrame:
+    """Rows of the sessions start <= session_idx < end; of stored rows only the blocks that hold them are read."""
+    if start is not None:
+        rows = rows.filter(F.col("session_idx") >= start)
+    if end is not None:
+        rows = rows.filter(F.col("session_idx") < end)
+    if "block" not in rows.columns:
+        return rows
+    if start is not None:
+        rows = rows.filter(F.col("block") >= start // block)
+    return rows if end is None else rows.filter(F.col("block") <= (end - 1) // block)
+
+
 def fit(rows: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     steps = [VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip"),
              LogisticRegression(featuresCol="x", labelCol=label, maxIter=20, regParam=0.01, probabilityCol="prob",
@@ -64,7 +90,48 @@ def fit(rows: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     return Pipeline(stages=steps).fit(rows.filter(F.col(label).isNotNull()))
 
 
-def score(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
+class Trees:
+    """Boosted trees as one column of nested conditions: scored in generated code, without assembling vectors.
+
+    A row that lacks an input has no odds. `trees` holds (weight, node); a node is a leaf's value or
+    (input, threshold, left, right), left where the input is at most the threshold. Odds are 1 / (1 + exp(-2 margin)).
+    """
+
+    def __init__(self, inputs: Sequence[str], trees: Sequence[tuple[float, tuple | float]]):
+        self.inputs, self.trees = list(inputs), list(trees)
+
+    def odds(self) -> Column:
+        def value(node) -> Column:
+            if not isinstance(node, tuple):
+                return F.lit(float(node))
+            name, threshold, left, right = node
+            return F.when(F.col(name) <= F.lit(float(threshold)), value(left)).otherwise(value(right))
+
+        margin = sum((F.lit(float(w)) * value(root) for w, root in self.trees), F.lit(0.0))
+        known = F.lit(True)
+        for c in self.inputs:
+            known = known & F.col(c).isNotNull() & ~F.isnan(c)
+        return F.when(known, 1 / (1 + F.exp(-2 * margin)))
+
+
+def fit_trees(rows: DataFrame, features: Sequence[str], label: str, rounds: int = 10, depth: int = 3, bins: int = 32, seed: int = 7) -> Trees:
+    """Gradient-boosted trees of a target. Histograms of `bins` are summed over the partitions; the driver holds the trees alone."""
+    vec = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip")
+    known = vec.transform(rows.filter(F.col(label).isNotNull())).select("x", label)
+    model = GBTClassifier(featuresCol="x", labelCol=label, maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=0.3, seed=seed).fit(known)
+
+    def node(n):
+        if n.subtreeDepth() == 0:
+            return float(n.prediction())
+        split = n.split()
+        return (features[split.featureIndex()], float(split.threshold()), node(n.leftChild()), node(n.rightChild()))
+
+    return Trees(features, list(zip(model.treeWeights, [node(t._call_java("rootNode")) for t in model.trees], strict=True)))
+
+
+def score(model: PipelineModel | Trees, rows: DataFrame, name: str = "p") -> DataFrame:
+    if isinstance(model, Trees):
+        return rows.withColumn(name, model.odds()).filter(F.col(name).isNotNull())
     out = model.transform(rows).withColumn(name, vector_to_array("prob")[1])
     return out.drop("x", "prob", "raw", "pred")
 
@@ -82,29 +149,34 @@ def logistic(coef: Mapping[str, float], intercept: float, column: Callable[[str]
 
 
 def outcome_models(rows: DataFrame, sets: Mapping[str, Sequence[str]], cut_idx: int, embargo: int = 5,
-                   names: Sequence[str] = ("dump", "squeeze", "pump", "bigdump", "swing")) -> DataFrame:
-    """L2: odds of every target from every feature set, trained before the cut and scored from it."""
-    train, test = rows.filter(F.col("session_idx") < cut_idx - embargo), rows.filter(F.col("session_idx") >= cut_idx)
+                   names: Sequence[str] = ("dump", "squeeze", "pump", "bigdump", "swing"),
+                   trees: Mapping[str, int] | None = None) -> DataFrame:
+    """L2: odds of every target from every feature set, trained before the cut and scored from it.
+
+    Logistic models, or boosted trees where `trees` gives their settings (may be empty).
+    """
+    train, test = span(rows, None, cut_idx - embargo), span(rows, cut_idx, None)
     out = None
     for model, features in sets.items():
         scored = test
         for n in names:
-            scored = score(fit(train, features, f"y_{n}"), scored, f"prob_{n}")
+            fitted = fit(train, features, f"y_{n}") if trees is None else fit_trees(train, features, f"y_{n}", **trees)
+            scored = score(fitted, scored, f"prob_{n}")
         part = scored.withColumn("model", F.lit(model))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def walk_forward(rows: DataFrame, features: Sequence[str], label: str, folds: int, n_sessions: int, embargo: int = 5) -> DataFrame:
+def walk_forward(rows: DataFrame, features: Sequence[str], label: str, folds: int, n_sessions: int, embargo: int = 5,
+                 trees: Mapping[str, int] | None = None) -> DataFrame:
     """L1: expanding folds; each block of sessions is scored by a model that saw only sessions
     at least `embargo` before it. Every row carries the last session its model was trained on."""
     step = max(1, n_sessions // (folds + 1))
     out = None
     for i in range(1, folds + 1):
         start, end = i * step, (i + 1) * step if i < folds else n_sessions
-        model = fit(rows.filter(F.col("session_idx") < start - embargo), features, label)
-        block = rows.filter((F.col("session_idx") >= start) & (F.col("session_idx") < end))
-        part = score(model, block).withColumns({"fold": F.lit(i), "trained_before": F.lit(start - embargo)})
+        model = fit(span(rows, None, start - embargo), features, label) if trees is None else fit_trees(span(rows, None, start - embargo), features, label, **trees)
+        part = score(model, span(rows, start, end)).withColumns({"fold": F.lit(i), "trained_before": F.lit(start - embargo)})
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -172,7 +244,7 @@ def expected_move(rows: DataFrame, features: Sequence[str], cut_idx: int, embarg
     """Expected open-to-close, and expected place among the session's peers (edge = -prediction)."""
     placed = with_percent_rank(rows.filter(F.col("next_oc").isNotNull()), "session", "symbol", ["next_oc"], "_pr", small)
     placed = placed.withColumn("place", F.col("next_oc_pr") - 0.5)
-    train, test = placed.filter(F.col("session_idx") < cut_idx - embargo), rows.filter(F.col("session_idx") >= cut_idx)
+    train, test = span(placed, None, cut_idx - embargo), span(rows, cut_idx, None)
     vec = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip")
     out = vec.transform(test)
     for label, name in (("next_oc", "exp_oc"), ("place", "_place")):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import features, models
-from ..session import cut
 from ..sources import derived
 from . import board
 from .ctes import r6
@@ -16,7 +15,7 @@ from .registry import query, r
 
 def training(spark, d):
     rows = models.with_session_index(features.session_features(derived.bars(spark, d, "week")))
-    return cut(models.training_rows(rows))
+    return models.stored(models.training_rows(rows))
 
 
 def calendar(rows):
@@ -40,6 +39,17 @@ def l2(spark, d):
     return out.select("session", "symbol", "model", *[r(f"prob_{n}") for n in models.targets()])
 
 
+TREES = {"rounds": 8, "depth": 3}
+
+
+@query("l2_boosted_trees")
+def l2_trees(spark, d):
+    """Odds of every target from boosted trees, on the same sessions as the logistic models."""
+    rows = training(spark, d)
+    out = models.outcome_models(rows, {"m0": models.M0}, calendar(rows)[0], trees=TREES)
+    return out.select("session", "symbol", "model", *[r(f"prob_{n}") for n in models.targets()])
+
+
 @query("l3_prob_cap", f"""
     WITH {_SCORES}, placed AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, session, symbol) AS i,
       ceil(count(*) OVER (PARTITION BY model) * 0.01) AS top FROM scores),
@@ -55,8 +65,8 @@ def l3(spark, d):
 def l4(spark, d):
     rows = training(spark, d)
     at = calendar(rows)[0]
-    model = models.fit(rows.filter(F.col("session_idx") < at - 5), models.M0, "y_dump")
-    test = rows.filter((F.col("session_idx") >= at) & F.col("y_dump").isNotNull())
+    model = models.fit(models.span(rows, None, at - 5), models.M0, "y_dump")
+    test = models.span(rows, at, None).filter(F.col("y_dump").isNotNull())
     out = models.permutation_importance(lambda x: models.score(model, x), test, models.FAMILY_OF, "y_dump", 7, small=True)
     return out.select("family", r("auc"), r("importance"))
 
@@ -65,8 +75,8 @@ def l4(spark, d):
 def l5(spark, d):
     rows = training(spark, d)
     at = calendar(rows)[0]
-    model = models.fit(rows.filter(F.col("session_idx") < at - 5), models.M0, "y_dump")
-    out = models.attribution(*models.weights(model), rows.filter(F.col("session_idx") >= at), models.FAMILY_OF, small=True)
+    model = models.fit(models.span(rows, None, at - 5), models.M0, "y_dump")
+    out = models.attribution(*models.weights(model), models.span(rows, at, None), models.FAMILY_OF, small=True)
     return out.select("session", "symbol", r("p"), *[r(f) for f in models.FAMILY_OF])
 
 
@@ -122,7 +132,7 @@ def l2_labels(spark, d):
 def l4_stated(spark, d):
     """Importance of the families of a model with stated coefficients."""
     rows = training(spark, d)
-    test = rows.filter((F.col("session_idx") >= calendar(rows)[0]) & F.col("y_dump").isNotNull())
+    test = models.span(rows, calendar(rows)[0], None).filter(F.col("y_dump").isNotNull())
     scorer = lambda x: x.withColumn("p", models.logistic(STATED, STATED_AT))
     return models.permutation_importance(scorer, test, models.FAMILY_OF, "y_dump", 7, small=True).select("family", r("auc"), r("importance"))
 
@@ -137,10 +147,31 @@ def l5_stated(spark, d):
     """Attribution of the readings of a model with stated coefficients."""
     rows = training(spark, d)
     families = {f: [c for c in cs if c in STATED] for f, cs in models.FAMILY_OF.items()}
-    out = models.attribution(STATED, STATED_AT, rows.filter(F.col("session_idx") >= calendar(rows)[0]), families, small=True)
+    out = models.attribution(STATED, STATED_AT, models.span(rows, calendar(rows)[0], None), families, small=True)
     return out.select("session", "symbol", r("p"), *[r(f) for f in models.FAMILY_OF])
 
 
+#: Stumps and one deeper tree, as a fit would give them.
+STUMPS = models.Trees(["vol20", "r1", "rsi14", "dd_52w"], [
+    (1.0, ("vol20", 0.125, -0.5, ("r1", 0.0, 0.25, -0.125))), (0.5, ("rsi14", 50.0, 0.25, -0.25)), (0.25, ("dd_52w", -0.25, 1.0, ("rsi14", 40.0, 0.5, -1.0)))])
+
+
+def _stumps_sql(node):
+    if not isinstance(node, tuple):
+        return f"{node}::DOUBLE"
+    name, threshold, left, right = node
+    return f"CASE WHEN {name} <= {threshold}::DOUBLE THEN {_stumps_sql(left)} ELSE {_stumps_sql(right)} END"
+
+
+@query("l2_stated_trees", f"""
+    WITH {_TRAINING} SELECT session, symbol, {r6('1 / (1 + exp(-2 * (' + ' + '.join(f'{w}::DOUBLE * ({_stumps_sql(t)})' for w, t in STUMPS.trees) + ')))', 'p')}
+    FROM training, cutoff WHERE session_idx >= cutoff.at""", "panel_w")
+def l2_stated_trees(spark, d):
+    """Odds of stated trees, by the scoring that fitted ones get."""
+    rows = training(spark, d)
+    return models.score(STUMPS, models.span(rows, calendar(rows)[0], None)).select("session", "symbol", r("p"))
+
+
 @query("l6_one_input", f"""
     WITH {_TRAINING}, known AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY next_oc) AS i, count(*) OVER (PARTITION BY session) AS of FROM training WHERE next_oc IS NOT NULL),
     placed AS (SELECT session_idx, r1, next_oc, CASE WHEN of > 1 THEN (i - 1) / (of - 1)::DOUBLE ELSE 0 END - 0.5::DOUBLE AS place FROM known),
