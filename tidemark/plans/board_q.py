@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, sizing
 from ..functions import scalars as S
 from ..operators import features, ranking, records
-from ..sources import derived
+from ..sources import derived, search_index
 from ..sources.tables import events, table
 from . import board
 from .ctes import r6
@@ -97,6 +100,22 @@ def f5_documents(spark, d):
         "doc_id", "source", (F.lower("source") == "src1").alias("exact"))
 
 
+_SEARCHES = ("lier#00000001", "src1", "permission", "the ")
+
+
+@query("f5_search_index", " UNION ALL ".join(f"""
+    SELECT '{q}' AS query, 'name' AS kind, symbol AS key FROM names WHERE starts_with(lower(CAST(symbol AS VARCHAR)), '{q.strip()}') OR contains(lower(name), '{q.strip()}')
+    UNION ALL SELECT '{q}', 'document', doc_id FROM documents WHERE starts_with(lower(source), '{q.strip()}') OR contains(lower(text), '{q.strip()}')""" for q in _SEARCHES), "names")
+def f5_index(spark, d):
+    """Several searches of names and documents through postings of trigrams, written once."""
+    docs = search_index.build(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text")
+    listed = derived.names(spark, d).select("symbol", F.col("symbol").cast("string").alias("ticker"), "name")
+    listed = search_index.build(listed, "symbol", "ticker", "name")
+    found = [index.search(q).select(F.lit(q).alias("query"), F.lit(kind).alias("kind"), F.col(index.key).alias("key"))
+             for q in _SEARCHES for kind, index in (("name", listed), ("document", docs))]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("f6_fits_size", f"""
     SELECT session, symbol, {', '.join(f'coalesce(capacity >= {q}, false) AS fits_{q}' for q in fixed.SIZES)} FROM picks""", "picks")
 def f6(spark, d):
