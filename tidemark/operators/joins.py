@@ -1,8 +1,8 @@
 """Joins by time, by range and by precedence.
 
 No join here compares all pairs of a group: instants are matched through time
-buckets, bands and calendars through small broadcast tables whose size is fixed
-by the calendar or by the report, never by the data.
+buckets, calendars through small broadcast tables, and bands through broadcast reports of a
+checked size or a sweep.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ranking import beside, top_k, with_group_agg
+from .ranking import beside, running_extreme, top_k, with_group_agg
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
@@ -51,27 +51,47 @@ def latest_before(rows: DataFrame, by: Sequence[str], ts: str, keep: Column, tak
     return rows.filter(keep).groupBy(*by).agg(F.max_by(F.struct(*take), F.col(ts)).alias("_m")).select(*by, "_m.*")
 
 
-def band_join(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
-    """Band `lo <= value <= hi`; a value outside all of them falls into the last band.
+#: Rows of a report of bands that is broadcast; a longer one is met in a sweep.
+BROADCAST_BANDS = 10_000
 
-    `bands` is a report of a few disjoint bands.
+
+def band_join(rows: DataFrame, bands: DataFrame, value: str, broadcast_rows: int = BROADCAST_BANDS) -> DataFrame:
+    """Band `lo <= value <= hi`; a value outside all of them, or missing, falls into the last band.
+
+    `bands` are disjoint. A report of `broadcast_rows` at most is broadcast. A longer one is sorted among the rows by
+    where each begins; a row's band can only be the last that began before it.
     """
     names = bands.columns
     last = bands.agg(F.max_by(F.struct(*names), "lo").alias("last"))
-    hit = rows.join(F.broadcast(bands.select(F.struct(*names).alias("_band"))),
-                    (F.col(value) >= F.col("_band.lo")) & (F.col(value) <= F.col("_band.hi")), "left")
-    hit = hit.withColumn("_band", F.coalesce("_band", last.scalar()))
-    return hit.select(*rows.columns, "_band.*")
+    few = bands.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if few:
+        hit = rows.join(F.broadcast(bands.select(F.struct(*names).alias("_band"))),
+                        (F.col(value) >= F.col("_band.lo")) & (F.col(value) <= F.col("_band.hi")), "left")
+        return hit.withColumn("_band", F.coalesce("_band", last.scalar())).select(*rows.columns, "_band.*")
+    began = F.struct("lo", *[c for c in names if c != "lo"])
+    # rows of one value lie together after the band that begins there; a shared value is one row of the sweep
+    values = rows.filter(F.col(value).isNotNull()).select(F.col(value).alias("_at")).distinct().select("_at", F.lit(1).alias("_side"), F.lit(None).cast(
+        bands.select(began.alias("b")).schema["b"].dataType).alias("_began"))
+    starts = bands.select(F.col("lo").alias("_at"), F.lit(0).alias("_side"), began.alias("_began"))
+    swept = running_extreme(starts.unionByName(values), [], [F.col("_at"), F.col("_side")], "_began", "_band", largest=True, itself=True)
+    met = swept.filter("_side = 1").select("_at", F.when(F.col("_at") <= F.col("_band.hi"), F.col("_band")).alias("_band"))
+    hit = rows.join(met, F.col(value) == F.col("_at"), "left").withColumn("_band", F.coalesce("_band", last.select(
+        F.struct(F.col("last.lo"), *[F.col(f"last.{c}") for c in names if c != "lo"]).alias("last")).scalar()))
+    return hit.select(*rows.columns, *[F.col(f"_band.{c}") for c in names])
 
 
 def disjoint_bands(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Drop bands that strictly contain another band of the same report."""
-    a, b = report.alias("a"), report.alias("b")
-    inner = (F.col("b.lo") >= F.col("a.lo")) & (F.col("b.hi") <= F.col("a.hi")) & (
-        (F.col("b.lo") != F.col("a.lo")) | (F.col("b.hi") != F.col("a.hi")))
-    for k in by:
-        inner = inner & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(F.broadcast(b), inner, "left_anti")
+    """Drop bands that strictly contain another band of the same report.
+
+    A sweep from the highest start down: a band holds another if some band that begins later ends no later, or one that begins
+    with it ends earlier. No band is compared with another, and nothing is broadcast. A band without both ends stays.
+    """
+    by = list(by)
+    least = report.dropna(subset=["lo", "hi", *by]).groupBy(*by, "lo").agg(F.min("hi").alias("_here"))
+    swept = running_extreme(least, by, [F.col("lo").desc()], "_here", "_later", largest=False, itself=False)
+    met = beside(report, swept, [*by, "lo"], "left")
+    holds = (F.col("_later") <= F.col("hi")) | (F.col("_here") < F.col("hi"))
+    return met.filter(~F.coalesce(holds, F.lit(False))).select(*report.columns)
 
 
 def merge_records(lists: DataFrame, by: Sequence[str], precedence: Sequence[str], side: Sequence[str]) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import fresh_path
-from .ranking import exact_median, with_group_agg, with_percent_rank, with_row_number
-from .records import aucs
+from ..session import cut, fresh_path
+from .ranking import beside, exact_median, place_in_ties, with_group_agg, with_percent_rank, with_row_number
+from .records import aucs, by_score
 
 M0 = ["r1", "r3", "r5", "r20", "rvol1", "rsi14", "dist_ma20", "dist_ma50", "dd_52w", "vol20", "short_ratio_5d"]
 M1 = [*M0, "next_gap"]
@@ -182,12 +182,24 @@ def walk_forward(rows: DataFrame, features: Sequence[str], label: str, folds: in
 
 
 def probability_caps(scores: DataFrame, share: float = 0.01, small: bool = False) -> DataFrame:
-    """L3: per model, the realised rate of its most confident calls out of sample."""
-    order = [F.col("score").desc(), F.col("session"), F.col("symbol")]
-    placed = with_row_number(scores, "model", order, "_i", small)
-    placed = with_group_agg(placed, "model", {"_n": F.count("*")}, small)
-    return placed.filter(F.col("_i") <= F.ceil(F.col("_n") * share)).groupBy("model").agg(
-        F.avg(F.when(F.col("next_oc") <= fixed.DUMP, 1.0).otherwise(0.0)).alias("cap"), F.count("*").alias("n_calls"))
+    """L3: per model, the realised rate of its most confident calls out of sample; ties by session and symbol.
+
+    Rows are counted per score first. Scores within the share count as a whole; only the rows of the one
+    score that the share's end cuts are placed one by one.
+    """
+    if small:
+        order = [F.col("score").desc(), F.col("session"), F.col("symbol")]
+        placed = with_group_agg(with_row_number(scores, "model", order, "_i", True), "model", {"_n": F.count("*")}, True)
+        return placed.filter(F.col("_i") <= F.ceil(F.col("_n") * share)).groupBy("model").agg(
+            F.avg(F.when(F.col("next_oc") <= fixed.DUMP, 1.0).otherwise(0.0)).alias("cap"), F.count("*").alias("n_calls"))
+    room = F.ceil(F.col("_all") * share) - (F.col("_upto") - F.col("_n"))          # rows of this score within the share
+    held = cut(by_score(scores, "high").withColumn("_room", room).filter("_room > 0"))
+    whole = held.filter("_room >= _n").select("model", "_n", "_hits")
+    edge = held.filter("_room < _n").select("model", "score", "_room")               # one score a model at most
+    ties = place_in_ties(beside(scores.select("model", "session", "symbol", "score", "next_oc"), edge, ["model", "score"]), "model", "score", "_tie")
+    ties = ties.filter("_tie <= _room").select("model", F.lit(1).cast("bigint").alias("_n"),
+                                               F.when(F.col("next_oc") <= fixed.DUMP, 1).otherwise(0).cast("bigint").alias("_hits"))
+    return whole.unionByName(ties).groupBy("model").agg((F.sum("_hits") / F.sum("_n")).alias("cap"), F.sum("_n").alias("n_calls"))
 
 
 def capped(scores: DataFrame, caps: DataFrame) -> DataFrame:

@@ -56,6 +56,24 @@ def running_total(df: DataFrame, by, order: Sequence[Column], totals: Mapping[st
     return joined.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals])
 
 
+def running_extreme(df: DataFrame, by, order: Sequence[Column], col: str, name: str, largest: bool, itself: bool,
+                    slices: int | None = None) -> DataFrame:
+    """Add the largest (or smallest) `col` of the rows before each row in the group, of the row `itself` too if asked.
+
+    Range-partitioned like `running_total`: extremes inside a slice, and those of the earlier slices.
+    """
+    by = _keys(by)
+    pick = F.max if largest else F.min
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = cut(df.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id()))
+    inside = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if itself else -1)
+    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    base = held.groupBy(*by, "_slice").agg(pick(col).alias("_s")).select(*by, "_slice", pick("_s").over(earlier).alias("_b"))
+    joined = beside(held.withColumn("_w", pick(col).over(inside)), base, [*by, "_slice"])
+    both = F.greatest("_w", "_b") if largest else F.least("_w", "_b")
+    return joined.select(*df.columns, both.alias(name))
+
+
 def with_row_number(df: DataFrame, by, order: Sequence[Column], name: str = "rank",
                     small: bool = False) -> DataFrame:
     """1-based position in the group; `order` must end in a unique key."""
@@ -133,6 +151,20 @@ def with_group_agg(df: DataFrame, by, aggs: Mapping[str, Column], small: bool =
     return beside(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), by)
 
 
+def place_in_ties(rows: DataFrame, by, value: str, name: str, session: str = "session", key: str = "symbol") -> DataFrame:
+    """Add the 1-based place of each row among the rows of its group and value, by (session, key).
+
+    Counts per session come first, so a window holds the calendar, or the names of one session.
+    """
+    by = [*_keys(by), value]
+    earlier = W.partitionBy(*by).orderBy(session).rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(*by, session).agg(F.count("*").alias("_n")).select(
+        *by, session, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*by, session).orderBy(key))
+    placed = beside(rows.withColumn("_inside", inside), before, [*by, session])
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def top_k(df: DataFrame, by, order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First k per group. Each task keeps at most k rows of a group before the shuffle."""
     w = W.partitionBy(*_keys(by)).orderBy(*order)
@@ -241,8 +273,12 @@ def exact_median(df: DataFrame, by, value: str, name: str, small: bool = False)
 
 
 def agg_with_median(df: DataFrame, by, aggs: Sequence[Column], value: str, name: str, small: bool = False) -> DataFrame:
-    """Grouped aggregates and one exact median; a single pass where the groups are small."""
+    """Grouped aggregates and one exact median; a single pass where the groups are small.
+
+    Elsewhere the rows are written once for both: hand in only the columns they need.
+    """
     by = _keys(by)
     if small:
         return df.groupBy(*by).agg(*aggs, F.median(value).alias(name))
+    df = cut(df)
     return beside(df.groupBy(*by).agg(*aggs), exact_median(df, by, value, name), by)

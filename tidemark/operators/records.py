@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ranking import agg_with_median, running_total, with_group_agg, with_row_number
+from ..session import cut
+from .ranking import agg_with_median, beside, place_in_ties, running_total, with_group_agg, with_row_number
 
 
 def rate(cond: Column) -> Column:
@@ -149,13 +151,42 @@ def brier(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model").agg(F.avg(F.pow(F.col("score") - y, F.lit(2.0))).alias("brier"), F.count("*").alias("n"))
 
 
+def by_score(scores: DataFrame, first: str = "low") -> DataFrame:
+    """Distinct scores per model with their rows `_n`, the rows up to them `_upto` (from the low or the high end) and of the model `_all`.
+
+    Rows are counted per score before anything is sorted; `_hits` counts the dumps.
+    """
+    counts = scores.groupBy("model", "score").agg(F.count("*").alias("_n"), F.count_if(F.col("next_oc") <= fixed.DUMP).alias("_hits"),
+                                                  F.count("next_oc").alias("_known"))
+    order = F.col("score") if first == "low" else F.col("score").desc()
+    placed = running_total(counts, "model", [order], {"_upto": F.col("_n")})
+    return beside(placed, placed.groupBy("model").agg(F.sum("_n").alias("_all")), ["model"])
+
+
 def calibration(scores: DataFrame, bins: int = 10, small: bool = False) -> DataFrame:
-    """A10: predicted and actual rate per score decile and model."""
-    order = [F.col("score"), F.col("session"), F.col("symbol")]
-    placed = with_row_number(scores, "model", order, "_i", small)
-    binned = with_group_agg(placed, "model", {"_n": F.count("*")}, small).withColumn("bin", F.floor((F.col("_i") - 1) * bins / F.col("_n")))
-    return binned.groupBy("model", "bin").agg(
-        F.avg("score").alias("pred"), rate(F.col("next_oc") <= fixed.DUMP).alias("actual"), F.count("*").alias("n"))
+    """A10: predicted and actual rate per score decile and model; ties by session and symbol.
+
+    A score whose rows all lie in one bin is counted as a whole; only the rows of scores that an edge cuts
+    (one an edge at most) are placed one by one.
+    """
+    if small:
+        order = [F.col("score"), F.col("session"), F.col("symbol")]
+        placed = with_group_agg(with_row_number(scores, "model", order, "_i", True), "model", {"_n": F.count("*")}, True)
+        binned = placed.withColumn("bin", F.floor((F.col("_i") - 1) * bins / F.col("_n")))
+        return binned.groupBy("model", "bin").agg(
+            F.avg("score").alias("pred"), rate(F.col("next_oc") <= fixed.DUMP).alias("actual"), F.count("*").alias("n"))
+    scores = cut(scores.select("model", "session", "symbol", "score", "next_oc"))
+    bin_of = lambda place: F.floor((place - 1) * bins / F.col("_all"))
+    first = F.col("_upto") - F.col("_n") + 1
+    held = cut(by_score(scores).withColumns({"bin": bin_of(first), "_last": bin_of(F.col("_upto"))}))
+    whole = held.filter("bin = _last").select("model", "bin", "score", "_n", "_hits", "_known")
+    edges = held.filter("bin <> _last").select("model", "score", first.alias("_first"), "_all")         # bins - 1 a model at most
+    ties = beside(scores, edges, ["model", "score"])
+    ties = place_in_ties(ties, "model", "score", "_tie").select(
+        "model", bin_of(F.col("_first") + F.col("_tie") - 1).alias("bin"), "score", F.lit(1).cast("bigint").alias("_n"),
+        F.when(F.col("next_oc") <= fixed.DUMP, 1).otherwise(0).cast("bigint").alias("_hits"), F.when(F.col("next_oc").isNotNull(), 1).otherwise(0).cast("bigint").alias("_known"))
+    return whole.unionByName(ties).groupBy("model", "bin").agg(
+        (F.sum(F.col("score") * F.col("_n")) / F.sum("_n")).alias("pred"), F.try_divide(F.sum("_hits"), F.sum("_known")).alias("actual"), F.sum("_n").alias("n"))
 
 
 def rank_band_record(rows: DataFrame, bands: DataFrame, by: Sequence[str], value: str, cost: Column,
@@ -165,7 +196,7 @@ def rank_band_record(rows: DataFrame, bands: DataFrame, by: Sequence[str], value
         F.broadcast(bands), (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
     net = -F.col("next_oc") - F.col("_cost")
     keys = [*by, "lo", "hi"]
-    return agg_with_median(met, keys, [
+    return agg_with_median(met.select(*keys, "next_oc", "next_oh", "_cost"), keys, [
         F.count("*").alias("n"), rate(F.col("next_oc") <= fixed.DUMP).alias("hit"), F.avg("next_oc").alias("mean_oc"),
         rate(F.col("next_oh") >= fixed.SQUEEZE).alias("squeeze"), rate(F.col("next_oc") >= fixed.PUMP).alias("pump"),
         F.avg("_cost").alias("cost"), F.avg(net).alias("net"), rate(net > 0).alias("win")], "next_oc", "median_oc", small)
@@ -185,7 +216,7 @@ def event_study(rows: DataFrame, setups: Mapping[str, Column], small: bool = Fal
     (our rule).
     """
     held = in_subsets(rows.filter(F.col("next_oc").isNotNull()), {"baseline": F.lit(True), **setups}, "study")
-    agg = agg_with_median(held, "study", [
+    agg = agg_with_median(held.select("study", "symbol", "next_oc", "swing5"), "study", [
         F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols"),
         rate(F.col("next_oc") <= fixed.DUMP).alias("pct_dump"), rate(F.col("next_oc") >= fixed.PUMP).alias("pct_up5"),
         rate(F.col("swing5") <= fixed.SWING).alias("pct_swing")], "next_oc", "median_oc", small)
@@ -260,8 +291,12 @@ def leg_returns(prices: DataFrame, legs: Mapping[str, tuple[str, str]], split: C
         F.avg("_l.ret").alias("mean"), rate(F.col("_l.ret") > 0).alias("win"), F.count("*").alias("n"))
 
 
-def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(at most k hits in n) by the term recursion, in logs so that long records do not underflow."""
+#: Terms of the tail's sum at most; nodes of the quadrature (Gauss-Legendre) elsewhere, and its reach in standard deviations.
+TAIL_TERMS, TAIL_NODES, TAIL_REACH = 64, 100, 12.0
+
+
+def _tail_sum(k: Column, n: Column, p: Column) -> Column:
+    """P(at most k hits in n) by the term recursion, in logs so that long records do not underflow; k + 1 terms."""
     first = n * F.ln(1 - p)
     start = F.struct(first.alias("t"), F.exp(first).alias("s"))
 
@@ -269,14 +304,74 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
         t = a["t"] + F.ln((n - i + 1) / i) + F.ln(F.try_divide(p, 1 - p))
         return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, step, lambda a: F.least(a["s"], F.lit(1.0)))
+    steps = F.when(k.between(1, TAIL_TERMS), F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k < 0, 0.0).otherwise(F.aggregate(steps, start, step, lambda a: F.least(a["s"], F.lit(1.0))))
+
+
+def _tail_integral(k: Column, n: Column, p: Column) -> Column:
+    """The same as a ratio of integrals of u^k (1 - u)^(n - k - 1) from p to 1 and from 0 to 1, in a fixed number of nodes.
+
+    The integrand is taken relative to its peak, through log1p of the distance from it, so nothing of size n is
+    ever subtracted; beyond `TAIL_REACH` deviations it is below the last digit. For k and n - k - 1 of `TAIL_TERMS` or more.
+    """
+    nodes, node_weights = np.polynomial.legendre.leggauss(TAIL_NODES)
+    both = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in zip(nodes, node_weights)])
+    peak = k / (n - 1)
+    reach = TAIL_REACH * F.sqrt(peak * (1 - peak) / (n - 1))
+    low, high = F.greatest(peak - reach, F.lit(0.0)), F.least(peak + reach, F.lit(1.0))
+
+    def over(start: Column, end: Column) -> Column:
+        half, middle = (end - start) / 2, (end + start) / 2
+
+        def add(total, node):
+            away = middle + half * node["x"] - peak
+            return total + node["w"] * F.exp(k * F.log1p(away / peak) + (n - k - 1) * F.log1p(-away / (1 - peak)))
+
+        return half * F.aggregate(both, F.lit(0.0), add)
+
+    at = F.least(F.greatest(p, low), high)
+    above, below = over(at, high), over(low, at)
+    return above / (above + below)
+
+
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(at most k hits in n), in work that does not grow with k or n.
+
+    Few hits or few misses: the sum of their terms (of the misses, one minus it). Otherwise the incomplete beta ratio by quadrature.
+    """
+    from_misses = 1 - _tail_sum(n - k - 1, n, 1 - p)
+    inside = F.when(k <= TAIL_TERMS, _tail_sum(k, n, p)).when(n - k - 1 <= TAIL_TERMS, from_misses).otherwise(_tail_integral(k, n, p))
+    return F.when(k >= n, 1.0).when(p <= 0, 1.0).when(p >= 1, 0.0).otherwise(inside)
 
 
 def tail_status(p_tail: Column, n: Column, min_days: int = 20, alpha: float = 0.05) -> Column:
     return F.when(n < min_days, "too few days").when(p_tail < alpha, "below").otherwise("consistent")
 
 
+HLL_BITS = 12
+
+
+def distinct_sketches(rows: DataFrame, by: str = "session", key: str = "symbol", bits: int = HLL_BITS) -> DataFrame:
+    """A28, stored: rows and a sketch of the distinct keys per session. One scan; sketches of spans are unions of these."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.hll_sketch_agg(key, F.lit(bits)).alias("keys"))
+
+
+def distinct_in_spans(sketches: DataFrame, spans: DataFrame, by: str = "session") -> DataFrame:
+    """Distinct keys, sessions and rows of each span (id, start, end: both included), from the stored sketches alone.
+
+    `spans` is a list of asked spans, `sketches` one row per session; the count of keys is estimated, with a relative
+    standard error of `distinct_error`, and exact for the few hundred keys a sketch holds one by one.
+    """
+    met = sketches.join(F.broadcast(spans), (F.col(by) >= F.col("start")) & (F.col(by) <= F.col("end")))
+    return met.groupBy("id", "start", "end").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("n_symbols"), F.count("*").alias("n_days"), F.sum("n").alias("n_rows"))
+
+
+def distinct_error(bits: int = HLL_BITS) -> float:
+    """Relative standard error of an estimate beyond the keys held one by one."""
+    return 0.8326 / 2 ** (bits / 2)
+
+
 def t_statistic(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     """Mean over its standard error, and the number of independent trades."""
     n = F.count(value)

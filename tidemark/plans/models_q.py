@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import features, models
+from ..session import cut
 from ..sources import derived
 from . import board
 from .ctes import r6
@@ -56,7 +57,7 @@ def l2_trees(spark, d):
     caps AS (SELECT model, avg(CASE WHEN next_oc <= -0.05 THEN 1.0 ELSE 0.0 END) AS cap FROM placed WHERE i <= top GROUP BY model)
     SELECT session, symbol, model, {r6('least(score, cap)', 'p_capped', 9)}, score > cap AS was_capped FROM scores JOIN caps USING (model)""", "scored")
 def l3(spark, d):
-    scores = model_scores(spark, d)
+    scores = cut(model_scores(spark, d))
     out = models.capped(scores, models.probability_caps(scores, 0.01))
     return out.select("session", "symbol", "model", r("p_capped", places=9), (F.col("score") > F.col("cap")).alias("was_capped"))
 

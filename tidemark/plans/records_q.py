@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, sizing
 from ..functions import scalars as S
 from ..operators import allocation, features, joins, ranking, records
+from ..session import cut
 from ..sources import derived
 from . import board
 from .ctes import LAW_K, LAW_S, r6
@@ -384,6 +385,23 @@ def a28(spark, d):
                                       F.count("*").alias("n_rows"))
 
 
+_SPANS = [("all", "1900-01-01", "2100-01-01"), ("one year", "1995-01-01", "1995-12-31"), ("confirm", CUT, "2100-01-01"), ("one session", "1996-03-01", "1996-03-31")]
+
+
+@query("a28_distinct_sketch", f"""
+    WITH spans(id, a, b) AS (VALUES {', '.join(f"('{i}', DATE '{a}', DATE '{b}')" for i, a, b in _SPANS)})
+    SELECT id, count(DISTINCT symbol) AS n_symbols, count(DISTINCT session) AS n_days, count(*) AS n_rows
+    FROM spans JOIN scored ON session BETWEEN a AND b GROUP BY id""", "scored")
+def a28_sketch(spark, d):
+    """Distinct names of several spans from one stored sketch per session; the rows are scanned once.
+
+    Equal to the exact count as long as a span's names are few enough to be held one by one (384); beyond, within the sketch's error.
+    """
+    stored = cut(records.distinct_sketches(board.scored(spark, d)))
+    spans = spark.createDataFrame(_SPANS, "id string, start string, end string").select("id", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+    return records.distinct_in_spans(stored, spans).select("id", "n_symbols", "n_days", "n_rows")
+
+
 @query("a29_tstat", f"""
     SELECT count(net) AS indep, {r6('avg(net)', 'mean')}, {r6('avg(net) / nullif(stddev_samp(net) / sqrt(count(net)), 0)', 't')}
     FROM (SELECT -swing5 - 0.01 AS net FROM {_SWING_ONE})""", "picks")

@@ -61,7 +61,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from the written copy.
 
     Used where the same rows are read twice and both reads must agree to the
-    last bit, also after an executor is lost.
+    last bit, also after an executor is lost. The copy is Parquet: later reads take only the
+    columns they need, and its size is known when joins are planned.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
