@@ -113,7 +113,7 @@ _HTTP = r"^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)"
 def safe_url(u) -> Column:
     """The address if it is absolute http or https, else missing."""
     u = _c(u)
-    return F.when(u.rlike(_HTTP), F.trim(u))
+    return F.when(u.rlike(_HTTP), F.btrim(u, F.lit(" \t\n\x0b\f\r")))
 
 
 def url_host(u) -> Column:

@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES
 
 MODULES = ["features_q", "scalars_q", "board_q", "joins_q", "sizing_q", "records_q", "market_q", "feeds_q",
-           "streams_q", "models_q"]
+           "streams_q", "models_q", "published_q"]
 
 
 def load():

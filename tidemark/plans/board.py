@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, sizing
 from ..functions.scalars import ratio
-from ..operators.features import session_features, stand_in_scores
+from ..operators.features import benchmark_tape, session_features, stand_in_scores
 from ..operators.ranking import with_group_agg, with_percent_rank, with_rank_desc, with_row_number
+from ..session import cut
 from ..sources import derived
 
 AVG_MOVE = 0.08          # average move of a pick that breakeven sizes are solved against
@@ -31,9 +32,9 @@ def supply_by_session(filings: DataFrame) -> DataFrame:
         F.bool_or(F.col("category") == "atm").alias("has_atm"))
 
 
-def wide(spark: SparkSession, d: str) -> DataFrame:
-    """Scored rows with names, borrow, supply filings and cost inputs."""
-    facts = derived.session_facts(spark, d)
+def wide(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
+    """Scored rows with names, borrow, supply filings and cost inputs, from the session facts (of the trades, if none are given)."""
+    facts = derived.session_facts(spark, d) if facts is None else facts
     extra = ["borrow_asof", "status", "fee_rate", "available", "fresh_supply", "offered", "has_atm"]
     joined = stand_in_scores(session_features(facts, keep=extra)).join(derived.names(spark, d), "symbol")
     volume = sizing.expected_volume("dvol20", "dvol5")
@@ -82,9 +83,9 @@ def flag_list() -> Column:
     return F.when(joined != "", F.split(joined, "\\|")).otherwise(F.array().cast("array<string>"))
 
 
-def picks(spark: SparkSession, d: str) -> DataFrame:
+def picks(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
     """Every scored name of every session with its gates, sizes, ranks and next-session outcome."""
-    danger = with_squeeze_danger(wide(spark, d), small=True)
+    danger = with_squeeze_danger(wide(spark, d, facts), small=True)
     rows = with_base(danger, small=True).select(
         *danger.columns,
         ratio("prob_dump", "base").alias("lift"),
@@ -106,6 +107,13 @@ def board(spark: SparkSession, d: str) -> DataFrame:
     return picks(spark, d).filter(F.col("board_rank").isNotNull()).withColumn("rank", F.col("board_rank"))
 
 
+def first_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus #1 of each session beside the benchmark's move; the trades are scanned once for both."""
+    facts = cut(derived.session_facts(spark, d))
+    one = consensus(picks(spark, d, facts), small=True).filter(F.col("consensus_rank") == 1)
+    return one.join(F.broadcast(benchmark_tape(facts)), "session")           # one row per session
+
+
 def consensus(rows: DataFrame, small: bool, size: float = fixed.BOARD_MIN_USD) -> DataFrame:
     """Sum of three models' rank shortfalls over the tradable names, and its tier (our formula).
 

@@ -157,9 +157,7 @@ from .features_q import CONSENSUS  # noqa: E402
       WHEN tier NOT IN ('high', 'medium') THEN 'tier' END AS reason
     FROM ({CONSENSUS}) JOIN tape USING (session) WHERE consensus_rank = 1""", ("picks", "bars"))
 def f10(spark, d):
-    tape = features.benchmark_tape(derived.bars(spark, d))
-    one = board.consensus(board.picks(spark, d), small=True).filter(F.col("consensus_rank") == 1)
-    return one.join(F.broadcast(tape), "session").select(
+    return board.first_choices(spark, d).select(
         "session", "symbol", "tier", predicates.stand_aside("bench_r1", "one_d3", "tier").alias("reason"))
 
 

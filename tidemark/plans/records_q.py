@@ -241,9 +241,7 @@ _SUBSETS = {
 
 def the_one(spark, d):
     """The consensus #1 of each session with the benchmark's move; one row per session."""
-    ranked = board.consensus(board.picks(spark, d), small=True)
-    tape = features.benchmark_tape(derived.bars(spark, d)).select("session", "bench_r1")
-    return ranked.filter((F.col("consensus_rank") == 1) & F.col("next_oc").isNotNull()).join(F.broadcast(tape), "session")
+    return board.first_choices(spark, d).filter(F.col("next_oc").isNotNull()).drop("level")
 
 
 ONE_SQL = f"one AS (SELECT * FROM ({CONSENSUS}) JOIN tape USING (session) WHERE consensus_rank = 1 AND next_oc IS NOT NULL)"

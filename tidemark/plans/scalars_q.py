@@ -104,14 +104,20 @@ def p6(spark, d):
     return events(spark, d).select("event_id", S.age("ts", F.expr(_NOW)).alias("a")).select("event_id", "a.unit", "a.amount")
 
 
-@query("p7_url_host", r"""
-    SELECT page_id, regexp_matches(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)') AS usable,
-      CASE WHEN regexp_matches(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)') THEN
-        regexp_replace(lower(regexp_extract(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)', 1)), '^www\.', '') END AS host
-    FROM pages""")
+@query("p7_url_host", """
+    WITH cut AS (SELECT page_id, trim(url, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS u FROM pages),
+    rest AS (SELECT page_id, u, split_part(split_part(split_part(substr(u, strpos(u, '://') + 3), '/', 1), '?', 1), '#', 1) AS authority,
+      lower(split_part(u, '://', 1)) IN ('http', 'https') AND contains(u, '://') AS web FROM cut),
+    named AS (SELECT *, CASE WHEN contains(authority, '@') THEN substr(authority, strpos(authority, '@') + 1) ELSE authority END AS named FROM rest),
+    hosts AS (SELECT *, CASE WHEN starts_with(named, '[') THEN split_part(named, ']', 1) || ']' ELSE split_part(split_part(named, ':', 1), ' ', 1) END AS host FROM named)
+    SELECT page_id, coalesce(web AND host <> '', false) AS usable,
+      CASE WHEN web AND host <> '' THEN CASE WHEN starts_with(lower(host), 'www.') THEN substr(lower(host), 5) ELSE lower(host) END END AS host,
+      CASE WHEN web AND host <> '' THEN u END AS address FROM hosts""")
 def p7(spark, d):
-    return table(spark, d, "pages").select(
-        "page_id", S.safe_url("url").isNotNull().alias("usable"), S.url_host("url").alias("host"))
+    """Every third address with white space around it."""
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("\t \n"), "url", F.lit("\r\n "))).otherwise(F.col("url"))
+    pages = table(spark, d, "pages").withColumn("url", url)
+    return pages.select("page_id", S.safe_url("url").isNotNull().alias("usable"), S.url_host("url").alias("host"), S.safe_url("url").alias("address"))
 
 
 @query("p8_flag_class", r"""

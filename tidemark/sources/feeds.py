@@ -25,8 +25,43 @@ def load_feed(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
         return spark.createDataFrame([], schema)
 
 
-def load_feeds(spark: SparkSession, folder: str, names: Sequence[str] = tuple(FEEDS)) -> dict[str, DataFrame]:
-    return {n: load_feed(spark, f"{folder}/{n}", FEEDS[n]) for n in names}
+def load_checked(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """S1 with quarantine: the documents that can be used, and (name, reason, document) of those that cannot.
+
+    A document that is no JSON, or has a field of another type than the schema's, is broken as a whole, and so is
+    one without a `required` field: no part of it is used. Both come from one reading of the files. `name` is the
+    document's folder, as `write_documents` lays it down; an absent feed has no documents of either kind.
+    """
+    fields = StructType.fromDDL(schema).fieldNames()
+    whole = StructType.fromDDL(f"{schema}, _broken STRING, name STRING")
+    try:
+        docs = spark.read.schema(whole).option("columnNameOfCorruptRecord", "_broken").option("basePath", path).json(path, mode="PERMISSIVE")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        docs = spark.createDataFrame([], whole)
+    reason = F.when(F.col("_broken").isNotNull(), "broken")
+    for f in required:
+        reason = reason.when(F.col(f"`{f}`").isNull(), f"no {f}")
+    docs = cut(docs.select("name", reason.alias("_reason"), "_broken", *[F.col(f"`{f}`") for f in fields]))
+    good, bad = docs.filter("_reason is null"), docs.filter("_reason is not null")
+    kept = F.coalesce("_broken", F.to_json(F.struct(*[F.col(f"`{f}`") for f in fields])))
+    return good.select("name", *[F.col(f"`{f}`") for f in fields]), bad.select("name", F.col("_reason").alias("reason"), kept.alias("document"))
+
+
+#: Fields without which a document of a feed says nothing.
+REQUIRED = {"index": ["seq", "files"], "today": ["session_date", "run"], "model": ["base_rate"], "evidence": ["studies"], "scorecard": ["days"],
+            "live": ["session_date"], "universe": ["columns", "rows"], "unified": ["lists"], "size_research": ["intraday"]}
+
+
+def load_feeds(spark: SparkSession, folder: str, names: Sequence[str] = tuple(FEEDS)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All feeds below `folder`, and the quarantine of all of them: (feed, name, reason, document)."""
+    loaded = {n: load_checked(spark, f"{folder}/{n}", FEEDS[n], REQUIRED[n]) for n in names}
+    aside = [bad.select(F.lit(n).alias("feed"), "*") for n, (_, bad) in loaded.items()]
+    out = aside[0]
+    for a in aside[1:]:
+        out = out.unionByName(a)
+    return {n: good for n, (good, _) in loaded.items()}, out
 
 
 def write_documents(docs: DataFrame, path: str, name: str = "name", body: str = "json") -> None:
