@@ -96,6 +96,19 @@ BOARD_MIN_USD = 30000.0
 ONE_MIN_USD = 100000.0
 MIN_DOLLAR_VOLUME = 300e3
 
+# Sort keys of the board, with the column and whether it sorts ascending at first.
+BOARD_SORTS: dict[str, tuple[str, bool]] = {
+    "rank": ("rank", True),
+    "prob": ("prob_dump", False),
+    "edge": ("liq_edge", False),          # shown as -edge ascending
+    "lift": ("lift", False),
+    "gap": ("gap_pct", False),
+    "fee": ("fee_rate", True),
+    "sq": ("squeeze_danger", True),
+    "size": ("cost_at_size", True),
+    "symbol": ("symbol", True),
+}
+
 # Sort keys of the lookup table, with the column shown and whether it sorts ascending at first.
 LOOKUP_SORTS = {
     "symbol": ("symbol", True), "price": ("price", False), "market_cap": ("market_cap", False), "prob": ("prob_dump", False),

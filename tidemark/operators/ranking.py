@@ -174,20 +174,6 @@ def top_k(df: DataFrame, by, order: Sequence[Column], k: int, name: str = "rank"
 
 # ── boards ──────────────────────────────────────────────────────────────────
 
-# key -> (expression, ascending by default)
-BOARD_SORTS: dict[str, tuple[Column | str, bool]] = {
-    "rank": ("rank", True),
-    "prob": ("prob_dump", False),
-    "edge": ("liq_edge", False),          # shown as -edge ascending
-    "lift": ("lift", False),
-    "gap": ("gap_pct", False),
-    "fee": ("fee_rate", True),
-    "sq": ("squeeze_danger", True),
-    "size": ("cost_at_size", True),
-    "symbol": ("symbol", True),
-}
-
-
 def order_missing_last(col: str, ascending: bool, tie: str = "rank") -> list[Column]:
     """Missing last in both directions, ties by `tie`."""
     key = F.col(col) if col in ("symbol", "rank") else finite(col)
@@ -195,7 +181,7 @@ def order_missing_last(col: str, ascending: bool, tie: str = "rank") -> list[Col
 
 
 def board_order(key: str = "rank", flipped: bool = False) -> list[Column]:
-    col, ascending = BOARD_SORTS.get(key, BOARD_SORTS["rank"])
+    col, ascending = fixed.BOARD_SORTS.get(key, fixed.BOARD_SORTS["rank"])
     return order_missing_last(col, ascending != flipped)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, sizing
 from ..functions import scalars as S
-from ..operators import features, ranking, records
+from ..operators import ranking, records
 from ..sources import derived, search_index
 from ..sources.tables import events, table
 from . import board
@@ -191,21 +191,21 @@ _SORT_SQL = {
 
 
 def _pos_sql(key: str, flipped: bool) -> str:
-    up = ranking.BOARD_SORTS[key][1] != flipped
+    up = fixed.BOARD_SORTS[key][1] != flipped
     return (f"row_number() OVER (PARTITION BY session ORDER BY {_SORT_SQL[key]} {'ASC' if up else 'DESC'} NULLS LAST, rank) "
             f"AS {key}_{'flipped' if flipped else 'pos'}")
 
 
 @query("o1_board_sort", f"""
-    SELECT session, symbol, {', '.join(_pos_sql(k, f) for k in ranking.BOARD_SORTS for f in (False, True))} FROM board""", "board")
+    SELECT session, symbol, {', '.join(_pos_sql(k, f) for k in fixed.BOARD_SORTS for f in (False, True))} FROM board""", "board")
 def o1(spark, d):
     rows = board.board(spark, d).withColumn(
         "cost_at_size", F.round(sizing.cost_law(F.lit(30000.0), "c10", "spread"), 9))
-    for k in ranking.BOARD_SORTS:
+    for k in fixed.BOARD_SORTS:
         for flipped in (False, True):     # a board holds at most 100 rows per session
             rows = ranking.with_row_number(rows, "session", ranking.board_order(k, flipped),
                                            f"{k}_{'flipped' if flipped else 'pos'}", small=True)
-    return rows.select("session", "symbol", *[f"{k}_{s}" for k in ranking.BOARD_SORTS for s in ("pos", "flipped")])
+    return rows.select("session", "symbol", *[f"{k}_{s}" for k in fixed.BOARD_SORTS for s in ("pos", "flipped")])
 
 
 @query("o2_paginate", f"""

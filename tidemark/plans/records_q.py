@@ -58,7 +58,7 @@ _BLEND_REPORT = f"""
         avg(coalesce(pump, 0)) AS pump, avg(net) AS net, avg(CASE WHEN net IS NOT NULL THEN cost END) AS cost, min(urank) AS urank_min, max(urank) AS urank_max
       FROM met JOIN disjoint d USING (lo) GROUP BY ALL)""", ("picks", "board"))
 def a2(spark, d):
-    rows = board.picks(spark, d)
+    rows = cut(board.picks(spark, d).select("session", "urank", "board_rank", "next_oc", "next_oh", "c10", "spread"))
     c30 = sizing.cost_law(F.lit(30000.0), "c10", "spread")
     record = records.rank_band_record(rows.filter(F.col("next_oc").isNotNull()), band_frame(spark, REPORT_BANDS + [(1, 10)]), [],
                                       "urank", c30)

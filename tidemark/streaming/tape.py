@@ -7,6 +7,7 @@ batch result on the same rows is the reference for the tests. State is keyed by
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,16 +31,19 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return reader.parquet(sf_dir)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append",
-          each: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Run a stream over what has arrived; micro-batches land as `batch=<id>` folders.
+def durable_state(spark: SparkSession) -> None:
+    """Keep stream state in RocksDB with changelog checkpoints: state larger than a task's heap, and a checkpoint that writes what changed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
-    A batch is written by overwriting its own folder, so a batch that is run
-    again after a failure leaves one copy. Returns the folder.
-    """
-    spark = stream.sparkSession
-    path, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
 
+def run(stream: DataFrame, path: str, state: str, mode: str = "append",
+        each: Callable[[DataFrame, int], None] | None = None) -> list[dict]:
+    """Run a stream over what has arrived since the last run with the same `state` folder; returns the progress of its batches.
+
+    Micro-batches land in `path` as `batch=<id>` folders, each overwritten as a whole: a batch that is run again after
+    a failure leaves one copy. A run goes on where the checkpoint in `state` ends, with the state it holds.
+    """
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -47,6 +51,20 @@ def drain(stream: DataFrame, name: str, mode: str = "append",
         stream.writeStream.outputMode(mode).foreachBatch(each or land).option("checkpointLocation", state)
         .trigger(availableNow=True).start())
     query.awaitTermination()
+    return [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+
+
+def state_rows(progress: Sequence[dict]) -> list[int]:
+    """Rows of state after each batch, all stateful operators together."""
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append",
+          each: Callable[[DataFrame, int], None] | None = None) -> str:
+    """Run a stream from its beginning over what has arrived, in folders of its own. Returns the folder its batches land in."""
+    spark = stream.sparkSession
+    path, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    run(stream, path, state, mode, each)
     return path
 
 
