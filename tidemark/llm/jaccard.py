@@ -13,7 +13,9 @@ is multiplied, never the result.
 A column that m documents share is not multiplied out to m^2 pairs. First each document of it
 meets only the column's pivot, the one with the fewest rarer shingles; the links found give
 components. Then columns that still hold several components are multiplied out between
-components, under the same bounds. Pairs left out are in one component already.
+components. There a column is cut into blocks of one size and place, and two blocks are multiplied only if a
+pair of such sizes and places can still be similar: the many documents that share a notice and little
+else have it at a place that rules them out against each other, and are never paired. Pairs left out are in one component already.
 
 Rows: null and texts without words have an empty set and link with nothing; fewer than five
 words are one shingle; documents with equal sets are linked; rows of one doc_id are taken as
@@ -159,6 +161,22 @@ def _may(x: str, y: str) -> Column:
     return (5 * F.least(m, n) >= 4 * F.greatest(m, n)) & (most >= least_overlap(m, n))
 
 
+def _blocks(cells: DataFrame) -> DataFrame:
+    """(g, n, place, n2, place2): which blocks of a column are multiplied. A block is its cells of one size and place;
+    two blocks whose sizes and places rule a pair out, or that lie in one component, are left out as a whole."""
+    block = cells.groupBy("g", "n", "place").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    one = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    met = block.alias("x").join(block.alias("y"), "g").filter(_may("x", "y") & ~one)
+    return met.select("g", "x.n", "x.place", F.col("y.n").alias("n2"), F.col("y.place").alias("place2"))
+
+
+def _product(cells: DataFrame) -> DataFrame:
+    """Entries (x, y) of the product between components, block by block; lower components first."""
+    left = cells.join(_blocks(cells), ["g", "n", "place"])
+    on = (F.col("x.g") == F.col("y.g")) & (F.col("x.n2") == F.col("y.n")) & (F.col("x.place2") == F.col("y.place")) & (F.col("x.component") < F.col("y.component"))
+    return left.alias("x").join(cells.alias("y"), on)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's set and the smallest id it reaches by links."""
     spark = docs.sparkSession
@@ -188,7 +206,7 @@ def join(docs: DataFrame) -> DataFrame:
     of = active.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = of.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("g")
     of = written(of.join(several, "g"), "open-columns")
-    across = of.alias("x").join(of.alias("y"), "g").filter((F.col("x.component") < F.col("y.component")) & _may("x", "y"))
+    across = _product(of)
     across = written(across.select(*_pairs("x", "y")).distinct().join(star, ["x", "y"], "left_anti"), "pairs")
     more = written(_verified(across, _read_sets(across, docs, rows, bodies)), "links")
     if not more.isEmpty():
