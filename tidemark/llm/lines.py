@@ -7,8 +7,9 @@ key, the largest of them) and two cuckoo filters, of the keys seen and of the ke
 is new without a look-up. Removing documents lowers counts and takes keys out of both. Deciding
 probes the second: most lines end there; the rest are looked up exactly.
 
-A document is named by its id. Rows of one id are one document; a null id is a document of its
-own, below all others. Null and empty texts have one empty line. Equal lines of one text count
+A document is named by its id. Rows of one id are one document. A row without an id is named by its
+text: equal ones are one document, all of them below every id, in the order of the text's md5; ids are
+taken to be -2^62 or more. Null and empty texts have one empty line. Equal lines of one text count
 once. Added columns replace input columns of their names; an empty table gives no rows. A shard is sized by the number
 of distinct keys; a shard whose lines are many (one line may be in a third of all texts) is probed
 in several parts.
@@ -54,7 +55,9 @@ def _lines() -> Column:
 
 
 def _name() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    """A document's name: its id, or 60 bits of its text above the least long."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(F.lit(NO_ID) + F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
 
 
 def _postings(docs: DataFrame, n_shards: int, min_points: int) -> DataFrame:
@@ -125,8 +128,9 @@ def insert(state: State, docs: DataFrame) -> State:
 
 
 def remove(state: State, ids: DataFrame) -> State:
-    """The state as if the documents named in `ids` (column doc_id) had never been there."""
-    names = ids.select(_name().alias("doc")).distinct()
+    """The state as if the documents named in `ids` (doc_id, and text for those without an id) had never been there."""
+    named = ids if "text" in ids.columns else ids.filter(F.col("doc_id").isNotNull()).withColumn("text", F.lit(None).cast("string"))
+    names = named.select(_name().alias("doc")).distinct()
     gone = state.postings.join(names, "doc", "left_semi")
     left = written(state.postings.join(names, "doc", "left_anti").select("shard", "a", "b", "doc"), "line-postings")
     delta = gone.groupBy("shard", "a", "b").agg((-F.count(F.lit(1))).alias("refs"))
@@ -150,11 +154,11 @@ def _probe(lines: pa.Table, shard: pa.Table) -> pa.Table:
 
 def dropped(state: State, postings: DataFrame) -> DataFrame:
     """(doc, a) of the lines that go, of the documents in `postings`."""
-    # one row a shard: a broadcast as small as the table's lines / SHARD_ROWS
-    parts = postings.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("parts"))
-    lines = postings.join(F.broadcast(parts), "shard").select("shard", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "a", "b", "doc")
+    # one row a shard, written: Spark knows its size and broadcasts it only while it is small
+    parts = written(postings.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("parts")), "line-parts")
+    lines = postings.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "a", "b", "doc")
     tables = state.shards.filter((F.col("kind") == DROPS) | (F.col("kind") == ROW) & (F.col("refs") >= state.min_docs))
-    tables = tables.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    tables = tables.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return lines.groupBy("shard", "part").cogroup(tables.groupBy("shard", "part")).applyInArrow(_probe, "doc long, a long")
 
 
@@ -200,12 +204,13 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINT
 
 #: The query's rows in DuckDB SQL.
 SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+  coalesce(doc_id, (-9223372036854775807 - 1) + ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT) AS name, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, name, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.top AS gone FROM k LEFT JOIN f ON k.key = f.key)
+f AS (SELECT key, max(name) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT name) >= 3),
+m AS (SELECT k.*, f.key IS NOT NULL AND k.name <> f.top AS gone FROM k LEFT JOIN f ON k.key = f.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id"""
