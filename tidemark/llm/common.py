@@ -74,3 +74,21 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+#: Equal rows that one task deals out.
+EQUAL_ROWS = 10_000
+
+
+def numbered(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
+    """`df` with `name` (long): the number of each row among its equals, from 0.
+
+    Equal rows are counted first and dealt out again in blocks, so a third of the table may be equal without meeting in a task.
+    """
+    block = block or EQUAL_ROWS
+    maps = [c for c, t in df.dtypes if t.startswith("map<")]                  # cannot be grouped as they are
+    keys = [F.sort_array(F.map_entries(f"`{c}`")).alias(c) if c in maps else F.col(f"`{c}`") for c in df.columns]
+    counted = df.select(keys).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__m"))
+    blocks = counted.withColumn("__b", F.explode(F.expr(f"sequence(0L, (__m - 1) div {block})"))).hint("rebalance")
+    back = [F.map_from_entries(f"`{c}`").alias(c) if c in maps else F.col(f"`{c}`") for c in df.columns]
+    return blocks.select(*back, F.explode(F.expr(f"sequence(__b * {block}, least(__m, (__b + 1) * {block}) - 1)")).alias(name))
