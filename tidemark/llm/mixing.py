@@ -11,8 +11,8 @@ again by weight among the others (the closed form of filling until none is above
 
 Rows: a null text has no words; documents without words are never taken; a null source is a
 source; equal rows are numbered, so each is a document of its own; an empty table gives no rows.
-Added columns replace input columns of their names. The random order is by md5 of the id, then
-the text, so runs agree.
+Added columns replace input columns of their names. The random order is by md5 of the id, the text's md5 and the
+number among equal rows, so runs agree, and rows without an id, of one id or all equal spread over the slices.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, text_key, without, written
+from .common import n_words, numbered, text_key, without, written
 from .prefix import offsets
 
 WEIGHTS = (3, 1, 2)
@@ -54,9 +54,10 @@ def _cell(digest: Column, n: int) -> Column:
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words, copies counted), and
     what names the row: __key (of its text) and __dup (number among equal rows)."""
-    keyed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_key(F.col("text")).alias("__key"))
-    keyed = keyed.withColumn("__order", F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    keyed = written(keyed, "mix-sizes")
+    keyed = numbered(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_key(F.col("text")).alias("__key"),
+                                 F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("__digest")), "__no")
+    keyed = keyed.withColumn("__order", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__digest", "__no")))
+    keyed = written(keyed.drop("__digest", "__no"), "mix-sizes")
     rows = keyed.count()
     n = max(1, -(-rows // SLICE_ROWS))
     aim = targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies)
@@ -70,8 +71,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = C
     on = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     run = run.alias("a").join(starts.alias("b"), on("a", "b") & (F.col("a.__slice") == F.col("b.__slice"))).select(
         "a.*", (F.col("a.__run") + F.col("b.__start")).alias("__sent"))
-    # one row a source: as many as the corpus has sources, whatever its size
-    run = run.alias("a").join(F.broadcast(aim).alias("b"), on("a", "b")).select("a.*", "b.source_size", "b.target")
+    # one row a source, written: Spark knows its size and broadcasts it only while it is small
+    run = run.alias("a").join(written(aim, "mix-targets").alias("b"), on("a", "b")).select("a.*", "b.source_size", "b.target")
     run = written(run, "mix-order")
     budget = F.floor(F.lit(share) * F.sum("size")).cast("long")
     total = run.agg(budget.alias("b")).first()["b"] or 0
@@ -97,22 +98,35 @@ def _name() -> Column:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it; equal rows share what is taken of them evenly."""
+    """The rows of `docs`, each as often as the mix takes it; rows of one id, source and text share what is taken of them evenly."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     chosen = plan(docs, **options).withColumn("__times", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0))
     chosen = chosen.groupBy(_name().alias("__name"), "__key").agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__rows")).filter("__times > 0")
+    chosen = written(chosen, "mix-chosen")
     named = docs.withColumns({"__name": _name(), "__key": text_key(F.col("text"))})
-    number = F.row_number().over(Window.partitionBy("__name", "__key").orderBy(F.lit(0)))
-    dealt = named.join(chosen.hint("merge"), ["__name", "__key"]).withColumn("__i", number)
-    times = F.expr("int(__times div __rows + if(__i <= __times % __rows, 1, 0))")
-    return dealt.withColumn("__n", times).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
+    alone = named.join(chosen.filter("__rows = 1").hint("merge"), ["__name", "__key"]).withColumn("__n", F.col("__times").cast("int"))
+    several = chosen.filter("__rows > 1")
+    out = alone
+    if not several.isEmpty():
+        # rows that differ in further columns follow one another; equal ones are numbered
+        again = numbered(named.join(several.hint("merge"), ["__name", "__key"]), "__no")
+        kind = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if c != "text" and "map<" not in t])
+        again = again.withColumn("__kind", kind)
+        kinds = again.groupBy("__name", "__key", "__kind").agg(F.count(F.lit(1)).alias("__m"))
+        earlier = Window.partitionBy("__name", "__key").orderBy("__kind").rowsBetween(Window.unboundedPreceding, -1)
+        kinds = kinds.withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0)))
+        dealt = again.join(kinds.drop("__m"), ["__name", "__key", "__kind"])
+        times = F.expr("int(__times div __rows + if(__before + __no < __times % __rows, 1, 0))")
+        out = alone.unionByName(dealt.withColumn("__n", times).select(alone.columns))
+    return out.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
 
 
 #: The rows of `plan` with its defaults, in DuckDB SQL.
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix/' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
+         md5('mix/' || coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, '')) || '/' || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)) AS o
+  FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM sized GROUP BY source),
 weighed AS (SELECT *, (CASE (rnk - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w, 2 * source_size::DOUBLE AS cap FROM sources),
 levels AS (
