@@ -2,10 +2,14 @@
 
 import random
 
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import brute_components, prose
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, lines, mixing, sharding
+from tidemark.llm.common import numbered
+from tools.compare import compare
 
 TEXTS = "doc_id long, text string"
 
@@ -46,3 +50,77 @@ def test_rows_without_an_id_link_nothing(spark):
     assert {r for r in out if r[0] is not None} == brute_components(known)
     assert sorted(r[2] for r in out if r[0] is not None) == [1, 2, 3]
     assert [r[2] for r in out if r[0] is None] == [None, None]
+
+
+# ── lines ───────────────────────────────────────────────────────────────────
+
+
+def test_lines_of_rows_without_an_id(spark):
+    """Each text without an id is a document; twin and operator agree, and state is reversible."""
+    hot = "a line that very many texts without an id hold"
+    rows = [(None, f"{hot}\n{w}") for w in ("one", "two", "three", "three")] + [(5, f"{hot}\nfive"), (None, None), (None, ""), (6, "five"), (-3, f"{hot}\nminus")]
+    docs = spark.createDataFrame(rows, TEXTS)
+    got = lines.dedup(docs)
+    out = got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    assert compare(out.toPandas().astype({"doc_id": "Int64"}), con.sql(lines.SQL).df().astype({"doc_id": "Int64"})) == "ok"
+    kept = [r.doc_id for r in got.collect() if r.text.startswith("a line")]
+    assert kept == [5]                                              # the largest id, above all texts without one
+    anonymous = spark.createDataFrame([r for r in rows if r[0] is None], TEXTS)
+    lowest = [r for r in lines.dedup(anonymous).collect() if r.text.startswith("a line")]
+    assert len({r.text for r in lowest}) == 1                        # one text keeps the line, in each of its rows
+    state = lines.insert(lines.empty(spark, 2), docs)
+    back = lines.remove(lines.insert(state, spark.createDataFrame([(None, f"{hot}\nfour")], TEXTS)), spark.createDataFrame([(None, f"{hot}\nfour")], TEXTS))
+    table = lambda s: sorted(map(repr, s.shards.filter("kind = 0").select("shard", "a", "b", "refs", "top").collect()))
+    assert table(back) == table(state)
+
+
+# ── equal rows ──────────────────────────────────────────────────────────────
+
+
+def equal_rows(spark, n=900):
+    """A third equal, a third without an id, all with further columns."""
+    rows = [(7, "the same text", "en", "s", 1)] * (n // 3) + [(None, f"text {i} " + "w " * (i % 5), "en", "s", 1) for i in range(n // 3)] + [
+        (1000 + i, f"other {i} a b", None, ["s", "t", None][i % 3], i) for i in range(n // 3)] + [(7, "the same text", "en", "s", 2)] * 5
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_numbers_of_equal_rows(spark):
+    rows = equal_rows(spark).withColumn("tags", F.create_map(F.lit("a"), F.col("n_chars") % 2))
+    got = numbered(rows, "no", 64)
+    assert got.columns == [*rows.columns, "no"] and got.count() == rows.count()
+    same = [r.no for r in got.filter("doc_id = 7 and n_chars = 1").collect()]
+    assert sorted(same) == list(range(300))
+    assert got.filter("doc_id >= 1000 and no > 0").count() == 0
+    assert sorted(map(repr, got.drop("no").collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_equal_rows_share_no_bucket(spark):
+    rows = equal_rows(spark)
+    placed = sharding._apart(rows.withColumn("__place", F.xxhash64("doc_id", F.col("text"))))
+    assert placed.count() == rows.count() and placed.select("__place").distinct().count() == rows.count()
+    one = sharding.shard(rows, 4, bucket_bytes=2000).toPandas()
+    two = sharding.shard(rows.repartition(9).withColumn("m", F.create_map(F.lit("k"), F.lit(1))), 4, bucket_bytes=2000).drop("m").toPandas()
+    at = lambda p: sorted(map(repr, p.astype(object).where(p.notna(), None).itertuples(index=False, name=None)))
+    assert at(one) == at(two)
+    same = one[one.text == "the same text"]
+    assert same.groupby("shard").size().min() > 40                 # spread over the shards
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in one.groupby("shard"))
+
+
+def test_equal_rows_spread_over_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 30)
+    rows = equal_rows(spark)
+    planned = mixing.plan(rows)
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas().astype({"doc_id": "Int64"}))
+    got, want = planned.select("doc_id", "size", "source_size", "target", "taken").toPandas(), con.sql(mixing.SQL).df()
+    assert compare(got.astype({"doc_id": "Int64"}), want.astype({"doc_id": "Int64"})) == "ok"
+    assert planned.select("__order").distinct().count() >= 900
+    slices = planned.filter("doc_id = 7 or doc_id is null").select(F.substring("__order", 1, 1).alias("c")).groupBy("c").count().collect()
+    assert len(slices) == 16 and max(r["count"] for r in slices) < 3 * 605 / 16
+    mixed = mixing.mix(rows)
+    assert mixed.columns == rows.columns
+    total = planned.select(F.sum(F.col("taken") / F.greatest("size", F.lit(1)))).first()[0]
+    assert mixed.count() == round(total)
