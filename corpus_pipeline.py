@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document is an id and a text: rows that only share an id are no copies of each other. Of equal
     ids and texts the first row by the other columns stays, of several texts of the smallest id the first by key.
-    Documents without an id or without words are no copies of any other and stay.
+    Documents without an id or without words are no copies of any other and stay. Further columns are kept as they are.
     """
     key = text_key(F.col("text"))
     named = docs.withColumn("__name", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", key)))
@@ -43,7 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = named.join(gone.hint("merge"), "__name", "left_anti")
     twice = several.filter("n > 1").select("__name")
     again = kept.join(twice.hint("merge"), "__name", "left_semi")
-    order = F.row_number().over(Window.partitionBy("__name").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    # a map has no order: its entries have; the first row is kept before the shuffle, so equal rows do not meet
+    keys = [F.sort_array(F.map_entries(f"`{c}`")) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes if c not in ("doc_id", "text")]
+    order = F.row_number().over(Window.partitionBy("__name").orderBy(*keys, F.lit(0)))
     again = again.withColumn("__i", order).filter("__i = 1")
     return kept.join(twice.hint("merge"), "__name", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
