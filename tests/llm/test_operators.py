@@ -432,7 +432,8 @@ def test_licence_sentences_are_normal_and_hold_a_cue():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     assert compare(queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLES[name]).df()) == "ok"
 
 
