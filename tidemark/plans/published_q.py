@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..session import fresh_path
 from ..sources import derived, feeds
-from ..schemas import FEEDS
 from ..streaming import tape
 from . import board, feeds_q, market_q, records_q
 from .ctes import r6
