@@ -3,7 +3,9 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import brute_components, prose
@@ -124,3 +126,37 @@ def test_equal_rows_spread_over_the_mix(spark, monkeypatch):
     assert mixed.columns == rows.columns
     total = planned.select(F.sum(F.col("taken") / F.greatest("size", F.lit(1)))).first()[0]
     assert mixed.count() == round(total)
+
+
+def xx(*values):
+    """Spark's 64-bit hash of a row of (bytes) values: one after another, each seeded with the hash before; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v, seed=h)
+    return h
+
+
+def test_shards_recomputed(spark):
+    """Buckets, permutations and cuts by hand, from the same hashes and generator."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng.randint(0, 40), rng)) for i in range(300)] + [(None, "no id"), (None, None), (2**40, "äöü ñ")]
+    seed, shards, size = 7, 5, 4000
+    whole = lambda x, n: None if x is None else int(x).to_bytes(n, "little", signed=True)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    n = -(-sum(len((t or "").encode()) + 1 for _, t in rows) // size)
+    buckets = {}
+    for i, t in rows:
+        place = signed(xx(whole(seed, 4), whole(i, 8), whole(signed(xx(b"text", (t or "").encode())), 8)))
+        buckets.setdefault(signed(xx(whole(seed + 1, 4), whole(place, 8))) % n, []).append((place, i, t))
+    want, start = set(), 0
+    for b in sorted(buckets):
+        held = sorted(buckets[b], key=lambda r: r[0])
+        at = np.random.Generator(np.random.PCG64([seed, b])).permutation(len(held))
+        for (_, i, t), k in zip(held, at, strict=True):
+            position = start + int(k)
+            s = position * shards // len(rows)
+            want.add((i, t, s, position - -(-s * len(rows) // shards)))
+        start += len(held)
+    got = {tuple(r) for r in sharding.shard(spark.createDataFrame(rows, TEXTS), shards, seed, size).collect()}
+    assert got == want
