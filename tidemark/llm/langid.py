@@ -52,6 +52,11 @@ def _merge(held, codes_, counts):
     return u, np.bincount(at, np.concatenate([held[1], counts])).astype(np.int64)
 
 
+def _within(found: np.ndarray) -> np.ndarray:
+    """N-grams of single texts: where two meet stand two spaces, which no text has inside."""
+    return found[(found >> np.uint32(8) != 0x2020) & (found & np.uint32(0xFFFF) != 0x2020)]
+
+
 def _counts(source):
     """N-gram counts of each language over a whole partition; rows out: distinct n-grams, whatever rows came in."""
     held: dict[str, tuple] = {}
@@ -61,7 +66,7 @@ def _counts(source):
         for i, lang in enumerate(b["__lang"].to_pylist()):
             by.setdefault(lang, []).append(raw[off[i]:off[i + 1]])
         for lang, parts in by.items():
-            held[lang] = _merge(held.get(lang), *np.unique(codes(np.concatenate(parts)), return_counts=True))
+            held[lang] = _merge(held.get(lang), *np.unique(_within(codes(np.concatenate(parts))), return_counts=True))
     for lang, (c, n) in held.items():
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c)), "code": pa.array(c.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
