@@ -51,8 +51,23 @@ def test_cume_dist(skewed):
 
 def test_median(skewed):
     same(R.exact_median(skewed, "g", "x", "m", small=True), R.exact_median(skewed, "g", "x", "m"))
-    aggs = [F.count("*").alias("n"), F.max("y").alias("top")]
-    same(R.agg_with_median(skewed, "g", aggs, "x", "m", small=True), R.agg_with_median(skewed, "g", aggs, "x", "m"))
+    sums, finals = {"n": F.lit(1), "_y": F.col("y"), "_known": F.when(F.col("x").isNotNull(), 1)}, lambda: ["n", "_known", (F.col("_y") / F.col("n")).alias("mean")]
+    same(R.agg_with_median(skewed, "g", sums, finals(), "x", "m", small=True), R.agg_with_median(skewed, "g", sums, finals(), "x", "m"))
+    assert R.agg_with_median(skewed.limit(0), "g", sums, finals(), "x", "m").count() == 0
+
+
+def test_whole_totals(skewed):
+    tot, whole = lambda: {"s": F.col("y")}, {"all": "s"}
+    same(R.running_total(skewed, "g", [F.col("y"), F.col("id")], tot(), small=True, whole=whole),
+         R.running_total(skewed, "g", [F.col("y"), F.col("id")], tot(), slices=5, whole=whole))
+
+
+def test_several_orders_at_once(skewed):
+    got = R.row_numbers(skewed, "g", "id", {"up": -F.col("x"), "down": F.col("x"), "by_y": F.col("y")})
+    want = skewed
+    for name, col in (("up", F.col("x").asc_nulls_last()), ("down", F.col("x").desc_nulls_last()), ("by_y", F.col("y").desc_nulls_last())):
+        want = R.with_row_number(want, "g", [col, F.col("id")], name, small=True)
+    same(got, want)
 
 
 def test_group_agg(skewed):

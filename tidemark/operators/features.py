@@ -197,10 +197,11 @@ def prior_state(panel: DataFrame, tape: DataFrame) -> DataFrame:
         F.coalesce(F.col("bench_r1") < 0, F.lit(False)).alias("down_night"))
 
 
-def family_scores(rows: DataFrame, families: dict[str, list[str]], small: bool) -> DataFrame:
+def family_scores(rows: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     """0-100 per signal family: mean session percentile of its inputs (our formula); missing when all are."""
     from .ranking import with_percent_rank
-    placed = with_percent_rank(rows, "session", "symbol", [c for cs in families.values() for c in cs], "_pr", small)
+    cols = [c for cs in families.values() for c in cs]
+    placed = with_percent_rank(rows.select("session", "symbol", *cols), "session", "symbol", cols)
 
     def mean_known(cols: list[str]) -> Column:
         prs = [F.col(f"{c}_pr") for c in cols]

@@ -51,14 +51,14 @@ def group_by_day(events: DataFrame, day: str, key: str, small: bool = False) ->
     return with_row_number(events, day, [F.col(key)], "pos", small)
 
 
-def breadth(rows: DataFrame, small: bool) -> DataFrame:
+def breadth(rows: DataFrame) -> DataFrame:
     """Share of names up, median return, and counts of big movers per session."""
     from .ranking import agg_with_median
     known = rows.filter(F.col("r1").isNotNull())
-    return agg_with_median(known, "session", [
-        F.avg(F.when(F.col("r1") > 0, 1.0).otherwise(0.0)).alias("breadth_up"),
-        F.count_if(F.col("r1") >= 0.2).alias("n_up20"), F.count_if(F.col("r1") <= -0.2).alias("n_down20")],
-        "r1", "median_r1", small)
+    tally = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
+    sums = {"_names": F.lit(1), "_up": tally(F.col("r1") > 0), "n_up20": tally(F.col("r1") >= 0.2), "n_down20": tally(F.col("r1") <= -0.2)}
+    finals = [(F.col("_up") / F.col("_names")).alias("breadth_up"), "n_up20", "n_down20"]
+    return agg_with_median(known, "session", sums, finals, "r1", "median_r1")
 
 
 def sector_heat(rows: DataFrame, least: int = 5, top: int = 3) -> DataFrame:
@@ -108,5 +108,5 @@ def unified_lists(scored: DataFrame, lists: Mapping[str, tuple[Column, Column]],
     long = scored.withColumn("_e", entries).filter(F.col("_e").isNotNull()).select(*scored.columns, "_e.list", "_e.key")
     order = [F.col("key").desc_nulls_last(), F.col("symbol"), F.col("side")]
     if k is None:
-        return with_row_number(long, ["session", "list"], order, "pos", small=True)      # two sides of a session's names
+        return with_row_number(long, ["session", "list"], order, "pos")
     return top_k(long, ["session", "list"], order, k, "pos")

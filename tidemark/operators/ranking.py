@@ -1,8 +1,8 @@
 """Ranks, percentiles, running totals and ordered boards.
 
 A window over a group runs in one task, so it is used only where the meaning of
-the group bounds it (`small=True`: the names of a session, a board of 100, a
-plan's k names). No row count decides. Everywhere else the result comes from
+the group bounds it (`small=True`: a board of 100, a plan's k names, the calendar).
+No row count decides. Everywhere else the result comes from
 `running_total`: a range-partitioned sort, totals per slice, and the totals of
 the earlier slices added on. Both ways give the same rows: a missing group key
 is a group, a missing value has no rank and is not counted.
@@ -35,12 +35,16 @@ def beside(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner
 
 
 def running_total(df: DataFrame, by, order: Sequence[Column], totals: Mapping[str, Column],
-                  small: bool = False, slices: int | None = None) -> DataFrame:
-    """Add inclusive running sums per group; `order` must be a total order in the group."""
-    by = _keys(by)
+                  small: bool = False, slices: int | None = None, whole: Mapping[str, str] | None = None) -> DataFrame:
+    """Add inclusive running sums per group; `order` must be a total order in the group.
+
+    `whole` names further columns that hold the group's full sum of one of the `totals`.
+    """
+    by, whole = _keys(by), dict(whole or {})
     if small:
         w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in totals.items()])
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in totals.items()],
+                         *[F.sum(totals[t]).over(W.partitionBy(*by)).alias(n) for n, t in whole.items()])
 
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = df.select("*", *[c.alias(f"_x_{n}") for n, c in totals.items()])
@@ -50,10 +54,11 @@ def running_total(df: DataFrame, by, order: Sequence[Column], totals: Mapping[st
     # one row per group and slice: at most (groups + slices) rows
     base = held.groupBy(*by, "_slice").agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in totals])
     base = base.select(*by, "_slice", *[
-        F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals])
+        F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals], *[
+        F.sum(f"_s_{t}").over(W.partitionBy(*by)).alias(n) for n, t in whole.items()])
     held = held.select("*", *[F.sum(f"_x_{n}").over(inside).alias(f"_w_{n}") for n in totals])
     joined = beside(held, base, [*by, "_slice"])
-    return joined.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals])
+    return joined.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals], *whole)
 
 
 def running_extreme(df: DataFrame, by, order: Sequence[Column], col: str, name: str, largest: bool, itself: bool,
@@ -83,19 +88,43 @@ def with_row_number(df: DataFrame, by, order: Sequence[Column], name: str = "ran
     return running_total(df, by, order, {name: F.lit(1).cast("bigint")}, small)
 
 
+def row_numbers(df: DataFrame, by, key, orders: Mapping[str, Column]) -> DataFrame:
+    """(by, key) with the 1-based position under each of `orders`: largest number first, missing last, ties by `key`.
+
+    All orders are stacked and placed in one sort. `df` is read once; (by, key) must name its rows.
+    """
+    by, key = _keys(by), _keys(key)
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("_part"), c.cast("double").alias("_value")) for n, c in orders.items()]))
+    long = df.select(*by, *key, pairs.alias("_e")).select(*by, *key, "_e.*")
+    placed = with_row_number(long, [*by, "_part"], [F.col("_value").desc_nulls_last(), *[F.col(k) for k in key]], "_pos")
+    return _widened(placed, [*by, *key], "_pos", list(orders))
+
+
+def _widened(long: DataFrame, key: list[str], value: str, parts: Sequence[str], suffix: str = "") -> DataFrame:
+    """One row per key with a column per part. Plain aggregates: unlike a pivot they are combined before the shuffle."""
+    return long.groupBy(*key).agg(*[F.max(F.when(F.col("_part") == p, F.col(value))).alias(p + suffix) for p in parts])
+
+
 def _value_places(df: DataFrame, by: list[str], key: list[str], cols: Sequence[str]) -> DataFrame:
-    """Long rows (by, key, part, value) with counts below / up to the value and of all values.
+    """Long rows (by, key, part, value) with counts below / up to the value and of all values; `df` is read twice.
 
     Equal values are counted before the sort, so a value shared by a third of
     the rows is one row there.
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.select(*by, *key, F.expr(f"stack({len(cols)}, {pairs}) AS (_part, _value)"))
-    long = cut(long.filter(F.col("_value").isNotNull()))
+    long = long.filter(F.col("_value").isNotNull())
     counts = long.groupBy(*by, "_part", "_value").agg(F.count("*").alias("_n"))
-    placed = running_total(counts, [*by, "_part"], [F.col("_value")], {"_upto": F.col("_n")})
-    size = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_all"))
-    return beside(long, beside(placed, size, [*by, "_part"]), [*by, "_part", "_value"])
+    placed = running_total(counts, [*by, "_part"], [F.col("_value")], {"_upto": F.col("_n")}, whole={"_all": "_upto"})
+    return beside(long, placed, [*by, "_part", "_value"])
+
+
+def percent_ranks(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_pr") -> DataFrame:
+    """(by, key) with (rank - 1) / (n - 1) of each column; rows without any value are left out. `df` is read twice."""
+    by, key = _keys(by), _keys(key)
+    long = _value_places(df, by, key, cols).withColumn(
+        "_pr", F.when(F.col("_all") > 1, (F.col("_upto") - F.col("_n")) / (F.col("_all") - 1)).otherwise(0.0))
+    return _widened(long, [*by, *key], "_pr", cols, suffix)
 
 
 def with_percent_rank(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_pr",
@@ -109,11 +138,8 @@ def with_percent_rank(df: DataFrame, by, key, cols: Sequence[str], suffix: str =
             r = F.rank().over(W.partitionBy(*by).orderBy(F.col(c).asc_nulls_last()))
             out.append(F.when(F.col(c).isNotNull(), F.when(n > 1, (r - 1) / (n - 1)).otherwise(0.0)).alias(c + suffix))
         return df.select("*", *out)
-    long = _value_places(df, by, key, cols).withColumn(
-        "_pr", F.when(F.col("_all") > 1, (F.col("_upto") - F.col("_n")) / (F.col("_all") - 1)).otherwise(0.0))
-    wide = long.groupBy(*by, *key).pivot("_part", list(cols)).agg(F.first("_pr"))
-    wide = wide.select(*by, *key, *[F.col(c).alias(c + suffix) for c in cols])
-    return beside(df, wide, [*by, *key], "left")
+    df = cut(df)
+    return beside(df, percent_ranks(df, by, key, cols, suffix), [*by, *key], "left")
 
 
 def with_cume_dist(df: DataFrame, by, key, col: str, name: str, small: bool = False) -> DataFrame:
@@ -122,6 +148,7 @@ def with_cume_dist(df: DataFrame, by, key, col: str, name: str, small: bool = Fa
     if small:
         known = F.col(col).isNotNull()
         return df.withColumn(name, F.when(known, F.cume_dist().over(W.partitionBy(*by, known).orderBy(col))))
+    df = cut(df)
     long = _value_places(df, by, key, [col]).select(*by, *key, (F.col("_upto") / F.col("_all")).alias(name))
     return beside(df, long, [*by, *key], "left")
 
@@ -133,10 +160,15 @@ def with_rank_desc(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_
     if small:
         rank = lambda c: F.rank().over(W.partitionBy(*by).orderBy(F.col(c).desc_nulls_last())).cast("bigint")
         return df.select("*", *[F.when(F.col(c).isNotNull(), rank(c)).alias(c + suffix) for c in cols])
+    df = cut(df)
+    return beside(df, ranks_desc(df, by, key, cols, suffix), [*by, *key], "left")
+
+
+def ranks_desc(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
+    """(by, key) with 1 + number of strictly larger values, per column; rows without any value are left out."""
+    by, key = _keys(by), _keys(key)
     long = _value_places(df, by, key, cols).withColumn("_r", F.col("_all") - F.col("_upto") + 1)
-    wide = long.groupBy(*by, *key).pivot("_part", list(cols)).agg(F.first("_r"))
-    wide = wide.select(*by, *key, *[F.col(c).alias(c + suffix) for c in cols])
-    return beside(df, wide, [*by, *key], "left")
+    return _widened(long, [*by, *key], "_r", cols, suffix)
 
 
 def with_group_agg(df: DataFrame, by, aggs: Mapping[str, Column], small: bool = False) -> DataFrame:
@@ -188,14 +220,23 @@ def board_order(key: str = "rank", flipped: bool = False) -> list[Column]:
 def paginate(df: DataFrame, order: Sequence[Column], page: int, per_page: int = 50) -> DataFrame:
     """One page of the ordered rows; a page past the end is the last page. `order` must be total.
 
-    Found by position, so no task carries the rows before the page; the count is
-    of the rows already placed.
+    The rows are dealt to slices by range and counted there; only the slices that hold the page are sorted,
+    for as many rows as end with it.
     """
-    placed = cut(with_row_number(df.withColumn("_all", F.lit(0)), "_all", order, "_pos"))
-    pages = max(1, -(-placed.count() // per_page))
-    page = max(0, min(page, pages - 1))
-    shown = placed.filter(F.col("_pos").between(page * per_page + 1, (page + 1) * per_page))
-    return shown.orderBy("_pos").select(*df.columns)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = cut(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+    sizes = held.groupBy("_slice").count().orderBy("_slice").collect()        # one row per slice
+    pages = max(1, -(-sum(n for _, n in sizes) // per_page))
+    first = max(0, min(page, pages - 1)) * per_page
+    before, skipped, holding = 0, 0, []
+    for i, n in sizes:
+        if before + n <= first:
+            skipped += n
+        elif before < first + per_page:
+            holding.append(i)
+        before += n
+    shown = held.filter(F.col("_slice").isin(holding)).orderBy(*order).offset(first - skipped).limit(per_page)
+    return shown.select(*df.columns)
 
 
 def lookup_order(key: str, flipped: bool = False) -> list[Column]:
@@ -244,27 +285,26 @@ def live_order(oc: str = "oc", pos: str = "symbol") -> list[Column]:
 
 def exact_median(df: DataFrame, by, value: str, name: str, small: bool = False) -> DataFrame:
     """Median per group, missing if all values are. The built-in one holds a group's values in one task; others are placed by rank."""
-    by = _keys(by)
-    if small:
-        return df.groupBy(*by).agg(F.median(value).alias(name))
-    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
-    placed = running_total(counts, by, [F.col("_v")], {"_upto": F.col("_n")}, small)
-    placed = beside(placed, counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by)
-    below, upto, n = F.col("_upto") - F.col("_n"), F.col("_upto"), F.col("_all")
-    lower, upper = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)      # 1-based middle places
-    holds = lambda place: (below < place) & (upto >= place)
-    found = placed.groupBy(*by).agg(
-        ((F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(name))
-    return beside(df.select(*by).distinct(), found, by, "left")
+    return agg_with_median(df, by, {}, [], value, name, small)
 
 
-def agg_with_median(df: DataFrame, by, aggs: Sequence[Column], value: str, name: str, small: bool = False) -> DataFrame:
-    """Grouped aggregates and one exact median; a single pass where the groups are small.
+def agg_with_median(df: DataFrame, by, sums: Mapping[str, Column], finals: Sequence[Column], value: str, name: str,
+                    small: bool = False) -> DataFrame:
+    """Grouped sums, what `finals` makes of them, and one exact median, from one pass over the rows.
 
-    Elsewhere the rows are written once for both: hand in only the columns they need.
+    Rows are summed per group and value before anything is sorted, and the same sums serve both.
     """
     by = _keys(by)
     if small:
-        return df.groupBy(*by).agg(*aggs, F.median(value).alias(name))
-    df = cut(df)
-    return beside(df.groupBy(*by).agg(*aggs), exact_median(df, by, value, name), by)
+        out = df.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.median(value).alias(name))
+        return out.select(*by, *finals, name)
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(
+        F.count(value).alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()])      # _n is 0 where the value is missing
+    placed = running_total(counts, by, [F.col("_v")], {"_upto": F.col("_n")}, whole={"_all": "_upto"})
+    below, upto, n = F.col("_upto") - F.col("_n"), F.col("_upto"), F.col("_all")
+    lower, upper = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)      # 1-based middle places
+    holds = lambda place: (below < place) & (upto >= place)
+    out = placed.groupBy(*by).agg(
+        *[F.sum(s).alias(s) for s in sums],
+        ((F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(name))
+    return out.select(*by, *finals, name)

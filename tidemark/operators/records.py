@@ -21,7 +21,18 @@ from .ranking import agg_with_median, beside, place_in_ties, running_total, with
 
 def rate(cond: Column) -> Column:
     """Share of rows where `cond` holds; rows where it is unknown are left out."""
-    return F.avg(F.when(cond, 1.0).when(~cond, 0.0))
+    return F.avg(share_of(cond))
+
+
+def share_of(cond: Column) -> Column:
+    """1 where `cond` holds, 0 where not, missing where it is unknown."""
+    return F.when(cond, 1.0).when(~cond, 0.0)
+
+
+def means(values: Mapping[str, Column]) -> tuple[dict[str, Column], list[Column]]:
+    """Sums and counts of the known values, and their means: for aggregates that are summed more than once."""
+    sums = {f"_s_{n}": c for n, c in values.items()} | {f"_c_{n}": F.when(c.isNotNull(), 1).otherwise(0) for n, c in values.items()}
+    return sums, [F.try_divide(F.col(f"_s_{n}"), F.col(f"_c_{n}")).alias(n) for n in values]
 
 
 def outcome_rates(rows: DataFrame, by: Sequence[str] = (), oc: str = "next_oc", oh: str = "next_oh",
@@ -104,11 +115,10 @@ def by_model(rows: DataFrame, models: Mapping[str, str], keep: Sequence[str]) ->
         *keep, "_m.model", "_m.score")
 
 
-def cohort_rates(scores: DataFrame, small: bool) -> DataFrame:
+def cohort_rates(scores: DataFrame, small: bool = False) -> DataFrame:
     """Hit, mean move and squeeze rate of #1, top 10, top decile and all, per model."""
     order = [F.col("score").desc(), F.col("symbol")]
-    ranked = with_row_number(scores, ["model", "session"], order, "rank", small)
-    ranked = with_group_agg(ranked, ["model", "session"], {"_n": F.count("*")}, small)
+    ranked = running_total(scores, ["model", "session"], order, {"rank": F.lit(1)}, small, whole={"_n": "rank"})
     cohorts = in_subsets(ranked, {
         "top1": F.col("rank") == 1, "top10": F.col("rank") <= 10,
         "decile": F.col("rank") <= F.ceil(F.col("_n") / 10), "all": F.lit(True)}, "cohort")
@@ -195,11 +205,10 @@ def rank_band_record(rows: DataFrame, bands: DataFrame, by: Sequence[str], value
     met = rows.withColumn("_cost", cost).join(
         F.broadcast(bands), (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
     net = -F.col("next_oc") - F.col("_cost")
-    keys = [*by, "lo", "hi"]
-    return agg_with_median(met.select(*keys, "next_oc", "next_oh", "_cost"), keys, [
-        F.count("*").alias("n"), rate(F.col("next_oc") <= fixed.DUMP).alias("hit"), F.avg("next_oc").alias("mean_oc"),
-        rate(F.col("next_oh") >= fixed.SQUEEZE).alias("squeeze"), rate(F.col("next_oc") >= fixed.PUMP).alias("pump"),
-        F.avg("_cost").alias("cost"), F.avg(net).alias("net"), rate(net > 0).alias("win")], "next_oc", "median_oc", small)
+    sums, finals = means({
+        "hit": share_of(F.col("next_oc") <= fixed.DUMP), "mean_oc": F.col("next_oc"), "squeeze": share_of(F.col("next_oh") >= fixed.SQUEEZE),
+        "pump": share_of(F.col("next_oc") >= fixed.PUMP), "cost": F.col("_cost"), "net": net, "win": share_of(net > 0)})
+    return agg_with_median(met, [*by, "lo", "hi"], {"n": F.lit(1).cast("bigint"), **sums}, ["n", *finals], "next_oc", "median_oc", small)
 
 
 def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -216,10 +225,11 @@ def event_study(rows: DataFrame, setups: Mapping[str, Column], small: bool = Fal
     (our rule).
     """
     held = in_subsets(rows.filter(F.col("next_oc").isNotNull()), {"baseline": F.lit(True), **setups}, "study")
-    agg = agg_with_median(held.select("study", "symbol", "next_oc", "swing5"), "study", [
-        F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols"),
-        rate(F.col("next_oc") <= fixed.DUMP).alias("pct_dump"), rate(F.col("next_oc") >= fixed.PUMP).alias("pct_up5"),
-        rate(F.col("swing5") <= fixed.SWING).alias("pct_swing")], "next_oc", "median_oc", small)
+    held = cut(held.select("study", "symbol", "next_oc", "swing5"))          # read for the sums and for the names
+    sums, finals = means({"pct_dump": share_of(F.col("next_oc") <= fixed.DUMP), "pct_up5": share_of(F.col("next_oc") >= fixed.PUMP),
+                          "pct_swing": share_of(F.col("swing5") <= fixed.SWING)})
+    agg = agg_with_median(held, "study", {"n": F.lit(1).cast("bigint"), **sums}, ["n", *finals], "next_oc", "median_oc", small)
+    agg = beside(agg, held.groupBy("study").agg(F.countDistinct("symbol").alias("n_symbols")), ["study"])
     # one row per study from here on
     of_base = lambda c: F.max(F.when(F.col("study") == "baseline", F.col(c))).over(W.partitionBy())
     agg = agg.select("*", of_base("pct_dump").alias("_bd"), of_base("pct_up5").alias("_bu"))
@@ -380,7 +390,7 @@ def t_statistic(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataF
         F.try_divide(F.avg(value), F.stddev_samp(value) / F.sqrt(n)).alias("t"))
 
 
-def survivorship(rows: DataFrame, liquid: Column, last: Column, small: bool, horizon: int = 20) -> DataFrame:
+def survivorship(rows: DataFrame, liquid: Column, last: Column, horizon: int = 20) -> DataFrame:
     """The same long trade on today's list and on the list known at the time.
 
     `today` keeps the names that are liquid in the `last` session, in all sessions;
@@ -391,8 +401,8 @@ def survivorship(rows: DataFrame, liquid: Column, last: Column, small: bool, hor
     survivor = F.bool_or(F.when(F.col("session") == last, liquid)).over(W.partitionBy("symbol"))
     held = rows.withColumn("_survivor", survivor).filter(F.col(fwd).isNotNull())
     held = in_subsets(held, {"today": F.col("_survivor"), "point in time": liquid}, "list")
-    order = [F.col("r5").desc_nulls_last(), F.col("symbol")]
-    firsts = with_row_number(held, ["list", "session"], order, "_k", small)
-    return firsts.groupBy("list").agg(
-        F.count("*").alias("n"), F.avg(fwd).alias("tier_mean"),
-        F.avg(F.when(F.col("_k") == 1, -F.col(fwd) - F.col("spread"))).alias("net"))
+    riser = F.struct(F.col("r5").isNull(), -F.col("r5"), F.col("symbol"))          # largest first, missing last
+    days = held.groupBy("list", "session").agg(
+        F.count("*").alias("_n"), F.sum(fwd).alias("_sum"), F.min_by(-F.col(fwd) - F.col("spread"), riser).alias("_net"))
+    return days.groupBy("list").agg(
+        F.sum("_n").alias("n"), (F.sum("_sum") / F.sum("_n")).alias("tier_mean"), F.avg("_net").alias("net"))

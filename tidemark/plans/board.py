@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, sizing
 from ..functions.scalars import ratio
 from ..operators.features import benchmark_tape, session_features, stand_in_scores
-from ..operators.ranking import with_group_agg, with_percent_rank, with_rank_desc, with_row_number
+from ..operators.ranking import beside, percent_ranks, ranks_desc, row_numbers, top_k, with_row_number
 from ..session import cut
 from ..sources import derived
 
 AVG_MOVE = 0.08          # average move of a pick that breakeven sizes are solved against
+PLACES = ("lift", "danger", "urank", "board")          # columns of a pick that depend on its whole session
 DANGER_PARTS = ["model", "fee", "scarcity", "si", "dtc", "float", "short_vol"]
 
 
@@ -49,16 +52,17 @@ def wide(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFra
     )
 
 
-def with_squeeze_danger(df: DataFrame, small: bool) -> DataFrame:
+def with_squeeze_danger(df: DataFrame) -> DataFrame:
     """0-100 crowding score: mean session percentile of up to seven parts (our formula).
 
-    Missing where fewer than three parts are known.
+    Missing where fewer than three parts are known. `df` is read three times: hand in written rows.
     """
     parts = df.select(
-        "*", F.col("prob_squeeze").alias("model"), F.col("fee_rate").alias("fee"), (-F.col("available")).alias("scarcity"),
+        "session", "symbol", F.col("prob_squeeze").alias("model"), F.col("fee_rate").alias("fee"), (-F.col("available")).alias("scarcity"),
         F.col("si_pct_float").alias("si"), F.col("days_to_cover").alias("dtc"), (-F.col("shares_out")).alias("float"),
         F.col("short_ratio_5d").alias("short_vol"))
-    placed = with_percent_rank(parts, "session", "symbol", DANGER_PARTS, "_pr", small)
+    placed = cut(percent_ranks(parts, "session", "symbol", DANGER_PARTS, "_pr"))
+    placed = beside(df, placed, ["session", "symbol"], "left")
     prs = [F.col(f"{p}_pr") for p in DANGER_PARTS]
     n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in prs), F.lit(0))
     total = sum((F.coalesce(p, F.lit(0.0)) for p in prs), F.lit(0.0))
@@ -67,10 +71,17 @@ def with_squeeze_danger(df: DataFrame, small: bool) -> DataFrame:
         F.when(n >= 3, F.round(100 * (total / n), 6)).alias("squeeze_danger"))
 
 
-def with_base(rows: DataFrame, small: bool) -> DataFrame:
-    """Share of the session's scored names that dumped, on every row."""
+def danger(spark: SparkSession, d: str) -> DataFrame:
+    """Every name of every session with its crowding score."""
+    inputs = ["fee_rate", "available", "si_pct_float", "days_to_cover", "shares_out", "short_ratio_5d", "prob_squeeze", "prob_dump"]
+    return with_squeeze_danger(cut(wide(spark, d).select("session", "symbol", *inputs)))
+
+
+def with_base(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """Add the share of the session's `scored` names that dumped."""
     dumped = F.when(F.col("oc") <= fixed.DUMP, 1.0).otherwise(0.0)
-    return with_group_agg(rows, "session", {"base": F.avg(dumped)}, small)
+    base = scored.groupBy("session").agg(F.avg(dumped).alias("base"))
+    return beside(rows, F.broadcast(base), ["session"])          # one row per session of the calendar
 
 
 def flag_list() -> Column:
@@ -83,52 +94,67 @@ def flag_list() -> Column:
     return F.when(joined != "", F.split(joined, "\\|")).otherwise(F.array().cast("array<string>"))
 
 
-def picks(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
-    """Every scored name of every session with its gates, sizes, ranks and next-session outcome."""
-    danger = with_squeeze_danger(wide(spark, d, facts), small=True)
-    rows = with_base(danger, small=True).select(
-        *danger.columns,
-        ratio("prob_dump", "base").alias("lift"),
+def picks(spark: SparkSession, d: str, facts: DataFrame | None = None, places: Sequence[str] = PLACES) -> DataFrame:
+    """Every scored name of every session with its gates, sizes, ranks and next-session outcome.
+
+    `places` says which of the columns that depend on the whole session are wanted: `lift`, `danger` (pr_*,
+    squeeze_danger and the zone it decides), `urank` and `board` (board_rank, with those of `danger`); the others are
+    left out. They come from value counts, sorts by range and first hundreds of the written rows, so no task holds a session.
+    """
+    rows = wide(spark, d, facts)
+    rows = rows.select(
+        "*",
         sizing.capacity("exp_dvol", "vol20", "cap_borrow").alias("capacity"),
         sizing.breakeven(F.lit(AVG_MOVE), "c10", "spread").alias("breakeven"),
         predicates.publishable().alias("publishable"),
-        predicates.zone_reason().alias("zone_reason"),
         flag_list().alias("flags"),
     )
-    best = [F.col("prob_dump").desc(), F.col("symbol")]
-    rows = with_row_number(rows, "session", best, "urank", small=True)
-    open_names = F.col("zone_reason").isNull()
-    rows = with_row_number(rows, "session", [open_names.desc(), *best], "_rank0", small=True)
-    return rows.select("*", F.when(open_names & (F.col("_rank0") <= 100), F.col("_rank0")).alias("board_rank")).drop("_rank0")
-
-
-def board(spark: SparkSession, d: str) -> DataFrame:
+    if not places:
+        return rows
+    rows, on = cut(rows), ["session", "symbol"]
+    out = rows
+    if {"danger", "board"} & set(places):
+        out = with_squeeze_danger(rows).withColumn("zone_reason", predicates.zone_reason())
+    if "lift" in places:
+        out = with_base(out, rows).withColumn("lift", ratio("prob_dump", "base")).drop("base")
+    if "urank" in places:
+        out = beside(out, row_numbers(rows, "session", "symbol", {"urank": F.col("prob_dump")}), on)
+    if "board" in places:
+        best = [F.col("prob_dump").desc(), F.col("symbol")]
+        first = top_k(out.filter(F.col("zone_reason").isNull()).select(*on, "prob_dump"), "session", best, 100, "board_rank")
+        out = beside(out, first.select(*on, "board_rank"), on, "left")
+    return out
+
+
+def board(spark: SparkSession, d: str, places: Sequence[str] = PLACES) -> DataFrame:
     """At most 100 names per session."""
-    return picks(spark, d).filter(F.col("board_rank").isNotNull()).withColumn("rank", F.col("board_rank"))
+    shown = picks(spark, d, places=[*places, "board"]).filter(F.col("board_rank").isNotNull())
+    return shown.withColumn("rank", F.col("board_rank"))
 
 
 def first_choices(spark: SparkSession, d: str) -> DataFrame:
     """The consensus #1 of each session beside the benchmark's move; the trades are scanned once for both."""
     facts = cut(derived.session_facts(spark, d))
-    one = consensus(picks(spark, d, facts), small=True).filter(F.col("consensus_rank") == 1)
+    one = consensus(cut(picks(spark, d, facts, places=()))).filter(F.col("consensus_rank") == 1)
     return one.join(F.broadcast(benchmark_tape(facts)), "session")           # one row per session
 
 
-def consensus(rows: DataFrame, small: bool, size: float = fixed.BOARD_MIN_USD) -> DataFrame:
+def consensus(rows: DataFrame, size: float = fixed.BOARD_MIN_USD) -> DataFrame:
     """Sum of three models' rank shortfalls over the tradable names, and its tier (our formula).
 
     deficit = (rank - 1) summed over the models; high <= 2, medium <= 7, else low.
-    Names that cannot take `size` stay in the rows with these columns missing.
+    Names that cannot take `size` stay in the rows with these columns missing. `rows` is read often: hand in written rows.
     """
     able = (sizing.volume_cap("exp_dvol") >= size) & (sizing.impact_cap("exp_dvol", "vol20") >= size)
-    models = {"prob_dump": "rank_dump", "one_dump": "rank_one", "one_d3": "rank_d3"}
-    masked = rows.select("*", *[F.when(able, F.col(m)).alias(f"_{m}") for m in models])
-    ranked = with_rank_desc(masked, "session", "symbol", [f"_{m}" for m in models], "_rk", small)
-    ranked = ranked.select(*rows.columns, *[F.col(f"_{m}_rk").alias(n) for m, n in models.items()])
+    models, on = {"prob_dump": "rank_dump", "one_dump": "rank_one", "one_d3": "rank_d3"}, ["session", "symbol"]
+    able = rows.filter(able).select(*on, *models)
+    ranked = beside(able, ranks_desc(able, "session", "symbol", list(models), "_rk"), on, "left")
+    ranked = ranked.select(*on, "prob_dump", *[F.col(f"{m}_rk").alias(n) for m, n in models.items()])
     ranked = ranked.withColumn("deficit", F.col("rank_dump") + F.col("rank_one") + F.col("rank_d3") - 3)
     order = [F.col("deficit").asc_nulls_last(), F.col("prob_dump").desc(), F.col("symbol")]
-    ranked = with_row_number(ranked, "session", order, "_place", small)
+    ranked = with_row_number(ranked, "session", order, "_place")
     known = F.col("deficit").isNotNull()
-    return ranked.select(
-        *ranked.columns[:-1], F.when(known, F.col("_place")).alias("consensus_rank"),
+    ranked = ranked.select(
+        *on, *models.values(), "deficit", F.when(known, F.col("_place")).alias("consensus_rank"),
         F.when(F.col("deficit") <= 2, "high").when(F.col("deficit") <= 7, "medium").when(known, "low").alias("tier"))
+    return beside(rows, ranked, on, "left")

@@ -119,7 +119,7 @@ def f5_index(spark, d):
 @query("f6_fits_size", f"""
     SELECT session, symbol, {', '.join(f'coalesce(capacity >= {q}, false) AS fits_{q}' for q in fixed.SIZES)} FROM picks""", "picks")
 def f6(spark, d):
-    return board.picks(spark, d).select("session", "symbol", *[predicates.fits_size(q).alias(f"fits_{q}") for q in fixed.SIZES])
+    return board.picks(spark, d, places=()).select("session", "symbol", *[predicates.fits_size(q).alias(f"fits_{q}") for q in fixed.SIZES])
 
 
 _TRADABLE = ("coalesce({price} >= 1 AND 0.05::DOUBLE * exp_dvol >= {q} AND "
@@ -130,7 +130,7 @@ _TRADABLE = ("coalesce({price} >= 1 AND 0.05::DOUBLE * exp_dvol >= {q} AND "
     SELECT session, symbol, {_TRADABLE.format(price='price', q=30000)} AS at_30k, {_TRADABLE.format(price='price', q=100000)} AS at_100k,
       publishable FROM picks""", "picks")
 def f7(spark, d):
-    return board.picks(spark, d).select(
+    return board.picks(spark, d, places=()).select(
         "session", "symbol", predicates.tradable(30000).alias("at_30k"), predicates.tradable(100000).alias("at_100k"),
         "publishable")
 
@@ -144,7 +144,7 @@ def f8(spark, d):
 
 @query("f9_do_not_short", "SELECT session, symbol, zone_reason, zone_reason IS NOT NULL AS held_off FROM picks", "picks")
 def f9(spark, d):
-    return board.picks(spark, d).select("session", "symbol", "zone_reason", F.col("zone_reason").isNotNull().alias("held_off"))
+    return board.picks(spark, d, places=("danger",)).select("session", "symbol", "zone_reason", F.col("zone_reason").isNotNull().alias("held_off"))
 
 
 from .features_q import CONSENSUS  # noqa: E402
@@ -239,11 +239,11 @@ def o2_sort(spark, d):
     """Positions of the last session's names under each of the ten orders, both ways."""
     shown = newest(spark, d)
     rows = shown.select("session", "symbol", *[F.round(c, 9).alias(c) for c, _ in fixed.LOOKUP_SORTS.values() if c != "symbol"])
-    for k in fixed.LOOKUP_SORTS:
-        for flipped in (False, True):
-            rows = ranking.with_row_number(rows, "session", ranking.lookup_order(k, flipped),
-                                           f"{k}_{'flipped' if flipped else 'pos'}", small=True)
-    return rows.select("symbol", *[f"{k}_{s}" for k in fixed.LOOKUP_SORTS for s in ("pos", "flipped")])
+    orders = {}
+    for k, (c, up) in fixed.LOOKUP_SORTS.items():          # symbols are numbers here
+        value = F.col(c).cast("double") if c == "symbol" else S.finite(c)
+        orders |= {f"{k}_pos": -value if up else value, f"{k}_flipped": value if up else -value}
+    return ranking.row_numbers(rows, "session", "symbol", orders).select("symbol", *[f"{k}_{s}" for k in fixed.LOOKUP_SORTS for s in ("pos", "flipped")])
 
 
 @query("o2_lookup_page", f"""
@@ -288,7 +288,7 @@ def o4(spark, d):
     GROUP BY session, symbol""", "picks")
 def o5(spark, d):
     reasons = F.transform("flags", lambda x: F.struct(x.alias("text"), (F.length(x) % 3 + 1).alias("strength")))
-    rows = board.picks(spark, d).filter(F.size("flags") > 0).withColumn("reasons", reasons)
+    rows = board.picks(spark, d, places=()).filter(F.size("flags") > 0).withColumn("reasons", reasons)
     best = F.transform(ranking.top_reasons("reasons", 3), lambda x: x["text"])
     return rows.select("session", "symbol", F.array_join(best, "|").alias("reasons"))
 
@@ -299,7 +299,7 @@ def o5(spark, d):
         {' UNION ALL '.join(f"SELECT session, symbol, '{p}' AS family, pr_{p} AS share, {i} AS i FROM danger" for i, p in enumerate(board.DANGER_PARTS))})
       WHERE share > 0) WHERE k <= 6 GROUP BY session, symbol""", "danger")
 def o6(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
+    rows = board.danger(spark, d)
     shares = F.create_map(*[x for p in board.DANGER_PARTS for x in (F.lit(p), F.coalesce(F.col(f"pr_{p}"), F.lit(0.0)))])
     rows = rows.withColumn("shares", shares).withColumn("best", ranking.top_attribution("shares", 6)).filter(F.size("best") > 0)
     return rows.select("session", "symbol", F.array_join("best.family", "|").alias("families"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import features, ranking
+from ..session import cut
 from ..sources import derived, store
 from . import board
 from .ctes import r6
@@ -76,9 +77,10 @@ def w10(spark, d):
       SELECT session, symbol, CAST(floor(100 * cume_dist() OVER (PARTITION BY session ORDER BY prob_dump)) AS BIGINT) AS score
       FROM scored)""", "scored")
 def w11(spark, d):
-    s = ranking.with_cume_dist(board.scored(spark, d), "session", "symbol", "prob_dump", "cd", small=True)
+    s = board.scored(spark, d).select("session", "symbol", "prob_dump")
+    s = ranking.with_cume_dist(s, "session", "symbol", "prob_dump", "cd")
     s = s.select("session", "symbol", F.floor(100 * F.col("cd")).alias("score"))
-    return ranking.with_group_agg(s, "session", {"top_ties": F.count_if(F.col("score") == 100)}, small=True)
+    return ranking.with_group_agg(s, "session", {"top_ties": F.count_if(F.col("score") == 100)})
 
 
 _BY_SESSION = """
@@ -134,7 +136,8 @@ CONSENSUS = """
 @query("w17_consensus_rank", f"""
     SELECT session, symbol, rank_dump, rank_one, rank_d3, deficit, tier, consensus_rank FROM ({CONSENSUS})""", "picks")
 def w17(spark, d):
-    ranked = board.consensus(board.picks(spark, d), small=True)
+    rows = cut(board.picks(spark, d, places=()).select("session", "symbol", "prob_dump", "one_dump", "one_d3", "exp_dvol", "vol20"))
+    ranked = board.consensus(rows)
     return ranked.filter(F.col("consensus_rank").isNotNull()).select(
         "session", "symbol", "rank_dump", "rank_one", "rank_d3", "deficit", "tier", "consensus_rank")
 
@@ -175,14 +178,14 @@ def w18(spark, d):
         board.scored(spark, d).withColumn("neg_dd", -F.col("dd_52w"))
         .join(filed, ["symbol", "session"], "left").join(reported, ["symbol", "session"], "left")
     )
-    scores = features.family_scores(rows, _FAMILY_COLS, small=True)
+    scores = features.family_scores(rows, _FAMILY_COLS)
     return scores.select("session", "symbol", *[r(f) for f in fixed.FAMILIES])
 
 
 @query("w19_squeeze_danger", f"""
     SELECT session, symbol, {', '.join(r6(f'pr_{p}') for p in board.DANGER_PARTS)}, {r6('squeeze_danger')} FROM danger""", "danger")
 def w19(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
+    rows = board.danger(spark, d)
     return rows.select("session", "symbol", *[r(f"pr_{p}") for p in board.DANGER_PARTS], r("squeeze_danger"))
 
 
@@ -199,7 +202,7 @@ def w20(spark, d):
 
 @query("w21_dual_rank", "SELECT session, symbol, urank, board_rank FROM picks", "picks")
 def w21(spark, d):
-    return board.picks(spark, d).select("session", "symbol", "urank", "board_rank")
+    return board.picks(spark, d, places=("urank", "board")).select("session", "symbol", "urank", "board_rank")
 
 
 @query("flagship_top10_vs_base", f"""

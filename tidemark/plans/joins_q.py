@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, predicates
 from ..functions import scalars as S
 from ..operators import joins, market, ranking, records
+from ..session import cut
 from ..sources import derived
 from ..sources.tables import events, table
 from . import board
@@ -22,11 +23,13 @@ def pick_lists(spark, d):
 
     Whole lists: the board, the held-off names, and the orders of swing and squeeze odds.
     """
-    rows = board.consensus(board.picks(spark, d), small=True)
-    best = [F.col("prob_dump").desc(), F.col("symbol")]
-    rows = ranking.with_row_number(rows, "session", [F.col("publishable").desc(), *best], "classic_rank", small=True)
-    rows = ranking.with_row_number(rows, "session", [F.col("prob_swing").desc(), F.col("symbol")], "swing_rank", small=True)
-    rows = ranking.with_row_number(rows, "session", [F.col("prob_squeeze").desc(), F.col("symbol")], "twin_rank", small=True)
+    cols = ["one_dump", "one_d3", "exp_dvol", "vol20", "prob_swing", "prob_squeeze", "publishable", "zone_reason"]
+    rows, on = cut(board.picks(spark, d, places=("board",)).select("session", "symbol", "prob_dump", *cols, "board_rank")), ["session", "symbol"]
+    first = [F.col("publishable").desc(), F.col("prob_dump").desc(), F.col("symbol")]
+    classic = ranking.top_k(rows.select(*on, "prob_dump", "publishable"), "session", first, 1, "classic_rank").select(*on, "classic_rank")
+    whole = ranking.row_numbers(rows, "session", "symbol", {
+        "urank": F.col("prob_dump"), "swing_rank": F.col("prob_swing"), "twin_rank": F.col("prob_squeeze")})
+    rows = ranking.beside(ranking.beside(board.consensus(rows), whole, on), classic, on, "left")
     entry = lambda cond, name, pos: F.when(cond, F.struct(F.lit(name).alias("list"), pos.cast("bigint").alias("pos")))
     lists = F.explode(F.array(
         entry(F.col("consensus_rank") == 1, "one", F.lit(1)),
@@ -99,7 +102,7 @@ def bands_sql(bands) -> str:
     SELECT session, symbol, urank, coalesce(lo, 26) AS lo, coalesce(hi, 50) AS hi
     FROM picks LEFT JOIN {bands_sql(REPORT_BANDS)} ON urank BETWEEN lo AND hi""", "picks")
 def j3(spark, d):
-    rows = board.picks(spark, d).select("session", "symbol", "urank")
+    rows = board.picks(spark, d, places=("urank",)).select("session", "symbol", "urank")
     return joins.band_join(rows, band_frame(spark, REPORT_BANDS), "urank")
 
 
@@ -125,7 +128,7 @@ _REPORT_SQL = f"""
       SELECT 1 FROM report o WHERE o.model_used = a.model_used AND o.lo >= a.lo AND o.hi <= a.hi AND (o.lo <> a.lo OR o.hi <> a.hi))""",
        "picks")
 def j4(spark, d):
-    rows = board.picks(spark, d).filter(F.col("next_oc").isNotNull())
+    rows = board.picks(spark, d, places=("urank",)).filter(F.col("next_oc").isNotNull())
     report = band_report(rows, band_frame(spark, SUMMARY_BANDS), "urank", ["model_used"])
     return joins.disjoint_bands(report, ["model_used"]).select("model_used", "lo", "hi", r("hit"), r("mean_oc"), "n")
 
@@ -214,7 +217,8 @@ def j9(spark, d):
     WHERE urank <= pick""", "picks")
 def j11(spark, d):
     passes = F.col("zone_reason").isNull() & F.col("publishable")
-    return joins.first_passing(board.picks(spark, d), "session", "urank", passes, small=True).select("session", "symbol", "urank", "role")
+    rows = cut(board.picks(spark, d, places=("urank", "danger")).select("session", "symbol", "urank", "zone_reason", "publishable"))
+    return joins.first_passing(rows, "session", "urank", passes).select("session", "symbol", "urank", "role")
 
 
 LOOKALIKE_COLS = ["price", "market_cap", "dd_52w", "short_ratio_5d", "vol20"]
@@ -230,9 +234,10 @@ _DOT = lambda a, b: " + ".join(f"{a}.z_{c} * {b}.z_{c}" for c in LOOKALIKE_COLS)
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY similarity DESC, symbol) AS twin_rank FROM sim WHERE similarity >= 0.5)
     WHERE twin_rank <= 10""", "picks")
 def j12(spark, d):
-    z = joins.zscores(board.picks(spark, d), "session", LOOKALIKE_COLS, small=True)
+    rows = cut(board.picks(spark, d, places=("urank",)).select("session", "symbol", "urank", *LOOKALIKE_COLS))
+    z = joins.zscores(rows, "session", LOOKALIKE_COLS)
     vector = F.array(*[F.col(f"z_{c}") for c in LOOKALIKE_COLS])
-    return joins.lookalikes(z, "session", "symbol", vector, F.col("urank"), 10, 0.5, small=True).select(
+    return joins.lookalikes(z, "session", "symbol", vector, F.col("urank"), 10, 0.5).select(
         "session", "anchor", "symbol", r("similarity"), "twin_rank")
 
 
@@ -256,7 +261,7 @@ def j12_embeddings(spark, d):
       {r6('avg(CASE WHEN oc_a <= -0.05 THEN 1.0 ELSE 0.0 END)', 'dump_a')}, {r6('avg(CASE WHEN oc_b <= -0.05 THEN 1.0 ELSE 0.0 END)', 'dump_b')}
     FROM a JOIN b USING (session)""", "picks")
 def j13(spark, d):
-    graded = board.picks(spark, d).filter(F.col("next_oc").isNotNull())
+    graded = board.picks(spark, d, places=("urank", "danger")).filter(F.col("next_oc").isNotNull())
     passes = F.col("zone_reason").isNull() & F.col("publishable")
     both = records.same_days(graded, {"oc_a": F.col("urank") == 1, "oc_b": passes}, "urank", "next_oc")
     dump = lambda c: F.avg(F.when(F.col(c) <= fixed.DUMP, 1.0).otherwise(0.0))
@@ -296,7 +301,7 @@ def j14_lockups(spark, d):
     WHERE EXISTS (SELECT 1 FROM filings f WHERE f.symbol = p.symbol AND f.category = 'registration' AND f.day > p.last_close AND f.day <= p.publish)""",
        ("picks", "filings"))
 def j15(spark, d):
-    rows = board.picks(spark, d).select("session", "symbol", "urank", F.date_add("session", 20).alias("last_close"),
+    rows = board.picks(spark, d, places=("urank",)).select("session", "symbol", "urank", F.date_add("session", 20).alias("last_close"),
                                         F.date_add("session", 27).alias("publish"))
     results = derived.filings(spark, d).filter(F.col("category") == "registration")
     return joins.has_event_between(rows, results, ["symbol"], "last_close", "publish", "day").select("session", "symbol", "urank")

@@ -29,7 +29,7 @@ def a6(spark, d):
     FROM panel JOIN tape USING (session) WHERE r1 IS NOT NULL GROUP BY session""", ("panel", "bars"))
 def a21(spark, d):
     tape = features.benchmark_tape(derived.bars(spark, d)).select("session", "bench_r1")
-    out = market.breadth(board.panel(spark, d), small=True).join(F.broadcast(tape), "session")
+    out = market.breadth(board.panel(spark, d)).join(F.broadcast(tape), "session")
     return out.select("session", r("breadth_up"), r("median_r1"), "n_up20", "n_down20", r("bench_r1"))
 
 
@@ -39,7 +39,7 @@ def a21(spark, d):
     FROM (SELECT *, row_number() OVER (PARTITION BY session, sector ORDER BY prob_dump DESC, symbol) AS k FROM picks)
     GROUP BY session, sector HAVING count(*) >= 5""", "picks")
 def a22(spark, d):
-    rows = board.picks(spark, d).select("session", "symbol", "sector", "prob_dump", "urank")
+    rows = board.picks(spark, d, places=("urank",)).select("session", "symbol", "sector", "prob_dump", "urank")
     return market.sector_heat(rows).select("session", "sector", r("mean_prob"), "n", "n_top100",
                                            F.array_join(F.transform("top", lambda x: x.cast("string")), " ").alias("top"))
 
@@ -93,10 +93,10 @@ def a26(spark, d):
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY prob_swing DESC, symbol) AS k FROM picks)""", ("picks", "board"))
 def u1(spark, d):
     from ..operators.ranking import with_row_number
-    rows = cut(board.picks(spark, d).select("session", "symbol", "board_rank", "urank", "prob_dump", "prob_swing", "zone_reason"))
+    rows = cut(board.picks(spark, d, places=("urank", "board")).select("session", "symbol", "board_rank", "urank", "prob_dump", "prob_swing", "zone_reason"))
     listed = rows.filter(F.col("board_rank").isNotNull()).select("session", "symbol", F.col("board_rank").alias("rank"), "prob_dump")
     zone = rows.filter(F.col("zone_reason").isNotNull()).select("session", "symbol", F.col("urank").alias("rank"), "prob_dump", "zone_reason")
-    swing = with_row_number(rows.select("session", "symbol", "prob_swing"), "session", [F.col("prob_swing").desc(), F.col("symbol")], small=True)
+    swing = with_row_number(rows.select("session", "symbol", "prob_swing"), "session", [F.col("prob_swing").desc(), F.col("symbol")])
     out = market.union_lists({"board": listed, "zone": zone, "swing": swing})
     return out.select("list", "session", "symbol", "rank", r("prob_dump", places=9), "zone_reason", r("prob_swing", places=9))
 
@@ -133,7 +133,7 @@ _LISTS = {
     SELECT session, list, pos, symbol, side, {r6('key', places=7)} FROM (
       SELECT *, row_number() OVER (PARTITION BY session, list ORDER BY key DESC NULLS LAST, symbol, side) AS pos FROM listed)""", "picks")
 def u4(spark, d):
-    rows = board.consensus(board.picks(spark, d), small=True)
+    rows = board.consensus(cut(board.picks(spark, d, places=("danger",))))
     sides = F.explode(F.array(
         F.struct(F.lit("short").alias("side"), F.round(100 * F.col("prob_dump"), 7).alias("score"), F.col("squeeze_danger").alias("risk"),
                  F.col("zone_reason"), F.col("tier")),

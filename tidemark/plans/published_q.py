@@ -89,7 +89,7 @@ def feed_live(spark, d):
 
 
 def scorecard_documents(spark, d):
-    rows = board.picks(spark, d).filter(F.col("next_oc").isNotNull())
+    rows = board.picks(spark, d, places=("board",)).filter(F.col("next_oc").isNotNull())
     dumped = F.when(F.col("next_oc") <= fixed.DUMP, 1.0).otherwise(0.0)
     first = F.col("board_rank") == 1
     one = lambda c: F.max(F.when(first, F.col(c)))

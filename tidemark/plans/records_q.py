@@ -25,8 +25,8 @@ def share(cond: str, known: str) -> str:
     return f"avg(CASE WHEN {cond} THEN 1.0 WHEN {known} IS NOT NULL THEN 0.0 END)"
 
 
-def graded(spark, d):
-    return board.picks(spark, d).filter(F.col("next_oc").isNotNull())
+def graded(spark, d, places=board.PLACES):
+    return board.picks(spark, d, places=places).filter(F.col("next_oc").isNotNull())
 
 
 @query("a1_base_rates", f"""
@@ -58,7 +58,7 @@ _BLEND_REPORT = f"""
         avg(coalesce(pump, 0)) AS pump, avg(net) AS net, avg(CASE WHEN net IS NOT NULL THEN cost END) AS cost, min(urank) AS urank_min, max(urank) AS urank_max
       FROM met JOIN disjoint d USING (lo) GROUP BY ALL)""", ("picks", "board"))
 def a2(spark, d):
-    rows = cut(board.picks(spark, d).select("session", "urank", "board_rank", "next_oc", "next_oh", "c10", "spread"))
+    rows = cut(board.picks(spark, d, places=("urank", "board")).select("session", "urank", "board_rank", "next_oc", "next_oh", "c10", "spread"))
     c30 = sizing.cost_law(F.lit(30000.0), "c10", "spread")
     record = records.rank_band_record(rows.filter(F.col("next_oc").isNotNull()), band_frame(spark, REPORT_BANDS + [(1, 10)]), [],
                                       "urank", c30)
@@ -112,7 +112,7 @@ def a5(spark, d):
     ok = F.col("zone_reason").isNull() & F.col("publishable") & F.col("next_oc").isNotNull()
     cost = sizing.cost_law(F.lit(10000.0), "c10", "spread")
     day = F.lit("1998-01-01").cast("date")
-    daily = board.picks(spark, d).groupBy("session").agg(
+    daily = board.picks(spark, d, places=("urank", "board")).groupBy("session").agg(
         F.max(F.when(F.col("urank") == 1, F.col("next_oc"))).alias("raw_oc"),
         F.min_by("next_oc", F.when(ok, F.col("board_rank"))).alias("_oc"), F.min_by(cost, F.when(ok, F.col("board_rank"))).alias("_cost"))
     daily = daily.select(
@@ -138,7 +138,7 @@ def model_scores(spark, d):
     FROM (SELECT *, unnest(list_filter([CASE WHEN rank = 1 THEN 'top1' END, CASE WHEN rank <= 10 THEN 'top10' END,
       CASE WHEN rank <= ceil(n / 10) THEN 'decile' END, 'all'], lambda x: x IS NOT NULL)) AS cohort FROM ranked) GROUP BY model, cohort""", "scored")
 def a7(spark, d):
-    out = records.cohort_rates(model_scores(spark, d), small=True)
+    out = records.cohort_rates(model_scores(spark, d))
     return out.select("model", "cohort", "n", r("hit"), r("mean_oc"), r("squeeze"))
 
 
@@ -183,7 +183,7 @@ def a10(spark, d):
     FROM (SELECT *, {C30} AS c30 FROM picks WHERE next_oc IS NOT NULL) JOIN {bands_sql(SUMMARY_BANDS)} ON urank BETWEEN lo AND hi GROUP BY ALL""", "picks")
 def a11(spark, d):
     c30 = sizing.cost_law(F.lit(30000.0), "c10", "spread")
-    out = records.rank_band_record(graded(spark, d), band_frame(spark, SUMMARY_BANDS), ["model_used"], "urank", c30)
+    out = records.rank_band_record(graded(spark, d, ("urank",)), band_frame(spark, SUMMARY_BANDS), ["model_used"], "urank", c30)
     return out.select("model_used", "lo", "hi", "n", *[r(c) for c in (
         "hit", "mean_oc", "median_oc", "squeeze", "pump", "cost", "net", "win")])
 
@@ -222,7 +222,7 @@ def a12(spark, d):
       FROM (SELECT *, coalesce(next_oh = next_ol, false) AS halted FROM picks WHERE month(session) NOT IN (7, 11))) GROUP BY cohort""", "picks")
 def a13(spark, d):
     """July runs stand for late ones, November runs for unverified ones."""
-    rows = board.picks(spark, d).withColumns({
+    rows = board.picks(spark, d, places=("board",)).withColumns({
         "late": F.month("session") == 7, "unverified": F.month("session") == 11, "halted": F.col("next_oh") == F.col("next_ol")})
     out = records.scorecard(rows)
     return out.select("cohort", "n_days", "n_graded", "n_missing", "n_halted", r("dump_rate"), r("mean_oc"), r("squeeze_rate"))
@@ -287,7 +287,7 @@ def _priced(rows):
 
 @query("a16_trade_sim", _sim_sql("(SELECT * FROM picks WHERE urank = 1)", "next_oc"), "picks")
 def a16(spark, d):
-    out = records.trade_sim(_priced(board.picks(spark, d).filter(F.col("urank") == 1)), ["size"])
+    out = records.trade_sim(_priced(board.picks(spark, d, places=("urank",)).filter(F.col("urank") == 1)), ["size"])
     return out.select("size", "n_trades", *[r(c) for c in _SIM_COLS])
 
 
@@ -296,7 +296,7 @@ _SWING_ONE = """(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY session) -
 
 
 def swing_trades(spark, d):
-    rows = board.picks(spark, d).filter(F.col("swing5").isNotNull())
+    rows = board.picks(spark, d, places=()).filter(F.col("swing5").isNotNull())
     first = ranking.top_k(rows, "session", [F.col("prob_swing").desc(), F.col("symbol")], 1, "swing_rank")
     return records.every_nth(first, 5)
 
@@ -451,5 +451,5 @@ def a32(spark, d):
 def a33(spark, d):
     rows = features.session_features(derived.bars(spark, d, "week"), horizon=20).filter(F.col("dvol20").isNotNull())
     last = derived.trades(spark, d).agg(F.trunc(F.max("day"), "week").alias("s")).scalar()
-    out = records.survivorship(rows, F.col("dvol20") >= 5e6, last, small=True)
+    out = records.survivorship(rows, F.col("dvol20") >= 5e6, last)
     return out.select("list", "n", r("tier_mean"), r("net"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import market
+from ..session import cut
 from ..sources import derived
 from ..sources.tables import events, table
 from . import board
@@ -125,7 +126,7 @@ def p7(spark, d):
       WHEN regexp_matches(flag, '^(NO BORROW|HALTED)$') THEN 'solid' ELSE 'plain' END AS kind
     FROM (SELECT session, symbol, unnest(flags) AS flag FROM picks)""", "picks")
 def p8(spark, d):
-    return board.picks(spark, d).select("session", "symbol", F.explode("flags").alias("flag")).withColumn(
+    return board.picks(spark, d, places=()).select("session", "symbol", F.explode("flags").alias("flag")).withColumn(
         "kind", S.flag_class("flag"))
 
 
@@ -134,7 +135,7 @@ def p8(spark, d):
       WHEN squeeze_danger >= 45 THEN 'elevated' ELSE 'low' END AS level,
       CAST(floor(least(greatest(squeeze_danger, 0), 100) / 10 + 0.5) AS BIGINT) AS cells FROM danger""", "danger")
 def p9(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
+    rows = board.danger(spark, d)
     return rows.select("session", "symbol", S.danger_word("squeeze_danger").alias("level"),
                        S.danger_cells("squeeze_danger").alias("cells"))
 
@@ -143,7 +144,8 @@ def p9(spark, d):
     SELECT session, symbol, {r6('prob_dump / nullif(avg(CASE WHEN oc <= -0.05 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY session), 0)', 'lift')} FROM scored""",
        "scored")
 def p10(spark, d):
-    rows = board.with_base(board.scored(spark, d), small=True)
+    rows = cut(board.scored(spark, d).select("session", "symbol", "prob_dump", "oc"))
+    rows = board.with_base(rows, rows)
     return rows.select("session", "symbol", r(S.lift("prob_dump", "base"), "lift"))
 
 
@@ -223,7 +225,7 @@ def p18(spark, d):
     SELECT session, symbol, list_contains(flags, 'ASIA') OR country IN ({', '.join(repr(c) for c in fixed.ASIA)}) AS linked
     FROM picks""", "picks")
 def p19(spark, d):
-    return board.picks(spark, d).select("session", "symbol", S.region_linked("flags", "country").alias("linked"))
+    return board.picks(spark, d, places=()).select("session", "symbol", S.region_linked("flags", "country").alias("linked"))
 
 
 @query("p20_label_dim", f"""
@@ -284,5 +286,5 @@ def p23(spark, d):
 @query("p24_risk_adjusted", f"""
     SELECT session, symbol, {r6('100 * prob_dump * (1 - squeeze_danger / 100)', 'adjusted')} FROM danger""", "danger")
 def p24(spark, d):
-    rows = board.with_squeeze_danger(board.wide(spark, d), small=True)
+    rows = board.danger(spark, d)
     return rows.select("session", "symbol", r(S.risk_adjusted(100 * F.col("prob_dump"), "squeeze_danger"), "adjusted"))

@@ -22,7 +22,7 @@ def sized(rows):
 @query("x1_cost_law", f"""
     SELECT session, symbol, size, {r6(LAW_SQL.format(q='size'), 'cost')} FROM picks, {_SIZES_SQL}""", "picks")
 def x1(spark, d):
-    return sized(board.picks(spark, d)).select("session", "symbol", "size", r(sizing.cost_law("size", "c10", "spread"), "cost"))
+    return sized(board.picks(spark, d, places=())).select("session", "symbol", "size", r(sizing.cost_law("size", "c10", "spread"), "cost"))
 
 
 @query("x2_cost_at", f"""
@@ -31,7 +31,7 @@ def x1(spark, d):
 def x2(spark, d):
     published = F.when(F.col("symbol") % 3 == 0, F.create_map(F.lit("10000"), F.col("c10"), F.lit("30000"), 1.5 * F.col("c10"))
                        ).otherwise(F.create_map(F.lit("10000"), F.col("c10")))
-    rows = board.picks(spark, d).withColumn("costs", published)
+    rows = board.picks(spark, d, places=()).withColumn("costs", published)
     return rows.select("session", "symbol", r(sizing.cost_at("costs", 30000, "c10", "spread"), "cost_30k"),
                        r(sizing.cost_at("costs", 500000, "c10", "spread"), "cost_500k"))
 
@@ -41,7 +41,7 @@ def x2(spark, d):
       {r6('size / nullif(exp_dvol, 0)', 'participation')}, coalesce(size <= capacity, false) AS within_capacity,
       size <= breakeven AS below_breakeven FROM picks, {_SIZES_SQL}""", "picks")
 def x3(spark, d):
-    return sized(board.picks(spark, d)).select(
+    return sized(board.picks(spark, d, places=())).select(
         "session", "symbol", "size", r(sizing.impact_cost("size", "vol20", "exp_dvol", "spread"), "cost"),
         r(sizing.participation("size", "exp_dvol"), "participation"),
         F.coalesce(F.col("size") <= F.col("capacity"), F.lit(False)).alias("within_capacity"),
@@ -50,7 +50,7 @@ def x3(spark, d):
 
 @query("x4_breakeven", f"SELECT session, symbol, {r6('ln(breakeven)', 'ln_breakeven')} FROM picks", "picks")
 def x4(spark, d):
-    return board.picks(spark, d).select("session", "symbol", r(F.ln("breakeven"), "ln_breakeven"))
+    return board.picks(spark, d, places=()).select("session", "symbol", r(F.ln("breakeven"), "ln_breakeven"))
 
 
 _CAP_V, _CAP_I = "0.05::DOUBLE * exp_dvol", "exp_dvol * pow(0.005::DOUBLE / nullif(0.7::DOUBLE * vol20, 0), 2)"
@@ -61,7 +61,7 @@ _CAP_V, _CAP_I = "0.05::DOUBLE * exp_dvol", "exp_dvol * pow(0.005::DOUBLE / null
       CASE WHEN capacity = {_CAP_V} THEN 'volume' WHEN capacity = {_CAP_I} THEN 'impact' WHEN capacity = cap_borrow THEN 'borrow' END AS limit_by
     FROM picks""", "picks")
 def x5(spark, d):
-    return board.picks(spark, d).select(
+    return board.picks(spark, d, places=()).select(
         "session", "symbol", r("exp_dvol", places=2), r("capacity", places=2),
         sizing.binding_limit("exp_dvol", "vol20", "cap_borrow").alias("limit_by"))
 
