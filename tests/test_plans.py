@@ -1,6 +1,7 @@
 """Shapes of the physical plans, and every query family against its SQL twin."""
 
 import re
+import sys
 
 import duckdb
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.conftest import plan_of
+from tidemark import plans
 from tidemark.operators.features import session_features
 from tidemark.plans import board
 from tidemark.sources import derived
@@ -72,3 +74,26 @@ def test_no_cartesian_product(spark, sf, name):
 
 def test_top_k_is_limited_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan_of(entry.queries()["o4_topk_per_session"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["w11_score_percentile", "w17_consensus_rank", "w18_family_scores", "w19_squeeze_danger", "w21_dual_rank", "u1_union_lists",
+                                  "u4_unified_lists", "j1_record_merge", "j11_first_passing", "j12_lookalikes", "a7_topn_hit_rates", "a33_survivorship_gap"])
+def test_no_task_holds_a_session(spark, sf, monkeypatch, name):
+    """No window over all names of a session, in the query or in what it writes on its way; top-k windows see at most k rows a task,
+    and windows over `_s_` columns the totals of slices."""
+    from tidemark import session
+    seen = []
+
+    def watched(df):
+        seen.append(df)
+        return session.cut(df)
+
+    for module in [m for n, m in sys.modules.items() if n.startswith("tidemark.") and getattr(m, "cut", None) is session.cut and m is not session]:
+        monkeypatch.setattr(module, "cut", watched)
+    seen.append(plans.load()[0][name](spark, sf))
+    assert len(seen) > 1 or name == "a33_survivorship_gap"
+    for df in seen:
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        for line, below in zip(lines, [*lines[1:], ""]):
+            if "sum(_s_" not in line and re.search(r"\bWindow \[.*\], \[(list#\d+, |model#\d+, )?session#\d+\]", line):
+                assert "WindowGroupLimit" in below, line[:300]

@@ -25,11 +25,12 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def beside(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """`df` with the columns of `other` that it has not, joined on `on`; missing keys match."""
+def beside(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner", known: Sequence[str] = ()) -> DataFrame:
+    """`df` with the columns of `other` that it has not, joined on `on`; missing keys match, but for `known` ones, never missing."""
     same = F.lit(True)
     for c in on:
-        same = same & F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))
+        left, right = F.col(f"_l.{c}"), F.col(f"_r.{c}")
+        same = same & (left == right if c in known else left.eqNullSafe(right))
     return df.alias("_l").join(other.alias("_r"), same, how).select(
         *[F.col(f"_l.`{c}`") for c in df.columns], *[F.col(f"_r.`{c}`") for c in other.columns if c not in on])
 
@@ -57,7 +58,7 @@ def running_total(df: DataFrame, by, order: Sequence[Column], totals: Mapping[st
         F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals], *[
         F.sum(f"_s_{t}").over(W.partitionBy(*by)).alias(n) for n, t in whole.items()])
     held = held.select("*", *[F.sum(f"_x_{n}").over(inside).alias(f"_w_{n}") for n in totals])
-    joined = beside(held, base, [*by, "_slice"])
+    joined = beside(held, base, [*by, "_slice"], known=["_slice"])
     return joined.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals], *whole)
 
 
@@ -116,7 +117,7 @@ def _value_places(df: DataFrame, by: list[str], key: list[str], cols: Sequence[s
     long = long.filter(F.col("_value").isNotNull())
     counts = long.groupBy(*by, "_part", "_value").agg(F.count("*").alias("_n"))
     placed = running_total(counts, [*by, "_part"], [F.col("_value")], {"_upto": F.col("_n")}, whole={"_all": "_upto"})
-    return beside(long, placed, [*by, "_part", "_value"])
+    return beside(long, placed, [*by, "_part", "_value"], known=["_part", "_value"])
 
 
 def percent_ranks(df: DataFrame, by, key, cols: Sequence[str], suffix: str = "_pr") -> DataFrame:

@@ -17,6 +17,7 @@ from ..sources import derived
 AVG_MOVE = 0.08          # average move of a pick that breakeven sizes are solved against
 PLACES = ("lift", "danger", "urank", "board")          # columns of a pick that depend on its whole session
 DANGER_PARTS = ["model", "fee", "scarcity", "si", "dtc", "float", "short_vol"]
+DANGER_INPUTS = ["prob_squeeze", "fee_rate", "available", "si_pct_float", "days_to_cover", "shares_out", "short_ratio_5d"]
 
 
 def panel(spark: SparkSession, d: str, grain: str = "month") -> DataFrame:
@@ -61,8 +62,7 @@ def with_squeeze_danger(df: DataFrame) -> DataFrame:
         "session", "symbol", F.col("prob_squeeze").alias("model"), F.col("fee_rate").alias("fee"), (-F.col("available")).alias("scarcity"),
         F.col("si_pct_float").alias("si"), F.col("days_to_cover").alias("dtc"), (-F.col("shares_out")).alias("float"),
         F.col("short_ratio_5d").alias("short_vol"))
-    placed = cut(percent_ranks(parts, "session", "symbol", DANGER_PARTS, "_pr"))
-    placed = beside(df, placed, ["session", "symbol"], "left")
+    placed = beside(df, percent_ranks(parts, "session", "symbol", DANGER_PARTS, "_pr"), ["session", "symbol"], "left")
     prs = [F.col(f"{p}_pr") for p in DANGER_PARTS]
     n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in prs), F.lit(0))
     total = sum((F.coalesce(p, F.lit(0.0)) for p in prs), F.lit(0.0))
@@ -73,8 +73,7 @@ def with_squeeze_danger(df: DataFrame) -> DataFrame:
 
 def danger(spark: SparkSession, d: str) -> DataFrame:
     """Every name of every session with its crowding score."""
-    inputs = ["fee_rate", "available", "si_pct_float", "days_to_cover", "shares_out", "short_ratio_5d", "prob_squeeze", "prob_dump"]
-    return with_squeeze_danger(cut(wide(spark, d).select("session", "symbol", *inputs)))
+    return with_squeeze_danger(cut(wide(spark, d).select("session", "symbol", "prob_dump", *DANGER_INPUTS)))
 
 
 def with_base(rows: DataFrame, scored: DataFrame) -> DataFrame:
@@ -114,7 +113,10 @@ def picks(spark: SparkSession, d: str, facts: DataFrame | None = None, places: S
     rows, on = cut(rows), ["session", "symbol"]
     out = rows
     if {"danger", "board"} & set(places):
-        out = with_squeeze_danger(rows).withColumn("zone_reason", predicates.zone_reason())
+        scores = with_squeeze_danger(rows.select(*on, *DANGER_INPUTS)).drop(*DANGER_INPUTS)
+        # the board's first hundreds and the rows both read the scores
+        scores = cut(scores) if "board" in places else scores
+        out = beside(rows, scores, on).withColumn("zone_reason", predicates.zone_reason())
     if "lift" in places:
         out = with_base(out, rows).withColumn("lift", ratio("prob_dump", "base")).drop("base")
     if "urank" in places:
