@@ -167,3 +167,30 @@ def test_asof_of_a_hot_key(spark):
     got = J.asof_join(left, right, ["k"], "t", "at", ["v"]).collect()
     assert len(got) == 1000 and all(r.v == 7 for r in got if r.k == "a")
     assert all(r.v == (8 if r.id >= 300 else None) for r in got if r.k == "b")
+
+
+def test_asof_holds_instants_alone_until_the_columns_are_met(spark):
+    """Sorts and aggregates of the as-of join see no column that is taken; null keys and instants meet as they did."""
+    left = spark.createDataFrame([(1, 1, 5), (2, 1, 40), (3, None, 5), (4, 1, None), (5, 2, 5), (6, 1, -400)], "id int, k int, d int")
+    right = spark.createDataFrame([(1, 1, "a"), (1, 7, "b"), (None, 4, "c"), (1, None, "d"), (2, 6, "e")], "k int, d int, text string")
+    day = F.expr("date_add(date'2024-03-01', d)").alias("day")
+    met = J.asof_join(left.select("id", "k", day), right.select("k", day, "text"), ["k"], "day", "day", ["text"])
+    assert rows(met.select("id", "text"), "id") == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, None), (6, None)]
+    plan = plan_of(met)
+    assert "max_by" not in plan and "SortAggregate" not in plan
+    for window in [line for line in plan.splitlines() if " Window [" in line]:
+        assert "struct" not in window and "text" not in window
+
+
+def test_scan_tasks_are_bounded(spark):
+    from tidemark.session import SCAN_BYTES, bound_scans
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("1m", "1m"), ("1g", str(SCAN_BYTES)), ("134217728b", str(SCAN_BYTES))):
+            spark.conf.set(name, given)
+            bound_scans(spark)
+            assert spark.conf.get(name).startswith(want[:2])
+            assert spark.conf.get(name) in (given, want)
+    finally:
+        spark.conf.set(name, before)

@@ -24,25 +24,27 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     Works inside (key, time bucket) groups; what a bucket lacks is carried from
     the last earlier bucket of the key. A key with most of the rows is spread
     over its buckets, and the carry sees one row per bucket of the calendar.
-    Only distinct instants of a key are placed; the left rows meet the result by
-    equality, in a join that can be split, however many share an instant.
+    Only distinct instants are placed, and the instant found is all that a sort or an
+    aggregate holds: the columns taken, and the left rows, meet it by equality afterwards, in
+    joins that can be split, however many rows share an instant.
     `right` holds one row per (key, right_on).
     """
     by = list(by)
-    rrow = F.struct(*[F.col(c) for c in take])
-    rtype = right.select(rrow.alias("x")).schema["x"].dataType
     asked = left.withColumn("_t", F.col(left_on).cast("timestamp"))
-    l = asked.select(*by, "_t").distinct().select(*by, "_t", F.lit(1).alias("_side"), F.lit(None).cast(rtype).alias("_r"))
-    r = right.select(*by, F.col(right_on).cast("timestamp").alias("_t"), F.lit(0).alias("_side"), rrow.alias("_r"))
+    held = right.select(*by, F.col(right_on).cast("timestamp").alias("_at"), F.lit(False).alias("_none"), F.struct(*take).alias("_hit"))
+    l = asked.select(*by, "_t").distinct().select(*by, "_t", F.lit(1).alias("_side"), F.lit(None).cast("timestamp").alias("_at"))
+    r = held.select(*by, F.col("_at").alias("_t"), F.lit(0).alias("_side"), "_at")
     rows = l.unionByName(r).withColumn("_bucket", F.date_trunc(grain, "_t"))
 
     inside = W.partitionBy(*by, "_bucket").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    per_bucket = rows.groupBy(*by, "_bucket").agg(
-        F.max_by("_r", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+    per_bucket = rows.groupBy(*by, "_bucket").agg(F.max("_at").alias("_last"))
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_bucket.select(*by, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    met = rows.withColumn("_in", F.last("_r", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
-    out = met.join(carried, [*by, "_bucket"], "left").select(*by, "_t", F.coalesce("_in", "_carried").alias("_hit"))
+    carried = per_bucket.select(*by, "_bucket", F.max("_last").over(earlier).alias("_carried"))
+    met = rows.withColumn("_in", F.max("_at").over(inside)).filter(F.col("_side") == 1)
+    out = met.join(carried, [*by, "_bucket"], "left").select(*by, "_t", F.coalesce("_in", "_carried").alias("_at"))
+    # a row without an instant of its own meets a right row without one, a row that nothing precedes meets none
+    out = out.withColumn("_none", F.col("_at").isNull() & F.col("_t").isNotNull())
+    out = beside(out, held, [*by, "_at", "_none"], "left", known=["_none"]).select(*by, "_t", "_hit")
     return beside(asked, out, [*by, "_t"], "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(prefix + c) for c in take])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import use_utc
+from ..session import bound_scans, use_utc
 from .ctes import CTES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] | str = ()):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_utc(spark)
+            bound_scans(spark)
             return fn(spark, sf_dir)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
