@@ -61,3 +61,15 @@ def test_dictionary_counts_texts(index):
 def test_empty_rows(spark):
     none = search_index.build(spark.createDataFrame([], SCHEMA), "id", "ticker", "name")
     assert none.search("abc").count() == 0 and none.search("a").count() == 0
+
+
+def test_texts_are_cut_into_grams_once(spark, monkeypatch):
+    """Postings are not dealt by ranges: their bounds come from a run of its own over all texts."""
+    kind, ranged = type(spark.range(1)), []
+    real = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, *a: ranged.append(df.columns) or real(df, *a))
+    docs = spark.createDataFrame([(i, f"T{i}", f"the name of {i}") for i in range(50)], SCHEMA)
+    index = search_index.build(docs, "id", "ticker", "name")
+    assert ranged == [["part", "gram", "field", "n"]]             # the dictionary alone, one row per gram
+    assert index.postings.count() == index.postings.distinct().count()
+    assert index.search("name of 4").count() == 11

@@ -20,6 +20,8 @@ from ..functions.predicates import search_match
 from ..session import fresh_path
 
 PARTS = 64
+#: Tasks that the postings of a part are dealt to.
+DEALT = 16
 #: Grams of a query that are looked up: the rarest ones; the others are left to the verification.
 LOOKED_UP = 4
 
@@ -88,10 +90,11 @@ def build(rows: DataFrame, key: str, symbol: str, name: str, path: str | None =
     each = F.array(*[F.struct(F.lit(f).alias("field"), grams(F.col(c).cast("string")).alias("grams")) for f, c in fields.items()])
     long = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(each).alias("f"))
     posted = long.select("key", "f.field", F.explode("f.grams").alias("gram")).withColumn("part", _part(F.col("gram")))
-    # dealt by ranges of (gram, key): a gram that most texts hold is spread over tasks
-    ranged = posted.repartitionByRange("part", "gram", "field", "key").sortWithinPartitions("part", "gram", "field")
-    ranged.write.partitionBy("part").parquet(f"{path}/postings")
-    postings = spark.read.schema(ranged.schema).parquet(f"{path}/postings")
+    # dealt by the part and a hash of the key: a text has each gram once, so a gram that most texts hold is spread over tasks.
+    # Ranges would cut every text into grams a second time, to sample them.
+    dealt = posted.repartition("part", F.pmod(F.xxhash64("key"), F.lit(DEALT))).sortWithinPartitions("part", "gram", "field")
+    dealt.write.partitionBy("part").parquet(f"{path}/postings")
+    postings = spark.read.schema(dealt.schema).parquet(f"{path}/postings")
     counted = postings.groupBy("part", "gram", "field").agg(F.count("*").alias("n"))
     counted.repartitionByRange("part", "gram").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{path}/dictionary")
     return SearchIndex(rows, key, symbol, name, postings, spark.read.schema(counted.schema).parquet(f"{path}/dictionary"))
