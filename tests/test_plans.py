@@ -97,3 +97,37 @@ def test_no_task_holds_a_session(spark, sf, monkeypatch, name):
         for line, below in zip(lines, [*lines[1:], ""]):
             if "sum(_s_" not in line and re.search(r"\bWindow \[.*\], \[(list#\d+, |model#\d+, )?session#\d+\]", line):
                 assert "WindowGroupLimit" in below, line[:300]
+
+
+def test_board_rows_are_written_with_the_wanted_columns_only(spark, sf, monkeypatch):
+    """`keep` bounds what is computed and written; the columns kept have the same values as in whole rows."""
+    from tidemark.session import cut
+    seen = []
+
+    def watched(df):
+        seen.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(board, "cut", watched)
+    kept = ["zone_reason", "urank", "board_rank", "lift"]
+    few = board.picks(spark, sf, keep=kept)
+    assert set(few.columns) == {"session", "symbol", *kept}
+    assert all(not {"rsi14", "dd_52w", "flags", "name", "next_oc"} & set(df.columns) for df in seen)
+    assert "252" not in "".join(df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+    whole = board.picks(spark, sf).select(few.columns)
+    assert few.exceptAll(whole).isEmpty() and whole.exceptAll(few).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["w21_dual_rank", "f4_lookup_filters", "f9_do_not_short", "j1_record_merge", "j2_has_record", "a4_live_summary", "a31_basket_backtest",
+                                  "a32_size_tier_table", "u4_unified_lists", "feed_unified", "feed_universe", "s1_quarantine", "s6_feed_integrity", "o1_board_sort"])
+def test_board_queries_compute_only_what_they_use(spark, sf, monkeypatch, name):
+    from tidemark.session import cut
+    seen = []
+
+    def watched(df):
+        seen.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(board, "cut", watched)
+    entry.queries()[name](spark, sf)
+    assert all("rsi14" not in df.columns and len(df.columns) < 40 for df in seen)

@@ -58,7 +58,7 @@ def running_total(df: DataFrame, by, order: Sequence[Column], totals: Mapping[st
         F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals], *[
         F.sum(f"_s_{t}").over(W.partitionBy(*by)).alias(n) for n, t in whole.items()])
     held = held.select("*", *[F.sum(f"_x_{n}").over(inside).alias(f"_w_{n}") for n in totals])
-    joined = beside(held, base, [*by, "_slice"], known=["_slice"])
+    joined = beside(held, F.broadcast(base), [*by, "_slice"], known=["_slice"])
     return joined.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals], *whole)
 
 
@@ -95,15 +95,15 @@ def row_numbers(df: DataFrame, by, key, orders: Mapping[str, Column]) -> DataFra
     All orders are stacked and placed in one sort. `df` is read once; (by, key) must name its rows.
     """
     by, key = _keys(by), _keys(key)
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("_part"), c.cast("double").alias("_value")) for n, c in orders.items()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_part"), c.cast("double").alias("_value")) for i, c in enumerate(orders.values())]))
     long = df.select(*by, *key, pairs.alias("_e")).select(*by, *key, "_e.*")
     placed = with_row_number(long, [*by, "_part"], [F.col("_value").desc_nulls_last(), *[F.col(k) for k in key]], "_pos")
     return _widened(placed, [*by, *key], "_pos", list(orders))
 
 
 def _widened(long: DataFrame, key: list[str], value: str, parts: Sequence[str], suffix: str = "") -> DataFrame:
-    """One row per key with a column per part. Plain aggregates: unlike a pivot they are combined before the shuffle."""
-    return long.groupBy(*key).agg(*[F.max(F.when(F.col("_part") == p, F.col(value))).alias(p + suffix) for p in parts])
+    """One row per key with a column per part, by its number. Plain aggregates: unlike a pivot they are combined before the shuffle."""
+    return long.groupBy(*key).agg(*[F.max(F.when(F.col("_part") == i, F.col(value))).alias(p + suffix) for i, p in enumerate(parts)])
 
 
 def _value_places(df: DataFrame, by: list[str], key: list[str], cols: Sequence[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def _value_places(df: DataFrame, by: list[str], key: list[str], cols: Sequence[s
     Equal values are counted before the sort, so a value shared by a third of
     the rows is one row there.
     """
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    pairs = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(cols))
     long = df.select(*by, *key, F.expr(f"stack({len(cols)}, {pairs}) AS (_part, _value)"))
     long = long.filter(F.col("_value").isNotNull())
     counts = long.groupBy(*by, "_part", "_value").agg(F.count("*").alias("_n"))

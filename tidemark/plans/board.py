@@ -93,12 +93,19 @@ def flag_list() -> Column:
     return F.when(joined != "", F.split(joined, "\\|")).otherwise(F.array().cast("array<string>"))
 
 
-def picks(spark: SparkSession, d: str, facts: DataFrame | None = None, places: Sequence[str] = PLACES) -> DataFrame:
+#: Inputs of the reasons to hold a name off, beside the crowding score.
+ZONE_INPUTS = ["status", "high", "low", "cap_borrow"]
+
+
+def picks(spark: SparkSession, d: str, facts: DataFrame | None = None, places: Sequence[str] = PLACES,
+          keep: Sequence[str] | None = None) -> DataFrame:
     """Every scored name of every session with its gates, sizes, ranks and next-session outcome.
 
     `places` says which of the columns that depend on the whole session are wanted: `lift`, `danger` (pr_*,
     squeeze_danger and the zone it decides), `urank` and `board` (board_rank, with those of `danger`); the others are
     left out. They come from value counts, sorts by range and first hundreds of the written rows, so no task holds a session.
+    `keep` names the columns that are returned beside the key (all, if none are named). The rows are written with these and the
+    inputs of `places` alone, so windows behind other columns are never computed.
     """
     rows = wide(spark, d, facts)
     rows = rows.select(
@@ -108,15 +115,22 @@ def picks(spark: SparkSession, d: str, facts: DataFrame | None = None, places: S
         predicates.publishable().alias("publishable"),
         flag_list().alias("flags"),
     )
+    on, placed = ["session", "symbol"], {"danger", "board"} & set(places)
+    if keep is not None:
+        inputs = {*on, *keep, *(("prob_dump",) if places else ()), *(("oc",) if "lift" in places else ()),
+                  *((*DANGER_INPUTS, *ZONE_INPUTS) if placed else ())}
+        rows = rows.select(*[c for c in rows.columns if c in inputs])
     if not places:
         return rows
-    rows, on = cut(rows), ["session", "symbol"]
+    rows = cut(rows)
     out = rows
-    if {"danger", "board"} & set(places):
+    if placed:
         scores = with_squeeze_danger(rows.select(*on, *DANGER_INPUTS)).drop(*DANGER_INPUTS)
-        # the board's first hundreds and the rows both read the scores
-        scores = cut(scores) if "board" in places else scores
         out = beside(rows, scores, on).withColumn("zone_reason", predicates.zone_reason())
+        if keep is not None:
+            out = out.select(*[c for c in out.columns if c in (*on, *keep, "prob_dump", "zone_reason")])
+        # the board's first hundreds and the rows both read the scores
+        out = cut(out) if "board" in places else out
     if "lift" in places:
         out = with_base(out, rows).withColumn("lift", ratio("prob_dump", "base")).drop("base")
     if "urank" in places:
@@ -124,13 +138,14 @@ def picks(spark: SparkSession, d: str, facts: DataFrame | None = None, places: S
     if "board" in places:
         best = [F.col("prob_dump").desc(), F.col("symbol")]
         first = top_k(out.filter(F.col("zone_reason").isNull()).select(*on, "prob_dump"), "session", best, 100, "board_rank")
-        out = beside(out, first.select(*on, "board_rank"), on, "left")
-    return out
+        out = beside(out, F.broadcast(first.select(*on, "board_rank")), on, "left")       # a hundred rows a session of the calendar
+    return out if keep is None else out.select(*[c for c in out.columns if c in (*on, *keep)])
 
 
-def board(spark: SparkSession, d: str, places: Sequence[str] = PLACES) -> DataFrame:
-    """At most 100 names per session."""
-    shown = picks(spark, d, places=[*places, "board"]).filter(F.col("board_rank").isNotNull())
+def board(spark: SparkSession, d: str, places: Sequence[str] = PLACES, keep: Sequence[str] | None = None) -> DataFrame:
+    """At most 100 names per session; `places` and `keep` as in `picks`."""
+    keep = None if keep is None else [*keep, "board_rank"]
+    shown = picks(spark, d, places=[*places, "board"], keep=keep).filter(F.col("board_rank").isNotNull())
     return shown.withColumn("rank", F.col("board_rank"))
 
 

@@ -36,19 +36,23 @@ def _and(tests, ids):
     return " AND ".join(f"({tests[i]})" for i in ids) or "true"
 
 
+#: What the board's filters read.
+_FILTERED = ["status", "available", "squeeze_danger", "flags", "country", "fresh_supply", "price", "capacity"]
+
+
 @query("f1_board_filters", f"""
     SELECT session, symbol, rank, unnest(list_filter([{', '.join(f"CASE WHEN {_and(BOARD_TESTS, ids)} THEN '{n}' END" for n, ids in _SUBSETS.items())}],
       lambda x: x IS NOT NULL)) AS filters FROM board""", "board")
 def f1(spark, d):
     tests = predicates.board_filters()
     held = {n: predicates.all_of([tests[i] for i in ids]) for n, ids in _SUBSETS.items()}
-    return records.in_subsets(board.board(spark, d), held, "filters").select("session", "symbol", "rank", "filters")
+    return records.in_subsets(board.board(spark, d, (), _FILTERED), held, "filters").select("session", "symbol", "rank", "filters")
 
 
 @query("f2_facet_counts", f"""
     SELECT session, {', '.join(f'count(*) FILTER ({t}) AS "{n}"' for n, t in BOARD_TESTS.items())} FROM board GROUP BY session""", "board")
 def f2(spark, d):
-    return board.board(spark, d).groupBy("session").agg(
+    return board.board(spark, d, (), _FILTERED).groupBy("session").agg(
         *[F.count_if(p).alias(n) for n, p in predicates.board_filters().items()])
 
 
@@ -66,8 +70,8 @@ LOOKUP_TESTS = {
 }
 
 
-def lookup(spark, d):
-    return board.picks(spark, d).drop("ssr").withColumnRenamed("ssr_next", "ssr")
+def lookup(spark, d, places=board.PLACES, keep=None):
+    return board.picks(spark, d, places=places, keep=keep).drop("ssr").withColumnRenamed("ssr_next", "ssr")
 
 
 @query("f4_lookup_filters", f"""
@@ -75,7 +79,7 @@ def lookup(spark, d):
       {_and(LOOKUP_TESTS, ['short', 'nossr', 'board'])} AS kept FROM picks""", "picks")
 def f4(spark, d):
     tests = predicates.lookup_filters()
-    return lookup(spark, d).select(
+    return lookup(spark, d, ("board",), ["status", "ssr_next", "price", "capacity", "board_rank"]).select(
         "session", "symbol", *[p.alias(f"is_{n}") for n, p in tests.items()],
         predicates.all_of([tests["short"], tests["nossr"], tests["board"]]).alias("kept"))
 
@@ -144,7 +148,7 @@ def f8(spark, d):
 
 @query("f9_do_not_short", "SELECT session, symbol, zone_reason, zone_reason IS NOT NULL AS held_off FROM picks", "picks")
 def f9(spark, d):
-    return board.picks(spark, d, places=("danger",)).select("session", "symbol", "zone_reason", F.col("zone_reason").isNotNull().alias("held_off"))
+    return board.picks(spark, d, places=("danger",), keep=["zone_reason"]).select("session", "symbol", "zone_reason", F.col("zone_reason").isNotNull().alias("held_off"))
 
 
 from .features_q import CONSENSUS  # noqa: E402
@@ -199,7 +203,8 @@ def _pos_sql(key: str, flipped: bool) -> str:
 @query("o1_board_sort", f"""
     SELECT session, symbol, {', '.join(_pos_sql(k, f) for k in fixed.BOARD_SORTS for f in (False, True))} FROM board""", "board")
 def o1(spark, d):
-    rows = board.board(spark, d).withColumn(
+    cols = ["prob_dump", "liq_edge", "lift", "gap_pct", "fee_rate", "squeeze_danger", "c10", "spread"]
+    rows = board.board(spark, d, ("lift",), cols).withColumn(
         "cost_at_size", F.round(sizing.cost_law(F.lit(30000.0), "c10", "spread"), 9))
     for k in fixed.BOARD_SORTS:
         for flipped in (False, True):     # a board holds at most 100 rows per session
@@ -309,7 +314,7 @@ def o6(spark, d):
 @query("o7_live_sort", """
     SELECT session, symbol, row_number() OVER (PARTITION BY session ORDER BY coalesce(next_oc, 9), symbol) AS pos FROM board""", "board")
 def o7(spark, d):
-    rows = ranking.with_row_number(board.board(spark, d), "session", ranking.live_order("next_oc"), "pos", small=True)
+    rows = ranking.with_row_number(board.board(spark, d, (), ["next_oc"]), "session", ranking.live_order("next_oc"), "pos", small=True)
     return rows.select("session", "symbol", "pos")
 
 

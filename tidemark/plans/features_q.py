@@ -202,7 +202,7 @@ def w20(spark, d):
 
 @query("w21_dual_rank", "SELECT session, symbol, urank, board_rank FROM picks", "picks")
 def w21(spark, d):
-    return board.picks(spark, d, places=("urank", "board")).select("session", "symbol", "urank", "board_rank")
+    return board.picks(spark, d, places=("urank", "board"), keep=["urank", "board_rank"])
 
 
 @query("flagship_top10_vs_base", f"""

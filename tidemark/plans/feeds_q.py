@@ -16,9 +16,9 @@ from .registry import query, r
 
 def board_documents(spark, d):
     """The day's feed document of every session: a board of at most 100 picks."""
-    rows = board.board(spark, d)
-    held = F.struct("rank", F.col("symbol").cast("string").alias("symbol"), "name", "country", "urank", "prob_dump", "flags", "model_used",
-                    "status", "available", "fee_rate", "capacity", "spread", "c10")
+    cols = ["name", "country", "urank", "prob_dump", "flags", "model_used", "status", "available", "fee_rate", "capacity", "spread", "c10"]
+    rows = board.board(spark, d, ("urank",), cols)
+    held = F.struct("rank", F.col("symbol").cast("string").alias("symbol"), *cols)
     docs = rows.groupBy("session").agg(F.sort_array(F.collect_list(held)).alias("b"))
     pick = lambda x: F.struct(
         *[x[c].alias(c) for c in ("symbol", "name", "country", "rank", "urank", "prob_dump", "flags", "model_used")],
@@ -52,7 +52,7 @@ _UNIVERSE = {"symbol": "bigint", "name": "string", "prob_dump": "double", "capac
 def s2(spark, d):
     """Universe documents hold at most 500 names each."""
     cols = [c for c in _UNIVERSE if c != "missing"]
-    rows = board.picks(spark, d).select("session", *cols)
+    rows = board.picks(spark, d, places=("board",), keep=cols).select("session", *cols)
     docs = rows.groupBy("session", F.floor(F.col("symbol") / 500).alias("part")).agg(
         F.collect_list(F.array(*[F.col(c).cast("string") for c in cols])).alias("rows"))
     text = docs.select(F.to_json(F.struct(F.col("session").alias("session_date"), F.array(*[F.lit(c) for c in cols]).alias("columns"), "rows")).alias("json"))

@@ -24,7 +24,7 @@ def pick_lists(spark, d):
     Whole lists: the board, the held-off names, and the orders of swing and squeeze odds.
     """
     cols = ["one_dump", "one_d3", "exp_dvol", "vol20", "prob_swing", "prob_squeeze", "publishable", "zone_reason"]
-    rows, on = cut(board.picks(spark, d, places=("board",)).select("session", "symbol", "prob_dump", *cols, "board_rank")), ["session", "symbol"]
+    rows, on = cut(board.picks(spark, d, places=("board",), keep=["prob_dump", *cols, "board_rank"])), ["session", "symbol"]
     first = [F.col("publishable").desc(), F.col("prob_dump").desc(), F.col("symbol")]
     classic = ranking.top_k(rows.select(*on, "prob_dump", "publishable"), "session", first, 1, "classic_rank").select(*on, "classic_rank")
     whole = ranking.row_numbers(rows, "session", "symbol", {
@@ -82,7 +82,7 @@ def j1(spark, d):
     FROM filings f LEFT JOIN (SELECT DISTINCT session, symbol FROM board) b ON b.symbol = f.symbol AND b.session = f.session""",
        ("filings", "board"))
 def j2(spark, d):
-    return joins.mark_known(derived.filings(spark, d), board.board(spark, d), ["session", "symbol"], "has_record").select(
+    return joins.mark_known(derived.filings(spark, d), board.board(spark, d, (), []), ["session", "symbol"], "has_record").select(
         "orderkey", "line", "symbol", "day", "category", "has_record")
 
 
@@ -102,7 +102,7 @@ def bands_sql(bands) -> str:
     SELECT session, symbol, urank, coalesce(lo, 26) AS lo, coalesce(hi, 50) AS hi
     FROM picks LEFT JOIN {bands_sql(REPORT_BANDS)} ON urank BETWEEN lo AND hi""", "picks")
 def j3(spark, d):
-    rows = board.picks(spark, d, places=("urank",)).select("session", "symbol", "urank")
+    rows = board.picks(spark, d, places=("urank",), keep=["urank"])
     return joins.band_join(rows, band_frame(spark, REPORT_BANDS), "urank")
 
 
@@ -128,7 +128,7 @@ _REPORT_SQL = f"""
       SELECT 1 FROM report o WHERE o.model_used = a.model_used AND o.lo >= a.lo AND o.hi <= a.hi AND (o.lo <> a.lo OR o.hi <> a.hi))""",
        "picks")
 def j4(spark, d):
-    rows = board.picks(spark, d, places=("urank",)).filter(F.col("next_oc").isNotNull())
+    rows = board.picks(spark, d, places=("urank",), keep=["urank", "model_used", "next_oc"]).filter(F.col("next_oc").isNotNull())
     report = band_report(rows, band_frame(spark, SUMMARY_BANDS), "urank", ["model_used"])
     return joins.disjoint_bands(report, ["model_used"]).select("model_used", "lo", "hi", r("hit"), r("mean_oc"), "n")
 
@@ -217,7 +217,7 @@ def j9(spark, d):
     WHERE urank <= pick""", "picks")
 def j11(spark, d):
     passes = F.col("zone_reason").isNull() & F.col("publishable")
-    rows = cut(board.picks(spark, d, places=("urank", "danger")).select("session", "symbol", "urank", "zone_reason", "publishable"))
+    rows = cut(board.picks(spark, d, places=("urank", "danger"), keep=["urank", "zone_reason", "publishable"]))
     return joins.first_passing(rows, "session", "urank", passes).select("session", "symbol", "urank", "role")
 
 
@@ -234,7 +234,7 @@ _DOT = lambda a, b: " + ".join(f"{a}.z_{c} * {b}.z_{c}" for c in LOOKALIKE_COLS)
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY similarity DESC, symbol) AS twin_rank FROM sim WHERE similarity >= 0.5)
     WHERE twin_rank <= 10""", "picks")
 def j12(spark, d):
-    rows = cut(board.picks(spark, d, places=("urank",)).select("session", "symbol", "urank", *LOOKALIKE_COLS))
+    rows = cut(board.picks(spark, d, places=("urank",), keep=["urank", *LOOKALIKE_COLS]))
     z = joins.zscores(rows, "session", LOOKALIKE_COLS)
     vector = F.array(*[F.col(f"z_{c}") for c in LOOKALIKE_COLS])
     return joins.lookalikes(z, "session", "symbol", vector, F.col("urank"), 10, 0.5).select(

@@ -39,7 +39,7 @@ def a21(spark, d):
     FROM (SELECT *, row_number() OVER (PARTITION BY session, sector ORDER BY prob_dump DESC, symbol) AS k FROM picks)
     GROUP BY session, sector HAVING count(*) >= 5""", "picks")
 def a22(spark, d):
-    rows = board.picks(spark, d, places=("urank",)).select("session", "symbol", "sector", "prob_dump", "urank")
+    rows = board.picks(spark, d, places=("urank",), keep=["sector", "prob_dump", "urank"])
     return market.sector_heat(rows).select("session", "sector", r("mean_prob"), "n", "n_top100",
                                            F.array_join(F.transform("top", lambda x: x.cast("string")), " ").alias("top"))
 
@@ -81,7 +81,7 @@ def a25(spark, d):
       {r6('first(capacity ORDER BY rank)', 'top_capacity', 2)}, {r6('ln(arg_min(breakeven, rank))', 'ln_top_breakeven')}
     FROM board WHERE publishable AND capacity IS NOT NULL GROUP BY session""", "board")
 def a26(spark, d):
-    rows = board.board(spark, d)
+    rows = board.board(spark, d, (), ["publishable", "capacity", "breakeven"])
     return market.size_summary(rows).select("session", r("deployable", places=2), "names", r("top_capacity", places=2),
                                             r(F.ln("top_breakeven"), "ln_top_breakeven"))
 
@@ -93,7 +93,7 @@ def a26(spark, d):
       SELECT *, row_number() OVER (PARTITION BY session ORDER BY prob_swing DESC, symbol) AS k FROM picks)""", ("picks", "board"))
 def u1(spark, d):
     from ..operators.ranking import with_row_number
-    rows = cut(board.picks(spark, d, places=("urank", "board")).select("session", "symbol", "board_rank", "urank", "prob_dump", "prob_swing", "zone_reason"))
+    rows = cut(board.picks(spark, d, places=("urank", "board"), keep=["board_rank", "urank", "prob_dump", "prob_swing", "zone_reason"]))
     listed = rows.filter(F.col("board_rank").isNotNull()).select("session", "symbol", F.col("board_rank").alias("rank"), "prob_dump")
     zone = rows.filter(F.col("zone_reason").isNotNull()).select("session", "symbol", F.col("urank").alias("rank"), "prob_dump", "zone_reason")
     swing = with_row_number(rows.select("session", "symbol", "prob_swing"), "session", [F.col("prob_swing").desc(), F.col("symbol")])
@@ -133,7 +133,8 @@ _LISTS = {
     SELECT session, list, pos, symbol, side, {r6('key', places=7)} FROM (
       SELECT *, row_number() OVER (PARTITION BY session, list ORDER BY key DESC NULLS LAST, symbol, side) AS pos FROM listed)""", "picks")
 def u4(spark, d):
-    rows = board.consensus(cut(board.picks(spark, d, places=("danger",))))
+    cols = ["r5", "prob_dump", "prob_pump", "prob_bigdump", "one_dump", "one_d3", "exp_dvol", "vol20", "squeeze_danger", "zone_reason"]
+    rows = board.consensus(cut(board.picks(spark, d, places=("danger",), keep=cols)))
     sides = F.explode(F.array(
         F.struct(F.lit("short").alias("side"), F.round(100 * F.col("prob_dump"), 7).alias("score"), F.col("squeeze_danger").alias("risk"),
                  F.col("zone_reason"), F.col("tier")),

@@ -52,7 +52,7 @@ def feed_index(spark, d):
 
 def universe_documents(spark, d):
     cols = list(feeds_q._UNIVERSE)[:-1]
-    rows = board.picks(spark, d).select("session", *cols)
+    rows = board.picks(spark, d, places=("board",), keep=cols).select("session", *cols)
     docs = rows.groupBy("session", F.floor(F.col("symbol") / 500).alias("part")).agg(F.collect_list(F.array(*[F.col(c).cast("string") for c in cols])).alias("rows"))
     return docs.select(F.concat_ws("-", "session", "part").alias("name"), _json(session_date=F.col("session"), columns=F.array(*[F.lit(c) for c in cols]), rows=F.col("rows")))
 
@@ -89,7 +89,7 @@ def feed_live(spark, d):
 
 
 def scorecard_documents(spark, d):
-    rows = board.picks(spark, d, places=("board",)).filter(F.col("next_oc").isNotNull())
+    rows = board.picks(spark, d, places=("board",), keep=["prob_dump", "next_oc", "board_rank"]).filter(F.col("next_oc").isNotNull())
     dumped = F.when(F.col("next_oc") <= fixed.DUMP, 1.0).otherwise(0.0)
     first = F.col("board_rank") == 1
     one = lambda c: F.max(F.when(first, F.col(c)))

@@ -25,8 +25,8 @@ def share(cond: str, known: str) -> str:
     return f"avg(CASE WHEN {cond} THEN 1.0 WHEN {known} IS NOT NULL THEN 0.0 END)"
 
 
-def graded(spark, d, places=board.PLACES):
-    return board.picks(spark, d, places=places).filter(F.col("next_oc").isNotNull())
+def graded(spark, d, places=board.PLACES, keep=None):
+    return board.picks(spark, d, places=places, keep=keep and [*keep, "next_oc"]).filter(F.col("next_oc").isNotNull())
 
 
 @query("a1_base_rates", f"""
@@ -58,7 +58,7 @@ _BLEND_REPORT = f"""
         avg(coalesce(pump, 0)) AS pump, avg(net) AS net, avg(CASE WHEN net IS NOT NULL THEN cost END) AS cost, min(urank) AS urank_min, max(urank) AS urank_max
       FROM met JOIN disjoint d USING (lo) GROUP BY ALL)""", ("picks", "board"))
 def a2(spark, d):
-    rows = cut(board.picks(spark, d, places=("urank", "board")).select("session", "urank", "board_rank", "next_oc", "next_oh", "c10", "spread"))
+    rows = cut(board.picks(spark, d, places=("urank", "board"), keep=["urank", "board_rank", "next_oc", "next_oh", "c10", "spread"]))
     c30 = sizing.cost_law(F.lit(30000.0), "c10", "spread")
     record = records.rank_band_record(rows.filter(F.col("next_oc").isNotNull()), band_frame(spark, REPORT_BANDS + [(1, 10)]), [],
                                       "urank", c30)
@@ -96,7 +96,7 @@ def a3(spark, d):
       count(*) FILTER (rank BETWEEN 26 AND 100) AS ext_n, {r6('avg(next_oc) FILTER (rank BETWEEN 26 AND 100)', 'ext_mean_oc')}
     FROM board GROUP BY session""", "board")
 def a4(spark, d):
-    out = records.live_summary(board.board(spark, d), "next_oc")
+    out = records.live_summary(board.board(spark, d, (), ["next_oc"]), "next_oc")
     return out.select("session", "top_down5", "top_n", r("top_mean_oc"), "ext_down5", "ext_n", r("ext_mean_oc"))
 
 
@@ -112,7 +112,8 @@ def a5(spark, d):
     ok = F.col("zone_reason").isNull() & F.col("publishable") & F.col("next_oc").isNotNull()
     cost = sizing.cost_law(F.lit(10000.0), "c10", "spread")
     day = F.lit("1998-01-01").cast("date")
-    daily = board.picks(spark, d, places=("urank", "board")).groupBy("session").agg(
+    cols = ["urank", "board_rank", "zone_reason", "publishable", "next_oc", "c10", "spread"]
+    daily = board.picks(spark, d, places=("urank", "board"), keep=cols).groupBy("session").agg(
         F.max(F.when(F.col("urank") == 1, F.col("next_oc"))).alias("raw_oc"),
         F.min_by("next_oc", F.when(ok, F.col("board_rank"))).alias("_oc"), F.min_by(cost, F.when(ok, F.col("board_rank"))).alias("_cost"))
     daily = daily.select(
@@ -222,7 +223,7 @@ def a12(spark, d):
       FROM (SELECT *, coalesce(next_oh = next_ol, false) AS halted FROM picks WHERE month(session) NOT IN (7, 11))) GROUP BY cohort""", "picks")
 def a13(spark, d):
     """July runs stand for late ones, November runs for unverified ones."""
-    rows = board.picks(spark, d, places=("board",)).withColumns({
+    rows = board.picks(spark, d, places=("board",), keep=["prob_dump", "board_rank", "next_oc", "next_oh", "next_ol"]).withColumns({
         "late": F.month("session") == 7, "unverified": F.month("session") == 11, "halted": F.col("next_oh") == F.col("next_ol")})
     out = records.scorecard(rows)
     return out.select("cohort", "n_days", "n_graded", "n_missing", "n_halted", r("dump_rate"), r("mean_oc"), r("squeeze_rate"))
@@ -263,7 +264,7 @@ def a14(spark, d):
       for n, e in (('hit', DUMP_SQL.format(c='next_oc')), ('mean_oc', 'avg(next_oc)'), ('squeeze', share('next_oh >= 0.2', 'next_oh')), ('net', 'avg(-next_oc - c10)')))}
     FROM picks WHERE next_oc IS NOT NULL AND urank <= 10 GROUP BY model_used""", "picks")
 def a15(spark, d):
-    rows = graded(spark, d).filter(F.col("urank") <= 10)
+    rows = graded(spark, d, ("urank",), ["urank", "model_used", "next_oh", "c10"]).filter(F.col("urank") <= 10)
     out = records.dev_confirm(rows, "model_used", CUT, {
         "hit": records.rate(F.col("next_oc") <= fixed.DUMP), "mean_oc": F.avg("next_oc"),
         "squeeze": records.rate(F.col("next_oh") >= fixed.SQUEEZE), "net": F.avg(-F.col("next_oc") - F.col("c10"))})
@@ -287,7 +288,7 @@ def _priced(rows):
 
 @query("a16_trade_sim", _sim_sql("(SELECT * FROM picks WHERE urank = 1)", "next_oc"), "picks")
 def a16(spark, d):
-    out = records.trade_sim(_priced(board.picks(spark, d, places=("urank",)).filter(F.col("urank") == 1)), ["size"])
+    out = records.trade_sim(_priced(board.picks(spark, d, places=("urank",), keep=["urank", "next_oc", "c10", "spread"]).filter(F.col("urank") == 1)), ["size"])
     return out.select("size", "n_trades", *[r(c) for c in _SIM_COLS])
 
 
@@ -371,7 +372,7 @@ def a20(spark, d):
     SELECT session, {r6('basket')}, {r6('min(basket) OVER ()', 'worst_day')} FROM (
       SELECT session, avg(next_oc) AS basket FROM board WHERE rank <= 3 AND next_oc IS NOT NULL GROUP BY session)""", "board")
 def a27(spark, d):
-    days = board.board(spark, d).filter((F.col("rank") <= 3) & F.col("next_oc").isNotNull()).groupBy("session").agg(
+    days = board.board(spark, d, (), ["next_oc"]).filter((F.col("rank") <= 3) & F.col("next_oc").isNotNull()).groupBy("session").agg(
         F.avg("next_oc").alias("basket"))
     worst = F.min("basket").over(W.partitionBy())        # one row per session
     return days.select("session", r("basket"), r(worst, "worst_day"))
@@ -411,7 +412,7 @@ def a29(spark, d):
     SELECT session, CASE WHEN count(*) FILTER (model_used = 'm1') * 2 > count(*) THEN 'm1' ELSE 'm0' END AS model FROM board GROUP BY session""", "board")
 def a30(spark, d):
     m1 = F.count_if(F.col("model_used") == "m1")
-    return board.board(spark, d).groupBy("session").agg(F.when(m1 * 2 > F.count("*"), "m1").otherwise("m0").alias("model"))
+    return board.board(spark, d, (), ["model_used"]).groupBy("session").agg(F.when(m1 * 2 > F.count("*"), "m1").otherwise("m0").alias("model"))
 
 
 @query("a31_basket_backtest", f"""
@@ -421,7 +422,8 @@ def a30(spark, d):
     days AS (SELECT period, k, session, sum(pnl) AS pnl, sum(q) AS q FROM c GROUP BY ALL)
     SELECT period, k, count(*) AS n_days, {r6('sum(pnl) / sum(q)', 'net_per_dollar')}, {r6('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)', 'day_win')} FROM days GROUP BY period, k""", "board")
 def a31(spark, d):
-    return allocation.basket_backtest(board.board(spark, d), 50000.0, CUT).select(
+    rows = board.board(spark, d, (), ["publishable", "capacity", "next_oc", "c10", "spread"])
+    return allocation.basket_backtest(rows, 50000.0, CUT).select(
         "period", "k", "n_days", r("net_per_dollar"), r("day_win"))
 
 
@@ -437,7 +439,8 @@ _TIER = """(0.05::DOUBLE * exp_dvol >= size AND exp_dvol * pow(0.005::DOUBLE / (
     SELECT size, count(*) AS n_days, {r6('avg(names)', 'names_per_day')}, {r6('avg(base)', 'base_dump')}, {r6(DUMP_SQL.format(c='oc'), 'top1_hit')}, {r6('avg(oc)', 'top1_mean_oc')},
       {r6('avg(cost)', 'cost')}, {r6('avg(-oc - cost)', 'net')}, {r6('avg(-oc - tight)', 'net_tight')} FROM days GROUP BY size""", "picks")
 def a32(spark, d):
-    out = allocation.size_tiers(graded(spark, d), fixed.SIZES)
+    cols = ["capacity", "close", "prob_dump", "c10", "spread", "vol20", "exp_dvol"]
+    out = allocation.size_tiers(graded(spark, d, (), cols), fixed.SIZES)
     return out.select("size", "n_days", *[r(c) for c in ("names_per_day", "base_dump", "top1_hit", "top1_mean_oc", "cost", "net", "net_tight")])
 
 

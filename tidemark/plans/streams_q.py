@@ -49,7 +49,7 @@ def t1(spark, d):
       (SELECT count(*) FROM newest) - count(*) AS unquoted FROM quoted GROUP BY session""", ("ticks", "board"))
 def t1_board(spark, d):
     """The last published board held against every day of the tape."""
-    published = cut(board.board(spark, d).select("session", "symbol", "rank"))
+    published = cut(board.board(spark, d, (), []).select("session", "symbol", "rank"))
     last = published.agg(F.max("session")).first()[0]
     path = tape.live_board(tick_stream(spark, d), published.filter(F.col("session") == last).drop("session"))
     updates = tape.landed(spark, path, "session date, top_down5 bigint, top_n bigint, top_mean_oc double, ext_down5 bigint, ext_n bigint, "
