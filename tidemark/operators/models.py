@@ -8,9 +8,11 @@ missing feature is not scored, never filled.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import cut, fresh_path
+from .boosting import boost
 from .ranking import beside, exact_median, place_in_ties, with_group_agg, with_percent_rank, with_row_number
 from .records import aucs, by_score
 
@@ -90,9 +93,16 @@ def fit(rows: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     return Pipeline(stages=steps).fit(rows.filter(F.col(label).isNotNull()))
 
 
+def known(inputs: Sequence[str]) -> Column:
+    """Whether a row has all inputs, as a `VectorAssembler` that skips the others sees it."""
+    return reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in inputs])
+
+
 class Trees:
     """Boosted trees as one column of nested conditions: scored in generated code, without assembling vectors.
 
+    The trees' values are an array that is summed by a function over arrays, and not one sum: Spark then cuts their code
+    into methods the JVM compiles. As one method, five targets' trees are beyond the length it compiles and run interpreted.
     A row that lacks an input has no odds. `trees` holds (weight, node); a node is a leaf's value or
     (input, threshold, left, right), left where the input is at most the threshold. Odds are 1 / (1 + exp(-2 margin)).
     """
@@ -107,31 +117,27 @@ class Trees:
             name, threshold, left, right = node
             return F.when(F.col(name) <= F.lit(float(threshold)), value(left)).otherwise(value(right))
 
-        margin = sum((F.lit(float(w)) * value(root) for w, root in self.trees), F.lit(0.0))
-        known = F.lit(True)
-        for c in self.inputs:
-            known = known & F.col(c).isNotNull() & ~F.isnan(c)
-        return F.when(known, 1 / (1 + F.exp(-2 * margin)))
+        values = F.array(*[F.lit(float(w)) * value(root) for w, root in self.trees])
+        margin = F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+        return F.when(known(self.inputs), 1 / (1 + F.exp(-2 * margin)))
 
 
-def fit_trees(rows: DataFrame, features: Sequence[str], label: str, rounds: int = 10, depth: int = 3, bins: int = 32, seed: int = 7) -> Trees:
-    """Gradient-boosted trees of a target. Histograms of `bins` are summed over the partitions; the driver holds the trees alone."""
-    vec = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip")
-    known = vec.transform(rows.filter(F.col(label).isNotNull())).select("x", label)
-    model = GBTClassifier(featuresCol="x", labelCol=label, maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=0.3, seed=seed).fit(known)
+def fit_trees_of(rows: DataFrame, features: Sequence[str], labels: Sequence[str], rounds: int = 10, depth: int = 3, bins: int = 32, seed: int = 7) -> dict[str, Trees]:
+    """Gradient-boosted trees of several targets from the same passes over the rows; the driver holds sums by bin and the trees alone."""
+    some = reduce(or_, [F.col(c).isNotNull() for c in labels])
+    fitted = boost(rows.filter(known(features) & some), features, labels, rounds, depth, bins, 0.3, seed)
+    return {c: Trees(features, trees) for c, trees in zip(labels, fitted, strict=True)}
 
-    def node(n):
-        if n.subtreeDepth() == 0:
-            return float(n.prediction())
-        split = n.split()
-        return (features[split.featureIndex()], float(split.threshold()), node(n.leftChild()), node(n.rightChild()))
 
-    return Trees(features, list(zip(model.treeWeights, [node(t._call_java("rootNode")) for t in model.trees], strict=True)))
+def fit_trees(rows: DataFrame, features: Sequence[str], label: str, rounds: int = 10, depth: int = 3, bins: int = 32, seed: int = 7) -> Trees:
+    """Gradient-boosted trees of one target."""
+    return fit_trees_of(rows, features, [label], rounds, depth, bins, seed)[label]
 
 
 def score(model: PipelineModel | Trees, rows: DataFrame, name: str = "p") -> DataFrame:
+    """Rows that have all inputs of the model, with their odds. They are tested for the inputs, not for the odds, which Spark would compute twice."""
     if isinstance(model, Trees):
-        return rows.withColumn(name, model.odds()).filter(F.col(name).isNotNull())
+        return rows.filter(known(model.inputs)).withColumn(name, model.odds())
     out = model.transform(rows).withColumn(name, vector_to_array("prob")[1])
     return out.drop("x", "prob", "raw", "pred")
 
@@ -156,12 +162,16 @@ def outcome_models(rows: DataFrame, sets: Mapping[str, Sequence[str]], cut_idx:
     Logistic models, or boosted trees where `trees` gives their settings (may be empty).
     """
     train, test = span(rows, None, cut_idx - embargo), span(rows, cut_idx, None)
+    labels = {n: f"y_{n}" for n in names}
+    if trees is None:
+        fitted = {(m, c): fit(train, features, c) for m, features in sets.items() for c in labels.values()}
+    else:
+        fitted = {(m, c): t for m, features in sets.items() for c, t in fit_trees_of(train, features, list(labels.values()), **trees).items()}
     out = None
-    for model, features in sets.items():
+    for model in sets:
         scored = test
-        for n in names:
-            fitted = fit(train, features, f"y_{n}") if trees is None else fit_trees(train, features, f"y_{n}", **trees)
-            scored = score(fitted, scored, f"prob_{n}")
+        for n, c in labels.items():
+            scored = score(fitted[model, c], scored, f"prob_{n}")
         part = scored.withColumn("model", F.lit(model))
         out = part if out is None else out.unionByName(part)
     return out
