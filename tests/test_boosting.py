@@ -69,3 +69,21 @@ def test_trees_are_not_scored_in_one_method(two):
     scoring = [x for x in plan if "Project" in x and "aggregate(" in x]
     assert scoring and not any("*(" in x for x in scoring)
     assert not any("Filter" in x and "aggregate(" in x for x in plan)
+
+
+def test_logistic_odds_are_those_of_the_model(two):
+    model = models.fit(two, ["a", "b", "c"], "y")
+    got = models.score(model, two)
+    assert "UDF" not in plan_of(got)
+    want = {r.i: r.p for r in model.transform(two).select("i", vector_to_array("prob")[1].alias("p")).collect()}
+    have = {r.i: r.p for r in got.collect()}
+    assert have.keys() == want.keys() and max(abs(have[k] - want[k]) for k in want) < 1e-12
+
+
+def test_logistic_models_are_fitted_side_by_side(two, monkeypatch):
+    both = threading.Barrier(2, timeout=20)
+    fit = models.fit
+    monkeypatch.setattr(models, "fit", lambda *a: (both.wait(), fit(*a))[1])
+    rows = two.withColumns({"session_idx": F.col("i") % 50, "y_y": F.col("y"), "y_z": F.col("z")})
+    out = models.outcome_models(rows, {"m": ["a", "c"]}, 40, names=("y", "z"))
+    assert out.count() > 0 and out.filter("prob_y is null or prob_z is null").count() == 0

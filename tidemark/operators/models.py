@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import and_, or_
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,6 +94,18 @@ def fit(rows: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     return Pipeline(stages=steps).fit(rows.filter(F.col(label).isNotNull()))
 
 
+#: Logistic models fitted at once. A pass over the rows ends on its last tasks, and the other fit takes the cores that wait;
+#: each fit holds its rows in memory as blocks while it runs.
+FITS = 2
+
+
+def fit_all(rows: DataFrame, sets: Mapping[str, Sequence[str]], labels: Sequence[str]) -> dict[tuple[str, str], PipelineModel]:
+    """A logistic model of every label from every feature set, `FITS` of them at a time."""
+    with ThreadPool(FITS) as pool:
+        run = inheritable_thread_target(rows.sparkSession)(lambda m, c: ((m, c), fit(rows, sets[m], c)))
+        return dict(pool.starmap(run, [(m, c) for m in sets for c in labels], chunksize=1))
+
+
 def known(inputs: Sequence[str]) -> Column:
     """Whether a row has all inputs, as a `VectorAssembler` that skips the others sees it."""
     return reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in inputs])
@@ -138,8 +151,8 @@ def score(model: PipelineModel | Trees, rows: DataFrame, name: str = "p") -> Dat
     """Rows that have all inputs of the model, with their odds. They are tested for the inputs, not for the odds, which Spark would compute twice."""
     if isinstance(model, Trees):
         return rows.filter(known(model.inputs)).withColumn(name, model.odds())
-    out = model.transform(rows).withColumn(name, vector_to_array("prob")[1])
-    return out.drop("x", "prob", "raw", "pred")
+    coef, intercept = weights(model)
+    return rows.filter(known(list(coef))).withColumn(name, logistic(coef, intercept))
 
 
 def weights(model: PipelineModel) -> tuple[dict[str, float], float]:
@@ -164,7 +177,7 @@ def outcome_models(rows: DataFrame, sets: Mapping[str, Sequence[str]], cut_idx:
     train, test = span(rows, None, cut_idx - embargo), span(rows, cut_idx, None)
     labels = {n: f"y_{n}" for n in names}
     if trees is None:
-        fitted = {(m, c): fit(train, features, c) for m, features in sets.items() for c in labels.values()}
+        fitted = fit_all(train, sets, list(labels.values()))
     else:
         fitted = {(m, c): t for m, features in sets.items() for c, t in fit_trees_of(train, features, list(labels.values()), **trees).items()}
     out = None
