@@ -87,3 +87,28 @@ def test_logistic_models_are_fitted_side_by_side(two, monkeypatch):
     rows = two.withColumns({"session_idx": F.col("i") % 50, "y_y": F.col("y"), "y_z": F.col("z")})
     out = models.outcome_models(rows, {"m": ["a", "c"]}, 40, names=("y", "z"))
     assert out.count() > 0 and out.filter("prob_y is null or prob_z is null").count() == 0
+
+
+def test_candidates_are_those_of_pyspark_beyond_the_rows_that_place_them(spark):
+    """Of more than 10,000 rows pyspark.ml draws some; the same are drawn here, whatever other labels know."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(24_000):
+        a, b = rng.gauss(0, 1), max(0.0, rng.gauss(0, 1))
+        rows.append((i, a, b, float(rng.random() < (0.8 if a * (b - 0.4) > 0 else 0.1)), None if i % 5 == 0 else float(rng.random() < 0.3 + 0.1 * b)))
+    data = spark.createDataFrame(rows, "i int, a double, b double, y double, z double").coalesce(2)
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="x", handleInvalid="skip")
+    joint = models.fit_trees_of(data, ["a", "b"], ["y", "z"], rounds=3, depth=2)
+    for c in ("y", "z"):
+        known = vec.transform(data.filter(F.col(c).isNotNull())).select("x", c)
+        one = GBTClassifier(featuresCol="x", labelCol=c, maxIter=3, maxDepth=2, maxBins=32, stepSize=0.3, seed=7).fit(known)
+        want = {r.i: r.p for r in one.transform(vec.transform(data)).select("i", vector_to_array("probability")[1].alias("p")).collect()}
+        got = {r.i: r.p for r in models.score(joint[c], data).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_equal_splits_go_to_the_first_input():
+    n = np.array([[3, 1], [3, 1]])
+    s = np.array([[0.1 + 0.2 + 0.3, 0.7], [0.3 + 0.2 + 0.1, 0.7]])          # the same three rows, added in another order
+    assert boosting.best_split(n, s)[0] == boosting.best_split(n[::-1], s[::-1])[0] == (0, 0)
+    assert boosting.best_split(np.array([[3, 4]]), np.array([[0.3, 0.4]]))[0] is None

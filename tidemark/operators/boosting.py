@@ -21,14 +21,20 @@ from ..session import cut
 SUMS = "label int, key long, n long, s double"
 
 
-def thresholds(values: np.ndarray, bins: int) -> np.ndarray:
-    """Candidate splits of an input, by the rule of pyspark.ml: all midpoints, or those nearest to equal shares."""
-    v, n = np.unique(values, return_counts=True)
-    bins = min(bins, len(values))
+def thresholds(values: np.ndarray, bins: int, expected: float) -> np.ndarray:
+    """Candidate splits of an input, by the rule of pyspark.ml: all midpoints, or those nearest to equal shares.
+
+    Rows that a sample lacks of the number expected count as zeros, as they do there.
+    """
+    v, n = np.unique(values[values != 0], return_counts=True)
+    zeros = expected - n.sum()
+    if zeros > np.finfo(float).eps * n.sum() * 100:
+        at = np.searchsorted(v, 0.0)
+        v, n = np.insert(v, at, 0.0), np.insert(n.astype(float), at, zeros)
     between, upto = (v[1:] + v[:-1]) / 2, np.cumsum(n)
     if len(between) < max(bins, 1):
         return between
-    stride = target = len(values) / bins
+    stride = target = expected / bins
     out = []
     for i, t in enumerate(between):
         if abs(upto[i] - target) < abs(upto[i + 1] - target):
@@ -37,24 +43,31 @@ def thresholds(values: np.ndarray, bins: int) -> np.ndarray:
     return np.array(out)
 
 
+def sampled(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """The sample that pyspark.ml draws of the same rows with the same seed (`DataFrame.sample` draws others)."""
+    spark = rows.sparkSession
+    own = spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    return DataFrame(spark._jsparkSession.createDataFrame(rows._jdf.toJavaRDD().sample(False, share, own), rows._jdf.schema()), spark)
+
+
 def candidates(rows: DataFrame, n_inputs: int, n_labels: int, bins: int, seed: int) -> tuple[list[list[np.ndarray]], list[int]]:
-    """Thresholds by set and input, and the set of each label.
+    """Thresholds by set and input, and the set of each label; labels that the same rows know share a set.
 
-    As in pyspark.ml they come from about 10,000 rows (`bins` squared, if more), or from all where there are fewer; this
-    only places the candidates, and every row is counted for every split. Up to that size a label's come from the rows
-    that know it; beyond it the labels share theirs.
+    As in pyspark.ml they come from about 10,000 of a label's rows (`bins` squared, if more), or from all where there are
+    fewer; this only places the candidates, and every row is counted for every split.
     """
-    n, wanted = rows.count(), max(bins * bins, 10_000)
-    taken = rows.sample(wanted / n, seed) if n > wanted else rows
-    held = np.array([tuple(r) for r in taken.collect()], float).reshape(-1, n_inputs + n_labels)
-    sets, of = [], []
-    for i in range(n_labels):
-        own = held if n > wanted else held[~np.isnan(held[:, n_inputs + i])]
-        found = [thresholds(own[:, f], bins) for f in range(n_inputs)]
-        same = [k for k, s in enumerate(sets) if all(map(np.array_equal, s, found))]
-        of.append(same[0] if same else len(sets))
-        if not same:
-            sets.append(found)
+    inputs, labels = [f"x{i}" for i in range(n_inputs)], [f"y{i}" for i in range(n_labels)]
+    known = rows.groupBy(*[F.col(c).isNotNull().alias(c) for c in labels]).count().collect()
+    sets, met, of = [], {}, []
+    for c in labels:
+        same = tuple(r[c] for r in known)
+        if same not in met:
+            n, wanted = sum(r["count"] for r in known if r[c]), max(bins * bins, 10_000)
+            own = rows.filter(F.col(c).isNotNull()).select(inputs)
+            held = np.array([tuple(r) for r in (sampled(own, wanted / n, seed) if n > wanted else own).collect()], float).reshape(-1, n_inputs)
+            met[same] = len(sets)
+            sets.append([thresholds(held[:, f], min(bins, n), min(n, wanted)) for f in range(n_inputs)])
+        of.append(met[same])
     return sets, of
 
 
@@ -114,17 +127,23 @@ def _sums(of: list[int], n_inputs: int, small: type, width: int, grown: list[lis
     return run
 
 
+ROUNDING = 1e-12
+
+
 def best_split(n: np.ndarray, s: np.ndarray) -> tuple[tuple[int, int] | None, float, float]:
-    """(input, bin) after which a node is split, if anything is gained, and the means of both sides. Sums by input and bin."""
+    """(input, bin) after which a node is split, if anything is gained, and the means of both sides. Sums by input and bin.
+
+    Splits that differ by rounding alone are ties, taken by the first, so the order in which rows were added decides nothing.
+    """
     all_n, all_s = n[0].sum(), s[0].sum()
     if not all_n:
         return None, 0.0, 0.0
     left_n, left_s = n.cumsum(1)[:, :-1], s.cumsum(1)[:, :-1]
     right_n, right_s = all_n - left_n, all_s - left_s
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where((left_n > 0) & (right_n > 0), left_s ** 2 / left_n + right_s ** 2 / right_n - all_s ** 2 / all_n, 0.0)
-    f, k = np.unravel_index(gain.argmax(), gain.shape)
-    if not gain[f, k] > 0:
+        kept = np.where((left_n > 0) & (right_n > 0), left_s ** 2 / left_n + right_s ** 2 / right_n, 0.0)
+    f, k = np.unravel_index((kept >= kept.max() * (1 - ROUNDING)).argmax(), kept.shape)
+    if not kept[f, k] * (1 - ROUNDING) > all_s ** 2 / all_n:
         return None, float(all_s / all_n), float(all_s / all_n)
     return (int(f), int(k)), float(left_s[f, k] / left_n[f, k]), float(right_s[f, k] / right_n[f, k])
 
