@@ -112,3 +112,10 @@ def test_equal_splits_go_to_the_first_input():
     s = np.array([[0.1 + 0.2 + 0.3, 0.7], [0.3 + 0.2 + 0.1, 0.7]])          # the same three rows, added in another order
     assert boosting.best_split(n, s)[0] == boosting.best_split(n[::-1], s[::-1])[0] == (0, 0)
     assert boosting.best_split(np.array([[3, 4]]), np.array([[0.3, 0.4]]))[0] is None
+
+
+def test_a_sample_larger_than_expected_gives_more_bins(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "sampled", lambda rows, share, seed: rows)
+    rows = spark.range(24_000).select(F.col("id").cast("double").alias("a"), (F.col("id") >= 23_000).cast("double").alias("y"))
+    (_, (_, threshold, _, right)), = models.fit_trees(rows, ["a"], "y", rounds=1, depth=1).trees
+    assert abs(threshold - 23_000) < 320 and right > 0.6

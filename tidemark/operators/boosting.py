@@ -150,11 +150,12 @@ def best_split(n: np.ndarray, s: np.ndarray) -> tuple[tuple[int, int] | None, fl
 
 def boost(rows: DataFrame, features: Sequence[str], labels: Sequence[str], rounds: int, depth: int, bins: int, step: float, seed: int) -> list[list[tuple[float, tuple | float]]]:
     """Per label its (weight, tree), as `models.Trees` takes them. Rows must have all inputs; a label may be missing."""
-    width, n_inputs = bins, len(features)
+    n_inputs = len(features)
     rows = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
                        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)])
     sets, of = candidates(rows, n_inputs, len(labels), bins, seed)
-    small = np.uint8 if bins <= 256 else np.int64
+    width = 1 + max(len(t) for s in sets for t in s)          # a sample larger than expected gives a few bins more
+    small = np.uint8 if width <= 256 else np.int64
     binned = cut(rows.mapInArrow(_binned(sets, n_inputs, small), "block binary"))
     grown: list[list[tuple]] = [[] for _ in labels]
     for m in range(rounds):
